@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +35,8 @@ HASHES, CHUNK = 64, 4
 DISTANCE = 2 * (HASHES // CHUNK) - 1
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Members of a key that are compared in one block.
-BLOCK = 2048
+#: Members of a key that are compared in one block, and pairs that are looked at together.
+BLOCK, PAIRS = 2048, 1 << 18
 
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -103,21 +102,51 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int32))], ["a", "b", "far"]).filter(ok)
 
 
-def _across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Close pairs of different components among the members of one key, of block i against block j."""
-    sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint16).reshape(-1, HASHES)
-    ids, comp, block = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
-    left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-    out = []
-    for lo in range(0, len(left), 256):
-        i = left[lo : lo + 256]
-        far = np.zeros((len(i), len(right)), dtype=np.uint8)
-        for k in range(HASHES):
-            far += sig[i, k][:, None] != sig[right, k][None, :]
-        x, y = np.nonzero((far <= DISTANCE) & (comp[i][:, None] != comp[right][None, :]))
-        a, b = ids[i[x]], ids[right[y]]
-        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+def _pairs_across(group: np.ndarray, ids: np.ndarray, comp: np.ndarray, block: np.ndarray, cross: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
+    """Close pairs of different components in each run of equal ``group``; ``cross``: of different blocks only."""
+    n = len(group)
+    last = np.searchsorted(group, group, "right")
+    after = last - np.arange(n) - 1
+    sums = np.concatenate([[0], np.cumsum(after)])
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + PAIRS, "right")) - 1)
+        count = after[lo:hi]
+        u = np.repeat(np.arange(lo, hi), count)
+        v = u + 1 + np.arange(len(u)) - np.repeat(sums[lo:hi] - sums[lo], count)
+        on = (comp[u] != comp[v]) & (~cross[u] | (block[u] != block[v]))
+        u, v = u[on], v[on]
+        close = (sig[u] != sig[v]).sum(axis=1) <= DISTANCE
+        a, b = ids[u[close]], ids[v[close]]
+        yield np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        lo = hi
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and pair of blocks: :func:`_pairs_across`, with the last, unfinished group carried on."""
+    names = ["key", "i", "j", "block", "id", "component"]
+    held: list[np.ndarray] | None = None
+
+    def told(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, i, j, block, ids, comp, sig = rows
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        for pairs in _pairs_across(np.cumsum(new), ids, comp, block, i != j, sig):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
+        rows.append(_matrix(batch.column(batch.schema.get_field_index("sig"))))
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+        cut = int(np.argmax(same))
+        if cut:
+            yield from told([x[:cut] for x in rows])
+        held = [x[cut:] for x in rows]
+    if held is not None:
+        yield from told(held)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +206,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sig")
     )
-    rest = stored(rows.groupBy("key", "i", "j").applyInPandas(_across, "a bigint, b bigint").distinct(), "rest")
+    sorted_rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest = stored(sorted_rows.mapInArrow(_across, "a bigint, b bigint").distinct(), "rest")
     if rest.limit(1).count():
         found = components(links.unionByName(confirmed(rest, docs)))
     ids = with_component(classes.select("d1", "d2", "n_shingles", "id"))
