@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, mixing, near_duplicates, suffix_dedup, toxicity, warc
+from . import decontamination, embeddings, licenses, mixing, near_duplicates, pages, suffix_dedup, toxicity, urls, warc
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
-    "op7_warc": warc.op7_warc,
+    "op2_pages": pages.op2_pages,
+    "op3_licenses": licenses.op3_licenses,
+    "op4_urls": urls.op4_urls,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_minhash": near_duplicates.op6_minhash,
+    "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
