@@ -1,2 +1,168 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Cohort mining, matching, timelines, set operations, sources and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import cohort
+from ..sources import files
+from ..streaming import ledger
+from .tables import labelled, r6, table
+
+
+def row_candidates(spark, d):
+    """Documents as review rows: every third has a Java path, every fifth a malformed commit."""
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("source"), F.lit("/A.JAVA"))).otherwise(F.concat(F.col("source"), F.lit("/a.txt")))
+    commit = F.when(F.col("doc_id") % 5 == 0, "zz").otherwise(F.sha1(F.col("doc_id").cast("string").cast("binary")))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("code"), path.alias("path"), commit.alias("commit"))
+    return cohort.row_candidates(rows).select("doc_id", F.col("token_count").cast("long").alias("token_count"))
+
+
+def positive_projects(spark, d):
+    """Negatives of sources that have any positive."""
+    rows = labelled(spark, d)
+    yes = rows.filter("toxic = 1").select("source")
+    return rows.filter("toxic = 0").join(yes, "source", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("negatives"))
+
+
+def _parts(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"), (F.col("p_partkey") % 4 == 0).alias("positive"))
+
+
+def nearest_match_with_replacement(spark, d):
+    """Orders' urgent rows with the nearest other order of the customer by price."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", (F.col("o_orderpriority") == "1-URGENT").alias("u"))
+    rows = cohort.nearest_match(o.filter("u"), o.filter("NOT u"), "o_custkey", "o_totalprice", "o_orderkey")
+    return rows.select("o_custkey", "unit", "match", r6("distance").alias("distance"))
+
+
+def greedy_match_without_replacement(spark, d):
+    rows = cohort.greedy_match(_parts(spark, d), "p_brand", "positive", "p_size", "p_partkey")
+    return rows.select("p_brand", "unit", "match", r6("distance").alias("distance"))
+
+
+def closest_pairs_topk(spark, d):
+    rows = nearest_match_with_replacement(spark, d)
+    return cohort.closest_pairs(rows, "distance", "unit", 60).select("pair_id", "unit", "match", "distance")
+
+
+def hours_to_next_purchase(spark, d):
+    rows = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    kinds = sorted(("click", "purchase"))
+    rows = cohort.next_event(rows, "user_id", "at", F.col("event_type") == kinds[0], F.col("event_type") == kinds[1])
+    return rows.select("event_id", r6((F.col("next_at") - F.col("at")) / 3.6e9).alias("hours"))
+
+
+def last_row_wins(spark, d):
+    rows = cohort.last_wins(table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").withColumn("o", F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")), ["l_partkey"], "o")
+    return rows.select("l_partkey", "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+
+
+def manifest_diff(spark, d):
+    """Documents as files, of which some are gone, new, longer or changed in the second listing."""
+    docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"), "doc_id")
+    expected = docs.filter("doc_id % 11 <> 0")
+    actual = docs.filter("doc_id % 13 <> 0").withColumn("bytes", F.when(F.col("doc_id") % 17 == 0, F.col("bytes") + 1).otherwise(F.col("bytes"))).withColumn("sha256", F.when(F.col("doc_id") % 19 == 0, F.lit("0")).otherwise(F.col("sha256")))
+    return cohort.manifest_diff(expected, actual)
+
+
+def three_way_split(spark, d):
+    a, b = table(spark, d, "documents").filter("doc_id % 2 = 0"), table(spark, d, "labels")
+    return cohort.three_way(a, b, "doc_id").groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def multiset_difference(spark, d):
+    """Statuses left when order lines' flags are taken from orders' statuses, each as often as it occurs."""
+    a, b = table(spark, d, "orders").select(F.col("o_orderstatus").alias("s")), table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_linestatus").alias("s"))
+    return a.exceptAll(b).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_union(spark, d):
+    a, b = table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
+    return a.unionByName(b).distinct()
+
+
+def missing_units(spark, d):
+    """Customers without any order."""
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+def json_numeric_availability(spark, d):
+    """Events whose properties hold a number under k, and its mean."""
+    k = F.get_json_object("props", "$.k").try_cast("double")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(k).alias("available"), r6(F.avg(k)).alias("mean"))
+
+
+def review_hours(spark, d):
+    """Review metadata from a user's timeline: events as nested review entries."""
+    entry = F.struct(F.when(F.col("event_type") == "purchase", "commit").otherwise("inlineReview").alias("type"), F.col("event_id").alias("id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("createdAt"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("committedDate"), F.col("event_type").alias("author"), F.array().cast("array<string>").alias("replies"))
+    lines = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("timeline"), F.min("ts").alias("first"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_id"))
+    lines = lines.withColumn("event", cohort.review_event(F.col("timeline"), F.col("first_id")))
+    m = cohort.review_metadata(F.col("timeline"), F.col("event"), F.date_format(F.col("first").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lit(None).cast("string"))
+    return lines.filter("event IS NOT NULL").select("user_id", m.alias("m")).select("user_id", r6("m.hours_to_next_commit").alias("hours"), F.col("m.inline_review_count").cast("long").alias("reviews"), F.col("m.commit_count").cast("long").alias("commits"), F.col("m.reviewer_count").cast("long").alias("reviewers"), F.col("m.merged").alias("merged"))
+
+
+def secret_findings(spark, d):
+    """Secrets in documents: rule and line of the first match."""
+    return files.scan_secrets(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "rule", F.col("line").cast("long").alias("line"))
+
+
+def marker_findings(spark, d):
+    return files.scan_markers(table(spark, d, "documents"), "doc_id", "text", ["the", "License", "@"]).select("doc_id", "marker", F.col("line").cast("long").alias("line"))
+
+
+def file_snapshot(spark, d):
+    """Digest of the benchmark table's file, as a manifest row."""
+    rows = files.snapshot_tree(spark, d, exclude=r"^(?!region|nation)")
+    return rows.select(F.regexp_extract("path", r"^([a-z]+)", 1).alias("name"), (F.col("bytes") > 0).alias("has_bytes"), F.length("sha256").cast("long").alias("digits")).distinct()
+
+
+def stratified_topk(spark, d):
+    """The two cheapest parts of each type, ties by key."""
+    w = Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey")
+    return table(spark, d, "part").withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 2").select("p_type", "p_partkey", "place")
+
+
+def stream_first_valid(spark, d):
+    """First valid attempts from the ledger read as a stream."""
+    s = ledger.stream_of(spark, f"{d}/lineitem.parquet").withColumn("valid", F.col("l_returnflag") != "R")
+    return ledger.drained(ledger.first_valid_stream(s, ["l_orderkey"], "l_linenumber", "valid"), "complete").select("l_orderkey", "attempts", F.col("selected_attempt").cast("long").alias("selected_attempt"))
+
+
+def stream_window_rates(spark, d):
+    """Events and errors a day from the event stream."""
+    s = ledger.stream_of(spark, f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    rows = ledger.drained(ledger.window_rates(s, "at", F.col("event_type") == "error", "1 day", "30 days"), "complete")
+    return rows.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "failed")
+
+
+QUERIES = {f.__name__: f for f in (row_candidates, positive_projects, nearest_match_with_replacement, greedy_match_without_replacement, closest_pairs_topk, hours_to_next_purchase, last_row_wins, manifest_diff, three_way_split, multiset_difference, distinct_union, missing_units, json_numeric_availability, review_hours, secret_findings, marker_findings, file_snapshot, stratified_topk, stream_first_valid, stream_window_rates)}
+
+_Q = text.TOKEN_PATTERN.replace("'", "''")
+_NEAREST = """(WITH o AS (SELECT o_custkey, o_orderkey, ln(1 + o_totalprice) AS s, o_orderpriority = '1-URGENT' AS u FROM orders),
+p AS (SELECT a.o_custkey, a.o_orderkey AS unit, b.o_orderkey AS match, abs(a.s - b.s) AS distance, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.s - b.s), sha256(CAST(b.o_orderkey AS VARCHAR))) AS n FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.u AND NOT b.u)
+SELECT o_custkey, unit, match, round(distance, 6) AS distance FROM p WHERE n = 1)"""
+_RULES = {"private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "bearer_token": r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{20,}", "api_key": r"\bsk-[A-Za-z0-9_-]{20,}\b", "cloud_access_key": r"\bAKIA[0-9A-Z]{16}\b"}
+
+ORACLE_SQL = {
+    "row_candidates": f"SELECT doc_id, len(regexp_extract_all(text, '{_Q}')) AS token_count FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0 AND strlen(text) <= 24000 AND len(regexp_extract_all(text, '{_Q}')) BETWEEN 12 AND 900",
+    "positive_projects": "WITH l AS (SELECT source, toxic FROM documents JOIN labels USING (doc_id)) SELECT source, count(*) AS negatives FROM l WHERE toxic = 0 AND source IN (SELECT source FROM l WHERE toxic = 1) GROUP BY source",
+    "nearest_match_with_replacement": f"SELECT * FROM {_NEAREST}",
+    "closest_pairs_topk": f"WITH t AS (SELECT *, sha256(CAST(unit AS VARCHAR)) AS h FROM {_NEAREST} ORDER BY distance, h LIMIT 60) SELECT 'half-pair-' || lpad(CAST(row_number() OVER (ORDER BY h) AS VARCHAR), 4, '0') AS pair_id, unit, match, distance FROM t",
+    "hours_to_next_purchase": "WITH a AS (SELECT event_id, user_id, epoch_us(ts) AS at, event_type FROM events) SELECT a.event_id, round((min(b.at) - any_value(a.at)) / 3.6e9, 6) AS hours FROM a LEFT JOIN a b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.at >= a.at WHERE a.event_type = 'click' GROUP BY a.event_id",
+    "last_row_wins": "SELECT l_partkey, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) AS n FROM lineitem) WHERE n = 1",
+    "manifest_diff": "SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'unexpected' WHEN doc_id % 17 = 0 THEN 'size_mismatch' ELSE 'hash_mismatch' END AS finding FROM documents WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0)",
+    "three_way_split": "SELECT CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'unexpected' ELSE 'common' END AS side, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b USING (doc_id) GROUP BY 1",
+    "multiset_difference": "SELECT s, count(*) AS n FROM (SELECT o_orderstatus AS s FROM orders EXCEPT ALL SELECT l_linestatus FROM lineitem WHERE l_quantity > 49) GROUP BY s",
+    "distinct_union": "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0",
+    "missing_units": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "json_numeric_availability": "SELECT event_type, count(*) AS n, count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS available, round(avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean FROM events GROUP BY event_type",
+    "review_hours": "WITH f AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS id FROM events GROUP BY 1), g AS (SELECT f.user_id, e.ts AS at FROM f JOIN events e ON e.event_id = f.id WHERE e.event_type <> 'purchase') SELECT g.user_id, round((min(epoch_us(e.ts)) FILTER (e.event_type = 'purchase' AND e.ts >= g.at) - any_value(epoch_us(g.at))) / 3.6e9, 6) AS hours, count(*) FILTER (e.event_type <> 'purchase') AS reviews, count(*) FILTER (e.event_type = 'purchase') AS commits, count(DISTINCT e.event_type) FILTER (e.event_type <> 'purchase') AS reviewers, false AS merged FROM g JOIN events e USING (user_id) GROUP BY g.user_id",
+    "secret_findings": " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, CAST(length(string_split_regex(text, '{p}')[1]) - length(replace(string_split_regex(text, '{p}')[1], chr(10), '')) + 1 AS BIGINT) AS line FROM documents WHERE regexp_matches(text, '{p}')" for rule, p in _RULES.items()),
+    "marker_findings": "SELECT doc_id, marker, length(substr(text, 1, instr(text, marker) - 1)) - length(replace(substr(text, 1, instr(text, marker) - 1), chr(10), '')) + 1 AS line FROM documents, (SELECT unnest(['the', 'License', '@']) AS marker) WHERE instr(text, marker) > 0",
+    "stratified_topk": "SELECT p_type, p_partkey, place FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS place FROM part) WHERE place <= 2",
+    "stream_first_valid": "SELECT l_orderkey, count(*) AS attempts, CAST(min(l_linenumber) FILTER (l_returnflag <> 'R') AS BIGINT) AS selected_attempt FROM lineitem GROUP BY 1",
+    "stream_window_rates": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1",
+}
