@@ -7,9 +7,11 @@ its places left out (the allowed chunk errors) makes the two meet under a common
 under that signature distance are therefore candidates, and links are confirmed on full sets.
 
 Groups are never expanded into pairs.  Equal sets collapse into one class first.  Under each key, all
-members are compared with the least one only; what is confirmed forms components.  Then only keys
-whose members still lie in different components are compared in blocks, across components, so no
-link between different texts is lost.
+members are compared with the least one only; close pairs connect them into clusters.  Keys whose
+members still lie in different clusters are compared in blocks, across clusters, and give edges that
+connect what is close, no more than they have rows.  Inside a cluster, blocks of full sets then meet,
+and give the links that connect what is alike; documents already connected aren't compared again.  So
+no connection between different texts is lost, and a task's rows stay bounded by its blocks.
 
 Null and empty texts, and those without words, have an empty set and link with nothing; texts of
 fewer than five words have one shingle, their whole word sequence; repeated rows are copies of each
@@ -36,7 +38,7 @@ DISTANCE = 2 * (HASHES // CHUNK) - 1
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Members of a key that are compared in one block, and pairs that are looked at together.
-BLOCK, PAIRS = 2048, 1 << 18
+BLOCK, PAIRS = 4096, 1 << 18
 
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -98,82 +100,163 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             far = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
-            ok = pa.array(far <= DISTANCE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int32))], ["a", "b", "far"]).filter(ok)
-
-
-def _pairs_across(group: np.ndarray, ids: np.ndarray, comp: np.ndarray, block: np.ndarray, cross: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
-    """Close pairs of different components in each run of equal ``group``; ``cross``: of different blocks only."""
-    n = len(group)
-    last = np.searchsorted(group, group, "right")
-    after = last - np.arange(n) - 1
-    sums = np.concatenate([[0], np.cumsum(after)])
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + PAIRS, "right")) - 1)
-        count = after[lo:hi]
-        u = np.repeat(np.arange(lo, hi), count)
-        v = u + 1 + np.arange(len(u)) - np.repeat(sums[lo:hi] - sums[lo], count)
-        on = (comp[u] != comp[v]) & (~cross[u] | (block[u] != block[v]))
-        u, v = u[on], v[on]
-        close = (sig[u] != sig[v]).sum(axis=1) <= DISTANCE
-        a, b = ids[u[close]], ids[v[close]]
-        yield np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        lo = hi
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(far <= DISTANCE))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and pair of blocks: :func:`_pairs_across`, with the last, unfinished group carried on."""
-    names = ["key", "i", "j", "block", "id", "component"]
-    held: list[np.ndarray] | None = None
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (least id of a connected part, other id) that connect what the pairs connect."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        was = label.copy()
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        label = label[label]
+        if (label == was).all():
+            break
+    on = label != np.arange(len(ids))
+    return ids[label[on]], ids[on]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
+    """Runs of whole groups from sorted batches: columns as arrays (binary ones as lists); the last group is carried on."""
+    held: list | None = None
 
-    def told(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, i, j, block, ids, comp, sig = rows
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        for pairs in _pairs_across(np.cumsum(new), ids, comp, block, i != j, sig):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def joined(a, b):
+        return a + b if isinstance(a, list) else np.concatenate([a, b])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
-        rows.append(_matrix(batch.column(batch.schema.get_field_index("sig"))))
+        rows = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+            rows = [joined(x, y) for x, y in zip(held, rows, strict=True)]
+        same = np.logical_and.reduce([x == x[-1] for x in rows[:keys]])
         cut = int(np.argmax(same))
         if cut:
-            yield from told([x[:cut] for x in rows])
+            yield [x[:cut] for x in rows]
         held = [x[cut:] for x in rows]
     if held is not None:
-        yield from told(held)
+        yield held
+
+
+def _starts(rows: list, keys: int) -> np.ndarray:
+    change = np.logical_or.reduce([x[1:] != x[:-1] for x in rows[:keys]])
+    return np.flatnonzero(np.concatenate([[True], change]))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, i, j, block, id, component, sig) sorted by key and blocks: what close pairs of different
+    components connect, as edges that number no more than the rows."""
+    for rows in _grouped(batches, 3):
+        key, i, j, block, ids, comp, raw = rows
+        sig = np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(-1, HASHES)
+        starts = _starts(rows, 3)
+        n = len(key)
+        after = np.repeat(np.concatenate([starts[1:], [n]]), np.diff(np.concatenate([starts, [n]]))) - np.arange(n) - 1
+        sums = np.concatenate([[0], np.cumsum(after)])
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + PAIRS, "right")) - 1)
+            count = after[lo:hi]
+            u = np.repeat(np.arange(lo, hi), count)
+            v = u + 1 + np.arange(len(u)) - np.repeat(sums[lo:hi] - sums[lo], count)
+            on = (comp[u] != comp[v]) & ((i[u] == j[u]) | (block[u] != block[v]))
+            u, v = u[on], v[on]
+            near = (sig[u] != sig[v]).sum(axis=1) <= DISTANCE
+            a, b = _forest(ids[u[near]], ids[v[near]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            lo = hi
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, set)."""
     for batch in batches:
         sets = [shingle_set(h).tobytes() for _, h in word_lists(batch.column(1), SOLID)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in (2, 3))
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the (a, b) pairs whose full shingle sets are alike enough.  Texts of paired documents only are moved."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def exact_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all of ``left`` and ``right`` that full sets connect (left with right pairs only).
+
+    One document's shingles are marked in the group's vocabulary; its shared shingles with all others
+    are then sums over their lists.  Documents that are connected already aren't compared again.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    label, out = np.arange(len(ids)), []
+    mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
+    for x in left:
+        others = right[label[right] != label[x]]
+        others = others[(100 * sizes[others] >= PERCENT * sizes[x]) & (100 * sizes[x] >= PERCENT * sizes[others])]
+        if not len(others):
+            continue
+        own = flat[cuts[x] : cuts[x + 1]]
+        mark[own] = 1
+        length = sizes[others]
+        inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        shared = np.add.reduceat(mark[flat[np.repeat(cuts[others], length) + inner]], np.cumsum(length) - length)
+        mark[own] = 0
+        for y in others[100 * shared >= PERCENT * (sizes[x] + length - shared)]:
+            if label[x] != label[y]:
+                out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cluster, i, j, block, id, set) sorted by the first three: links that connect what is alike."""
+    for rows in _grouped(batches, 3):
+        _, i, j, block, ids, raw = rows
+        starts = np.concatenate([_starts(rows, 3), [len(ids)]])
+        found: list[tuple[int, int]] = []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in raw[lo:hi]]
+            mine, at = block[lo:hi], np.arange(hi - lo)
+            found += exact_links(ids[lo:hi], sets, at[mine == i[lo]], at[mine == j[lo]])
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def _in_blocks(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows with a pair of blocks (i, j) of their group each: its ``n`` members fall into blocks, and every two blocks meet."""
+    df = df.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    df = df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return df.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _labelled(df: DataFrame, found: DataFrame) -> DataFrame:
+    found = found.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
+    return df.join(found, F.col("id") == F.col("_id"), "left").withColumn("component", F.coalesce("_c", "id")).drop("_id", "_c")
+
+
+def candidate_clusters(sig: DataFrame) -> DataFrame:
+    """(id, component): parts that pairs under the signature distance connect, of (id, sig); single ids are left out."""
+    keys = sig.mapInArrow(_keys, "key bigint, id bigint")
+    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(keys.join(stored(shared, "keys"), "key"), "members")
+    stars = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    close = stored(pairs.select("a", "b", "sa", "sb").mapInArrow(_close, "a bigint, b bigint"), "close")
+    found = components(close)
+    placed = stored(_labelled(members.select("key", "id", "n"), found), "placed")
+    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    rows = _in_blocks(placed.join(stored(mixed_keys, "mixed"), "key").join(sig, "id"), "key", BLOCK)
+    more = stored(rows.select("key", "i", "j", "block", "id", "component", "sig").mapInArrow(_across, "a bigint, b bigint").distinct(), "across")
+    return components(close.unionByName(more)) if more.limit(1).count() else found
+
+
+def links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(a, b): confirmed links that connect all that full sets connect within the clusters."""
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    placed = clusters.join(sizes, "component")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    sets = stored(texts.join(needed, "id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return stored(full.select("a", "b", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint"), "links")
+    sets = texts.join(clusters.select("id"), "id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"])
+    rows = _in_blocks(sets.join(placed, "id"), "component", BLOCK).select("component", "i", "j", "block", "id", "set")
+    return stored(rows.mapInArrow(_linked, "a bigint, b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -183,36 +266,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")),
         "classes",
     )
-    sig = classes.select("id", "sig")
-    keys = sig.mapInArrow(_keys, "key bigint, id bigint")
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(keys.join(stored(shared, "keys"), "key"), "members")
-    stars = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    close = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    close = close.select("a", "b", "sa", "sb").mapInArrow(_close, "a bigint, b bigint, far int")
-    best = stored(close.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "closest")
-    links = confirmed(best, docs)
-    found = components(links)
-
-    def with_component(df: DataFrame) -> DataFrame:
-        return df.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("component", F.coalesce("component", "id")).drop("_id")
-
-    placed = stored(with_component(members.select("key", "id", "n")), "placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = (
-        placed.join(stored(mixed_keys, "mixed"), "key").join(sig, "id")
-        .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sig")
-    )
-    sorted_rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = stored(sorted_rows.mapInArrow(_across, "a bigint, b bigint").distinct(), "rest")
-    if rest.limit(1).count():
-        found = components(links.unionByName(confirmed(rest, docs)))
-    ids = with_component(classes.select("d1", "d2", "n_shingles", "id"))
-    ids = ids.select("d1", "d2", F.col("n_shingles").alias("n"), "component")
-    joined = signed.join(ids, (signed.d1 == ids.d1) & (signed.d2 == ids.d2) & (signed.n_shingles == ids.n), "left")
+    found = components(links(docs, candidate_clusters(classes.select("id", "sig"))))
+    ids = _labelled(classes.select("d1", "d2", F.col("n_shingles").alias("n"), "id"), found)
+    joined = signed.join(ids.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "n", "component"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") == F.col("n")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
