@@ -155,9 +155,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of all runs of this partition's anchors: kind 1, covered byte ranges; kind 2, segments that need suffix order."""
-    table = pa.Table.from_batches(list(batches)) if batches else None
-    if table is None or not table.num_rows:
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
         return
+    table = pa.Table.from_batches(held)
     kind, _, anchor, segment, doc, pos, n = (table.column(k).to_numpy() for k in range(7))
     out = np.flatnonzero(kind == 1)
     yield _batch(1, doc[out], 0, 0, doc[out], pos[out], n[out])
