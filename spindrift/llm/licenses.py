@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .words import ALNUM, hash_word, hashes, scan, text_chunks
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-CONTAINMENT = 0.8
+CONTAINMENT = 0.9
 #: Sentences of widespread licenses and notices.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
