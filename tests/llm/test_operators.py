@@ -1,0 +1,419 @@
+"""The ten operators against brute force on small tables, with nulls, ties, empty tables and extra columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from spindrift.llm import bwt, components, decontamination, embeddings, licenses, mixing, near_duplicates, pages, suffix_dedup, toxicity, urls, warc, words
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+SOLID = re.compile("[^\x20\x09-\x0d]+")
+DOCS = "doc_id long, text string, lang string, source string, score double, id long, kept string"
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def documents(spark, texts, source=None):
+    """Rows with extra columns whose names operators use themselves."""
+    rows = [(i, t, "en", source(i) if source else f"src{(i or 0) % 3}", 0.5, -(i or 0), "x") for i, t in texts]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def sentence(rng, n, vocabulary=400):
+    return " ".join(rng.choice(["Der", "the", "of", "éa", "x"]) if rng.random() < 0.2 else f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+EDGE = [(900, None), (901, ""), (902, " \n\t "), (903, "one"), (904, "one"), (905, "a b c d"), (906, "ünï çödé 漢字 " * 30)]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = random.Random(7)
+    base = [sentence(rng, rng.randint(30, 120)) for _ in range(25)]
+    texts = list(enumerate(base)) + [(100 + i, base[i]) for i in range(6)]
+    for k in range(25):  # edited copies, some near the threshold, in a chain
+        w = base[k % 4].split(" ")
+        for _ in range(rng.randint(1, 7)):
+            w[rng.randrange(len(w))] = "edit" + str(rng.randrange(9))
+        texts.append((200 + k, " ".join(w)))
+    passage = sentence(rng, 60)
+    texts += [(300 + k, sentence(rng, 20) + " " + passage + " " + sentence(rng, 20)) for k in range(5)]
+    return texts + EDGE
+
+
+def test_words():
+    texts = ["Ab-c  dÉ9", "", None, "x" * 50, "tail"]
+    got = [list(h) for _, h in words.word_lists(pa.array(texts), words.ALNUM)]
+    want = [[words.hash_word(w) for w in WORD.findall(lower(t))] for t in texts]
+    assert got == want
+    cut = pa.array(["skip", *texts]).slice(1)
+    assert [list(h) for _, h in words.word_lists(cut, words.ALNUM)] == want
+    data = np.frombuffer(b"aa bbb c" * 50, dtype=np.uint8)
+    s, e, _ = words.scan(data, np.array([0, len(data)]), words.SOLID)
+    assert (words.hashes(data, s, e, block=7) == words.hashes(data, s, e)).all()
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9), (5, 4), (3, 5), (None, 1)], "a long, b long")
+    assert {r.id: r.component for r in components.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7}
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def test_bwt_against_sorting():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        shards = [[bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(1, 30))).astype(np.uint8)) for _ in range(int(rng.integers(1, 8)))] for _ in range(int(rng.integers(1, 4)))]
+        depth = int(rng.integers(1, 30))
+        strings = [s for shard in shards for s in shard]
+        where = [k for k, shard in enumerate(shards) for _ in shard]
+        suffixes = sorted(((s[k:] + b"\0", i, k) for i, s in enumerate(strings) for k in range(len(s) + 1)), key=lambda x: (x[0][:depth] if len(x[0]) > depth else x[0], x[1]))
+        z, new = bwt.merge([bwt.transform(s) for s in shards], depth)
+        group = np.cumsum(new)
+        want = defaultdict(list)
+        for tail, i, k in suffixes:
+            want[tail[:depth] if len(tail) > depth else (tail, i, k)].append(where[i])
+        got = [sorted(z[group == g].tolist()) for g in np.unique(group)]
+        assert sorted(map(tuple, got)) == sorted(tuple(sorted(v)) for v in want.values())
+
+
+def test_suffix_dedup(spark, corpus):
+    got = {r.doc_id: r for r in suffix_dedup.digests(documents(spark, corpus)).collect()}
+    seen: set = set()
+    for i, t in sorted(corpus):
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), dtype=bool)
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(raw[k : k + 100])
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()), i
+
+
+def test_suffix_dedup_inside_one_text_and_empty(spark):
+    text = "ab" * 120
+    r = suffix_dedup.digests(documents(spark, [(1, text), (1, text)])).collect()
+    assert [x.n_removed for x in r] == [238, 238] and r[0] == r[1]
+    assert suffix_dedup.digests(documents(spark, [])).count() == 0
+    out = suffix_dedup.deduplicated(documents(spark, [(1, "é" * 80), (2, "é" * 80)])).collect()
+    assert [x.text for x in sorted(out, key=lambda x: x.doc_id)][1] == "" and out[0].lang == "en"
+
+
+def shingles(text):
+    w = SOLID.findall(lower(text))
+    return {" ".join(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates(spark, corpus):
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(documents(spark, corpus)).collect()}
+    sets = {i: shingles(t) for i, t in corpus}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
+    assert near_duplicates.near_duplicates(documents(spark, [])).count() == 0
+    odd = near_duplicates.near_duplicates(documents(spark, [(None, "a b c"), (5, "a b c"), (5, "a b c")])).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in odd) == [(-1, -1, True), (5, 5, True), (5, 5, True)]
+
+
+def test_exact_links_connect_all():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1000, 60)
+    sets = [np.unique(np.where(rng.random(60) < 0.07, rng.integers(0, 10**6, 60), base)).astype(np.uint64) for _ in range(30)]
+    at = np.arange(30)
+    out = near_duplicates.exact_links(at, sets, at, at)
+
+    def parts(links):
+        label = list(range(30))
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = [x if v == y else v for v in label]
+        return [[i for i in range(30) if label[i] == v] for v in dict.fromkeys(label)]
+
+    full = [(a, b) for a in range(30) for b in range(a) if 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))]
+    assert sorted(map(sorted, parts(out))) == sorted(map(sorted, parts(full))) and len(out) < 30
+
+
+def test_decontamination(spark, corpus):
+    rng = random.Random(3)
+    w = WORD.findall(lower(dict(corpus)[300]))
+    items = [(1, " ".join(w[5:30])), (2, sentence(rng, 30)), (10, "one"), (11, ""), (12, None), (3, "A-B, c! D"), (1, " ".join(w[30:42])), (4, dict(corpus)[3])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.decontaminated(documents(spark, corpus), bench).collect()}
+    for i, t in corpus:
+        d = WORD.findall(lower(t))
+        hit, found = set(), set()
+        for item, text in items:
+            b = WORD.findall(lower(text))
+            n = min(10, len(b))
+            for k in range(max(1, len(b) - 9) if b else 0):
+                for p in range(len(d) - n + 1):
+                    if d[p : p + n] == b[k : k + n]:
+                        hit.update(range(p, p + n))
+                        found.add(str(item))
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(d), len(hit), len(found), bool(hit)), i
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    assert not any(r.contaminated for r in decontamination.decontaminated(documents(spark, corpus[:5]), bench.limit(0)).collect())
+    assert decontamination.decontaminated(documents(spark, []), bench).count() == 0
+
+
+def test_search_in_rounds_and_proximity(spark):
+    docs = documents(spark, [(1, "a b c d e f"), (2, "a b x c d")])
+    items = spark.createDataFrame([(1, "b c d"), (2, "e f"), (3, "a b")], "item_id long, text string")
+    index = decontamination.build_index(docs)
+    tell = lambda df: {r.doc_id: (sorted(r.hits), sorted(r["items"])) for r in df.collect()}
+    once = tell(decontamination.search(index, items))
+    assert once == {1: ([0, 1, 2, 3, 4, 5], ["1", "2", "3"]), 2: ([0, 1], ["3"])}
+    assert tell(decontamination.search(index, items, broadcast_words=3)) == once
+    near = {r.doc_id: sorted(r["items"]) for r in decontamination.search(index, items, slack=1).collect()}
+    assert "1" in near[2]
+
+
+def brute_vectors(rows):
+    unit = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            x = np.array(v, dtype=np.float64)
+            unit[i] = x / np.sqrt((x * x).sum())
+    links = {(a, b) for a in unit for b in unit if a != b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95}
+    label = {i: i for i, _ in rows}
+    for a, b in links:
+        x, y = sorted((label[a], label[b]))
+        label = {k: x if v == y else v for k, v in label.items()}
+    return {i: (sum(1 for a, _ in links if a == i), label[i]) for i, _ in rows}
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(80)]
+    for k in range(60):
+        v = np.array(rows[k % 5][1])
+        rows.append((100 + k, (v + rng.normal(size=16) * np.linalg.norm(v) * rng.choice([0.02, 0.05, 0.08])).tolist()))
+    rows += [(300, rows[0][1]), (301, rows[0][1]), (302, (3 * np.array(rows[0][1])).tolist())]
+    rows += [(400, None), (401, [0.0] * 16), (402, [1.0, None] + [0.0] * 14), (403, [float("nan")] * 16), (404, [float("inf")] * 16), (405, []), (406, [1.0] * 8), (407, [1.0] * 8)]
+    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<double>, label int, id int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert got == brute_vectors(rows)
+    assert embeddings.near_vectors(df.limit(0)).count() == 0
+    again = embeddings.near_vectors(df.filter("vec_id IN (0, 300)").unionByName(df.filter("vec_id = 0"))).collect()
+    assert [r.n_links for r in again] == [1, 1, 1]
+
+
+def test_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 7)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=8)
+    rows = [(i, (base + rng.normal(size=8) * 0.15 * np.linalg.norm(base)).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()} == brute_vectors(rows)
+
+
+def test_licenses(spark):
+    texts = [(1, "Released under the MIT License."), (2, "x\nLicensed under the Apache License, Version 2.0. More words here."), (3, "MIT-license, mit  LICENSE! general public\nlicense"), (4, "licensed by nobody"), (5, None), (6, ""), (7, "Licensed under CC BY-NC 4.0."), (8, "mit"), (9, "license mit")]
+    got = {r.doc_id: r for r in licenses.scanned(documents(spark, texts)).collect()}
+    for i, t in texts:
+        w = WORD.findall(lower(t))
+        places, labels = [], set()
+        for phrase, label in licenses.PHRASES:
+            p = phrase.split()
+            at = [k for k in range(len(w)) if w[k : k + len(p)] == p]
+            places += at
+            labels |= {label} if at else set()
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(sorted(labels)))
+        assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None))
+        assert labels <= set(filter(None, r.labels.split(",")))
+    assert got[7].labels == "cc-by-nc" and got[4].labels == "" and got[1].labels == "mit" and got[2].labels == "apache"
+    assert licenses.scanned(documents(spark, [])).count() == 0
+
+
+def test_license_join_against_all_pairs():
+    rng = random.Random(5)
+    t = licenses.Templates()
+    t.ordered(np.array([rng.randrange(1000) for _ in t.vocabulary]))
+    for _ in range(400):
+        base = rng.choice(t.sets)
+        block = {int(x) for x in base if rng.random() < 0.85} | {rng.randrange(len(t.vocabulary)) for _ in range(rng.randint(0, 8))}
+        ranks = np.unique(t.rank[sorted(block)]) if block else np.zeros(0, np.int64)
+        want = {k for k, s in enumerate(t.sets) if len(block & set(s.tolist())) >= t.needed[k]}
+        assert {k for k, _ in t.matches(ranks)} == want
+
+
+def test_urls(spark):
+    rows = [(1, "https://A.example.com/en/7?x"), (2, "http://x.com/en/1"), (3, "https://www.net/de/9"), (4, "http://example.net/de/8#a"), (5, "http://a.org/es/"), (6, None), (7, "no scheme"), (8, "http://b.org?q=/es/"), (9, "://h"), (10, "http://notcom/en/1"), (11, "http://a.net/fr/1")]
+    rows += [(100 + k, f"http://h{k}.net/de/{k}") for k in range(60)] + [(200 + k, f"http://spam{k}.org/es/{k}") for k in range(60)] + [(300, "http://spam9.info/es/77"), (301, "http://h3.info/de/12")]
+    df = spark.createDataFrame([(i, u, "allow", 0.1) for i, u in rows], "page_id long, url string, verdict string, score double")
+    got = {r.page_id: r for r in urls.judged(df).collect()}
+    tell = lambda i: (got[i].host, got[i].path, got[i].rule, got[i].verdict)
+    assert tell(1) == ("a.example.com", "/en/7", "example.com/en/7", "allow") and tell(2) == ("x.com", "/en/1", "com/en/", "block")
+    assert tell(3)[2:] == ("net/de/", "allow") and tell(4) == ("example.net", "/de/8", "example.net/de/8", "block") and tell(5)[2:] == ("org/es/", "block")
+    assert tell(6) == ("", "", None, "allow") and tell(7)[:3] == ("", "", None) and tell(8)[:3] == ("b.org", "", None) and tell(9)[:2] == ("h", "") and tell(10)[2] is None
+    assert got[300].verdict == "block" and got[301].verdict == "allow"
+    assert urls.judged(df.limit(0)).count() == 0
+    assert {r.verdict for r in urls.judged(df.filter("page_id IN (11, 6)")).collect()} == {"allow"}
+
+
+def test_warc(spark, tmp_path):
+    long, rng = "<p>" + "é" * 200 + "</p>", random.Random(1)
+    rows = [(5, "http://a/", long), (3, None, long), (9, "http://b/\r\nX: y", "short"), (8, "http://c/", "short"), (10, "u", None), (11, "u", ""), (3, "again", long), (None, "n", long)]
+    rows += [(100 + k, f"http://h/{k}", "".join(rng.choices("abc<>é\x1f", k=rng.randint(0, 3000)))) for k in range(40)]
+    df = spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, payload string")
+    folder = f"file://{tmp_path}/w"
+    made = warc.write(df.repartition(3), folder)
+    whole = warc.read(spark, folder, made).collect()
+    for size in (1, 37, 1000):
+        few = made if size > 1 else made[:1]
+        cut = warc.read(spark, folder, few, size).collect() if size > 1 else None
+        if cut is not None:
+            assert sorted((r.path, r.start) for r in cut) == sorted((r.path, r.start) for r in whole)
+    first = {}
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        if len(raw) >= 100 and i is not None:
+            first[raw] = min(i, first.get(raw, i))
+    want = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        refers = first[raw] if raw in first and first[raw] != i else None
+        want.append((str(i).lower().replace("none", "null"), len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if refers is not None else "response", refers))
+    got = [(r.record_id.rsplit(":")[-1], r.payload_bytes, r.payload_digest[7:], r.record_type, int(r.refers_to.rsplit(":")[-1]) if r.refers_to else None) for r in whole]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert all(r.payload is None or hashlib.sha256(r.payload).hexdigest() == r.payload_digest[7:] for r in whole)
+    assert warc.write(df.limit(0), f"file://{tmp_path}/e") == [] and warc.read(spark, f"file://{tmp_path}/e", []).count() == 0
+
+
+def test_warc_range_skips_false_magic(tmp_path):
+    good = warc.record(1, "u", b"body" * 50, hashlib.sha256(b"body" * 50).hexdigest(), None)
+    data = warc.MAGIC + b"junk" + zlib.compress(b"not a record", wbits=31) + good
+    path = tmp_path / "x"
+    path.write_bytes(data)
+    with pa.OSFile(str(path)) as f:
+        assert [at for at, _ in warc.records_in(f, len(data), 0, len(data))] == [len(data) - len(good)]
+
+
+def toxic_tables(spark, n=400):
+    rng = random.Random(9)
+    texts = [(i, sentence(rng, 40) + (" you utter scoundrel and vile wretch" if i % 4 == 0 else "")) for i in range(n)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(n)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    return texts, labels
+
+
+def test_toxicity(spark):
+    texts, labels = toxic_tables(spark)
+    docs = documents(spark, texts + [(9001, None), (9002, "")])
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in got}
+    assert {i: r.held_out for i, r in got.items()} == held
+    out = [i for i, _ in texts if held[i]]
+    assert sum((got[i].predicted == 1) == (i % 4 == 0) for i in out) >= 0.95 * len(out)
+    assert got[9001].score == got[9002].score < 0.5 and len(model[0]) < 5000
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, model).collect()}
+    assert kept == {i for i, r in got.items() if r.predicted == 0}
+    flipped = labels.withColumn("toxic", F.when(toxicity.is_held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.train(docs, flipped)
+    assert (again[0] == model[0]).all() and (again[1] == model[1]).all()  # held-out labels are never read
+
+
+def test_toxicity_without_labels(spark):
+    texts, labels = toxic_tables(spark, 5)
+    docs = documents(spark, texts)
+    assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0}
+    assert toxicity.score(documents(spark, []), toxicity.train(documents(spark, []), labels)).count() == 0
+
+
+def water(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in capped)
+        open_ = [s for s in names if s not in capped]
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not over:
+            return {s: 3 * sizes[s] if s in capped else share[s] for s in names}
+        capped |= over
+
+
+def test_mixing(spark):
+    rng = random.Random(4)
+    texts = [(i, sentence(rng, rng.randint(0, 60)) if i % 50 else None) for i in range(3000)]
+    names = ["b", "a", "é", None, "Z", "tiny"]
+    source = lambda i: "tiny" if i < 5 else names[min(i % 11, 4)]
+    docs = documents(spark, texts, source)
+    got = mixing.mix(docs).collect()
+    size = {i: len(SOLID.findall(t or "")) for i, t in texts}
+    sums: dict = defaultdict(int)
+    taken: dict = defaultdict(int)
+    for r in got:
+        assert r.size == size[r.doc_id] and 0 <= r.taken <= 3 * r.size
+        sums[r.source] += r.size
+        taken[r.source] += r.taken
+    assert len(got) == len(texts)
+    target = water(sums)
+    for r in got:
+        assert r.source_size == sums[r.source] and r.target == pytest.approx(target[r.source])
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 60, s
+    assert sorted(map(str, mixing.mix(docs.repartition(7)).collect())) == sorted(map(str, got))
+    assert mixing.mix(documents(spark, [])).count() == 0
+    assert {r.taken for r in mixing.mix(documents(spark, [(1, None), (2, "")])).collect()} == {0}
+
+
+def test_settle_keeps_words_and_expectation():
+    size, total = np.array([5.0, 9, 2, 7, 4, 30, 1, 8, 3]), np.zeros(9)
+    for seed in range(3000):
+        out = mixing.settle(np.full(9, 0.3), size, np.random.default_rng(seed))
+        open_ = (out > 0) & (out < 1)
+        assert open_.sum() <= 1 and abs(out @ size - 0.3 * size.sum()) < 1e-6
+        total += out
+    assert np.abs(total / 3000 - 0.3).max() < 0.04
+
+
+PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style></head><body><nav><ul><li><a href="/">Menu {0}</a></li></ul></nav>
+<header><h2>Site</h2></header><div class="ad">Buy</div><div class="cookie-notice">Cookies</div>
+<article><h1>Title &amp; more {0}</h1><p><b>First  para&nbsp;graph<br>goes on.<p>Second &lt;b&gt; {1}</p><script>var t="</p>";</script><form><p>Subscribe</p></form><aside>Side</aside>
+<ul><li>one<li>two</ul></article><div id="comments"><p>Reader says a lot of words here that are long enough to matter {1}</p></div><footer>&copy; x</footer></body></html>"""
+
+
+def test_pages(spark):
+    body = "with enough words to be the main text of this page, and then some more. " * 4
+    rows = [(k, f"http://h{k % 2}.example.com/{k}", PAGE.format(k, body)) for k in range(6)] + [(50, "http://h0.example.com/x", None), (51, "", ""), (52, None, "plain <b>text</b>"), (53, "http://z/", "<p>unclosed <i>tag<div class='x'>in div")]
+    df = spark.createDataFrame([(i, u, h, "path") for i, u, h in rows], "page_id long, url string, html string, path string")
+    got = {r.page_id: r for r in pages.extracted(df).collect()}
+    clean = " ".join(body.split())
+    for k in range(6):
+        assert got[k].text == f"Title & more {k}\nFirst para graph goes on.\nSecond <b> {clean}\none\ntwo"
+        assert got[k].n_chars == len(got[k].text)
+    assert got[50].text == got[51].text == "" and got[52].text == "plain text" and got[53].text == "unclosed tag\nin div"
+    assert pages.extracted(df.limit(0)).count() == 0
+
+
+def test_host_votes_win(spark):
+    """A page whose sidebar is longer than its article is read by the path that its host's other pages have."""
+    page = lambda main, side: f"<body><div class='post7'><p>{main}</p></div><div class='box'><p>{side}</p></div></body>"
+    rows = [(k, "http://h/1", page("main words " * 40, "side")) for k in range(5)] + [(9, "http://h/9", page("short main", "long box " * 30))]
+    got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "short main"
