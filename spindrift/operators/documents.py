@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.text import WORD_PATTERN
 
 # Limits and schema names of the document formats.
-DIRECTIONS_VERSION, CODE_VERSION = "implementation-directions-v1", "regenerated-java-v1"
+DIRECTIONS_VERSION, CODE_VERSION = "implementation-directions-v1", "regenerated-code-v1"
 MAX_DIRECTIONS, MAX_ACTION, MAX_CONDITIONS, MAX_CONDITION, MAX_DEPENDENCY = 999, 2000, 64, 1000, 8
 STATUSES = ("preserved", "changed", "lost")
 
@@ -80,17 +80,21 @@ def direction_error(raw: str | None) -> str | None:
     """The code of the first rule that a directions document breaks; None if it is sound."""
 
     def text_error(x, code: str, most: int) -> str | None:
-        if not isinstance(x, str) or not x:
-            return f"{code}_empty"
-        if x != x.strip() or "\n" in x or "\r" in x or "\0" in x:
-            return f"{code}_not_normalized"
+        if not isinstance(x, str):
+            return f"{code}_not_string"
+        if not x or x != x.strip():
+            return f"{code}_not_trimmed_nonempty"
+        if "\n" in x or "\r" in x or "\0" in x:
+            return f"{code}_not_single_line"
         return f"{code}_too_long" if len(x) > most else None
 
     def list_error(xs, code: str, items: int, most: int) -> str | None:
-        if not isinstance(xs, list) or len(xs) > items:
-            return f"{code}_invalid"
+        if not isinstance(xs, list):
+            return f"{code}_not_array"
+        if len(xs) > items:
+            return f"{code}_too_many"
         for x in xs:
-            if e := text_error(x, code, most):
+            if e := text_error(x, f"{code}_item", most):
                 return e
         return f"{code}_duplicate" if len(set(xs)) != len(xs) else None
 

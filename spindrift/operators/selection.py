@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Checks in the order in which the first failing one is reported.
+# The checks of an attempt, those that make it a terminal success, the order in which a
+# failing one is reported, and the stage and class of each failure.
 CHECKS = (
-    "attempt_provenance", "origin", "source_binding", "selection_evidence", "extraction", "regeneration", "java_infrastructure", "java_structure", "scoring_tokens",
+    "provider_extraction_completed", "extraction_contract_valid", "provider_regeneration_completed", "regeneration_contract_valid", "java_structurally_valid",
+    "terminal_success", "cell_identity_valid", "artifact_hashes_valid", "request_reconstruction_valid",
 )
+TERMINAL = CHECKS[:5]
+REPORT_ORDER = (
+    "cell_identity_valid", "artifact_hashes_valid", "request_reconstruction_valid", "provider_extraction_completed", "extraction_contract_valid",
+    "provider_regeneration_completed", "regeneration_contract_valid", "java_structurally_valid",
+)
+FAILURES = {
+    "provider_extraction_completed": ("extraction_provider", "provider"), "extraction_contract_valid": ("extraction_contract", "contract"),
+    "provider_regeneration_completed": ("regeneration_provider", "provider"), "regeneration_contract_valid": ("regeneration_contract", "contract"),
+    "java_structurally_valid": ("java_structure", "structural"), "cell_identity_valid": ("identity", "provenance"),
+    "artifact_hashes_valid": ("artifact_hashes", "provenance"), "request_reconstruction_valid": ("request_reconstruction", "provenance"),
+}
 
 
 def first_valid(df: DataFrame, cell: list[str], attempt: str, valid: Column) -> DataFrame:
@@ -63,10 +76,17 @@ def primary_failure(checks: dict[str, Column]) -> Column:
 
 
 def eligibility(df: DataFrame, checks: str = "checks") -> DataFrame:
-    """Adds ``eligible`` (all nine hold), ``rejection_codes`` in order and ``primary_check`` to rows with a map of checks."""
-    failing = F.filter(F.array(*map(F.lit, CHECKS)), lambda k: ~F.coalesce(F.element_at(F.col(checks), k), F.lit(False)))
-    rows = df.withColumn("rejection_codes", failing)
-    return rows.withColumn("eligible", F.size("rejection_codes") == 0).withColumn("primary_check", F.get("rejection_codes", F.lit(0)))
+    """Adds ``terminal_success``, ``eligible`` (all nine hold), ``rejection_codes`` in check order, and the
+    failure that is reported: ``primary_check`` with its stage and class.  A missing check fails."""
+    holds = lambda k: F.coalesce(F.element_at(F.col(checks), k), F.lit(False))
+    names = lambda xs: F.array(*map(F.lit, xs))
+    rows = df.withColumn("terminal_success", F.forall(names(TERMINAL), holds))
+    ok = lambda k: F.when(k == "terminal_success", F.col("terminal_success")).otherwise(holds(k))
+    rows = rows.withColumn("rejection_codes", F.transform(F.filter(names(CHECKS), lambda k: ~ok(k)), lambda k: F.concat(F.lit("check_failed_"), k)))
+    rows = rows.withColumn("eligible", F.size("rejection_codes") == 0).withColumn("primary_check", F.get(F.filter(names(REPORT_ORDER), lambda k: ~holds(k)), F.lit(0)))
+    place = F.array_position(names(FAILURES), F.col("primary_check"))
+    told = lambda i: F.when(place > 0, F.element_at(names(v[i] for v in FAILURES.values()), place.cast("int")))
+    return rows.withColumn("failure_stage", told(0)).withColumn("failure_class", told(1))
 
 
 def blocked(df: DataFrame, cell: list[str], attempt: str, valid: Column, reason: str, cap: int, priority: list[str]) -> DataFrame:

@@ -144,7 +144,10 @@ _Q = text.TOKEN_PATTERN.replace("'", "''")
 _NEAREST = """(WITH o AS (SELECT o_custkey, o_orderkey, ln(1 + o_totalprice) AS s, o_orderpriority = '1-URGENT' AS u FROM orders),
 p AS (SELECT a.o_custkey, a.o_orderkey AS unit, b.o_orderkey AS match, abs(a.s - b.s) AS distance, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.s - b.s), sha256(CAST(b.o_orderkey AS VARCHAR))) AS n FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.u AND NOT b.u)
 SELECT o_custkey, unit, match, round(distance, 6) AS distance FROM p WHERE n = 1)"""
-_RULES = {"private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "bearer_token": r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{20,}", "api_key": r"\bsk-[A-Za-z0-9_-]{20,}\b", "cloud_access_key": r"\bAKIA[0-9A-Z]{16}\b"}
+_RULES = {
+    "authorization_bearer": r"(?i)()\bauthorization\s*:\s*bearer\s+[^\s\"'']{8,}", "private_key_block": r"()-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----",
+    "provider_secret_literal": r"(^|[^A-Za-z0-9_-])sk-[A-Za-z0-9_-]{16,}", "assigned_secret": r"(?i)()\b(?:api[_-]?key|access[_-]?token|client[_-]?secret)\s*[:=]\s*[\"'']?[A-Za-z0-9_./+=-]{16,}",
+}
 
 ORACLE_SQL = {
     "row_candidates": f"SELECT doc_id, len(regexp_extract_all(text, '{_Q}')) AS token_count FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0 AND strlen(text) <= 24000 AND len(regexp_extract_all(text, '{_Q}')) BETWEEN 12 AND 900",
@@ -160,7 +163,7 @@ ORACLE_SQL = {
     "missing_units": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "json_numeric_availability": "SELECT event_type, count(*) AS n, count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS available, round(avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean FROM events GROUP BY event_type",
     "review_hours": "WITH f AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS id FROM events GROUP BY 1), g AS (SELECT f.user_id, e.ts AS at FROM f JOIN events e ON e.event_id = f.id WHERE e.event_type <> 'purchase') SELECT g.user_id, round((min(epoch_us(e.ts)) FILTER (e.event_type = 'purchase' AND e.ts >= g.at) - any_value(epoch_us(g.at))) / 3.6e9, 6) AS hours, count(*) FILTER (e.event_type <> 'purchase') AS reviews, count(*) FILTER (e.event_type = 'purchase') AS commits, count(DISTINCT e.event_type) FILTER (e.event_type <> 'purchase') AS reviewers, false AS merged FROM g JOIN events e USING (user_id) GROUP BY g.user_id",
-    "secret_findings": " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, CAST(length(string_split_regex(text, '{p}')[1]) - length(replace(string_split_regex(text, '{p}')[1], chr(10), '')) + 1 AS BIGINT) AS line FROM documents WHERE regexp_matches(text, '{p}')" for rule, p in _RULES.items()),
+    "secret_findings": " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, CAST(length(s) - length(replace(s, chr(10), '')) + 1 AS BIGINT) AS line FROM (SELECT doc_id, string_split_regex(text, '{p}')[1] || regexp_extract(text, '{p}', 1) AS s FROM documents WHERE regexp_matches(text, '{p}'))" for rule, p in _RULES.items()),
     "marker_findings": "SELECT doc_id, marker, length(substr(text, 1, instr(text, marker) - 1)) - length(replace(substr(text, 1, instr(text, marker) - 1), chr(10), '')) + 1 AS line FROM documents, (SELECT unnest(['the', 'License', '@']) AS marker) WHERE instr(text, marker) > 0",
     "stratified_topk": "SELECT p_type, p_partkey, place FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS place FROM part) WHERE place <= 2",
     "stream_first_valid": "SELECT l_orderkey, count(*) AS attempts, CAST(min(l_linenumber) FILTER (l_returnflag <> 'R') AS BIGINT) AS selected_attempt FROM lineitem GROUP BY 1",

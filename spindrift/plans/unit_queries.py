@@ -136,10 +136,10 @@ def primary_failure(spark, d):
 
 
 def eligibility(spark, d):
-    """Nine checks of each order line from its columns, in order."""
+    """Checks of each order line from its columns, in order."""
     on = [F.col("l_quantity") > 1, F.col("l_extendedprice") > 1000, F.col("l_discount") >= 0, F.col("l_tax") < 0.08, _valid(), F.col("l_linestatus") == "F", F.col("l_quantity") < 50, F.col("l_discount") < 0.1, F.col("l_tax") >= 0]
     rows = table(spark, d, "lineitem").withColumn("checks", F.map_from_arrays(F.array(*map(F.lit, sel.CHECKS)), F.array(*on)))
-    return sel.eligibility(rows).groupBy("eligible", "primary_check").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("rejection_codes")).cast("long").alias("codes"))
+    return sel.eligibility(rows).groupBy("eligible", "primary_check", "failure_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("rejection_codes")).cast("long").alias("codes"))
 
 
 def blocked_cells(spark, d):
@@ -177,6 +177,6 @@ ORACLE_SQL = {
     "attempt_chain": f"WITH h AS (SELECT l_orderkey, attempt, sha256(l_orderkey || '|' || attempt || '|' || l_returnflag) AS digest FROM {_LEDGER_SQL}) SELECT l_orderkey, attempt, digest, lag(digest) OVER (PARTITION BY l_orderkey ORDER BY attempt) AS previous_digest FROM h",
     "run_barrier": "WITH u AS (SELECT count(DISTINCT l_orderkey) AS units FROM lineitem), r AS (SELECT l_linenumber, count(DISTINCT l_orderkey) AS s FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) SELECT CAST(l_linenumber AS BIGINT) AS run, s AS selected_units, units, coalesce(lag(s) OVER (ORDER BY l_linenumber) = units, true) AS is_open FROM r, u",
     "primary_failure": "SELECT CASE WHEN NOT l_quantity < 45 THEN 'quantity' WHEN NOT l_discount < 0.09 THEN 'discount' WHEN NOT l_returnflag <> 'R' THEN 'flag' END AS code, count(*) AS n FROM lineitem GROUP BY 1",
-    "eligibility": "WITH c AS (SELECT " + " + ".join(f"CASE WHEN {c} THEN 0 ELSE 1 END" for c in _CHECKS_SQL) + " AS k, CASE " + " ".join(f"WHEN NOT ({c}) THEN '{n}'" for c, n in zip(_CHECKS_SQL, sel.CHECKS, strict=True)) + " END AS primary_check FROM lineitem) SELECT k = 0 AS eligible, primary_check, count(*) AS n, CAST(sum(k) AS BIGINT) AS codes FROM c GROUP BY ALL",
+    "eligibility": "WITH c AS (SELECT " + " + ".join(f"CASE WHEN {c} THEN 0 ELSE 1 END" for c in [*_CHECKS_SQL[:5], " AND ".join(_CHECKS_SQL[:5]), *_CHECKS_SQL[6:]]) + " AS k, CASE " + " ".join(f"WHEN NOT ({_CHECKS_SQL[sel.CHECKS.index(n)]}) THEN '{n}'" for n in sel.REPORT_ORDER) + " END AS primary_check, CASE " + " ".join(f"WHEN NOT ({_CHECKS_SQL[sel.CHECKS.index(n)]}) THEN '{sel.FAILURES[n][1]}'" for n in sel.REPORT_ORDER) + " END AS failure_class FROM lineitem) SELECT k = 0 AS eligible, primary_check, failure_class, count(*) AS n, CAST(sum(k) AS BIGINT) AS codes FROM c GROUP BY ALL",
     "blocked_cells": "WITH r AS (SELECT l_orderkey, max(l_linenumber) AS last_attempt, count(*) FILTER (l_returnflag <> 'R') AS ok, min(CASE WHEN l_discount > 0.08 THEN 2 WHEN l_tax > 0.06 THEN 1 END) AS p FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(last_attempt AS BIGINT) AS last_attempt, CASE p WHEN 1 THEN 'provenance' WHEN 2 THEN 'java_infrastructure' ELSE 'attempt_cap_exhausted' END AS block_reason FROM r WHERE ok = 0 AND (p IS NOT NULL OR last_attempt >= 3)",
 }

@@ -9,10 +9,10 @@ from ..operators.cohort import CohortError, last_wins, require_none
 
 # Patterns of secrets that must not be published.
 SECRET_PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "bearer_token": r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{20,}",
-    "api_key": r"\bsk-[A-Za-z0-9_-]{20,}\b",
-    "cloud_access_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "authorization_bearer": r"(?i)\bauthorization\s*:\s*bearer\s+[^\s\"']{8,}",
+    "private_key_block": r"-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----",
+    "provider_secret_literal": r"(?<![A-Za-z0-9_-])sk-[A-Za-z0-9_-]{16,}",
+    "assigned_secret": r"(?i)\b(?:api[_-]?key|access[_-]?token|client[_-]?secret)\s*[:=]\s*[\"']?[A-Za-z0-9_./+=-]{16,}",
 }
 
 

@@ -41,10 +41,12 @@ def test_selection(spark):
 
 def test_eligibility(spark):
     good = dict.fromkeys(selection.CHECKS, True)
-    df = spark.createDataFrame([(good,), ({**good, "origin": False, "extraction": False},), ({},)], "checks map<string,boolean>")
+    df = spark.createDataFrame([(good,), ({**good, "extraction_contract_valid": False, "artifact_hashes_valid": False},), ({},)], "checks map<string,boolean>")
     got = selection.eligibility(df).collect()
-    assert [r.eligible for r in got] == [True, False, False]
-    assert got[1].rejection_codes == ["origin", "extraction"] and got[1].primary_check == "origin" and got[2].primary_check == selection.CHECKS[0]
+    assert [r.eligible for r in got] == [True, False, False] and [r.terminal_success for r in got] == [True, False, False]
+    assert got[1].rejection_codes == ["check_failed_extraction_contract_valid", "check_failed_terminal_success", "check_failed_artifact_hashes_valid"]
+    assert (got[1].primary_check, got[1].failure_stage, got[1].failure_class) == ("artifact_hashes_valid", "artifact_hashes", "provenance")
+    assert got[0].primary_check is None and got[2].primary_check == "cell_identity_valid"
 
 
 def test_strict_join(spark):
@@ -102,7 +104,7 @@ def test_readers(spark, tmp_path):
 
 def test_secrets(spark):
     df = spark.createDataFrame([("p", "x\ny\nkey sk-abcdefghijklmnopqrstuv"), ("q", "clean")], "path string, text string")
-    assert [(r.path, r.rule, r.line) for r in files.scan_secrets(df, "path", "text").collect()] == [("p", "api_key", 3)]
+    assert [(r.path, r.rule, r.line) for r in files.scan_secrets(df, "path", "text").collect()] == [("p", "provider_secret_literal", 3)]
 
 
 def test_intents(spark):
