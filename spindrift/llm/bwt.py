@@ -40,35 +40,80 @@ def transform(strings: list[bytes]) -> np.ndarray:
     return before[order]
 
 
+#: Symbols by which a step of :func:`merge` extends the order.
+STRIDE = 8
+
+
+def _steps(transform_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(back, forth, first) of a transform: the row one symbol longer and one symbol shorter (-1: none), and first symbols."""
+    order = np.argsort(transform_, kind="stable")
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    first = transform_[order]
+    back[transform_ == 0] = -1
+    forth = np.where(first == 0, -1, order)
+    return back, forth, first
+
+
+def _twice(step: np.ndarray) -> np.ndarray:
+    return np.where(step >= 0, step[step], -1)
+
+
+def _sorted_by(rank: np.ndarray, most: int) -> np.ndarray:
+    """Stable order by ranks below ``most``, sixteen bits at a time (numpy sorts those by counting)."""
+    order = np.argsort((rank & 0xFFFF).astype(np.uint16), kind="stable")
+    if most > 1 << 16:
+        order = order[np.argsort((rank >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(interleave, new): which transform each merged suffix is from, and whether its first ``depth``
     symbols differ from those of the suffix before it.
 
-    Starts with the transforms one after the other.  Each step carries the interleave of suffixes
-    ordered by h symbols over to h + 1: the symbols before them, taken in that order, say where their
-    extensions go (a stable counting sort, no suffix is sorted again).  A border between two groups
-    of equal prefixes appears in the step in which the common prefix ends, which is how common
-    prefix lengths come out; groups without borders after ``depth`` steps are the repeated intervals.
+    Starts from the transforms' suffixes interleaved by their first symbols.  Each step carries the
+    interleave of suffixes ordered by h symbols over to h + 8: the eight symbols before them, which
+    the transforms hold, taken in that order, say where their extensions go.  That is a stable
+    counting sort of interleaved rows; no suffix is compared again, and the order within a transform
+    never changes.  A border between two groups of equal prefixes appears in the step in which the
+    common prefix ends, which is how common prefix lengths come out; groups without borders after
+    ``depth`` symbols are the repeated intervals.
     """
-    counts = [len(t) for t in transforms]
-    enders = [int((t == 0).sum()) for t in transforms]
-    n, m = sum(counts), sum(enders)
-    z = np.repeat(np.arange(len(transforms), dtype=np.uint8), counts)
-    ends = np.repeat(np.arange(len(transforms), dtype=np.uint8), enders)
-    new = np.zeros(n, dtype=bool)
-    new[:1] = True
-    symbols = np.empty(n, dtype=np.uint8)
-    for _ in range(depth):
-        for s, t in enumerate(transforms):
-            symbols[z == s] = t
-        order = np.argsort(symbols, kind="stable")[m:]
-        group = np.cumsum(new, dtype=np.int32)[order]
-        moved = symbols[order]
-        z = np.concatenate([ends, z[order]])
-        new = np.ones(n, dtype=bool)
-        if len(order):
-            new[m + 1 :] = (moved[1:] != moved[:-1]) | (group[1:] != group[:-1])
-    return z, new
+    start = np.concatenate([[0], np.cumsum([len(t) for t in transforms])])
+    n = int(start[-1])
+    back, forth, first = [], [], []
+    for at, t in zip(start, transforms, strict=False):
+        b, f, c = _steps(t)
+        back.append(np.where(b >= 0, b + at, -1))
+        forth.append(np.where(f >= 0, f + at, -1))
+        first.append(c)
+    back, forth = np.concatenate(back), np.concatenate(forth)
+    prefix = np.concatenate(first).astype(np.uint64)
+    jump, width = forth, 1
+    while width < STRIDE:  # first symbols, doubled; an end stands for all that would follow it
+        prefix = (prefix << np.uint64(8 * width)) | np.where(jump >= 0, prefix[jump], np.uint64(0))
+        jump, back, width = _twice(jump), _twice(back), 2 * width
+    short = np.flatnonzero(jump < 0)  # suffixes that end within a stride; they differ from all others by then
+    lead = depth % STRIDE
+    known = prefix >> np.uint64(8 * (STRIDE - lead)) if lead else np.zeros(n, dtype=np.uint64)
+    rows = np.argsort(known, kind="stable")
+    new = np.concatenate([[True], known[rows[1:]] != known[rows[:-1]]])[:n]
+    if lead:
+        new |= known[rows] & np.uint64(0xFF) == 0  # ends all differ
+    by_prefix = np.argsort(prefix, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    rank[by_prefix] = np.cumsum(np.concatenate([[False], prefix[by_prefix[1:]] != prefix[by_prefix[:-1]]])[:n])
+    most = int(rank.max()) + 1 if n else 0
+    for _ in range(depth // STRIDE):
+        longer = back[rows]
+        has = longer >= 0
+        group = np.concatenate([-1 - np.arange(len(short)), np.cumsum(new)[has]])
+        rows = np.concatenate([short, longer[has]])
+        order = _sorted_by(rank[rows], most)
+        rows, group = rows[order], group[order]
+        own = rank[rows]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (group[1:] != group[:-1])])[:n]
+    return (np.searchsorted(start, rows, "right") - 1).astype(np.uint8), new
 
 
 def walk(transform_: np.ndarray, strings: int, steps: int) -> np.ndarray:

@@ -19,6 +19,11 @@ QUERIES = {
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_TEMPLATES = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(licenses.TEMPLATES))
+_PHRASE_HITS = " UNION ALL ".join(
+    f"SELECT doc_id, i - 1 AS i, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+    for phrase, label in licenses.PHRASES
+)
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
@@ -34,6 +39,19 @@ WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op3_licenses": rf"""
+WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{_WORDS}') AS w FROM d),
+hits AS ({_PHRASE_HITS}),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY doc_id),
+t AS (SELECT k, label, list_distinct(regexp_extract_all(lower(text), '{_WORDS}')) AS tw FROM (VALUES {_TEMPLATES}) AS x(k, label, text)),
+b AS (SELECT doc_id, list_distinct(regexp_extract_all(block, '{_WORDS}')) AS bw FROM (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])([\x20\x09-\x0D])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS block FROM d)),
+m AS (SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw)::DOUBLE AS share FROM b, t WHERE len(bw) > 0 AND len(list_intersect(bw, tw)) >= ceil({licenses.CONTAINMENT} * len(tw) - 1e-9)),
+best AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hits UNION ALL SELECT doc_id, label FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN every USING (doc_id)""",
     "op5_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
