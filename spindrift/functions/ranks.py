@@ -7,16 +7,53 @@ from pyspark.sql import functions as F
 
 from .probability import Z975
 
+#: Ranges that a group's distinct values are dealt out to.
+RANGES = 64
+
 
 def average_rank(value: str, by: list[str] | None = None) -> Column:
     """Ascending rank with ties at their mean, within groups.
 
-    Ranks need the group in order: a group is one task's work, so rank within groups at scale.
+    Ranks need the group in order, and a group is one task's work: for small groups.  :func:`with_ranks`
+    is for groups of any size.
     """
     group = Window.partitionBy(*(by or []))
     return F.rank().over(group.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*(by or []), value)) - 1) / 2.0
 
 
+def with_ranks(df: DataFrame, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Adds average ranks (new name: value column) within groups; rows with a null value are dropped.
+
+    No task ever sees a whole group in order.  Equal values are counted first (partly before the
+    shuffle), so frequent ones are one row each; the distinct values of a group are dealt out to
+    ranges cut at approximate quantiles, and a value's rank is what stands in lower ranges, what
+    stands below it in its own range, and half of its own count.
+    """
+    by = by or []
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        if not keys:
+            return left.crossJoin(F.broadcast(right))  # one row
+        renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+        on = [left[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)]
+        return left.join(renamed, on).drop(*[f"_k{i}" for i in range(len(keys))])
+
+    for value in columns.values():
+        df = df.filter(F.col(value).isNotNull())
+    base = df
+    for name, value in columns.items():
+        counts = base.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+        bounds = counts.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_b"))
+        placed = joined(counts, bounds, by).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
+        lower = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a group
+        totals = placed.groupBy(*by, "_r").agg(F.sum("_n").alias("_t")).withColumn("_t", F.coalesce(F.sum("_t").over(lower), F.lit(0)))
+        inside = Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = joined(placed, totals, [*by, "_r"]).withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        ranked = ranked.select(*by, F.col(value).alias("_v"), (F.col("_t") + F.col("_in") + (F.col("_n") + 1) / 2.0).alias(name))
+        df = joined(df, ranked.withColumnRenamed("_v", value), [*by, value])
+    return df
+
+
 def correlation(x: str | Column, y: str | Column) -> Column:
     """Pearson correlation as an aggregate; null under three points or if one side is constant."""
     spread = F.stddev_pop(x) * F.stddev_pop(y)
@@ -27,7 +64,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
     """(by..., n, rho) of complete rows: Pearson correlation of average ranks."""
     by = by or []
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    ranked = rows.select(*by, average_rank("_x", by).alias("rx"), average_rank("_y", by).alias("ry"))
+    ranked = with_ranks(rows, {"rx": "_x", "ry": "_y"}, by)
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("rho"))
 
 
@@ -40,7 +77,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, by: list[str] | None
     """(by..., n, rho) with one ranked control; the closed form equals that of residuals."""
     by = by or []
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*by, *[F.col(c).cast("double").alias(f"_{n}") for c, n in ((x, "x"), (y, "y"), (z, "z"))])
-    ranked = rows.select(*by, *[average_rank(f"_{n}", by).alias(f"r{n}") for n in "xyz"])
+    ranked = with_ranks(rows, {f"r{n}": f"_{n}" for n in "xyz"}, by)
     plain = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("xy"), correlation("rx", "rz").alias("xz"), correlation("ry", "rz").alias("yz"))
     return plain.select(*by, "n", F.when(F.col("n") >= 4, partial(F.col("xy"), F.col("xz"), F.col("yz"))).alias("rho"))
 
@@ -56,8 +93,8 @@ def fisher_interval(rho: Column, n: Column, controls: int = 0) -> tuple[Column,
 def auc(df: DataFrame, label: str, value: str, by: list[str] | None = None) -> DataFrame:
     """(by..., n1, n0, auc): P(positive > negative) + P(equal) / 2, from ranks instead of pairs."""
     by = by or []
-    ranked = df.select(*by, F.col(label).alias("_l"), average_rank(value, by).alias("_r"))
-    sums = ranked.groupBy(*by).agg(F.sum("_l").cast("long").alias("n1"), F.sum(1 - F.col("_l")).cast("long").alias("n0"), F.sum(F.col("_l") * F.col("_r")).alias("s"))
+    rows = df.select(*by, F.col(label).alias("_l"), F.col(value).cast("double").alias("_x"))
+    sums = with_ranks(rows, {"rx": "_x"}, by).groupBy(*by).agg(F.sum("_l").cast("long").alias("n1"), F.sum(1 - F.col("_l")).cast("long").alias("n0"), F.sum(F.col("_l") * F.col("rx")).alias("s"))
     n1, n0 = F.col("n1"), F.col("n0")
     return sums.select(*by, "n1", "n0", F.try_divide(F.col("s") - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
 

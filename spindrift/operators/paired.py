@@ -40,7 +40,7 @@ def wilcoxon(df: DataFrame, left: str, right: str, by: list[str] | None = None)
     d = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*by, (F.col(left).cast("double") - F.col(right)).alias("d"))
     zeros = d.groupBy(*by).agg(F.count(F.when(F.col("d") == 0, 1)).alias("zeros"))
     moved = d.filter("d <> 0").withColumn("a", F.abs("d"))
-    ranked = moved.select(*by, "d", "a", ranks.average_rank("a", by).alias("r"))
+    ranked = ranks.with_ranks(moved, {"r": "a"}, by)
     sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"))
     ties = moved.groupBy(*by, "a").agg(F.count(F.lit(1)).cast("double").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term"))
     if by:
