@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def shared_root(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spindrift-")
+        own = tempfile.mkdtemp(prefix="spindrift-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = "file://" + own
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
