@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

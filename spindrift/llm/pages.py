@@ -12,13 +12,14 @@ space inside a block becomes one space, blocks are trimmed and joined by one lin
 
 Null and empty html give an empty text; pages without a host vote for themselves alone under the empty
 host; broken markup is read as browsers do in the main points (unclosed tags end with their parent);
-repeated rows count each time; very long pages are read whole.
+elements nested more than 512 deep are read flat; repeated rows count each time; very long pages are read whole.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +31,8 @@ from .urls import host_and_path
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|title|select|object|noembed|xmp)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
+    r"|</?[a-zA-Z].*\Z",  # a tag that never ends
     re.S | re.I,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -52,11 +54,13 @@ MARKS = frozenset(
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = BLOCKS
 _CLASS_WORD = re.compile(r"[A-Za-z]+")
+#: Elements that may be open at once; what is nested deeper is read as text of the deepest one, as in browsers.
+DEEPEST = 512
 _OUTWARD, _MAIN_TAGS = 0.6, frozenset(("article", "main"))
 
 
 class Container:
-    __slots__ = ("blocks", "inside", "parent", "path", "score")
+    __slots__ = ("inside", "parent", "path", "score")
 
     def __init__(self, path: str, parent: Container | None) -> None:
         self.path, self.parent, self.score = path, parent, 0.0
@@ -84,6 +88,7 @@ def containers(page: str | None) -> list[Container]:
     root = Container("", None)
     found, page = [root], page or ""
     stack: list[tuple[str, Container, bool, bool]] = [("", root, False, False)]  # tag, container, left out, in a link
+    open_tags: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
 
@@ -105,6 +110,7 @@ def containers(page: str | None) -> list[Container]:
             at = at.parent
 
     def pop_to(depth: int) -> None:
+        open_tags.subtract(x[0] for x in stack[depth:])
         del stack[depth:]
 
     at = 0
@@ -123,7 +129,7 @@ def containers(page: str | None) -> list[Container]:
                 flush()
             if tag == "br":
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[depth][0] == tag:
                     if tag in BLOCKS or not any(x[0] in BLOCKS for x in stack[depth + 1 :]):
                         pop_to(depth)
@@ -134,13 +140,13 @@ def containers(page: str | None) -> list[Container]:
             continue
         if tag in BLOCKS:
             flush()
-            for depth in range(len(stack) - 1, 0, -1):  # an open paragraph ends, with what is open in it
+            for depth in range(len(stack) - 1, 0, -1) if open_tags["p"] else ():  # an open paragraph ends, with what is open in it
                 if stack[depth][0] == "p" and tag in _ENDS_P:
                     pop_to(depth)
                     break
                 if stack[depth][0] in CONTAINERS:
                     break
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if tag in _IMPLIED else ():
                 if stack[depth][0] in _IMPLIED.get(tag, ()):
                     pop_to(depth)
                     break
@@ -152,12 +158,13 @@ def containers(page: str | None) -> list[Container]:
         attrs = _attributes(m["attrs"])
         out = parent[2] or _marked(tag, attrs)
         holder = parent[1]
-        if tag in CONTAINERS and not out:
+        if tag in CONTAINERS and not out and len(stack) < DEEPEST:
             classes = ".".join(sorted(_DIGITS.sub("#", c) for c in attrs.get("class", "").split()))
             holder = Container(f"{holder.path}>{tag}" + (f".{classes}" if classes else ""), holder)
             found.append(holder)
-        if not m["attrs"].rstrip().endswith("/") or tag in BLOCKS:
+        if len(stack) < DEEPEST and (not m["attrs"].rstrip().endswith("/") or tag in BLOCKS):
             stack.append((tag, holder, out, parent[3] or tag == "a"))
+            open_tags[tag] += 1
     if at < len(page) and not stack[-1][2]:
         text.append(page[at:])
     flush()
