@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
 from .urls import host_and_path
 
 _TOKEN = re.compile(
@@ -204,7 +205,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
     host, _ = host_and_path(F.col("url").cast("string"))
-    winners = host_paths(pages).withColumnRenamed("host", "_host")
+    # written, so that Spark knows its size: a small table is broadcast and pages aren't shuffled, a large one is joined
+    winners = stored(host_paths(pages), "host-paths").withColumnRenamed("host", "_host")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
     rows = rows.join(winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "path")
     kind, url = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
