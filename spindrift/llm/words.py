@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are scanned together.
-CHUNK = 4 << 20
+#: Bytes of text that are scanned together, and bytes of them whose prefix sums are held at once.
+CHUNK, BLOCK = 4 << 20, 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -100,7 +100,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = CHUNK) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """64-bit hashes of the byte ranges with A-Z lower-cased; equal ranges have equal hashes."""
     out = np.empty(len(starts), dtype=np.uint64)
     i, n = 0, len(starts)
