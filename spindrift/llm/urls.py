@@ -6,8 +6,10 @@ one, down to a uniform character.  A URL's score is the difference of its log-li
 its length; it is blocked above a threshold at which, on rule-judged URLs kept out of the counts,
 both kinds err equally often.
 
-Counts cover all rule-judged URLs.  They are kept in hashed tables of a fixed size, so what is
-broadcast has a proven bound, whatever the input.
+Counts cover all rule-judged URLs.  They are exact, in a table of (context, character) runs that
+grows with the input.  An order's probabilities are joined to those of the next lower one by run; a
+run has at most 257 longer ones, so no key is hot.  URLs are stored in chunks; a chunk's distinct
+runs are joined to the model and come back to its URLs, so nothing of the model is broadcast.
 
 Null URLs and those without ``://`` have an empty host and path, fit no rule and are allowed; so is
 everything else without a rule while one of the two kinds has no URLs to learn from; equal URLs get
@@ -20,16 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import mixed, text_chunks
+from .store import stored
+from .words import text_chunks
 
 #: (verdict, host, path); a rule fits its host and all subdomains if the URL's path starts with the rule's.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 ORDER = 4
-#: Cells of an order's count table, and how many counts of a lower order weigh as much as one context.
-CELLS, TRUST = 1 << 16, 4.0
+#: How many counts of a lower order weigh as much as one context, and bits of a character in a run.
+TRUST, BITS = 4.0, 9
+#: Bytes of URLs whose runs are looked up together.
+CHUNK = 1 << 18
 #: Of every so many rule-judged URLs, one is kept for calibration.
 FOLDS = 5
 BINS, BIN = 4001, 0.005
@@ -53,115 +59,117 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumn("rule", rule).withColumn("ruled", ruled)
 
 
-def _cells(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """(first row, last row, row of each character, its context's cell by order, its own cell by order).
+def _texts(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, row of each character, its run).
 
-    A context of order k is the k characters before; a URL's beginning stands for what is missing.
+    A run is a character and the ORDER before it, the character in the lowest bits; a byte is 1 to 256, and
+    0 stands for what is missing at a URL's beginning.  Its low k + 1 characters are the run of order k.
     """
-    for lo, hi, data, offsets in text_chunks(column, 1 << 20):
+    for lo, hi, data, offsets in text_chunks(column):
         n = np.diff(offsets)
         row = np.repeat(np.arange(hi - lo), n)
         place = np.arange(len(data)) - np.repeat(offsets[:-1], n)
-        contexts, own = [], []
-        context = np.zeros(len(data), dtype=np.uint64)
-        for k in range(ORDER + 1):
-            if k:
-                before = np.zeros(len(data), dtype=np.uint64)
-                before[k:] = data[:-k] if k < len(data) else 0
-                before[place < k] = 256
-                context = mixed(context * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(1))
-            contexts.append((context % np.uint64(CELLS)).astype(np.int64))
-            own.append((mixed(context + (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(CELLS)).astype(np.int64))
-        yield lo, hi, row, contexts, own
-
-
-def _texts(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+        own = data.astype(np.int64) + 1
+        run = own.copy()
+        for k in range(1, ORDER + 1):
+            before = np.zeros(len(data), dtype=np.int64)
+            before[k:] = own[:-k]
+            before[place < k] = 0
+            run |= before << (BITS * k)
+        yield lo, hi, row, run
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their chunk."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for lo, hi, _, _ in text_chunks(_texts(batch, "said"), CHUNK):
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(hi - lo, number))], [*part.schema.names, "chunk"])
+            number += 1
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, table, cell, n): this task's counts; table 2k holds contexts of order k, 2k + 1 characters in them."""
-    counts = np.zeros((2, 2 * (ORDER + 1), CELLS), dtype=np.int64)
+    """(chunk, run, allow, block): distinct runs of each chunk, and how often they stand in URLs to learn from."""
     for batch in batches:
-        kind = (_texts(batch, "ruled").to_numpy(zero_copy_only=False) == "block").astype(np.int64)
-        for lo, _, row, contexts, own in _cells(_texts(batch, "said")):
-            for block in (0, 1):
-                on = kind[lo + row] == block
-                for k in range(ORDER + 1):
-                    counts[block, 2 * k] += np.bincount(contexts[k][on], minlength=CELLS)
-                    counts[block, 2 * k + 1] += np.bincount(own[k][on], minlength=CELLS)
-    at = np.nonzero(counts)
-    for i in range(0, len(at[0]), 100_000):
-        kind, table, cell = (x[i : i + 100_000] for x in at)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(table), pa.array(cell), pa.array(counts[kind, table, cell])], ["kind", "table", "cell", "n"])
-
-
-def scores(column: pa.Array, counts: np.ndarray) -> np.ndarray:
-    """Length-normalised log-likelihood of the rejected model less that of the accepted one."""
-    out = np.zeros(len(column))
-    for lo, hi, row, contexts, own in _cells(column):
-        logs = []
-        for block in (0, 1):
-            p = np.full(len(row), 1 / 256)
-            for k in range(ORDER + 1):
-                p = (counts[block, 2 * k + 1][own[k]] + TRUST * p) / (counts[block, 2 * k][contexts[k]] + TRUST)
-            logs.append(np.log(np.minimum(p, 1.0)))
-        total = np.bincount(row, weights=logs[1] - logs[0], minlength=hi - lo)
+        chunk = _texts(batch, "chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(begin, end - begin)
+            learn = ~_texts(part, "aside").to_numpy(zero_copy_only=False)
+            ruled = _texts(part, "ruled").to_numpy(zero_copy_only=False)
+            for lo, _, row, run in _runs(_texts(part, "said")):
+                runs, at = np.unique(run, return_inverse=True)
+                n = [np.bincount(at, weights=(learn & (ruled == kind))[lo + row], minlength=len(runs)).astype(np.int64) for kind in ("allow", "block")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), chunk[begin])), pa.array(runs), *map(pa.array, n)], ["chunk", "run", "allow", "block"])
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """(run, ratio) of every run in ``counts`` (run, allow, block): log-likelihood of the rejected model less that of the accepted one."""
+    lower = None
+    for k in range(ORDER + 1):
+        own = counts.groupBy(F.col("run").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("run")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+        context = Window.partitionBy(F.shiftright("run", BITS))  # 257 rows at most
+        own = own.withColumns({f"{kind}_context": F.sum(kind).over(context) for kind in ("allow", "block")})
+        if k:
+            own = own.withColumn("shorter", F.col("run").bitwiseAND(F.lit((1 << BITS * k) - 1))).join(lower, "shorter")
+        else:
+            own = own.withColumns({f"{kind}_p": F.lit(1 / 256) for kind in ("allow", "block")})
+        p = [((F.col(kind) + TRUST * F.col(f"{kind}_p")) / (F.col(f"{kind}_context") + TRUST)).alias(f"{kind}_p") for kind in ("allow", "block")]
+        lower = own.select(F.col("run").alias("shorter"), *p)
+    return lower.select(F.col("shorter").alias("run"), (F.log("block_p") - F.log("allow_p")).alias("ratio"))
+
+
+def _scored(rows: pa.Table, found: pa.Table) -> pa.Table:
+    """A chunk's rows with their score: the mean of their characters' ratios."""
+    runs, ratios = found.column("run").to_numpy(), found.column("ratio").to_numpy()
+    order = np.argsort(runs, kind="stable")
+    runs, ratios = runs[order], ratios[order]
+    out = np.zeros(rows.num_rows)
+    for lo, hi, row, run in _runs(_texts(rows, "said")):
+        total = np.bincount(row, weights=ratios[np.searchsorted(runs, run)], minlength=hi - lo)
         out[lo:hi] = total / np.maximum(1, np.bincount(row, minlength=hi - lo))
-    return out
-
-
-def train(ruled: DataFrame) -> tuple[np.ndarray, float | None]:
-    """(counts, threshold) from :func:`with_rules` rows; no threshold while a kind has nothing to learn from."""
-    spark = ruled.sparkSession
-    known = ruled.filter(F.col("ruled").isNotNull()).select("ruled", F.regexp_replace("url", r"(?s)^.*?://", "").alias("said"), (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).alias("aside"))
-    rows = known.filter("NOT aside").mapInArrow(_counted, "kind bigint, table bigint, cell bigint, n bigint").groupBy("kind", "table", "cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros((2, 2 * (ORDER + 1), CELLS), dtype=np.int64)
-    got = rows.toArrow()  # at most 2 * 2 * (ORDER + 1) * CELLS rows
-    counts[tuple(got.column(c).to_numpy() for c in ("kind", "table", "cell"))] = got.column("n").to_numpy()
-    if not counts[0].any() or not counts[1].any():
-        return counts, None
-    shared = spark.sparkContext.broadcast(counts)
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = np.zeros((2, BINS), dtype=np.int64)
-        for batch in batches:
-            s = scores(_texts(batch, "said"), shared.value)
-            at = np.clip(np.round(s / BIN).astype(np.int64) + BINS // 2, 0, BINS - 1)
-            kind = (_texts(batch, "ruled").to_numpy(zero_copy_only=False) == "block").astype(np.int64)
-            np.add.at(tally, (kind, at), 1)
-        kind, at = np.nonzero(tally)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(tally[kind, at])], ["kind", "bin", "n"])
+    return rows.drop_columns(["said", "chunk"]).append_column("score", pa.array(out))
 
+
+def scored(ruled: DataFrame) -> DataFrame:
+    """(page_id, host, path, rule, ruled, aside, score) of :func:`with_rules` rows; ``score`` is null while a kind has nothing to learn from."""
+    said = F.when(F.contains(F.col("url"), F.lit("://")), F.regexp_replace("url", r"(?s)^.*?://", "")).otherwise("")
+    aside = F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0)
+    rows = ruled.select("page_id", "host", "path", "rule", "ruled", aside.alias("aside"), said.alias("said"))
+    kinds = f"page_id {rows.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, ruled string, aside boolean"
+    rows = stored(rows.mapInArrow(_chunked, f"{kinds}, said string, chunk bigint"), "urls")
+    runs = stored(rows.mapInArrow(_counted, "chunk bigint, run bigint, allow bigint, block bigint"), "url-runs")
+    counts = stored(runs.groupBy("run").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-counts")
+    if not all(counts.agg(F.sum("allow"), F.sum("block")).first()):
+        return rows.drop("said", "chunk").withColumn("score", F.lit(None).cast("double"))
+    found = runs.select("chunk", "run").join(model(counts), "run").select("chunk", "run", "ratio")
+    return stored(rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_scored, f"{kinds}, score double"), "url-scores")
+
+
+def threshold(rows: DataFrame) -> float:
+    """Where both kinds of the rule-judged URLs kept aside err equally often; 0 while a kind has none."""
+    place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.rint(F.col("score") / BIN).cast("long") + BINS // 2))
     tally = np.zeros((2, BINS), dtype=np.int64)
-    for r in known.filter("aside").mapInArrow(binned, "kind bigint, bin bigint, n bigint").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():
-        tally[r["kind"], r["bin"]] = r["n"]
+    for r in rows.filter("aside AND score IS NOT NULL").groupBy((F.col("ruled") == "block").cast("int").alias("kind"), place.alias("bin")).count().collect():
+        tally[r["kind"], r["bin"]] = r["count"]
     if not tally[0].any() or not tally[1].any():
-        return counts, 0.0
+        return 0.0
     wrongly_blocked = 1 - np.cumsum(tally[0]) / tally[0].sum()  # of accepted ones, above each bin
     wrongly_allowed = np.cumsum(tally[1]) / tally[1].sum()
     gap = np.abs(wrongly_blocked - wrongly_allowed) + wrongly_blocked + wrongly_allowed
     best = np.flatnonzero(gap == gap.min())
-    return counts, float((best[len(best) // 2] - BINS // 2 + 0.5) * BIN)
+    return float((best[len(best) // 2] - BINS // 2 + 0.5) * BIN)
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row; ``score`` is null without a model."""
-    ruled = with_rules(pages, rules)
-    counts, threshold = train(ruled)
-    shared = ruled.sparkSession.sparkContext.broadcast(counts)
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = None if threshold is None else scores(_texts(batch, "said"), shared.value)
-            column = pa.array([None] * batch.num_rows, pa.float64()) if s is None else pa.array(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], [*batch.schema.names[:-1], "score"])
-
-    said = F.when(F.contains(F.col("url"), F.lit("://")), F.regexp_replace("url", r"(?s)^.*?://", "")).otherwise("")
-    rows = ruled.select("page_id", "host", "path", "rule", "ruled", said.alias("said"))
-    kind = rows.schema["page_id"].dataType.simpleString()
-    rows = rows.mapInArrow(of_batches, f"page_id {kind}, host string, path string, rule string, ruled string, score double")
-    own = F.when(F.col("score") > F.lit(threshold if threshold is not None else 0.0), "block").otherwise("allow")
+    rows = scored(with_rules(pages, rules))
+    own = F.when(F.col("score") > F.lit(threshold(rows)), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
 
 

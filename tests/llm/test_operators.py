@@ -274,6 +274,32 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judged(df.filter("page_id IN (11, 6)")).collect()} == {"allow"}
 
 
+def test_url_scores_use_exact_counts_however_many(spark):
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-é"
+    rows = [(k, f"http://{''.join(rng.choices(letters, k=25))}.{('net/de/', 'org/es/', 'info/')[k % 3]}{k % 7}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    aside = {r.page_id for r in df.filter("pmod(xxhash64(url), 5) = 0").collect()}
+    own, contexts = defaultdict(int), defaultdict(int)
+    padded = {i: [0] * urls.ORDER + [b + 1 for b in u.split("://")[1].encode()] for i, u in rows}
+    for i, s in padded.items():
+        if i % 3 < 2 and i not in aside:
+            for at in range(urls.ORDER, len(s)):
+                for k in range(urls.ORDER + 1):
+                    own[i % 3, tuple(s[at - k : at + 1])] += 1
+                    contexts[i % 3, tuple(s[at - k : at])] += 1
+    assert sum(len(k[1]) == urls.ORDER + 1 for k in own) > 1 << 16
+    got = {r.page_id: r.score for r in urls.judged(df).collect()}
+    for i, s in list(padded.items())[:300]:
+        total = 0.0
+        for at in range(urls.ORDER, len(s)):
+            p = [1 / 256] * 2
+            for k in range(urls.ORDER + 1):
+                p = [(own.get((kind, tuple(s[at - k : at + 1])), 0) + urls.TRUST * p[kind]) / (contexts.get((kind, tuple(s[at - k : at])), 0) + urls.TRUST) for kind in (0, 1)]
+            total += math.log(p[1]) - math.log(p[0])
+        assert got[i] == pytest.approx(total / (len(s) - urls.ORDER), abs=1e-9)
+
+
 def test_warc(spark, tmp_path):
     long, rng = "<p>" + "é" * 200 + "</p>", random.Random(1)
     rows = [(5, "http://a/", long), (3, None, long), (9, "http://b/\r\nX: y", "short"), (8, "http://c/", "short"), (10, "u", None), (11, "u", ""), (3, "again", long), (None, "n", long)]
