@@ -1,9 +1,11 @@
 """HTML extraction by consensus host paths.
 
 Every page's containers are scored by the text of their blocks, less what stands in links; part of a
-block's weight goes to the containers around it.  A container's generalised path is the chain of its
-tags and classes with digits left out.  Spark adds up the scores by host and path; a host's pages are
-then extracted again from the container with the path that won, or from their own best container
+block's weight goes to the containers around it.  The best one is lifted to the smallest container
+around it that holds nine tenths of the page's text outside links, and from there to the article
+around it, its heading and text beside it.  A container's generalised path is the chain of its tags
+and classes with digits left out.  Spark adds up the scores by host and path; a host's pages are
+then extracted again from all containers with the path that won, or from their own lifted container
 where the winning path doesn't occur.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
@@ -58,14 +60,21 @@ _CLASS_WORD = re.compile(r"[A-Za-z]+")
 #: Elements that may be open at once; what is nested deeper is read as text of the deepest one, as in browsers.
 DEEPEST = 512
 _OUTWARD, _MAIN_TAGS = 0.6, frozenset(("article", "main"))
+#: The share of a page's text outside links that the lifted container holds at least.
+NEARLY = 0.9
 
 
 class Container:
-    __slots__ = ("inside", "parent", "path", "score")
+    __slots__ = ("beside", "headed", "inside", "mass", "parent", "path", "score")
 
     def __init__(self, path: str, parent: Container | None) -> None:
         self.path, self.parent, self.score = path, parent, 0.0
         self.inside: list[str] = []  # texts of all blocks in it, in page order
+        self.mass, self.beside, self.headed = 0.0, False, False  # its text outside links, whether some is in no inner container, whether it holds a main heading
+
+    @property
+    def tag(self) -> str:
+        return self.path.rpartition(">")[2].partition(".")[0]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -102,11 +111,15 @@ def containers(page: str | None) -> list[Container]:
         own, linked = linked, 0
         if not block or stack[-1][2]:
             return
-        weight = max(0.0, len(block) - 2.0 * own)
+        mass = weight = max(0.0, len(block) - 2.0 * own)
+        headed = open_tags["h1"] > 0
         at: Container | None = stack[-1][1]
+        at.beside = at.beside or mass > 0
         while at is not None:
             at.inside.append(block)
-            at.score += weight * (1.5 if at.path.rpartition(">")[2].partition(".")[0] in _MAIN_TAGS else 1.0)
+            at.mass += mass
+            at.headed = at.headed or headed
+            at.score += weight * (1.5 if at.tag in _MAIN_TAGS else 1.0)
             weight *= _OUTWARD
             at = at.parent
 
@@ -172,25 +185,55 @@ def containers(page: str | None) -> list[Container]:
     return found
 
 
-def best(found: list[Container], path: str | None = None) -> Container:
-    """The container with the highest score, of those with the given path if there are any; the first of ties."""
-    of_path = [c for c in found if c.path == path and c.inside]
-    return max(of_path or found, key=lambda c: c.score)
+def best(found: list[Container]) -> Container:
+    """The container with the highest score; the first of ties."""
+    return max(found, key=lambda c: c.score)
+
+
+def lifted(found: list[Container], top: Container) -> Container:
+    """The smallest container around ``top`` (or itself) with nearly all text; around that, what belongs to the same article.
+
+    The second step adds at most a tenth of the page's text: up to the article (or main element) around,
+    up to the first container with a main heading, and while text stands beside in a container below the body.
+    """
+    root, at = found[0], top
+    while at.mass < NEARLY * root.mass:
+        at = at.parent
+    around = [at]
+    while around[-1].parent is not None:
+        around.append(around[-1].parent)
+    for kind in ("article", "main"):
+        if held := [c for c in around if c.tag == kind]:
+            return held[0]
+    if root.headed:
+        at = next(c for c in around if c.headed)
+    while at.parent is not None and at.parent.beside and at.parent.tag not in ("", "body"):
+        at = at.parent
+    return at
+
+
+def main_text(found: list[Container], path: str | None) -> str:
+    """The blocks of all containers with the given path, in page order; of the page's own lifted one if there are none."""
+    # containers of one path are never inside each other
+    blocks = [block for c in found if c.path == path for block in c.inside]
+    return "\n".join(blocks or lifted(found, best(found)).inside)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tally: dict[tuple[str, str], float] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            top = best(containers(page))
+            found = containers(page)
+            top = best(found)
             if top.score > 0:
-                tally[host, top.path] = tally.get((host, top.path), 0.0) + float(round(top.score))
+                path = lifted(found, top).path
+                tally[host, path] = tally.get((host, path), 0.0) + float(round(top.score))
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in tally], pa.string()), pa.array([p for _, p in tally], pa.string()), pa.array(list(tally.values()), pa.float64())], ["host", "path", "score"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = ["\n".join(best(containers(page), path).inside) for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [main_text(containers(page), path) for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

@@ -443,3 +443,19 @@ def test_host_votes_win(spark):
     rows = [(k, "http://h/1", page("main words " * 40, "side")) for k in range(5)] + [(9, "http://h/9", page("short main", "long box " * 30))]
     got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[9] == "short main"
+
+
+def test_pages_keep_headings_leads_and_sibling_sections(spark):
+    body = "words of the main text that go on. " * 40
+    clean, short = body.strip(), "a second part that is a good deal shorter"
+    shapes = [
+        (f"<article><h1>Title</h1><p>The lead.</p><div class='body'><p>{body}</p></div></article>", f"Title\nThe lead.\n{clean}"),
+        (f"<div class='post'><h1>Title</h1><div class='body'><p>{body}</p></div></div>", f"Title\n{clean}"),
+        (f"<div class='post'><div class='top'><h1>Title</h1></div><p>The lead.</p><div class='body'><p>{body}</p></div></div>", f"Title\nThe lead.\n{clean}"),
+        (f"<div class='content'><div class='part'><p>{body}</p></div><div class='part'><p>{short}</p></div></div>", f"{clean}\n{short}"),
+        (f"<div class='content'><div class='part'><p>{body}</p></div><div class='rest'><p>{body[:400]}</p></div></div>", f"{clean}\n{body[:400].strip()}"),
+    ]
+    menu = "<div class='links'>" + "<p><a href='/'>a link of a list</a></p>" * 9 + "</div>"
+    rows = [(10 * k + j, f"http://h{k}/{j}", f"<body>{shape}{menu}</body>") for k, (shape, _) in enumerate(shapes) for j in range(2)]
+    got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: shapes[i // 10][1] for i, _, _ in rows}
