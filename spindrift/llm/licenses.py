@@ -7,6 +7,10 @@ the whole corpus, rarest first.  A block that meets a template has one of the te
 and enough of them left after the first common one (positional filter); what passes is counted
 exactly, so every block that meets the threshold is found.
 
+Sentences that are wrapped over several lines are searched too, in windows of as many words as the
+template has: a window meets the template as a block does.  Line breaks inside a sentence don't end
+it, sentence ends and lines without words do.
+
 Base phrases are places where a phrase's words stand consecutively; their labels are always kept.
 Null and empty texts have no words; words are never matched across documents; repeated rows get the
 same result each; an empty table gives an empty result; other columns are ignored.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +62,7 @@ class Templates:
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES) -> None:
         self.labels = [label for label, _ in templates]
+        self.lengths = [len(_words(text)) for _, text in templates]
         sets = [set(_words(text)) for _, text in templates]
         self.vocabulary = np.unique(np.array([hash_word(w) for w in set().union(*sets)], dtype=np.uint64))
         self.sets = [np.searchsorted(self.vocabulary, np.unique(np.array([hash_word(w) for w in s], dtype=np.uint64))) for s in sets]
@@ -102,14 +108,52 @@ class Templates:
                         found.append((t, overlap / len(words)))
         return found
 
+    def in_windows(self, places: np.ndarray, ranks: np.ndarray) -> list[tuple[int, float]]:
+        """(template, containment) of all templates that some window of a sentence meets, with its best window.
+
+        ``places`` are the word places of the vocabulary words in it, ``ranks`` their ranks.
+        """
+        found = []
+        for t, _ in self.matches(np.unique(ranks)):
+            own = np.isin(ranks, self.order[t])
+            at, words = places[own].tolist(), ranks[own].tolist()
+            held: Counter[int] = Counter()
+            most = begin = 0
+            for place, word in zip(at, words, strict=True):
+                held[word] += 1
+                while at[begin] <= place - self.lengths[t]:
+                    held[words[begin]] -= 1
+                    if not held[words[begin]]:
+                        del held[words[begin]]
+                    begin += 1
+                most = max(most, len(held))
+            if most >= self.needed[t]:
+                found.append((t, most / len(self.order[t])))
+        return found
+
+
+def _sentence_ends(data: np.ndarray) -> np.ndarray:
+    """Whether a byte is a sentence mark before white space."""
+    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    end = np.isin(data, np.frombuffer(b".!?", dtype=np.uint8))
+    end[:-1] &= space[1:]
+    end[-1:] = False
+    return end
+
 
 def block_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where blocks end: after line ends, after sentence marks before white space, and at row ends."""
-    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    mark = np.isin(data, np.frombuffer(b".!?", dtype=np.uint8))
-    end = data == 0x0A
-    end[:-1] |= mark[:-1] & space[1:]
-    return np.unique(np.concatenate([np.flatnonzero(end) + 1, offsets[1:]]))
+    return np.unique(np.concatenate([np.flatnonzero((data == 0x0A) | _sentence_ends(data)) + 1, offsets[1:]]))
+
+
+def sentences(data: np.ndarray, starts: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, line) of every word; a sentence runs on over line breaks, but not over a line without words."""
+    line = np.searchsorted(np.flatnonzero(data == 0x0A), starts)
+    mark = np.searchsorted(np.flatnonzero(_sentence_ends(data)), starts)
+    new = np.zeros(len(starts), dtype=bool)
+    new[1:] = (np.diff(line) > 1) | (np.diff(mark) > 0)
+    new[firsts[firsts < len(starts)]] = True
+    return np.cumsum(new), line
 
 
 def _frequencies(t: Templates):
@@ -158,6 +202,15 @@ def _scanned(t: Templates):
                         r = lo + int(np.searchsorted(firsts, at[b], "right")) - 1
                         labels[r].add(t.labels[template])
                         score[r] = max(score[r], share)
+                sentence, line = (x[at] for x in sentences(data, starts, firsts))
+                lead = np.unique(sentence[t.leads[rank]])
+                begin, stop = np.searchsorted(sentence, lead), np.searchsorted(sentence, lead, "right")
+                wrapped = line[begin] < line[stop - 1]  # others are blocks
+                for b, e in zip(begin[wrapped].tolist(), stop[wrapped].tolist(), strict=True):
+                    for template, share in t.in_windows(at[b:e], rank[b:e]):
+                        r = lo + int(np.searchsorted(firsts, at[b], "right")) - 1
+                        labels[r].add(t.labels[template])
+                        score[r] = max(score[r], share)
             score = np.where(base > 0, 1.0, score)
             some = lambda x: pa.array(x, mask=x < 0)
             told = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())

@@ -248,6 +248,21 @@ def test_licenses(spark):
     assert licenses.scanned(documents(spark, [])).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General
+ * Public License as published by the Free Software Foundation"""
+    apart = [bsd.replace("without\n", "without\n\n"), bsd.replace("without\n", "without.\n"), " x ".join(bsd.split())]
+    texts = [(1, mit), (2, f"Some code\n\n{bsd}\n\nmore"), (3, gpl), (4, bsd.replace("\n", "\r\n# ")), *((5 + k, text.replace(" x ", " x\n", 3)) for k, text in enumerate(apart))]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scanned(documents(spark, texts)).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("gpl", 1.0), 4: ("bsd", 1.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("", 0.0)}
+
+
 def test_license_join_against_all_pairs():
     rng = random.Random(5)
     t = licenses.Templates()
