@@ -9,7 +9,9 @@ candidates is verified with exact cosines in double precision, each pair in the
 it within budget, so nothing is counted twice and no pairs are emitted: a task gives every vector's
 number of links and a label for its connected part.
 
-Equal vectors collapse into one class before the join.  Crowded cells are split into tiles.
+Equal vectors collapse into one class before the join.  Crowded cells are split into tiles on both
+sides: a task compares one tile of a cell's own vectors with one tile of all that are there, so that
+its rows are bounded however many vectors lie near one point.
 
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing, and
 vectors of different lengths do not link; a repeated row is the same vector, not another one; rows
@@ -32,7 +34,7 @@ from .store import stored
 
 COSINE = 0.95
 BLOCK_WIDTH = 8
-#: Vectors of a cell that are compared with the whole cell in one task.
+#: Vectors of a cell on either side of a task, about: a tile of its own, of those compared with them as many, and as many visitors.
 TILE = 4096
 _ROWS = 512
 
@@ -87,24 +89,35 @@ def _cells(cosine: float, kind: str, visits):
     return of_batches
 
 
+def _least_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Gives each connected part of the links (u, v) its least label."""
+    while True:
+        was = label.copy()
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        if (was == label).all():
+            return
+
+
 def _linked(cosine: float, kind: str):
-    def of_cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        dim, block, *_, tile = key
+    def of_tiles(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        dim, block, _, _, one, other = key
         unit = _unit(list(rows["vec"]), kind)
         turned = unit @ rotation(dim)
         ids, weight, home, tiles = (rows[k].to_numpy() for k in ("id", "weight", "home", "tile_of"))
         at, share = blocks_of(dim), budgets(dim, cosine)
         own = turned[:, at[block]].astype(np.float32)
         norm = (own * own).sum(axis=1)
-        left = np.flatnonzero(home & (tiles == tile))
+        left, right = np.flatnonzero(home & (tiles == one)), np.flatnonzero(~home | (tiles == other))
         links, label = np.zeros(len(ids), dtype=np.int64), ids.copy()
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(0, len(left), _ROWS):
             a = left[i : i + _ROWS]
-            near = norm[a][:, None] + norm[None, :] - 2 * (own[a] @ own.T) <= share[block] + 1e-5
+            near = norm[a][:, None] + norm[right][None, :] - 2 * (own[a] @ own[right].T) <= share[block] + 1e-5
             p, q = np.nonzero(near)
-            p = a[p]
-            once = ~home[q] | (ids[p] < ids[q])
+            p, q = a[p], right[q]
+            once = ~home[q] | (tiles[q] != one) | (ids[p] < ids[q])
             p, q = p[once], q[once]
             for j in range(0, len(p), 1 << 16):
                 u, v = p[j : j + (1 << 16)], q[j : j + (1 << 16)]
@@ -116,20 +129,35 @@ def _linked(cosine: float, kind: str):
                 u, v = u[first & within[:, block]], v[first & within[:, block]]
                 np.add.at(links, u, weight[v])
                 np.add.at(links, v, weight[u])
-                found.append((u, v))
+                # links of these rows, as many as there are rows at most: each with the first of its part
+                part = np.arange(len(ids))
+                _least_labels(part, u, v)
+                u = np.flatnonzero(part != np.arange(len(ids)))
+                found.append((u, part[u]))
         if found:
-            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            while True:  # least label of each connected part
-                was = label.copy()
-                low = np.minimum(label[u], label[v])
-                np.minimum.at(label, u, low)
-                np.minimum.at(label, v, low)
-                if (was == label).all():
-                    break
+            _least_labels(label, *(np.concatenate(x) for x in zip(*found, strict=True)))
         on = links > 0
         return pd.DataFrame({"id": ids[on], "links": links[on], "label": label[on]})
 
-    return of_cell
+    return of_tiles
+
+
+def _tiled(cells: DataFrame) -> DataFrame:
+    """Rows of ``cells`` for each pair of tiles (``one`` of a cell's own vectors, ``other``) that they are compared in.
+
+    ``own`` and ``visitors`` count a cell's rows.  Own rows are dealt over the first tiles, visitors over all; an
+    own row meets other own rows in pairs of tiles in order, so no pair comes twice.
+    """
+    left = F.ceil(F.col("own") / TILE).cast("int")
+    right = F.ceil((F.col("own") + F.col("visitors")) / TILE).cast("int")  # at least as many as on the left
+    at = F.col("tile_of")
+    pair = lambda one, other: F.struct(one.alias("one"), other.alias("other"))
+    as_other = F.when(at > 0, F.transform(F.sequence(F.lit(0), at - 1), lambda k: pair(k, at))).otherwise(F.array().cast("array<struct<one:int,other:int>>"))
+    of_own = F.concat(F.transform(F.sequence(F.lit(0), right - 1), lambda k: pair(at, k)), as_other)
+    of_visitor = F.transform(F.sequence(F.lit(0), left - 1), lambda k: pair(k, at))
+    rows = cells.withColumn("tile_of", F.pmod(F.xxhash64("id"), F.when(F.col("home"), left).otherwise(right)).cast("int"))
+    rows = rows.withColumn("pair", F.explode(F.when(F.col("home"), of_own).otherwise(of_visitor)))
+    return rows.select("*", "pair.one", "pair.other").drop("pair", "own", "visitors")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -155,10 +183,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     at = ["dim", "block", "x", "y"]
     # one row a grid cell with vectors: unit vectors have coordinates in [-1, 1], so cells are bounded by the grid
     homes = plain.mapInArrow(_cells(cosine, kind, _VISITS[:1]), schema).groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
-    cells = plain.mapInArrow(_cells(cosine, kind, _VISITS), schema).join(homes, at)
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    cells = cells.withColumn("tile_of", F.pmod(F.xxhash64("id"), tiles)).withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))).drop("n")
-    found = stored(cells.groupBy(*at, "tile").applyInPandas(_linked(cosine, kind), "id bigint, links bigint, label bigint"), "near")
+    visited = F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit((dx, dy) == (0, 0)).alias("home")) for dx, dy in _VISITS)))
+    sizes = homes.select("dim", "block", "n", visited.alias("to")).select("dim", "block", "to.*", "n").groupBy(*at)
+    sizes = sizes.agg(*(F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias(name) for name, on in (("own", F.col("home")), ("visitors", ~F.col("home"))))).filter("own > 0")
+    cells = _tiled(plain.mapInArrow(_cells(cosine, kind, _VISITS), schema).join(F.broadcast(sizes), at))  # so that tiles, not cells, are dealt to tasks
+    found = stored(cells.groupBy(*at, "one", "other").applyInPandas(_linked(cosine, kind), "id bigint, links bigint, label bigint"), "near")
     counts = found.groupBy(F.col("id").alias("_id")).agg(F.sum("links").alias("links"))
     parts = components(found.filter("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))).withColumnRenamed("id", "_part")
     told = (

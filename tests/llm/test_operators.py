@@ -229,6 +229,29 @@ def test_crowded_cells(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()} == brute_vectors(rows)
 
 
+def test_embeddings_in_small_tiles(spark, monkeypatch):
+    """Many vectors near one point: all links are found, and no task has more rows than its tiles."""
+    rng = np.random.default_rng(21)
+    base, apart = rng.normal(size=16), rng.normal(size=(40, 16))
+    rows = [(i, (base + rng.normal(size=16) * 0.2).tolist()) for i in range(260)] + [(300 + i, v.tolist()) for i, v in enumerate(apart)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    linked = embeddings._linked
+
+    def bounded(cosine, kind):
+        inner = linked(cosine, kind)
+
+        def of_tiles(key, part):
+            assert len(part) <= 3 * 2 * 16, len(part)
+            return inner(key, part)
+
+        return of_tiles
+
+    monkeypatch.setattr(embeddings, "_linked", bounded)
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert got == brute_vectors(rows)
+
+
 def test_licenses(spark):
     texts = [(1, "Released under the MIT License."), (2, "x\nLicensed under the Apache License, Version 2.0. More words here."), (3, "MIT-license, mit  LICENSE! general public\nlicense"), (4, "licensed by nobody"), (5, None), (6, ""), (7, "Licensed under CC BY-NC 4.0."), (8, "mit"), (9, "license mit")]
     got = {r.doc_id: r for r in licenses.scanned(documents(spark, texts)).collect()}
