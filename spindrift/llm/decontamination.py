@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ BROADCAST_WORDS = 2_000_000
 
 _TERM = np.uint64(0xFFFFFFFFFF000000)
 _LOW = np.uint64(0xFFFFFF)
-INDEX_SCHEMA = "doc_ids array<bigint>, firsts binary, terms binary, counts binary, postings binary"
-HIT_SCHEMA = "doc_id bigint, n_words bigint, hits array<int>, items array<string>"
+INDEX_SCHEMA = "doc_ids array<bigint>, firsts binary, terms binary, counts binary, postings binary, segment bigint"
+#: (segment, place) names an indexed row, whatever its id.
+HIT_SCHEMA = "segment bigint, place int, doc_id bigint, n_words bigint, hits array<int>, items array<string>"
 
 
 def _postings(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,13 +50,15 @@ def _postings(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    segment = TaskContext.get().partitionId() << 32
     for batch in batches:
         ids, text = batch.column(0), batch.column(1)
         for lo, hi, data, offsets in text_chunks(text):
             starts, ends, first = scan(data, offsets, ALNUM)
             terms, counts, positions = _postings(hashes(data, starts, ends))
             blobs = [pa.array([x.tobytes()], pa.binary()) for x in (first.astype(np.int64), terms, counts, positions)]
-            yield pa.RecordBatch.from_arrays([pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), *blobs], ["doc_ids", "firsts", "terms", "counts", "postings"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), *blobs, pa.array([segment])], ["doc_ids", "firsts", "terms", "counts", "postings", "segment"])
+            segment += 1
 
 
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -155,11 +159,11 @@ def _search(phrases, slack: int):
                 item_cuts = np.searchsorted(pairs[:, 0], np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids, pa.array(np.diff(firsts)),
+                        pa.repeat(batch.column(5)[i], n), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(np.diff(firsts)),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(local)),
                         pa.ListArray.from_arrays(pa.array(item_cuts.astype(np.int32)), names),
                     ],
-                    ["doc_id", "n_words", "hits", "items"],
+                    ["segment", "place", "doc_id", "n_words", "hits", "items"],
                 )
 
     return of_batches
@@ -176,16 +180,15 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
     rounds = max(1, -(-words // broadcast_words))
     found = None
-    if rounds > 1:
-        index = index.withColumn("segment", F.xxhash64("terms", "firsts", "postings"))
     for k in range(rounds):
         part = items if rounds == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k)
         phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
-        hits = index.select("doc_ids", "firsts", "terms", "counts", "postings").mapInArrow(_search(phrases, slack), HIT_SCHEMA)
+        hits = index.select("doc_ids", "firsts", "terms", "counts", "postings", "segment").mapInArrow(_search(phrases, slack), HIT_SCHEMA)
         found = hits if found is None else found.unionByName(hits)
     if rounds > 1:
-        found = found.groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return found
+        union = lambda name: F.array_distinct(F.flatten(F.collect_list(name))).alias(name)
+        found = found.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), union("hits"), union("items"))
+    return found.select("doc_id", "n_words", "hits", "items")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

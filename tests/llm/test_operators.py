@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import bwt, components, decontamination, embeddings, licenses, mixing, near_duplicates, pages, suffix_dedup, toxicity, urls, warc, words
+from spindrift.llm import bwt, components, decontamination, embeddings, licenses, mixing, near_duplicates, pages, stages, suffix_dedup, toxicity, urls, warc, words
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 SOLID = re.compile("[^\x20\x09-\x0d]+")
@@ -229,6 +229,27 @@ def test_crowded_cells(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()} == brute_vectors(rows)
 
 
+
+def test_decontamination_keeps_rows_apart_in_every_round(spark):
+    a, b = " ".join(f"a{k}" for k in range(12)), " ".join(f"b{k}" for k in range(12))
+    clean = " ".join(f"c{k}" for k in range(12))
+    docs = documents(spark, [(1, a), (1, b), (1, b), (None, a), (None, clean), (None, clean)]).repartition(2)
+    items = spark.createDataFrame([("x", a), ("y", b), ("z", "not there at all")], "item_id string, text string")
+    index = decontamination.build_index(docs)
+    tell = lambda words: sorted(((r.doc_id or 0), r.n_words, len(r.hits), sorted(r.items)) for r in decontamination.search(index, items, broadcast_words=words).collect())
+    want = sorted([(1, 12, 12, ["x"]), (1, 12, 12, ["y"]), (1, 12, 12, ["y"]), (0, 12, 12, ["x"]), (0, 12, 0, []), (0, 12, 0, [])])
+    assert tell(1000) == tell(5) == tell(12) == want
+
+
+def test_contaminated_stage_decides_by_row(spark, tmp_path):
+    bad, clean = " ".join(f"a{k}" for k in range(12)), " ".join(f"c{k}" for k in range(12))
+    spark.createDataFrame([("x", bad)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [(None, bad), (None, clean), (None, None), (7, bad), (7, clean), (8, clean), (8, clean)])
+    left = stages.drop_contaminated(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(0, clean), (0, ""), (7, clean), (8, clean), (8, clean)])
+
+
 def test_embeddings_in_small_tiles(spark, monkeypatch):
     """Many vectors near one point: all links are found, and no task has more rows than its tiles."""
     rng = np.random.default_rng(21)
