@@ -114,9 +114,8 @@ def marker_findings(spark, d):
 
 
 def file_snapshot(spark, d):
-    """Digest of the benchmark table's file, as a manifest row."""
-    rows = files.snapshot_tree(spark, d, exclude=r"^(?!region|nation)")
-    return rows.select(F.regexp_extract("path", r"^([a-z]+)", 1).alias("name"), (F.col("bytes") > 0).alias("has_bytes"), F.length("sha256").cast("long").alias("digits")).distinct()
+    """Path, bytes and digest of all files of the tables' folder, as manifest rows."""
+    return files.snapshot_tree(spark, d).select("path", "bytes", "sha256")
 
 
 def stratified_topk(spark, d):

@@ -46,9 +46,27 @@ def unique_map(df: DataFrame, key: str, value: str, expected: int | None = None)
     return rows
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of files without bytes, which Spark's readers leave out."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(top, True)
+    found, depth = [], top.depth()
+    while listed.hasNext():
+        file = listed.next()
+        names = file.getPath().toUri().getPath().strip("/").split("/")[depth:]
+        if file.getLen() == 0 and not any(name.startswith(("_", ".")) for name in names):
+            found.append(file.getPath().toString())
+    return found
+
+
 def snapshot_tree(spark: SparkSession, root: str, exclude: str | None = None) -> DataFrame:
-    """(path below root, bytes, sha256) of all files; contents are hashed where they are read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """(path below root, bytes, sha256) of all files; contents are hashed where they are read.
+
+    Names that begin with ``_`` or ``.`` are hidden from Spark's readers and aren't files of the tree.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    if empty := _empty_files(spark, root):
+        rows = rows.unionByName(spark.createDataFrame([(path, 0, b"") for path in empty], "path string, length long, content binary"))
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", ""), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root.removeprefix("file://").rstrip("/")) + "/", "")
     rows = rows.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     return rows.filter(~F.col("path").rlike(exclude)) if exclude else rows

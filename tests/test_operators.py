@@ -1,5 +1,6 @@
 """Operators on small tables: edge rules and golden values."""
 
+import hashlib
 import json
 import math
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.operators import aggregates, cohort, documents, models, paired, resampling, selection
+from spindrift.plans import cohort_queries
 from spindrift.sources import files, report
 from spindrift.streaming import ledger
 
@@ -233,3 +235,12 @@ def test_selected_once_stream(spark, tmp_path):
     s = spark.readStream.schema("cell string, attempt long, valid boolean").parquet(str(tmp_path / "in"))
     got = ledger.drained(ledger.selected_once(s, "cell", "attempt", "valid"), "append").collect()
     assert [(r.cell, r.selected_attempt) for r in got] == [("c", 2)]
+
+
+def test_file_snapshot_query(spark, tmp_path):
+    contents = {"region.parquet": b"r" * 10, "documents.parquet/part-0.parquet": b"\0\xff" * 5000, "deep/er/empty.txt": b"", "notes.md": "é".encode()}
+    for name, raw in contents.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    rows = cohort_queries.file_snapshot(spark, str(tmp_path)).collect()
+    assert {(r.path, r.bytes, r.sha256) for r in rows} == {(name, len(raw), hashlib.sha256(raw).hexdigest()) for name, raw in contents.items()} and len(rows) == len(contents)
