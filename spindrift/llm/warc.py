@@ -2,7 +2,8 @@
 
 The writer marks repeated payloads as revisits.  The reader cuts the files into byte ranges; a task
 looks for gzip magic in its range, takes a place for a member only if it unpacks to a WARC header,
-and owns the records that start inside, reading on past its range for the last one.
+and owns the records that start inside, reading on past its range for the last one.  It reads a
+window at a time, so it holds one record and one window, and reads nothing twice.
 
 Files are written and read through Arrow's file systems under the shared folder, to names of their
 own per attempt; only files of tasks that succeeded are read.  Archives hold whole payloads.
@@ -28,8 +29,10 @@ from .store import new_folder
 
 #: Payloads under this many bytes are never revisits.
 LEAST_REVISIT = 100
-#: A file is closed beyond this size; a range that one task reads.
-FILE_BYTES, RANGE_BYTES = 1 << 30, 16 << 20
+#: A file is closed beyond this size; a range that one task reads at least, and the number of ranges from which they get longer.
+FILE_BYTES, RANGE_BYTES, MOST_RANGES = 1 << 30, 16 << 20, 50_000
+#: Bytes that a task reads and holds at once; of a member, those that its header is looked for in, and those unpacked at a time then.
+WINDOW, FIRST, STEP = 1 << 18, 4096, 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:page:"
@@ -98,24 +101,46 @@ def write(pages: DataFrame, folder: str) -> list[tuple[str, int]]:
     return sorted((r["path"], r["size"]) for r in marked.mapInArrow(of_batches, "path string, size bigint").collect())
 
 
-def _member(read, start: int, first: bytes):
-    """(plain bytes, end) of the gzip member at ``start``, or None if none with a WARC header starts there.
-
-    ``first`` is what has been read from there; ``read(at)`` gives more, b"" at the end of the file.
-    """
-    unpack, plain, at, chunk = zlib.decompressobj(wbits=31), bytearray(), start, first
-    while chunk:
+class _Ahead:
+    """Bytes of an open file from any place on, read a window at a time; going forward, each byte is read once."""
+
+    def __init__(self, source, size: int, window: int) -> None:
+        self.source, self.size, self.window = source, size, window
+        self.begin, self.held = 0, b""
+
+    def of(self, at: int) -> memoryview:
+        """What is held from ``at`` on; b"" at the end of the file."""
+        if not self.begin <= at < self.begin + len(self.held):
+            self.begin, self.held = at, self.source.read_at(min(self.window, self.size - at), at) if at < self.size else b""
+        return memoryview(self.held)[at - self.begin :]
+
+    def find(self, at: int, end: int) -> int:
+        """The first place of the magic in [at, end), -1 if there is none."""
+        while at < end:
+            k = self.held.find(MAGIC, at - self.begin) if len(self.of(at)) >= len(MAGIC) else -1
+            if k >= 0:
+                return self.begin + k if self.begin + k < end else -1
+            after = self.begin + len(self.held)
+            if after >= self.size:
+                return -1
+            at = max(at, after - len(MAGIC) + 1)
+            self.begin, self.held = at, b""  # so that the next window starts with these last bytes
+        return -1
+
+
+def _member(ahead: _Ahead, start: int) -> tuple[bytes, int] | None:
+    """(plain bytes, end) of the gzip member at ``start``, or None if none with a WARC header starts there."""
+    unpack, plain, at, most = zlib.decompressobj(wbits=31), bytearray(), start, FIRST
+    while len(chunk := ahead.of(at)[:most]):
         try:
             plain += unpack.decompress(chunk)
         except zlib.error:
             return None
         if len(plain) >= 5 and plain[:5] != b"WARC/":
             return None
-        at += len(chunk)
+        at, most = at + len(chunk), STEP
         if unpack.eof:
-            end = at - len(unpack.unused_data)
-            return (bytes(plain), end) if b"\r\n\r\n" in plain else None
-        chunk = read(at)
+            return (bytes(plain), at - len(unpack.unused_data)) if b"\r\n\r\n" in plain else None
     return None
 
 
@@ -140,20 +165,14 @@ def parsed(plain: bytes) -> dict:
     return {"record_type": kind, "record_id": bare("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "refers_to": bare("warc-refers-to"), "payload_digest": digest, "payload_bytes": size, "payload": payload if kind != "revisit" else None}
 
 
-def records_in(source, size: int, start: int, end: int, ahead: int = 1 << 18) -> Iterator[tuple[int, bytes]]:
-    """(start, plain bytes) of the records that start in [start, end) of an open file."""
+def records_in(source, size: int, start: int, end: int, window: int = WINDOW) -> Iterator[tuple[int, bytes]]:
+    """(start, plain bytes) of the records that start in [start, end) of an open file.
 
-    def more(at: int) -> bytes:
-        return source.read_at(min(ahead, size - at), at) if at < size else b""
-
-    data = source.read_at(min(end + len(MAGIC) - 1, size) - start, start)
-    at = start
-    while True:
-        k = data.find(MAGIC, at - start)
-        if k < 0 or start + k >= end:
-            return
-        at = start + k
-        got = _member(more, at, data[k : k + 4096]) if len(data) - k > 4096 else _member(more, at, data[k:])
+    The file is read a window at a time, on past ``end`` as far as the last record goes (to the end of a window).
+    """
+    ahead, at = _Ahead(source, size, window), start
+    while (at := ahead.find(at, end)) >= 0:
+        got = _member(ahead, at)
         if got is None:
             at += 1
         else:
@@ -182,8 +201,9 @@ def _to_batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in names], names)
 
 
-def read(spark: SparkSession, folder: str, files: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All records of the (path, bytes) files, one task a byte range."""
+def read(spark: SparkSession, folder: str, files: list[tuple[str, int]], range_bytes: int | None = None) -> DataFrame:
+    """All records of the (path, bytes) files, one task a byte range; ranges grow with the files, their number is bounded by theirs and ``MOST_RANGES``."""
+    range_bytes = range_bytes or max(RANGE_BYTES, -(-sum(n for _, n in files) // MOST_RANGES))
     ranges = [(folder, path, size, at, min(at + range_bytes, size)) for path, size in files for at in range(0, size, range_bytes)]
     plan = spark.createDataFrame(ranges, "uri string, path string, size bigint, start bigint, stop bigint")
     return plan.repartition(max(1, len(ranges))).mapInArrow(_read, RECORD_SCHEMA)

@@ -174,6 +174,9 @@ def test_decontamination(spark, corpus):
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(d), len(hit), len(found), bool(hit)), i
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    nameless = spark.createDataFrame([(None, "a b c"), (None, "c d"), ("None", "b c d")], "item_id string, text string")
+    r = decontamination.decontaminated(documents(spark, [(1, "a b c d"), (2, "a b c")]), nameless).orderBy("doc_id").collect()
+    assert [(x.n_hit, x.n_items) for x in r] == [(4, 2), (3, 1)] and r[0].items_sha256 == hashlib.sha256(b"None").hexdigest()
     assert not any(r.contaminated for r in decontamination.decontaminated(documents(spark, corpus[:5]), bench.limit(0)).collect())
     assert decontamination.decontaminated(documents(spark, []), bench).count() == 0
 
@@ -397,6 +400,35 @@ def test_warc_range_skips_false_magic(tmp_path):
         assert [at for at, _ in warc.records_in(f, len(data), 0, len(data))] == [len(data) - len(good)]
 
 
+class Counted:
+    """An open file that adds up what is read."""
+
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def read_at(self, n, at):
+        self.read += n
+        return self.data[at : at + n]
+
+
+def test_warc_reads_each_byte_about_once():
+    rng = random.Random(2)
+    bodies = [bytes(rng.randbytes(12_000 + 50 * k)) for k in range(60)] + [rng.randbytes(3_000_000)]
+    data = b"".join(warc.record(k, "u", b, hashlib.sha256(b).hexdigest(), None) for k, b in enumerate(bodies))
+    whole = list(warc.records_in(Counted(data), len(data), 0, len(data)))
+    assert [warc.parsed(x)["payload"] for _, x in whole] == bodies
+    one = Counted(data)
+    assert len(list(warc.records_in(one, len(data), 0, len(data)))) == 61 and one.read < 1.1 * len(data)
+    cut, read = [], 0
+    for lo in range(0, len(data), 1 << 20):  # the last record of 3 MB begins in one range and ends in a later one
+        source = Counted(data)
+        cut += warc.records_in(source, len(data), lo, min(lo + (1 << 20), len(data)))
+        read += source.read
+    assert cut == whole and read < 2 * len(data)
+    for window in (7, 1000, 4097):
+        assert list(warc.records_in(Counted(data[:100_000]), 100_000, 0, 60_000, window)) == [x for x in whole if x[0] < 60_000]
+
+
 def toxic_tables(spark, n=400):
     rng = random.Random(9)
     texts = [(i, sentence(rng, 40) + (" you utter scoundrel and vile wretch" if i % 4 == 0 else "")) for i in range(n)]
