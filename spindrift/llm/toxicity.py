@@ -27,8 +27,6 @@ from .words import ALNUM, hashes, mixed, scan, text_chunks
 BITS = 20
 #: Labelled rows that are learned from at most.
 SAMPLE = 8_000
-#: Features of fewer training rows than this are left out: L1 would hold their weights at 0 or they would be noise.
-LEAST_ROWS = 4
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
 #: Weights that may be broadcast at most (12 bytes each).
@@ -93,8 +91,6 @@ class FTRL:
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["place", "toxic"], kind="stable")
     examples = [(np.frombuffer(f, dtype=np.int32), int(y)) for f, y in zip(rows["features"], rows["toxic"], strict=True)]
-    common = sum((np.bincount(f, minlength=1 << BITS) for f in (np.concatenate([f for f, _ in examples[i : i + 500]]) for i in range(0, len(examples), 500)))) >= LEAST_ROWS
-    examples = [(f[common[f]], y) for f, y in examples]
     model = FTRL()
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(len(examples)):
