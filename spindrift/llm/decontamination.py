@@ -8,7 +8,8 @@ postings of its other terms, rarest first, thin them out.  Nothing is shuffled b
 Terms are 40-bit hashes of lower-cased words; a false match needs a collision in a place where all
 other words of the window stand.  Null and empty texts have no words; a null item text or an item
 without words has no windows; repeated rows are indexed each time; an item id that occurs several
-times is one item with all its windows; empty tables give empty results or no hits.
+times is one item with all its windows; all items
+with a null id count as one, which isn't listed; empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ class Phrases:
                 row = h[k : k + window]
                 rows.append((row, len(row)))
                 owners.append(i)
-        self.items = [str(i) for i, _ in items]
+        self.items = [i for i, _ in items]
         self.owner = np.array(owners, dtype=np.int64)
         self.length = np.array([n for _, n in rows], dtype=np.int64)
         flat = np.concatenate([r for r, _ in rows]) if rows else np.zeros(0, np.uint64)
