@@ -199,12 +199,13 @@ def brute_vectors(rows):
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
             x = np.array(v, dtype=np.float64)
             unit[i] = x / np.sqrt((x * x).sum())
-    links = {(a, b) for a in unit for b in unit if a != b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95}
+    links = {a: [b for b in unit if a != b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95] for a in unit}
     label = {i: i for i, _ in rows}
-    for a, b in links:
-        x, y = sorted((label[a], label[b]))
-        label = {k: x if v == y else v for k, v in label.items()}
-    return {i: (sum(1 for a, _ in links if a == i), label[i]) for i, _ in rows}
+    while True:
+        low = {i: min([label[i], *(label[b] for b in links.get(i, ()))]) for i in label}
+        if low == label:
+            return {i: (len(links.get(i, ())), label[i]) for i, _ in rows}
+        label = low
 
 
 def test_embeddings(spark):
@@ -253,6 +254,40 @@ def test_contaminated_stage_decides_by_row(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(0, clean), (0, ""), (7, clean), (8, clean), (8, clean)])
 
 
+def test_range_join_of_a_block_is_exact_and_prunes():
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x[:300] = x[0] + rng.normal(size=(300, 64)) * 1e-3
+    own = x[:, :8].astype(np.float32)
+    at, budget = np.arange(len(x)), embeddings.budgets(64, 0.95)[0]
+    got, compared = set(), 0
+    for i, j, n in embeddings.within_budget(own, at, at, budget + 1e-5):
+        got |= set(zip(i.tolist(), j.tolist(), strict=True))
+        compared += n
+    for i in range(0, 12_000, 600):
+        square = ((x[i, :8] - x[:, :8]) ** 2).sum(axis=1)
+        assert {(i, j) for j in np.flatnonzero(square <= budget).tolist()} <= got
+    assert compared < 0.15 * len(x) ** 2 and len(got) < 0.002 * len(x) ** 2
+    tree = embeddings.Tree(x[:, :8], 32)
+    home, met = tree.homes(x[:, :8]), defaultdict(set)
+    for leaf, rows in tree.near(x[:, :8], budget):
+        for r in rows.tolist():
+            met[r].add(leaf)
+    assert all(home[i] in met[i] and home[j] in met[i] for i, j in list(got)[:5000])
+    assert np.bincount(home).max() < 3 * len(x) / 32 + 300
+
+
+def test_embeddings_with_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 64)
+    rng = np.random.default_rng(23)
+    rows = [(i, rng.normal(size=24).tolist()) for i in range(700)]
+    rows += [(1000 + k, (np.array(rows[k % 90][1]) + rng.normal(size=24) * rng.choice([0.05, 0.2, 0.3])).tolist()) for k in range(500)]
+    rows += [(2000 + k, [1.0, 0.5 * k, 2.0]) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()} == brute_vectors(rows)
+
+
 def test_embeddings_in_small_tiles(spark, monkeypatch):
     """Many vectors near one point: all links are found, and no task has more rows than its tiles."""
     rng = np.random.default_rng(21)
