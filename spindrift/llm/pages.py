@@ -9,20 +9,26 @@ then extracted again from all containers with the path that won, or from their o
 where the winning path doesn't occur.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by tag, role, class or id, wherever they stand.  Character references are decoded, white
-space inside a block becomes one space, blocks are trimmed and joined by one line feed in page order.
+left out wherever they stand: by tag or role, and by a class or id that says nothing else
+(``sidebar-left``).  A class that names them beside other things (``has-sidebar``, ``related-work``)
+is only a hint: such an element stays if it is part of an article or main element, or if it holds at
+least half of the page's text.  Character references are decoded, white space inside a block
+becomes one space, blocks are trimmed and joined by one line feed in page order.
 
 Null and empty html give an empty text; pages without a host vote for themselves alone under the empty
 host; broken markup is read as browsers do in the main points (unclosed tags end with their parent);
-elements nested more than 512 deep are read flat; repeated rows count each time; very long pages are read whole.
+markup may be nested and pages may be long without limit, time is linear in them; repeated rows and rows
+with a null page_id count each time; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,53 +60,122 @@ MARKS = frozenset(
     "header masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted "
     "promotion related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say nothing about an element beside such a mark.
+NEUTRAL = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cell center col column container content desktop div element fixed float floating footer "
+    "form global group holder icon icons inner item items large left link links list main middle mobile module outer page panel post posts primary right row secondary section "
+    "site slot small sticky stories story text thread title top unit wrap wrapper zone".split()
+)
+#: Classes that say that an element is the article.
+ARTICLE = frozenset("article body content entry main post story text".split())
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_ENDS_P = BLOCKS
+_LISTS = frozenset("ul ol dl table select".split()) | CONTAINERS - {"td", "dd", "tbody"}
 _CLASS_WORD = re.compile(r"[A-Za-z]+")
-#: Elements that may be open at once; what is nested deeper is read as text of the deepest one, as in browsers.
-DEEPEST = 512
 _OUTWARD, _MAIN_TAGS = 0.6, frozenset(("article", "main"))
 #: The share of a page's text outside links that the lifted container holds at least.
 NEARLY = 0.9
+IN, HINTED, OUT = 0, 1, 2
 
 
 class Container:
-    __slots__ = ("beside", "headed", "inside", "mass", "parent", "path", "score")
+    """An element that may hold the main text: the blocks ``first`` to ``last`` of its page."""
+
+    __slots__ = ("beside", "digest", "first", "headed", "last", "mass", "parent", "raw", "step")
 
-    def __init__(self, path: str, parent: Container | None) -> None:
-        self.path, self.parent, self.score = path, parent, 0.0
-        self.inside: list[str] = []  # texts of all blocks in it, in page order
+    def __init__(self, step: str, parent: Container | None, first: int) -> None:
+        self.step, self.parent, self.first, self.last, self.raw = step, parent, first, None, 0.0
+        self.digest = _digest(parent.digest, step) if parent else b""
         self.mass, self.beside, self.headed = 0.0, False, False  # its text outside links, whether some is in no inner container, whether it holds a main heading
 
     @property
     def tag(self) -> str:
-        return self.path.rpartition(">")[2].partition(".")[0]
+        return self.step.partition(".")[0]
+
+    @property
+    def score(self) -> float:
+        return self.raw * (1.5 if self.tag in _MAIN_TAGS else 1.0)
+
+    @property
+    def path(self) -> str:
+        steps, at = [], self
+        while at.parent is not None:
+            steps.append(at.step)
+            at = at.parent
+        return "".join(f">{s}" for s in reversed(steps))
+
+
+def _digest(parent: bytes, step: str) -> bytes:
+    return hashlib.md5(parent + step.encode(errors="replace"), usedforsecurity=False).digest()
+
+
+def path_digest(path: str) -> bytes:
+    """The digest of containers with this path."""
+    digest = b""
+    for step in path.split(">")[1:]:
+        digest = _digest(digest, step)
+    return digest
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip() else {}
 
 
-def _marked(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element is left out with all that is in it."""
+def _marked(tag: str, attrs: dict[str, str]) -> int:
+    """OUT for an element that is left out with all that is in it, HINTED if a class or id names such a one beside other things."""
     if tag in LEFT_OUT or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
+        return OUT
     if "style" in attrs and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs["style"], re.I):
-        return True
+        return OUT
     if tag in ("html", "body", "main", "article"):
         words = attrs.get("class", "").lower().split()
-        return tag == "article" and ("comment" in words or "reply" in words)
-    return any(w in MARKS for name in ("class", "id") for w in _CLASS_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get(name, "")).lower()))
-
-
-def containers(page: str | None) -> list[Container]:
-    """All containers of a page with their scores and the blocks in them, in page order of opening."""
-    root = Container("", None)
-    found, page = [root], page or ""
-    stack: list[tuple[str, Container, bool, bool]] = [("", root, False, False)]  # tag, container, left out, in a link
-    open_tags: Counter[str] = Counter()
+        return OUT if tag == "article" and ("comment" in words or "reply" in words) else IN
+    names = [n for k in ("class", "id") if k in attrs for n in attrs[k].split()]
+    told = [set(_CLASS_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower())) for n in names]
+    marks = [words for words in told if words & MARKS]
+    if any(words <= MARKS | NEUTRAL for words in marks) and not any(n.lower() in ARTICLE for n in names):
+        return OUT
+    return HINTED if marks else IN
+
+
+class Page:
+    """The containers and blocks of a page, in page order."""
+
+    def __init__(self, found: list[Container], blocks: list[tuple[str, float, bool]]) -> None:
+        self.found, self.texts = found, [text for text, _, _ in blocks]
+        masses = [0.0, *accumulate(mass for _, mass, _ in blocks)]
+        heads = [0, *accumulate(int(headed) for _, _, headed in blocks)]
+        for c in reversed(found):  # what is inside comes before what is around
+            c.last = len(blocks) if c.last is None else c.last
+            c.mass, c.headed = masses[c.last] - masses[c.first], heads[c.last] > heads[c.first]
+            if c.parent is not None:
+                c.parent.raw += _OUTWARD * c.raw
+
+    def inside(self, c: Container) -> list[str]:
+        return self.texts[c.first : c.last]
+
+
+def containers(html: str | None) -> Page:
+    """A page's containers with their scores, and its blocks."""
+    page, hints, around = _read(html or "", frozenset())
+    total = page.found[0].mass + sum(hints.values())
+    for k in sorted(around, reverse=True):  # what a hinted element holds, that around it holds too
+        if around[k] >= 0:
+            hints[around[k]] += hints[k]
+    spared = frozenset(k for k, mass in hints.items() if mass > 0 and 2 * mass >= total)
+    return _read(html or "", spared)[0] if spared else page
+
+
+def _read(page: str, spared: frozenset[int]) -> tuple[Page, dict[int, float], dict[int, int]]:
+    """The page without hinted elements but those ``spared`` (by number); how much text each one left out holds itself, and which one is around it (-1: none)."""
+    root = Container("", None, 0)
+    found, blocks = [root], []
+    stack: list[tuple[str, Container, int, bool, int]] = [("", root, IN, False, -1)]  # tag, container, whether left out, in a link, number of the hinted element around
+    places: dict[str, list[int]] = defaultdict(list)  # where the open elements of a tag are in the stack
+    kinds: dict[str, list[int]] = {"block": [0], "container": [0], "list": [0]}
+    hints: dict[int, float] = defaultdict(float)
+    around: dict[int, int] = {}
     text: list[str] = []
-    linked = 0
+    linked = number = 0
 
     def flush() -> None:
         nonlocal linked
@@ -109,27 +184,34 @@ def containers(page: str | None) -> list[Container]:
         block = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         text.clear()
         own, linked = linked, 0
-        if not block or stack[-1][2]:
+        _, holder, out, _, hint = stack[-1]
+        if not block or out == OUT:
             return
-        mass = weight = max(0.0, len(block) - 2.0 * own)
-        headed = open_tags["h1"] > 0
-        at: Container | None = stack[-1][1]
-        at.beside = at.beside or mass > 0
-        while at is not None:
-            at.inside.append(block)
-            at.mass += mass
-            at.headed = at.headed or headed
-            at.score += weight * (1.5 if at.tag in _MAIN_TAGS else 1.0)
-            weight *= _OUTWARD
-            at = at.parent
+        mass = max(0.0, len(block) - 2.0 * own)
+        if out == HINTED:
+            hints[hint] += mass
+            return
+        holder.beside = holder.beside or mass > 0
+        holder.raw += mass
+        blocks.append((block, mass, bool(places["h1"])))
+
+    def kinds_of(tag: str) -> Iterator[list[int]]:
+        for kind, tags in (("block", BLOCKS), ("container", CONTAINERS), ("list", _LISTS)):
+            if tag in tags:
+                yield kinds[kind]
 
     def pop_to(depth: int) -> None:
-        open_tags.subtract(x[0] for x in stack[depth:])
-        del stack[depth:]
+        while len(stack) > depth:
+            tag, holder, *_ = stack.pop()
+            if holder is not stack[-1][1]:
+                holder.last = len(blocks)
+            places[tag].pop()
+            for at in kinds_of(tag):
+                at.pop()
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not stack[-1][2]:
+        if m.start() > at and stack[-1][2] != OUT:
             piece = page[at : m.start()]
             text.append(piece)
             if stack[-1][3]:
@@ -141,62 +223,58 @@ def containers(page: str | None) -> list[Container]:
         if m["close"]:
             if tag in BLOCKS or tag == "br":
                 flush()
-            if tag == "br":
-                continue
-            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
-                if stack[depth][0] == tag:
-                    if tag in BLOCKS or not any(x[0] in BLOCKS for x in stack[depth + 1 :]):
-                        pop_to(depth)
-                    break
+            if tag != "br" and places[tag] and (tag in BLOCKS or places[tag][-1] > kinds["block"][-1]):  # an inline element doesn't end blocks
+                pop_to(places[tag][-1])
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-            for depth in range(len(stack) - 1, 0, -1) if open_tags["p"] else ():  # an open paragraph ends, with what is open in it
-                if stack[depth][0] == "p" and tag in _ENDS_P:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in CONTAINERS:
-                    break
-            for depth in range(len(stack) - 1, 0, -1) if tag in _IMPLIED else ():
-                if stack[depth][0] in _IMPLIED.get(tag, ()):
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in ("ul", "ol", "dl", "table", "select") or stack[depth][0] in CONTAINERS - {"td", "dd", "tbody"}:
-                    break
+            if places["p"] and places["p"][-1] > kinds["container"][-1]:  # an open paragraph ends, with what is open in it
+                pop_to(places["p"][-1])
+            open_ = [places[t][-1] for t in _IMPLIED.get(tag, ()) if places[t]]
+            if open_ and max(open_) > kinds["list"][-1]:
+                pop_to(max(open_))
         if tag in VOID:
             continue
-        parent = stack[-1]
+        _, holder, out, in_link, hint = stack[-1]
         attrs = _attributes(m["attrs"])
-        out = parent[2] or _marked(tag, attrs)
-        holder = parent[1]
-        if tag in CONTAINERS and not out and len(stack) < DEEPEST:
-            classes = ".".join(sorted(_DIGITS.sub("#", c) for c in attrs.get("class", "").split()))
-            holder = Container(f"{holder.path}>{tag}" + (f".{classes}" if classes else ""), holder)
+        number += 1
+        if out != OUT:
+            own = _marked(tag, attrs)
+            if own == HINTED and (number in spared or any(places[t] for t in _MAIN_TAGS)):
+                own = IN
+            if own == HINTED:
+                around[number], hint = hint, number
+            out = max(out, own)
+        if tag in CONTAINERS and out == IN:
+            classes = ".".join(sorted(_DIGITS.sub("#", c).replace(">", "") for c in attrs.get("class", "").split()))
+            holder = Container(tag + (f".{classes}" if classes else ""), holder, len(blocks))
             found.append(holder)
-        if len(stack) < DEEPEST and (not m["attrs"].rstrip().endswith("/") or tag in BLOCKS):
-            stack.append((tag, holder, out, parent[3] or tag == "a"))
-            open_tags[tag] += 1
-    if at < len(page) and not stack[-1][2]:
+        if not m["attrs"].rstrip().endswith("/") or tag in BLOCKS:
+            places[tag].append(len(stack))
+            for kind in kinds_of(tag):
+                kind.append(len(stack))
+            stack.append((tag, holder, out, in_link or tag == "a", hint))
+    if at < len(page) and stack[-1][2] != OUT:
         text.append(page[at:])
     flush()
-    return found
+    return Page(found, blocks), hints, around
 
 
-def best(found: list[Container]) -> Container:
+def best(page: Page) -> Container:
     """The container with the highest score; the first of ties."""
-    return max(found, key=lambda c: c.score)
+    return max(page.found, key=lambda c: c.score)
 
 
-def lifted(found: list[Container], top: Container) -> Container:
+def lifted(page: Page, top: Container) -> Container:
     """The smallest container around ``top`` (or itself) with nearly all text; around that, what belongs to the same article.
 
     The second step adds at most a tenth of the page's text: up to the article (or main element) around,
     up to the first container with a main heading, and while text stands beside in a container below the body.
     """
-    root, at = found[0], top
+    root, at = page.found[0], top
     while at.mass < NEARLY * root.mass:
         at = at.parent
     around = [at]
@@ -212,11 +290,12 @@ def lifted(found: list[Container], top: Container) -> Container:
     return at
 
 
-def main_text(found: list[Container], path: str | None) -> str:
+def main_text(page: Page, path: str | None) -> str:
     """The blocks of all containers with the given path, in page order; of the page's own lifted one if there are none."""
     # containers of one path are never inside each other
-    blocks = [block for c in found if c.path == path for block in c.inside]
-    return "\n".join(blocks or lifted(found, best(found)).inside)
+    digest = None if path is None else path_digest(path)
+    blocks = [block for c in page.found if c.digest == digest for block in page.inside(c)]
+    return "\n".join(blocks or page.inside(lifted(page, best(page))))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

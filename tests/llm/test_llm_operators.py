@@ -585,3 +585,34 @@ def test_pages_keep_headings_leads_and_sibling_sections(spark):
     rows = [(10 * k + j, f"http://h{k}/{j}", f"<body>{shape}{menu}</body>") for k, (shape, _) in enumerate(shapes) for j in range(2)]
     got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: shapes[i // 10][1] for i, _, _ in rows}
+
+
+def test_pages_with_marks_among_other_words():
+    body = "<p>" + "word goes here and there. " * 20 + "</p>"
+    clean = ("word goes here and there. " * 20).strip()
+    text = lambda html: pages.main_text(pages.containers(html), None)
+    for name in ("content has-sidebar", "content-with-sidebar", "social-good-news", "post no-ads"):
+        assert text(f'<body><div class="{name}">{body}<div class="sidebar">SIDE</div><div id="main-nav">x</div></div></body>') == clean
+    assert text(f'<article>{body}<section class="related-work"><p>It stays.</p></section><div class="related-posts">gone</div></article>') == f"{clean}\nIt stays."
+    assert text(f'<body><div class="x">{body}</div><div class="sidebar-trending-now">some trending thing</div></body>') == clean
+    assert text(f'<body><div class="x"><p>Short.</p></div><div class="cookie-notice">{body}</div><div class="comment-list">{body}</div></body>') == "Short."
+    assert text("<body><div class='page with-menu'><div class='inner has-ads'>" + body + "</div></div><div>short rest</div></body>").startswith(clean)
+
+
+def test_deep_and_long_pages_in_linear_time():
+    text = lambda html: pages.main_text(pages.containers(html), None)
+    for deep in (600, 100_000):
+        assert text("<div>" * deep + "<nav>MENU ITEM</nav><aside>ADVERT</aside><p>text</p>" + "</div>" * deep) == "text"
+    assert text("<div class='has-ads'>x" * 20_000).split("\n")[:9] == ["x"] * 9
+    assert text("<i>" * 100_000 + "a" + "</b>" * 100_000 + "b") == "ab"
+    assert text("<article>" + "<p>one two" * 200_000) == "\n".join(["one two"] * 200_000)
+    page = pages.containers("<div class='a>b'>" * 300 + "<p>deep words")
+    top = pages.lifted(page, pages.best(page))
+    assert pages.main_text(page, top.path) == "deep words" and pages.path_digest(top.path) == top.digest
+
+
+def test_pages_with_null_ids_and_columns_of_the_same_names(spark):
+    rows = [(None, "http://h/1", "<p>a b</p>", "x", 1), (None, "http://h/1", "<p>a b</p>", "x", 1), (3, None, None, "y", 2), (4, "u", "&amp;&lt;p&gt; &eacute;&#x41; " * 1000, "z", 3)]
+    got = pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.text) for r in got.collect()) == [(0, "a b"), (0, "a b"), (3, ""), (4, " ".join(["&<p> éA"] * 1000))]
