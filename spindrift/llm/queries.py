@@ -26,7 +26,21 @@ _PHRASE_HITS = " UNION ALL ".join(
 )
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: What a block is, and the character references of the driver's pages; the operator knows all of HTML's.
+_BLOCK_TAG = "(?i)</?(article|section|div|p|h[1-6]|ul|ol|li|table|tr|td|th|blockquote|pre)\\b[^>]*>"
+_ARTICLE = r"regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*?)(</article>|$)', 1)"
+for _out in ("<!--.*?-->", *(f"<{tag}\\b.*?</{tag}>" for tag in ("script", "style", "nav", "aside", "form", "header", "footer"))):
+    _ARTICLE = f"regexp_replace({_ARTICLE}, '(?is){_out}', '', 'g')"
+_PIECES = f"regexp_replace(regexp_replace(regexp_replace({_ARTICLE}, '(?i)<br[^>]*>', ' ', 'g'), '{_BLOCK_TAG}', chr(1), 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
+    _PIECES = f"replace({_PIECES}, '{_name}', '{_char}')"
+_PIECES = f"regexp_replace({_PIECES}, '&amp;?', '&', 'g')"
+
 ORACLE_SQL = {
+    "op2_pages": rf"""
+WITH b AS (SELECT page_id, url, list_filter(list_transform(string_split({_PIECES}, chr(1)), lambda x: trim(regexp_replace(x, '[\s\x{{A0}}]+', ' ', 'g'))), lambda x: x <> '') AS b FROM pages),
+t AS (SELECT page_id, url, array_to_string(b, chr(10)) AS text FROM b)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM t""",
     "op1_embeddings": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
