@@ -67,6 +67,33 @@ def _sorted_by(rank: np.ndarray, most: int) -> np.ndarray:
     return order
 
 
+class Merged:
+    """Transforms side by side: where each begins, their rows' ranks by the first ``STRIDE`` symbols, and steps of as many symbols."""
+
+    def __init__(self, transforms: list[np.ndarray]) -> None:
+        self.start = np.concatenate([[0], np.cumsum([len(t) for t in transforms])]).astype(np.int64)
+        self.n = int(self.start[-1])
+        back, forth, first = [], [], []
+        for at, t in zip(self.start, transforms, strict=False):
+            b, f, c = _steps(t)
+            back.append(np.where(b >= 0, b + at, -1))
+            forth.append(np.where(f >= 0, f + at, -1))
+            first.append(c)
+        self.back, jump = np.concatenate(back), np.concatenate(forth)
+        self.prefix, width = np.concatenate(first).astype(np.uint64), 1
+        while width < STRIDE:  # first symbols, doubled; an end stands for all that would follow it
+            self.prefix = (self.prefix << np.uint64(8 * width)) | np.where(jump >= 0, self.prefix[jump], np.uint64(0))
+            jump, self.back, width = _twice(jump), _twice(self.back), 2 * width
+        self.short = np.flatnonzero(jump < 0)  # suffixes that end within a stride; they differ from all others by then
+        by_prefix = np.argsort(self.prefix, kind="stable")
+        self.rank = np.empty(self.n, dtype=np.int64)
+        self.rank[by_prefix] = np.cumsum(np.concatenate([[False], self.prefix[by_prefix[1:]] != self.prefix[by_prefix[:-1]]])[: self.n])
+        self.most = int(self.rank.max()) + 1 if self.n else 0
+
+    def first_symbols(self, rows: np.ndarray, count: int) -> np.ndarray:
+        return self.prefix[rows] >> np.uint64(8 * (STRIDE - count)) if count else np.zeros(len(rows), dtype=np.uint64)
+
+
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(interleave, new): which transform each merged suffix is from, and whether its first ``depth``
     symbols differ from those of the suffix before it.
@@ -75,45 +102,57 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     interleave of suffixes ordered by h symbols over to h + 8: the eight symbols before them, which
     the transforms hold, taken in that order, say where their extensions go.  That is a stable
     counting sort of interleaved rows; no suffix is compared again, and the order within a transform
-    never changes.  A border between two groups of equal prefixes appears in the step in which the
-    common prefix ends, which is how common prefix lengths come out; groups without borders after
-    ``depth`` symbols are the repeated intervals.
+    never changes.  It is the same as eight steps of one symbol, because a stable sort by eight symbols
+    is eight stable sorts by one.  A border between two groups of equal prefixes appears in the step
+    in which the common prefix ends, which is how common prefix lengths come out; groups without
+    borders after ``depth`` symbols are the repeated intervals.
     """
-    start = np.concatenate([[0], np.cumsum([len(t) for t in transforms])])
-    n = int(start[-1])
-    back, forth, first = [], [], []
-    for at, t in zip(start, transforms, strict=False):
-        b, f, c = _steps(t)
-        back.append(np.where(b >= 0, b + at, -1))
-        forth.append(np.where(f >= 0, f + at, -1))
-        first.append(c)
-    back, forth = np.concatenate(back), np.concatenate(forth)
-    prefix = np.concatenate(first).astype(np.uint64)
-    jump, width = forth, 1
-    while width < STRIDE:  # first symbols, doubled; an end stands for all that would follow it
-        prefix = (prefix << np.uint64(8 * width)) | np.where(jump >= 0, prefix[jump], np.uint64(0))
-        jump, back, width = _twice(jump), _twice(back), 2 * width
-    short = np.flatnonzero(jump < 0)  # suffixes that end within a stride; they differ from all others by then
-    lead = depth % STRIDE
-    known = prefix >> np.uint64(8 * (STRIDE - lead)) if lead else np.zeros(n, dtype=np.uint64)
+    m = Merged(transforms)
+    known = m.first_symbols(np.arange(m.n), depth % STRIDE)
     rows = np.argsort(known, kind="stable")
-    new = np.concatenate([[True], known[rows[1:]] != known[rows[:-1]]])[:n]
-    if lead:
+    new = np.concatenate([[True], known[rows[1:]] != known[rows[:-1]]])[: m.n]
+    if depth % STRIDE:
         new |= known[rows] & np.uint64(0xFF) == 0  # ends all differ
-    by_prefix = np.argsort(prefix, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    rank[by_prefix] = np.cumsum(np.concatenate([[False], prefix[by_prefix[1:]] != prefix[by_prefix[:-1]]])[:n])
-    most = int(rank.max()) + 1 if n else 0
     for _ in range(depth // STRIDE):
-        longer = back[rows]
+        longer = m.back[rows]
         has = longer >= 0
-        group = np.concatenate([-1 - np.arange(len(short)), np.cumsum(new)[has]])
-        rows = np.concatenate([short, longer[has]])
-        order = _sorted_by(rank[rows], most)
+        group = np.concatenate([-1 - np.arange(len(m.short)), np.cumsum(new)[has]])
+        rows = np.concatenate([m.short, longer[has]])
+        order = _sorted_by(m.rank[rows], m.most)
         rows, group = rows[order], group[order]
-        own = rank[rows]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (group[1:] != group[:-1])])[:n]
-    return (np.searchsorted(start, rows, "right") - 1).astype(np.uint8), new
+        own = m.rank[rows]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (group[1:] != group[:-1])])[: m.n]
+    return (np.searchsorted(m.start, rows, "right") - 1).astype(np.uint8), new
+
+
+def repeated(transforms: list[np.ndarray], windows: list[np.ndarray], depth: int) -> tuple[np.ndarray, ...]:
+    """(group, shard, string, offset) of all windows of ``depth`` symbols, in merged order; equal windows have equal groups.
+
+    ``windows[s][i]`` is how many windows string i of transform s has: all places where one can start.  The
+    same refinement as :func:`merge`, of the suffixes that windows start with alone: at every step, of those
+    that begin as many symbols into a window as the steps to come will put before them.
+    """
+    m, lead = Merged(transforms), depth % STRIDE
+    rows, shard, string, offset = [], [], [], []
+    for s, (t, n) in enumerate(zip(transforms, windows, strict=True)):
+        steps = walk(t, len(n), int(n.max()) + lead - 1)
+        i = np.repeat(np.arange(len(n)), n)
+        w = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        rows.append(m.start[s] + steps[n[i] - 1 - w + lead, i])  # the last ``lead`` symbols of each window
+        shard.append(np.full(len(i), s))
+        string.append(i)
+        offset.append(w)
+    rows, shard, string, offset = map(np.concatenate, (rows, shard, string, offset))
+    known = m.first_symbols(rows, lead)
+    at = np.argsort(known, kind="stable")
+    rows, new = rows[at], np.concatenate([[True], known[at[1:]] != known[at[:-1]]])[: len(at)]
+    for _ in range(depth // STRIDE):
+        rows, group = m.back[rows], np.cumsum(new)
+        own = m.rank[rows]
+        order = _sorted_by(own, m.most)
+        rows, group, at, own = rows[order], group[order], at[order], own[order]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (group[1:] != group[:-1])])[: len(at)]
+    return np.cumsum(new), shard[at], string[at], offset[at]
 
 
 def walk(transform_: np.ndarray, strings: int, steps: int) -> np.ndarray:

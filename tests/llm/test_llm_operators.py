@@ -86,6 +86,19 @@ def test_bwt_against_sorting():
         assert sorted(map(tuple, got)) == sorted(tuple(sorted(v)) for v in want.values())
 
 
+def test_repeated_windows_against_sorting():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        depth = int(rng.integers(1, 30))
+        shards = [[bytes(rng.integers(97, 99, depth + int(rng.integers(0, 25))).astype(np.uint8)) for _ in range(int(rng.integers(1, 8)))] for _ in range(int(rng.integers(1, 4)))]
+        windows = [np.array([len(x) - depth + 1 for x in shard]) for shard in shards]
+        group, *place = bwt.repeated([bwt.transform(x) for x in shards], windows, depth)
+        texts = [shards[s][i][k : k + depth] for s, i, k in zip(*place, strict=True)]
+        assert len(texts) == sum(map(sum, windows)) and len(set(zip(*map(np.ndarray.tolist, place), strict=True))) == len(texts)
+        assert len(set(zip(group.tolist(), texts, strict=True))) == len(set(texts)) == len(set(group.tolist()))
+        assert texts == sorted(texts)
+
+
 def test_suffix_dedup(spark, corpus):
     got = {r.doc_id: r for r in suffix_dedup.digests(documents(spark, corpus)).collect()}
     seen: set = set()
@@ -101,6 +114,49 @@ def test_suffix_dedup(spark, corpus):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()), i
 
 
+def cut_by_hand(texts):
+    seen, out = set(), {}
+    for i, t in sorted(texts):
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), dtype=bool)
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(raw[k : k + 100])
+        out[i] = (int(gone.sum()), hashlib.sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+def test_suffix_dedup_with_a_line_that_is_in_many_texts(spark, monkeypatch):
+    rng = random.Random(41)
+    line, passage = "".join(rng.choices("abcdefghij ", k=60)), "".join(rng.choices("klmnopq ", k=150))
+    texts = [(i, sentence(rng, 15) + line + sentence(rng, 15) + (passage[: rng.randint(90, 150)] if i % 3 == 0 else "")) for i in range(300)]
+    want, docs = cut_by_hand(texts), documents(spark, texts)
+    tell = lambda: {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.digests(docs).collect()}
+    segments = lambda table: sum(len(suffix_dedup.segments(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]), table)[0]) for _, t in texts)
+    assert tell() == want
+    table = suffix_dedup.common_grams(docs.select(F.col("doc_id").alias("doc"), "text"))
+    assert 10 < table.sum() < 2000 and segments(table) > 0
+    anchors = lambda table: [a for _, t in texts for a in suffix_dedup.segments(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]), table)[2].tolist()]
+    most = lambda table: max(np.unique(anchors(table), return_counts=True)[1])
+    assert most(None) >= 250 and most(table) <= 120  # the line is an anchor of none, the passage of the texts that have it
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 4)
+    assert tell() == want
+    monkeypatch.setattr(suffix_dedup, "COMMON", 10**6)
+    assert tell() == want
+
+
+def test_suffix_dedup_of_long_texts_and_columns_of_the_same_names(spark):
+    rng = random.Random(42)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=9_000_000))
+    rows = [(2, long[5_000_000:5_000_300], 1, 1), (1, long, 1, 1), (None, "z" * 99, 2, 2), (None, "z" * 100, 2, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, doc int")
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.digests(docs).collect()}
+    assert got == {(1, 9_000_000): 0, (2, 300): 300, (None, 99): 0, (None, 100): 0}
+    out = suffix_dedup.deduplicated(docs)
+    assert out.columns == docs.columns and sorted(len(r.text) for r in out.collect()) == [0, 99, 100, 9_000_000]
+
+
 def test_suffix_dedup_inside_one_text_and_empty(spark):
     text = "ab" * 120
     r = suffix_dedup.digests(documents(spark, [(1, text), (1, text)])).collect()
