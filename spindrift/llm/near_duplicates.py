@@ -4,14 +4,17 @@ A document's set holds its distinct five-word shingles.  Sixty-four b-bit minimu
 signature.  The signature is split into sixteen chunks of four; if two signatures differ in at most
 31 places, some chunk differs in at most one (pigeonhole), so listing each chunk with every one of
 its places left out (the allowed chunk errors) makes the two meet under a common key.  All pairs
-under that signature distance are therefore candidates, and links are confirmed on full sets.
-
-Groups are never expanded into pairs.  Equal sets collapse into one class first.  Under each key, all
-members are compared with the least one only; close pairs connect them into clusters.  Keys whose
-members still lie in different clusters are compared in blocks, across clusters, and give edges that
-connect what is close, no more than they have rows.  Inside a cluster, blocks of full sets then meet,
-and give the links that connect what is alike; documents already connected aren't compared again.  So
-no connection between different texts is lost, and a task's rows stay bounded by its blocks.
+under that signature distance are therefore candidates; nothing is linked before its full sets show
+the similarity.  A pair at similarity 0.75 lies beyond the distance with a probability of about 1e-5.
+
+Candidates are verified where they can still connect something, and groups are never expanded into
+pairs.  Equal sets collapse into one class first.  Every class is compared with the nearest of the
+least classes of its keys, then with the others of them that it isn't connected with.  Keys whose
+members are still apart are compared signature by signature, in blocks, each pair under its first
+common key.  A block that leaves few candidates hands on those pairs; one that leaves more than
+``DENSE`` for each of its members gets their full sets, in blocks bounded by bytes, and hands on the
+links that connect what is alike.  So rows stay in proportion to members, but for keys with more members
+than a block that are alike by signature and yet aren't connected by their sets: those meet block by block.
 
 Null and empty texts, and those without words, have an empty set and link with nothing; texts of
 fewer than five words have one shingle, their whole word sequence; repeated rows are copies of each
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,6 +42,8 @@ DISTANCE = 2 * (HASHES // CHUNK) - 1
 PERCENT = 75
 #: Members of a key that are compared in one block, and pairs that are looked at together.
 BLOCK, PAIRS = 4096, 1 << 18
+#: Candidates for each member from which a block is dense, and bytes of full sets that meet in one block on either side.
+DENSE, BLOCK_BYTES = 8, 64 << 20
 
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -80,44 +85,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
 
 
+def _key_columns(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, key): the hashes of a chunk with one place left out, slot by slot."""
+    sig = sig.astype(np.uint64)
+    for c in range(HASHES // CHUNK):
+        part = sig[:, c * CHUNK : (c + 1) * CHUNK]
+        for out in range(CHUNK):
+            key = np.full(len(sig), c * CHUNK + out, dtype=np.uint64)
+            for k in range(CHUNK):
+                if k != out:
+                    key = (key << np.uint64(16)) | part[:, k]
+            yield c * CHUNK + out, mixed(key).view(np.int64)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = _matrix(batch.column(1)).astype(np.uint64)
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for c in range(HASHES // CHUNK):
-            part = sig[:, c * CHUNK : (c + 1) * CHUNK]
-            for out in range(CHUNK):
-                left = [k for k in range(CHUNK) if k != out]
-                key = np.full(len(ids), c * CHUNK + out, dtype=np.uint64)
-                for k in left:
-                    key = (key << np.uint64(16)) | part[:, k]
-                yield pa.RecordBatch.from_arrays([pa.array(mixed(key).view(np.int64)), pa.array(ids)], ["key", "id"])
+        if batch.num_rows:
+            for _, key in _key_columns(_matrix(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], ["key", "id"])
+
+
+def first_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first slot in which two signatures (rows of both) have a common key; HASHES if there is none."""
+    off = (a != b).reshape(-1, HASHES // CHUNK, CHUNK)
+    wrong = off.sum(axis=2)
+    meets = wrong <= 1
+    c = meets.argmax(axis=1)
+    at = np.arange(len(a))
+    slot = c * CHUNK + np.where(wrong[at, c] == 0, 0, off[at, c].argmax(axis=1))
+    return np.where(meets.any(axis=1), slot, HASHES)
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, far) of (a, b, sa, sb) pairs within the signature distance."""
     for batch in batches:
         if batch.num_rows:
             far = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(far <= DISTANCE))
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (least id of a connected part, other id) that connect what the pairs connect."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        was = label.copy()
-        low = np.minimum(label[u], label[v])
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        label = label[label]
-        if (label == was).all():
-            break
-    on = label != np.arange(len(ids))
-    return ids[label[on]], ids[on]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int32))], ["a", "b", "far"]).filter(pa.array(far <= DISTANCE))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
@@ -148,14 +152,18 @@ def _starts(rows: list, keys: int) -> np.ndarray:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, i, j, block, id, component, sig) sorted by key and blocks: what close pairs of different
-    components connect, as edges that number no more than the rows."""
+    """Of rows (key, i, j, block, id, component, sig) sorted by the first three: pairs (a, b) of different components within
+    the signature distance, under their first common key; (key, null) for keys with a dense block."""
     for rows in _grouped(batches, 3):
         key, i, j, block, ids, comp, raw = rows
         sig = np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(-1, HASHES)
+        slot = np.full(len(key), HASHES)
+        for k, own in _key_columns(sig):
+            slot[own == key] = k
         starts = _starts(rows, 3)
         n = len(key)
-        after = np.repeat(np.concatenate([starts[1:], [n]]), np.diff(np.concatenate([starts, [n]]))) - np.arange(n) - 1
+        group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [n]])))
+        after = np.concatenate([starts[1:], [n]])[group] - np.arange(n) - 1
         sums = np.concatenate([[0], np.cumsum(after)])
         lo = 0
         while lo < n:
@@ -166,8 +174,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             on = (comp[u] != comp[v]) & ((i[u] == j[u]) | (block[u] != block[v]))
             u, v = u[on], v[on]
             near = (sig[u] != sig[v]).sum(axis=1) <= DISTANCE
-            a, b = _forest(ids[u[near]], ids[v[near]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            u, v = u[near], v[near]
+            first = first_slots(sig[u], sig[v]) == slot[u]
+            u, v = u[first], v[first]
+            dense = np.bincount(group[u], minlength=len(starts)) > DENSE * np.bincount(group[lo:hi], minlength=len(starts))
+            few = ~dense[group[u]]
+            a, b = np.minimum(ids[u[few]], ids[v[few]]), np.maximum(ids[u[few]], ids[v[few]])
+            crowded = key[starts[dense]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, crowded])), pa.array(np.concatenate([b, crowded]), mask=np.arange(len(a) + len(crowded)) >= len(a))], ["a", "b"])
             lo = hi
 
 
@@ -178,20 +192,39 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
 
-def exact_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, sorted, meet the threshold."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(b, a)
+    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the (a, b, sa, sb) pairs whose full sets are alike."""
+    for batch in batches:
+        sets = [[np.frombuffer(x, dtype=np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3)]
+        yield batch.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
+
+
+def exact_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, label: np.ndarray | None = None, sig: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect all of ``left`` and ``right`` that full sets connect (left with right pairs only).
 
     One document's shingles are marked in the group's vocabulary; its shared shingles with all others
-    are then sums over their lists.  Documents that are connected already aren't compared again.
+    are then sums over their lists.  Documents of one ``label``, those that links have connected already
+    and, if there are signatures, those beyond the distance aren't compared.
     """
     sizes = np.array([len(x) for x in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    label, out = np.arange(len(ids)), []
+    label, out = np.arange(len(ids)) if label is None else label.copy(), []
     mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
     for x in left:
         others = right[label[right] != label[x]]
         others = others[(100 * sizes[others] >= PERCENT * sizes[x]) & (100 * sizes[x] >= PERCENT * sizes[others])]
+        if sig is not None:
+            others = others[(sig[others] != sig[x]).sum(axis=1) <= DISTANCE]
         if not len(others):
             continue
         own = flat[cuts[x] : cuts[x + 1]]
@@ -208,55 +241,102 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (cluster, i, j, block, id, set) sorted by the first three: links that connect what is alike."""
+    """Of rows (key, i, j, block, id, component, sig, set) sorted by the first three: links that connect what is alike."""
     for rows in _grouped(batches, 3):
-        _, i, j, block, ids, raw = rows
+        _, i, j, block, ids, comp, sigs, raw = rows
         starts = np.concatenate([_starts(rows, 3), [len(ids)]])
         found: list[tuple[int, int]] = []
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             sets = [np.frombuffer(x, dtype=np.uint64) for x in raw[lo:hi]]
+            sig = np.frombuffer(b"".join(sigs[lo:hi]), dtype=np.uint16).reshape(-1, HASHES)
             mine, at = block[lo:hi], np.arange(hi - lo)
-            found += exact_links(ids[lo:hi], sets, at[mine == i[lo]], at[mine == j[lo]])
+            found += exact_links(ids[lo:hi], sets, at[mine == i[lo]], at[mine == j[lo]], comp[lo:hi], sig)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def _in_blocks(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows with a pair of blocks (i, j) of their group each: its ``n`` members fall into blocks, and every two blocks meet."""
-    df = df.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _in_blocks(df: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows with a pair of blocks (i, j) of their group each: members fall into ``blocks`` blocks, and every two meet."""
+    df = df.withColumn("blocks", F.greatest(F.lit(1), F.ceil(blocks)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     df = df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     return df.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def _labelled(df: DataFrame, found: DataFrame) -> DataFrame:
+def _labelled(df: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``df`` with the component of each ``id``: the id itself where there is none."""
+    if found is None:
+        return df.withColumn("component", F.col("id"))
     found = found.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
     return df.join(found, F.col("id") == F.col("_id"), "left").withColumn("component", F.coalesce("_c", "id")).drop("_id", "_c")
 
 
-def candidate_clusters(sig: DataFrame) -> DataFrame:
-    """(id, component): parts that pairs under the signature distance connect, of (id, sig); single ids are left out."""
+def _some(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
+
+
+class Linking:
+    """Verified links and the components that they make so far, of classes (id, sig) with texts (id, text)."""
+
+    def __init__(self, texts: DataFrame, candidates: DataFrame) -> None:
+        ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        self.sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+        self.links: DataFrame | None = None
+        self.found: DataFrame | None = None
+
+    def more_sets(self, texts: DataFrame, pairs: DataFrame) -> None:
+        """Sets of all ends of ``pairs`` that have none yet."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.sets.select("id"), "id", "left_anti")
+        new = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+        self.sets = self.sets.unionByName(new)
+
+    def add(self, links: DataFrame, name: str) -> None:
+        links = stored(links, name)
+        if _some(links):
+            self.links = links if self.links is None else self.links.unionByName(links)
+            self.found = components(self.links)
+
+    def verify(self, pairs: DataFrame, name: str) -> None:
+        """Adds the (a, b) pairs whose full sets are alike."""
+        side = lambda at: self.sets.select(F.col("id").alias(at), F.col("set").alias(f"s{at}"))
+        self.add(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified, "a bigint, b bigint"), name)
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose ends aren't connected yet."""
+        for at in ("a", "b"):
+            pairs = _labelled(pairs.withColumn("id", F.col(at)), self.found).withColumnRenamed("component", f"c{at}").drop("id")
+        return pairs.filter("ca <> cb").select("a", "b")
+
+
+def linked_components(texts: DataFrame, sig: DataFrame) -> DataFrame | None:
+    """(id, component) of the classes (id, sig) that are linked with others; None if there are none.  ``texts`` has (id, text)."""
     keys = sig.mapInArrow(_keys, "key bigint, id bigint")
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(keys.join(stored(shared, "keys"), "key"), "members")
     stars = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     pairs = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    close = stored(pairs.select("a", "b", "sa", "sb").mapInArrow(_close, "a bigint, b bigint"), "close")
-    found = components(close)
-    placed = stored(_labelled(members.select("key", "id", "n"), found), "placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rows = _in_blocks(placed.join(stored(mixed_keys, "mixed"), "key").join(sig, "id"), "key", BLOCK)
-    more = stored(rows.select("key", "i", "j", "block", "id", "component", "sig").mapInArrow(_across, "a bigint, b bigint").distinct(), "across")
-    return components(close.unionByName(more)) if more.limit(1).count() else found
-
-
-def links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): confirmed links that connect all that full sets connect within the clusters."""
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    placed = clusters.join(sizes, "component")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    sets = texts.join(clusters.select("id"), "id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"])
-    rows = _in_blocks(sets.join(placed, "id"), "component", BLOCK).select("component", "i", "j", "block", "id", "set")
-    return stored(rows.mapInArrow(_linked, "a bigint, b bigint"), "links")
+    close = stored(pairs.select("a", "b", "sa", "sb").mapInArrow(_distances, "a bigint, b bigint, far int"), "close")
+    state = Linking(texts, close)
+    nearest = close.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a"))
+    state.verify(nearest.select("a", "b"), "nearest")
+    state.verify(state.apart(close.join(nearest, ["a", "b"], "left_anti").select("a", "b")), "others")
+    # keys whose members are still apart
+    placed = stored(_labelled(members.select("key", "id", "n"), state.found), "placed")
+    split = stored(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "split")
+    rows = _in_blocks(placed.join(split, "key").join(sig, "id"), "key", F.col("n") / BLOCK)
+    more = stored(rows.select("key", "i", "j", "block", "id", "component", "sig").mapInArrow(_across, "a bigint, b bigint"), "across")
+    left = more.filter("b IS NOT NULL").join(close.select("a", "b"), ["a", "b"], "left_anti")
+    if _some(left):
+        state.more_sets(texts, left)
+        state.verify(left, "sparse")
+    dense = more.filter("b IS NULL").select(F.col("a").alias("key")).distinct()
+    if _some(dense):
+        inside = stored(_labelled(placed.join(dense, "key").select("key", "id"), state.found), "dense")
+        state.more_sets(texts, inside.select(F.col("id").alias("a"), F.col("id").alias("b")))
+        full = inside.join(state.sets, "id").join(sig, "id")
+        size = full.groupBy("key").agg(F.sum(F.octet_length("set")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+        rows = _in_blocks(full.join(size, "key"), "key", F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("n") / BLOCK))
+        state.add(rows.select("key", "i", "j", "block", "id", "component", "sig", "set").mapInArrow(_linked, "a bigint, b bigint"), "links")
+    return state.found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,7 +346,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")),
         "classes",
     )
-    found = components(links(docs, candidate_clusters(classes.select("id", "sig"))))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    found = linked_components(texts, classes.select("id", "sig"))
     ids = _labelled(classes.select("d1", "d2", F.col("n_shingles").alias("n"), "id"), found)
     joined = signed.join(ids.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "n", "component"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") == F.col("n")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

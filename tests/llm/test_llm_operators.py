@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import bwt, components, decontamination, embeddings, licenses, mixing, near_duplicates, pages, stages, suffix_dedup, toxicity, urls, warc, words
+from spindrift.llm import bwt, components, decontamination, embeddings, licenses, mixing, near_duplicates, pages, stages, store, suffix_dedup, toxicity, urls, warc, words
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 SOLID = re.compile("[^\x20\x09-\x0d]+")
@@ -192,6 +192,77 @@ def test_near_duplicates(spark, corpus):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in odd) == [(-1, -1, True), (5, 5, True), (5, 5, True)]
 
 
+def parts_by_hand(texts):
+    sets = {i: shingles(t) for i, t in texts}
+    label = {i: i for i in sets}
+    where = defaultdict(list)
+    for i, x in sets.items():
+        for k in x:
+            where[k].append(i)
+    for i, x in sorted(sets.items()):
+        shared = defaultdict(int)
+        for k in x:
+            for j in where[k]:
+                shared[j] += 1
+        for j, n in shared.items():
+            if j != i and 100 * n >= 75 * (len(x) + len(sets[j]) - n) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = {k: a if v == b else v for k, v in label.items()}
+    return label
+
+
+def test_near_duplicates_among_many_that_are_close_but_not_linked(spark):
+    rng = random.Random(51)
+    common = sentence(rng, 75, 10**6)
+    texts = [(i, common + " " + sentence(rng, rng.randint(14, 26), 10**6)) for i in range(120)]  # similarities of 0.55 to 0.75
+    texts += [(200 + k, texts[3 * k][1] + " " + sentence(rng, 3, 10**6)) for k in range(30)]
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(documents(spark, texts)).collect()}
+    assert got == parts_by_hand(texts) and 20 < len(set(got.values())) < 130
+
+
+def test_candidates_reach_the_threshold():
+    """Signatures of sets at similarities of 0.75 to 0.85 lie within the distance and meet under a key."""
+    rng = np.random.default_rng(52)
+    lost = 0
+    for k in range(2000):
+        union = rng.integers(0, 2**63, 400, dtype=np.uint64)
+        both, only = int(400 * rng.uniform(0.75, 0.85)), rng.random(400) < 0.5
+        at = np.arange(400)
+        a, b = (near_duplicates.signature(np.unique(union[(at < both) | own])) for own in (only, ~only))
+        far = int((a != b).sum())
+        lost += far > near_duplicates.DISTANCE
+        if far <= near_duplicates.DISTANCE:
+            slot = int(near_duplicates.first_slots(a[None], b[None])[0])
+            keys = [dict(near_duplicates._key_columns(x[None])) for x in (a, b)]
+            assert slot == min(s for s in keys[0] if keys[0][s] == keys[1][s])
+    assert lost <= 1
+
+
+def test_large_group_of_near_copies_gives_few_rows(spark, monkeypatch):
+    rng = random.Random(53)
+    base = sentence(rng, 120, 10**6).split(" ")
+    texts = [(i, " ".join(base[:100] + [f"own{i}"] + base[101:])) for i in range(3000)] + [(5000 + i, sentence(rng, 50, 10**6)) for i in range(50)]
+    written = {}
+
+    def counted(df, name):
+        out = store.stored(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {i: 0 if i < 3000 else i for i, _ in texts}
+    assert all(n <= 64 * 3050 for n in written.values()) and written["nearest"] >= 2999 and written["across"] < 100, written
+
+
+def test_near_duplicates_of_long_texts_and_repeated_rows(spark):
+    rng = random.Random(54)
+    long = sentence(rng, 60_000, 10**6)
+    texts = [(7, long), (3, long + " tail of it"), (3, long + " tail of it"), (9, long[: len(long) // 2]), (None, long), (8, None)]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates.near_duplicates(documents(spark, texts)).collect())
+    assert got == [(0, 0, True), (3, 3, True), (3, 3, True), (7, 3, False), (8, 8, True), (9, 9, True)]
+
+
 def test_exact_links_connect_all():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1000, 60)
