@@ -275,20 +275,13 @@ def _some(df: DataFrame) -> bool:
 
 
 class Linking:
-    """Verified links and the components that they make so far, of classes (id, sig) with texts (id, text)."""
+    """Verified links and the components that they make so far, of the classes ``ids`` with texts (id, text)."""
 
-    def __init__(self, texts: DataFrame, candidates: DataFrame) -> None:
-        ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def __init__(self, texts: DataFrame, ids: DataFrame) -> None:
         self.sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
         self.links: DataFrame | None = None
         self.found: DataFrame | None = None
 
-    def more_sets(self, texts: DataFrame, pairs: DataFrame) -> None:
-        """Sets of all ends of ``pairs`` that have none yet."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.sets.select("id"), "id", "left_anti")
-        new = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
-        self.sets = self.sets.unionByName(new)
-
     def add(self, links: DataFrame, name: str) -> None:
         links = stored(links, name)
         if _some(links):
@@ -315,7 +308,7 @@ def linked_components(texts: DataFrame, sig: DataFrame) -> DataFrame | None:
     stars = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     pairs = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     close = stored(pairs.select("a", "b", "sa", "sb").mapInArrow(_distances, "a bigint, b bigint, far int"), "close")
-    state = Linking(texts, close)
+    state = Linking(texts, members.select("id").distinct())  # texts are shuffled once, those that share a key go on as sets
     nearest = close.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a"))
     state.verify(nearest.select("a", "b"), "nearest")
     state.verify(state.apart(close.join(nearest, ["a", "b"], "left_anti").select("a", "b")), "others")
@@ -326,12 +319,10 @@ def linked_components(texts: DataFrame, sig: DataFrame) -> DataFrame | None:
     more = stored(rows.select("key", "i", "j", "block", "id", "component", "sig").mapInArrow(_across, "a bigint, b bigint"), "across")
     left = more.filter("b IS NOT NULL").join(close.select("a", "b"), ["a", "b"], "left_anti")
     if _some(left):
-        state.more_sets(texts, left)
         state.verify(left, "sparse")
     dense = more.filter("b IS NULL").select(F.col("a").alias("key")).distinct()
     if _some(dense):
         inside = stored(_labelled(placed.join(dense, "key").select("key", "id"), state.found), "dense")
-        state.more_sets(texts, inside.select(F.col("id").alias("a"), F.col("id").alias("b")))
         full = inside.join(state.sets, "id").join(sig, "id")
         size = full.groupBy("key").agg(F.sum(F.octet_length("set")).alias("bytes"), F.count(F.lit(1)).alias("n"))
         rows = _in_blocks(full.join(size, "key"), "key", F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("n") / BLOCK))
