@@ -4,11 +4,13 @@ Every document of a source should be taken ``target / source size`` times, at mo
 part is taken outright; the fractional part is a copy probability.  Probabilities are paired, and in
 each pair random mass moves from one document to the other, weighted by document size, until one of
 the two is 0 or 1.  A move keeps both expectations and the pair's words, so the words of a source
-stay on target; what a group of documents can't settle is one residual, and residuals meet in a
-reduction tree (groups of groups) until one per source is left, which is rounded alone.
+stay on target; what a group of documents can't settle is one residual a source, and a source's residuals
+meet in a reduction tree (groups of groups) until one is left, which is rounded alone.  Every level's
+groups are bounded, however many documents, sources or equal rows there are.
 
 Null and empty texts have size 0 and are taken 0 times; null sources form a source of their own,
-which sorts last; repeated rows count each time; an empty table gives an empty result.
+which sorts last; rows of one id, source and size are alike: they are counted, numbered and count each
+time, so null and repeated ids are spread over groups too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .store import stored
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Documents that are paired in one group, and residuals' groups that meet in one group of the next level.
+#: Documents that are paired in one group, and residuals of a source that meet in one group of the next level.
 GROUP, FAN = 1024, 4096
 
 
@@ -80,19 +82,21 @@ def settle(frac: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.n
 
 
 def _settled(level: int, last: bool):
-    def of_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    """Settles each (shard, source) of a bucket's rows by itself."""
+
+    def of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["order", "doc_id", "size", "k"], kind="stable", na_position="last").reset_index(drop=True)
         frac, size = rows["frac"].to_numpy(), rows["size"].to_numpy().astype(float)
-        names = rows["source"].map(lambda x: "-" if x is None else "=" + x)
+        names = rows["shard"].astype(str) + rows["source"].map(lambda x: "-" if x is None else "=" + x)
         for name, at in names.groupby(names).indices.items():
-            rng = np.random.default_rng(zlib.crc32(f"{level}/{key[0]}/{name}".encode()))
+            rng = np.random.default_rng(zlib.crc32(f"{level}/{name}".encode(errors="replace")))
             frac[at] = settle(frac[at], size[at], rng)
             if last:
                 left = at[(frac[at] > 0) & (frac[at] < 1)]
                 frac[left] = rng.random(len(left)) < frac[left]
         return rows.assign(frac=frac)
 
-    return of_group
+    return of_bucket
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, size: str | None = None) -> DataFrame:
@@ -102,7 +106,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     sources and sizes are shuffled, never texts.
     """
     words = F.expr(size) if size else F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    sized = stored(docs.select("doc_id", "source", words.cast("long").alias("size")), "sizes")
+    counted = docs.select("doc_id", "source", words.cast("long").alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    sized = stored(counted.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")), "sizes")
     targets = source_targets(sized, weights, most)
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     rate = F.least(F.lit(float(most)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -111,21 +116,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         .withColumn("rate", rate)
         .withColumn("copies", F.floor("rate").cast("long"))
         .withColumn("frac", F.when(F.col("size") > 0, F.col("rate") - F.col("copies")).otherwise(0.0))
-        .withColumn("order", F.xxhash64("doc_id"))
+        .withColumn("order", F.xxhash64("doc_id", "k"))
         .drop("rate")
     )
-    groups = max(1, math.ceil(sized.count() / GROUP))
+    shards = max(1, math.ceil(sized.count() / GROUP))
     done: list[DataFrame] = []
-    level = 0
+    buckets, level = shards, 0
     while True:
-        last = groups == 1
-        grouped = rows.withColumn("bucket", F.pmod(F.shiftright("order", 5), F.lit(groups)))
-        rows = stored(grouped.groupBy("bucket").applyInPandas(_settled(level, last), grouped.schema).drop("bucket"), f"mix{level}")
+        last = shards == 1
+        # at first a shard's sources are settled in one bucket; then buckets take whole (shard, source) groups
+        sharded = rows.withColumn("shard", F.pmod(F.shiftright("order", 5), F.lit(shards)))
+        grouped = sharded.withColumn("bucket", F.pmod(F.xxhash64("shard", "source"), F.lit(buckets)) if level else F.col("shard"))
+        rows = stored(grouped.groupBy("bucket").applyInPandas(_settled(level, last), grouped.schema).drop("bucket", "shard"), f"mix{level}")
         is_open = (F.col("frac") > 0) & (F.col("frac") < 1)
         done.append(rows.filter(~is_open))
         if last:
             break
-        rows, groups, level = rows.filter(is_open), math.ceil(groups / FAN), level + 1
+        rows, shards, level = rows.filter(is_open), math.ceil(shards / FAN), level + 1
+        buckets = max(1, math.ceil(rows.count() / FAN))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -661,6 +661,35 @@ def test_mixing(spark):
     assert {r.taken for r in mixing.mix(documents(spark, [(1, None), (2, "")])).collect()} == {0}
 
 
+def test_mixing_with_repeated_and_null_ids_and_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 16)
+    monkeypatch.setattr(mixing, "FAN", 8)
+    rng = random.Random(14)
+    texts = [(None if i % 2 else i % 5, sentence(rng, 1 + i % 7)) for i in range(900)]
+    docs = spark.createDataFrame([(i, t, None if k % 9 == 0 else f"host{k % 150}", k, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, source string, k long, n long")
+    written = []
+
+    def counted(df, name):
+        out = store.stored(df, name)
+        if name.startswith("mix"):
+            spread = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            written.append((name, out.count(), len(spread)))
+        return out
+
+    monkeypatch.setattr(mixing, "stored", counted)
+    got = mixing.mix(docs).collect()
+    assert len(got) == 900 and len(written) >= 3 and written[-1][1] < written[0][1] < 901
+    sums, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        sums[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    want = water(sums)
+    assert all(target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 7 for s in sums)
+    assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, got))
+
+
 def test_settle_keeps_words_and_expectation():
     size, total = np.array([5.0, 9, 2, 7, 4, 30, 1, 8, 3]), np.zeros(9)
     for seed in range(3000):
