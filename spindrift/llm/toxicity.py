@@ -6,7 +6,7 @@ model is trained one example at a time with per-coordinate rates and L1 sparsity
 tasks.  Only the text is an input of a score.
 
 Training takes a bounded sample: at most ``SAMPLE`` labelled rows, those with the least hash of the
-id.  Null and empty texts have no features and score as the bias alone; rows with a null id or label
+id, as far as they hold ``MOST_FEATURES`` features together.  All features of a row are learned from.  Null and empty texts have no features and score as the bias alone; rows with a null id or label
 are never learned from; repeated labels of an id count once, toxic if any says so; without labelled
 rows every score is the prior of an untrained model, below 0.5.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ from .words import ALNUM, hashes, mixed, scan, text_chunks
 BITS = 20
 #: Labelled rows that are learned from at most.
 SAMPLE = 8_000
+#: Features that these rows hold together at most (4 bytes each); the first row is always taken.
+MOST_FEATURES = 1 << 26
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
 #: Weights that may be broadcast at most (12 bytes each).
@@ -89,7 +91,7 @@ class FTRL:
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["place", "toxic"], kind="stable")
+    rows = rows.sort_values(["place", "toxic", "features"], kind="stable")
     examples = [(np.frombuffer(f, dtype=np.int32), int(y)) for f, y in zip(rows["features"], rows["toxic"], strict=True)]
     model = FTRL()
     for epoch in range(EPOCHS):
@@ -113,6 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(known), F.col("doc_id") == F.col("known_id"))  # at most `sample` rows of three numbers
     examples = chosen.select("place", "toxic", "text").mapInArrow(_examples, "place bigint, toxic int, features binary")
+    before = Window.orderBy("place", "toxic", "features").rowsBetween(Window.unboundedPreceding, -1)  # at most `sample` rows
+    examples = examples.withColumn("before", F.coalesce(F.sum(F.octet_length("features")).over(before), F.lit(0))).filter(F.col("before") < 4 * MOST_FEATURES).drop("before")
     found = examples.groupBy().applyInPandas(_fit, "at binary, weight binary, bias double").collect()
     if not found:
         return np.zeros(0, np.int32), np.zeros(0), -1.0

@@ -3,26 +3,21 @@
 import hashlib
 import math
 import random
-import re
 import zlib
 from collections import defaultdict
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from brute import SOLID, WORD, lower, shingles, water
 from pyspark.sql import functions as F
 
 from spindrift.llm import bwt, components, decontamination, embeddings, licenses, mixing, near_duplicates, pages, stages, store, suffix_dedup, toxicity, urls, warc, words
 
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-SOLID = re.compile("[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, source string, score double, id long, kept string"
 
 
-def lower(text):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-
-
 def documents(spark, texts, source=None):
     """Rows with extra columns whose names operators use themselves."""
     rows = [(i, t, "en", source(i) if source else f"src{(i or 0) % 3}", 0.5, -(i or 0), "x") for i, t in texts]
@@ -114,24 +109,12 @@ def test_suffix_dedup(spark, corpus):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()), i
 
 
-def cut_by_hand(texts):
-    seen, out = set(), {}
-    for i, t in sorted(texts):
-        raw = (t or "").encode()
-        gone = np.zeros(len(raw), dtype=bool)
-        for k in range(len(raw) - 99):
-            if raw[k : k + 100] in seen:
-                gone[k : k + 100] = True
-            seen.add(raw[k : k + 100])
-        out[i] = (int(gone.sum()), hashlib.sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest())
-    return out
-
-
 def test_suffix_dedup_with_a_line_that_is_in_many_texts(spark, monkeypatch):
     rng = random.Random(41)
     line, passage = "".join(rng.choices("abcdefghij ", k=60)), "".join(rng.choices("klmnopq ", k=150))
     texts = [(i, sentence(rng, 15) + line + sentence(rng, 15) + (passage[: rng.randint(90, 150)] if i % 3 == 0 else "")) for i in range(300)]
-    want, docs = cut_by_hand(texts), documents(spark, texts)
+    docs = documents(spark, texts)
+    want = {i: (int(gone.sum()), hashlib.sha256(bytes(b for b, g in zip(dict(texts)[i].encode(), gone, strict=True) if not g)).hexdigest()) for i, gone in brute.covered(texts).items()}
     tell = lambda: {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.digests(docs).collect()}
     segments = lambda table: sum(len(suffix_dedup.segments(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]), table)[0]) for _, t in texts)
     assert tell() == want
@@ -153,6 +136,10 @@ def test_suffix_dedup_of_long_texts_and_columns_of_the_same_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, doc int")
     got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.digests(docs).collect()}
     assert got == {(1, 9_000_000): 0, (2, 300): 300, (None, 99): 0, (None, 100): 0}
+    one, two = "".join(rng.choices("abcdef ", k=300)), "".join(rng.choices("ghijkl ", k=300))
+    texts = [(None, one), (None, two), (None, None), (4, "x" + one), (4, two + "y"), (4, two + "y"), (5, two)]
+    twice = suffix_dedup.digests(documents(spark, texts)).collect()
+    assert sorted(((r.doc_id or 0), r.n_bytes, r.n_removed) for r in twice) == [(0, 0, 0), (0, 300, 0), (0, 300, 0), (4, 301, 300), (4, 301, 300), (4, 301, 300), (5, 300, 300)]
     out = suffix_dedup.deduplicated(docs)
     assert out.columns == docs.columns and sorted(len(r.text) for r in out.collect()) == [0, 99, 100, 9_000_000]
 
@@ -166,11 +153,6 @@ def test_suffix_dedup_inside_one_text_and_empty(spark):
     assert [x.text for x in sorted(out, key=lambda x: x.doc_id)][1] == "" and out[0].lang == "en"
 
 
-def shingles(text):
-    w = SOLID.findall(lower(text))
-    return {" ".join(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))} if w else set()
-
-
 def test_near_duplicates(spark, corpus):
     got = {r.doc_id: r for r in near_duplicates.near_duplicates(documents(spark, corpus)).collect()}
     sets = {i: shingles(t) for i, t in corpus}
@@ -192,32 +174,13 @@ def test_near_duplicates(spark, corpus):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in odd) == [(-1, -1, True), (5, 5, True), (5, 5, True)]
 
 
-def parts_by_hand(texts):
-    sets = {i: shingles(t) for i, t in texts}
-    label = {i: i for i in sets}
-    where = defaultdict(list)
-    for i, x in sets.items():
-        for k in x:
-            where[k].append(i)
-    for i, x in sorted(sets.items()):
-        shared = defaultdict(int)
-        for k in x:
-            for j in where[k]:
-                shared[j] += 1
-        for j, n in shared.items():
-            if j != i and 100 * n >= 75 * (len(x) + len(sets[j]) - n) and label[i] != label[j]:
-                a, b = sorted((label[i], label[j]))
-                label = {k: a if v == b else v for k, v in label.items()}
-    return label
-
-
 def test_near_duplicates_among_many_that_are_close_but_not_linked(spark):
     rng = random.Random(51)
     common = sentence(rng, 75, 10**6)
     texts = [(i, common + " " + sentence(rng, rng.randint(14, 26), 10**6)) for i in range(120)]  # similarities of 0.55 to 0.75
     texts += [(200 + k, texts[3 * k][1] + " " + sentence(rng, 3, 10**6)) for k in range(30)]
     got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(documents(spark, texts)).collect()}
-    assert got == parts_by_hand(texts) and 20 < len(set(got.values())) < 130
+    assert got == brute.parts(texts) and 20 < len(set(got.values())) < 130
 
 
 def test_candidates_reach_the_threshold():
@@ -615,6 +578,24 @@ def test_toxicity(spark):
     assert (again[0] == model[0]).all() and (again[1] == model[1]).all()  # held-out labels are never read
 
 
+def test_toxicity_against_a_plain_loop(spark):
+    texts, labels = toxic_tables(spark, 150)
+    texts = texts + [(9001, None), (9002, ""), (9003, "vile wretch " * 40_000), (5, "another text of id five"), (None, "scoundrel")]
+    docs = documents(spark, texts)
+    place = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64("doc_id").alias("p")).collect()}
+    want = brute.toxic_scores(texts, [(r.doc_id, r.toxic) for r in labels.collect()], place, words)
+    got = toxicity.score(docs, toxicity.train(docs, labels))
+    assert sorted(((r.doc_id or 0), round(r.score, 9)) for r in got.collect()) == sorted(((i or 0), round(s, 9)) for (i, _), s in zip(texts, want, strict=True))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    texts, labels = toxic_tables(spark, 200)
+    docs = documents(spark, texts)
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 1)
+    assert len(toxicity.train(docs, labels)[0]) == 0 and len(toxicity.train(docs, labels, sample=3)[0]) == 0
+
+
 def test_toxicity_without_labels(spark):
     texts, labels = toxic_tables(spark, 5)
     docs = documents(spark, texts)
@@ -622,20 +603,6 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(documents(spark, []), toxicity.train(documents(spark, []), labels)).count() == 0
 
 
-def water(sizes):
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
-    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
-    total, capped = sum(sizes.values()), set()
-    while True:
-        left = total - sum(3 * sizes[s] for s in capped)
-        open_ = [s for s in names if s not in capped]
-        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
-        over = {s for s in open_ if share[s] > 3 * sizes[s]}
-        if not over:
-            return {s: 3 * sizes[s] if s in capped else share[s] for s in names}
-        capped |= over
-
-
 def test_mixing(spark):
     rng = random.Random(4)
     texts = [(i, sentence(rng, rng.randint(0, 60)) if i % 50 else None) for i in range(3000)]
