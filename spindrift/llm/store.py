@@ -45,7 +45,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, made from ``name``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -19,9 +19,10 @@ iterative interleave refinement, one symbol a step.  After 100 steps the groups
 the intervals of suffixes with a common prefix of 100 bytes; walking the transforms back gives their
 places, and all but the earliest place of a group are covered.
 
-Null and empty texts, and those under 100 bytes, lose nothing.  A null doc_id counts as the smallest
-document.  ``doc_id`` names a document: repeated rows of one id are that document again, neither is
-earlier, and both get the same result.  Columns other than id and text are ignored.
+Null and empty texts, and those under 100 bytes, lose nothing.  A null doc_id comes before all others.
+Rows of one id and text are one document: neither is earlier, and both get the same result.  Rows of one
+id (or none) with different texts are documents of their own, in the order of a hash of the text.
+Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import repeated, transform
-from .store import stored
+from .store import stored, unused
 from .words import _POWERS as POWERS
 from .words import mixed, text_chunks
 
@@ -54,7 +55,6 @@ SAMPLE, SLICE, COMMON = 1024, 8192, 6
 TABLE_BITS = 20
 #: Distinct segments of an anchor from which its windows are grouped one by one, and bytes of text for each task that resolves anchors.
 CROWDED, RESOLVED_BYTES = 8192, 8 << 20
-NULL_ID = -(1 << 63)
 
 _VALUE = mixed((np.arange(256, dtype=np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93))
 _HIGH, _LOW = np.uint64(0xFFFFFFFFFF000000), np.uint64(0xFFFFFF)
@@ -365,11 +365,25 @@ def _kept(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 
 def with_ranges(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_ranges``: the covered ranges of each row, null if none."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    plain = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
-    ranges = covered_ranges(plain).groupBy("doc").agg(F.collect_list(F.struct("pos", "len")).alias("_ranges"))
-    return docs.withColumn("_doc", key).join(ranges.withColumnRenamed("doc", "_range_doc"), F.col("_doc") == F.col("_range_doc"), "left").drop("_doc", "_range_doc")
+    """``docs`` with one column more, the last: the covered ranges of each row, null if none."""
+    doc, other, ranges = (unused(docs, name) for name in ("_doc", "_range_doc", "_ranges"))
+    keyed = _numbered(docs, doc)
+    plain = keyed.select(F.col(doc).alias("doc"), F.col("text").cast("string").alias("text"))
+    found = covered_ranges(plain).groupBy(F.col("doc").alias(other)).agg(F.collect_list(F.struct("pos", "len")).alias(ranges))
+    return keyed.join(found, F.col(doc) == F.col(other), "left").select(*docs.columns, ranges)
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each document, in their order: the id where ids are unique, else a place among all (id, text)."""
+    key, text = F.col("doc_id").cast("long"), F.xxhash64("text")
+    rows = docs.select(key.alias("i"))
+    if not rows.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR i IS NULL").limit(1).count():
+        return docs.withColumn(name, key)
+    order = docs.select(key.alias("_i"), text.alias("_h")).distinct().repartitionByRange("_i", "_h").sortWithinPartitions("_i", "_h")
+    order = stored(order.withColumn(name, F.monotonically_increasing_id()), "numbers")  # rises within ranges and from one to the next
+    i, h = unused(docs, "_i"), unused(docs, "_h")
+    rows, order = docs.withColumn(i, key).withColumn(h, text), order.toDF("_oi_", "_oh_", name)
+    return rows.join(order, rows[i].eqNullSafe(order["_oi_"]) & (rows[h] == order["_oh_"])).select(*(rows[c] for c in docs.columns), order[name])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +400,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
-    rows = with_ranges(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).select("doc_id", "text", "_ranges")
+    rows = with_ranges(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return rows.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -404,7 +418,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = with_ranges(docs).withColumn("text", F.col("text").cast("string")).select(*names, "_ranges")
+    rows = with_ranges(docs).withColumn("text", F.col("text").cast("string"))
     out = rows.mapInArrow(of_batches, T.StructType(rows.schema.fields[:-1]))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
