@@ -72,13 +72,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d1.append(int(np.sum(mixed(x)).astype(np.int64)))
             d2.append(int(np.sum(mixed(x ^ np.uint64(0xA5A5A5A5A5A5A5A5))).astype(np.int64)))
             sigs.append(signature(x).tobytes() if len(x) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "row", "n_shingles", "d1", "d2", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2: digest of the set, sig) of every row, stored."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stored(rows.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary"), "signatures")
+    """(doc_id, row: hash of id and text, n_shingles, d1, d2: digest of the set, sig) of every row, stored."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text"))
+    return stored(rows.mapInArrow(_sign, "doc_id bigint, row bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary"), "signatures")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -332,6 +332,11 @@ def linked_components(texts: DataFrame, sig: DataFrame) -> DataFrame | None:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    return near_duplicate_rows(docs).drop("row")
+
+
+def near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """The same with ``row``, the hash of a row's id and text."""
     signed = signatures(docs)
     classes = stored(
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")),
@@ -342,7 +347,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = _labelled(classes.select("d1", "d2", F.col("n_shingles").alias("n"), "id"), found)
     joined = signed.join(ids.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "n", "component"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") == F.col("n")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
