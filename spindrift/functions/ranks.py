@@ -54,6 +54,40 @@ def with_ranks(df: DataFrame, columns: dict[str, str], by: list[str] | None = No
     return df
 
 
+def medians(df: DataFrame, value: str, by: list[str], name: str = "median") -> DataFrame:
+    """(by..., name): the exact median of each group; nulls don't count.
+
+    Equal values are counted before the shuffle, and the distinct values of a group are dealt out to ranges
+    as for ranks; only the ranges that hold the middle are put in order, so no task sees a whole group.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    same = lambda a, b, on: [a[k].eqNullSafe(b[f"{k}_"]) for k in on]
+    other = lambda b, on: b.withColumnsRenamed({k: f"{k}_" for k in on})
+    drop = lambda on: [f"{k}_" for k in on]
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    bounds = other(counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_b"), F.sum("_n").alias("_all")), keys)
+    placed = (counts.join(bounds, same(counts, bounds, keys)).drop(*drop(keys)) if keys else counts.crossJoin(F.broadcast(bounds))).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
+    lower = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a group
+    totals = placed.groupBy(*keys, "_r").agg(F.sum("_n").alias("_t"), F.max("_all").alias("_m")).withColumn("_before", F.coalesce(F.sum("_t").over(lower), F.lit(0)))
+    low, high = F.floor((F.col("_m") + 1) / 2), F.floor((F.col("_m") + 2) / 2)
+    middle = other(totals.filter((F.col("_before") < high) & (F.col("_before") + F.col("_t") >= low)).drop("_t"), [*keys, "_r"])
+    inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.join(middle, same(placed, middle, [*keys, "_r"])).withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    at = lambda place: F.max(F.when((F.col("_from") < place) & (F.col("_from") + F.col("_n") >= place), F.col("_v")))
+    found = near.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], name)
+
+
+def with_median(rows: DataFrame, df: DataFrame, value: str, by: list[str], name: str = "median") -> DataFrame:
+    """``rows`` (one a group of ``df``) with the group's median; null where a group has no values."""
+    found = medians(df, value, by, name)
+    if not by:
+        return rows.join(found, F.lit(True), "left")
+    found = found.withColumnsRenamed({c: f"_m{i}" for i, c in enumerate(by)})
+    return rows.join(found, [rows[c].eqNullSafe(found[f"_m{i}"]) for i, c in enumerate(by)], "left").drop(*[f"_m{i}" for i in range(len(by))])
+
+
 def correlation(x: str | Column, y: str | Column) -> Column:
     """Pearson correlation as an aggregate; null under three points or if one side is constant."""
     spread = F.stddev_pop(x) * F.stddev_pop(y)
@@ -82,6 +116,60 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, by: list[str] | None
     return plain.select(*by, "n", F.when(F.col("n") >= 4, partial(F.col("xy"), F.col("xz"), F.col("yz"))).alias("rho"))
 
 
+def partial_of(plain: dict[frozenset, Column], x: str, y: str, controls: tuple[str, ...]) -> Column:
+    """Correlation of x and y with all controls held, from the plain ones of each two, one control at a time."""
+    if not controls:
+        return plain[frozenset((x, y))]
+    *rest, z = controls
+    rest = tuple(rest)
+    return partial(partial_of(plain, x, y, rest), partial_of(plain, x, z, rest), partial_of(plain, y, z, rest))
+
+
+def partial_spearman_of(df: DataFrame, x: str, y: str, controls: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by..., n, rho) with several ranked controls: one aggregate gives all plain correlations of ranks."""
+    by, names = by or [], [f"v{i}" for i in range(2 + len(controls))]
+    rows = df.select(*by, *[F.col(c).cast("double").alias(n) for c, n in zip((x, y, *controls), names, strict=True)]).dropna(subset=names)
+    ranked = with_ranks(rows, {f"r{n}": n for n in names}, by)
+    each = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    plain = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[correlation(f"r{a}", f"r{b}").alias(a + b) for a, b in each])
+    rho = partial_of({frozenset(p): F.col("".join(p)) for p in each}, "v0", "v1", tuple(names[2:]))
+    return plain.select(*by, "n", F.when(F.col("n") >= 3 + len(controls), rho).alias("rho"))
+
+
+def association(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., n, rho, low, high): raw rank correlation with Fisher's interval, as of a size measure against another."""
+    rows = spearman(df, x, y, by)
+    low, high = fisher_interval(F.col("rho"), F.col("n"))
+    return rows.withColumn("low", low).withColumn("high", high)
+
+
+def association_table(df: DataFrame, predictors: list[str], outcomes: list[str], control: str) -> DataFrame:
+    """(predictor, outcome, n, rho, low, high, partial, partial_low, partial_high): every predictor with every outcome, raw and with the control held.
+
+    Each pair takes the rows that have all three values.  Rows are unpivoted once, so one plan gives the whole table.
+    """
+    long = lambda names, k, v: F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(c).cast("double") for c in names]))).alias(k, v)
+    rows = df.select(*dict.fromkeys(outcomes), F.col(control).cast("double").alias("z"), long(predictors, "predictor", "x"))
+    rows = rows.select("predictor", "x", "z", long(outcomes, "outcome", "y")).dropna(subset=["x", "y", "z"])
+    pair = ["predictor", "outcome"]
+    ranked = with_ranks(rows, {"rx": "x", "ry": "y", "rz": "z"}, pair)
+    found = ranked.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("rho"), correlation("rx", "rz").alias("xz"), correlation("ry", "rz").alias("yz"))
+    found = found.withColumn("partial", F.when(F.col("n") >= 4, partial(F.col("rho"), F.col("xz"), F.col("yz")))).drop("xz", "yz")
+    (low, high), (plow, phigh) = fisher_interval(F.col("rho"), F.col("n")), fisher_interval(F.col("partial"), F.col("n"), 1)
+    return found.withColumns({"low": low, "high": high, "partial_low": plow, "partial_high": phigh})
+
+
+def strongest(df: DataFrame, name: str, rho: str, by: list[str]) -> DataFrame:
+    """(by..., name, rho): the row of the greatest absolute correlation of each group; of ties, the first name."""
+    best = df.filter(F.col(rho).isNotNull()).groupBy(*by).agg(F.min(F.struct((-F.abs(rho)).alias("s"), F.col(name).alias("n"), F.col(rho).alias("r"))).alias("b"))
+    return best.select(*by, F.col("b.n").alias(name), F.col("b.r").alias(rho))
+
+
+def displayed(p: Column, separation: Column, alpha: float = 0.05, least: float = 0.55) -> Column:
+    """Whether a contrast is marked in a report: significant and separated; missing values never are."""
+    return F.coalesce((p < alpha) & (separation >= least), F.lit(False))
+
+
 def fisher_interval(rho: Column, n: Column, controls: int = 0) -> tuple[Column, Column]:
     """95 % interval by Fisher's z; null for n <= controls + 3."""
     room = n - controls - 3

@@ -95,17 +95,25 @@ def rouge(reference: pd.Series, candidate: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=ROUGE_TYPE.names, dtype=float)
 
 
+#: Code points that can stand for tokens: all from 256 on but the surrogates.
+LETTERS = 0x110000 - 0x800 - 256
+
+
 def token_levenshtein(left: Column, right: Column) -> Column:
     """Unit-cost edit distance of token arrays.
 
     Each distinct token of the pair becomes one code point, so that the built-in string distance
-    counts tokens.  Pairs with more distinct tokens than code points below the surrogates give null.
+    counts tokens.  A pair with more distinct tokens than there are code points (1.1 million, whose
+    table of distances would have 10^12 cells) is an error.
     """
 
     def distance(x: Column) -> Column:
-        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex((F.array_position(x["known"], t) + 255).cast("long")), 8, "0")), "UTF-32")
+        def letter(t: Column) -> Column:
+            place = (F.array_position(x["known"], t) + 255).cast("long")
+            return F.decode(F.unhex(F.lpad(F.hex(place + F.when(place >= 0xD800, 0x800).otherwise(0)), 8, "0")), "UTF-32")
+
         text = lambda items: F.array_join(F.transform(items, letter), "")
-        return F.when(F.size(x["known"]) < 0xD800 - 256, F.levenshtein(text(x["l"]), text(x["r"])))
+        return F.when(F.size(x["known"]) > LETTERS, F.raise_error(F.lit("too_many_distinct_tokens")).cast("int")).otherwise(F.levenshtein(text(x["l"]), text(x["r"])))
 
     both = let(F.struct(left.alias("l"), right.alias("r")), lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r"), F.array_distinct(F.concat(x["l"], x["r"])).alias("known")))
     return let(both, distance)

@@ -134,3 +134,26 @@ def stable_key(*values: Column) -> Column:
 def normalized_key(key: Column) -> Column:
     """Lower-case letters and digits of a key."""
     return F.regexp_replace(F.lower(key), "[^a-z0-9]", "")
+
+
+def line_column(source: Column, offset: Column) -> Column:
+    """(line, column), both from 1, of a place counted from 0."""
+    before = F.substring(source, F.lit(1), offset)
+    return F.struct((F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1).alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column"))
+
+
+def source_web_url(repository: Column, commit: Column, path: Column, first: Column, last: Column) -> Column:
+    """The address of a file's lines on the web: one host's form, or that of the others."""
+    base = F.regexp_replace(repository, r"\.git$", "")
+    lines = lambda where, mark, to, more: F.concat(base, F.lit(where), commit, F.lit("/"), path, F.lit(mark), first.cast("string"), F.lit(to), F.lit(more), last.cast("string"))
+    return F.when(F.startswith(repository, F.lit("https://github.com/")), lines("/blob/", "#L", "-", "L")).otherwise(lines("/src/", "#lines-", ":", ""))
+
+
+def safe_filename(path: Column) -> Column:
+    """A path as one file name: runs of other characters become an underscore."""
+    return F.regexp_replace(path, r"[^A-Za-z0-9._-]+", "_")
+
+
+def json_safe(value: Column) -> Column:
+    """A number as JSON can hold it: null for NaN and infinities."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 
 
 def sd(value: str | Column) -> Column:
@@ -22,7 +23,8 @@ def unit_outcomes(df: DataFrame, unit: str, score: str, passed: str, constants:
 
 def descriptive(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, mean, median, SD, min, max and a normal 95 % interval of the mean, per group."""
-    rows = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), sd(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    rows = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), sd(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    rows = ranks.with_median(rows, df, value, by)
     margin = F.lit(1.96) * F.col("sd") / F.sqrt("n")
     return rows.withColumn("ci_low", F.col("mean") - margin).withColumn("ci_high", F.col("mean") + margin)
 
@@ -80,6 +82,7 @@ def weighted_mean_vector(df: DataFrame, by: list[str], vector: str, weight: str)
 
 
 def long_summary(df: DataFrame, values: list[str]) -> DataFrame:
-    """Mean, median, SD, min and max of several columns as rows, in one pass."""
+    """Mean, median, SD, min and max of several columns as rows."""
     one = df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[F.col(v).cast("double") for v in values]))).alias("metric", "value"))
-    return one.groupBy("metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), sd("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    rows = one.groupBy("metric").agg(F.avg("value").alias("mean"), sd("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return ranks.with_median(rows, one, "value", ["metric"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,10 +84,11 @@ def nearest_match(left: DataFrame, right: DataFrame, group: str, size: str, key:
     side = lambda df, is_left: df.select(group, F.log1p(F.col(size).cast("double")).alias("s"), F.col(key).alias("k"), F.lit(is_left).alias("is_left"))
     rights = side(right, False).groupBy(group, "s", "is_left").agg(F.min_by("k", text.stable_key(F.col("k").cast("string"))).alias("k"))
     rows = side(left, True).unionByName(rights.select(group, "s", "k", "is_left"))
-    order = Window.partitionBy(group).orderBy("s")
+    # both frames only grow from row to row, so a group of any size takes linear time
+    until = lambda *order: Window.partitionBy(group).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     candidate = F.when(~F.col("is_left"), F.struct("s", "k"))
-    down = F.last(candidate, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    up = F.first(candidate, ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    down = F.last(candidate, ignorenulls=True).over(until("s"))
+    up = F.last(candidate, ignorenulls=True).over(until(F.desc("s")))
     rows = rows.withColumn("down", down).withColumn("up", up).filter("is_left")
     told = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("s") - F.col(c)["s"]).alias("distance"), text.stable_key(F.col(c)["k"].cast("string")).alias("h"), F.col(c)["k"].alias("match")))
     best = F.array_min(F.array_compact(F.array(told("down"), told("up"))))
@@ -137,10 +139,11 @@ def closest_pairs(pairs: DataFrame, distance: str, key: str, k: int) -> DataFram
 def next_event(df: DataFrame, by: str, at: str, asked: Column, answers: Column) -> DataFrame:
     """For each asking row the time of the first answering row of its group at or after it (null if none).
 
-    One window per group, looking forward over times; rows with equal times see each other.
+    One window per group, over times from the last to the first, so that its frame only grows; rows with
+    equal times see each other.
     """
-    forward = Window.partitionBy(by).orderBy(at).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn("next_at", F.min(F.when(answers, F.col(at))).over(forward)).filter(asked)
+    later = Window.partitionBy(by).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("next_at", F.min(F.when(answers, F.col(at))).over(later)).filter(asked)
 
 
 def manifest_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -156,6 +159,31 @@ def same_multiset(a: DataFrame, b: DataFrame) -> bool:
     return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
 
 
+def pivot_stages(df: DataFrame, key: str, stage: str, value: str, stages: list, code: str | None = None) -> DataFrame:
+    """(key, one column a stage) of the units that have all stages; with ``code``, one that lacks any is an error.  One aggregate."""
+    wide = df.groupBy(key).agg(*[F.max(F.when(F.col(stage) == s, F.col(value))).alias(f"{stage}_{s}") for s in stages])
+    whole = reduce(lambda a, b: a & b, [F.col(f"{stage}_{s}").isNotNull() for s in stages])
+    if code:
+        require_none(wide.filter(~whole), code)
+    return wide.filter(whole)
+
+
+def by_content(df: DataFrame, texts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(contents, rows): each distinct text once with its digest (what is computed on it is computed once), and ``df`` with a digest ``<text>_sha256`` for each text column to join results back by."""
+    rows = df.withColumns({f"{c}_sha256": F.sha2(c, 256) for c in texts})
+    each = rows.select(F.explode(F.array(*[F.struct(F.col(f"{c}_sha256").alias("sha256"), F.col(c).alias("text")) for c in texts])).alias("x")).select("x.*")
+    return each.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.first("text").alias("text")), rows
+
+
+def complete_records(df: DataFrame, unit: str, predictor: str, outcomes: list[str], size: str) -> DataFrame:
+    """Rows with a predictor.  A repeated unit, an outcome outside [0, 1] or a size that isn't positive is an error."""
+    require_none(df.groupBy(unit).count().filter("count > 1"), "duplicate_unit")
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | ~F.col(c).between(0, 1) for c in outcomes])
+    require_none(df.filter(bad), "outcome_out_of_range")
+    require_none(df.filter(F.col(size).isNull() | (F.col(size) <= 0)), "size_not_positive")
+    return df.filter(F.col(predictor).isNotNull())
+
+
 def three_way(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, side): in the first only, the second only, or both."""
     rows = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full_outer")

@@ -16,6 +16,8 @@ from ..functions.text import WORD_PATTERN
 DIRECTIONS_VERSION, CODE_VERSION = "implementation-directions-v1", "regenerated-code-v1"
 MAX_DIRECTIONS, MAX_ACTION, MAX_CONDITIONS, MAX_CONDITION, MAX_DEPENDENCY = 999, 2000, 64, 1000, 8
 STATUSES = ("preserved", "changed", "lost")
+#: A key of a JSON text.  Without a repeated group, which would overflow the stack on long strings; keys with quotes in them don't match.
+KEY = r'"([^"]*+)"\s*+:'
 
 
 def intent_metrics(statuses: Column, code_intents: Column, added: Column) -> Column:
@@ -136,24 +138,25 @@ def direction_error_code(raw: pd.Series) -> pd.Series:
     return raw.map(direction_error)
 
 
+# Codes of a generated-code document in the order in which they are reported, with what each one asks for.
+CODE_RULES = (
+    ("regenerated_document_not_object", lambda doc: isinstance(doc, dict)),
+    ("regenerated_root_keys", lambda doc: set(doc) == {"schema_version", "language", "code"}),
+    ("regenerated_schema_version", lambda doc: doc["schema_version"] == CODE_VERSION),
+    ("regenerated_language", lambda doc: doc["language"] == "java"),
+    ("regenerated_code_empty", lambda doc: isinstance(doc["code"], str) and bool(doc["code"].strip())),
+    ("regenerated_code_nul", lambda doc: "\0" not in doc["code"]),
+    ("regenerated_code_not_trimmed", lambda doc: doc["code"] == doc["code"].strip()),
+)
+
+
 def code_error(raw: str | None) -> str | None:
     """The code of the first rule that a generated-code document breaks."""
     try:
         doc = json.loads(raw or "")
     except ValueError:
         return "regenerated_not_json"
-    if not isinstance(doc, dict):
-        return "regenerated_document_not_object"
-    if set(doc) != {"schema_version", "language", "code"}:
-        return "regenerated_root_keys"
-    if doc["schema_version"] != CODE_VERSION:
-        return "regenerated_schema_version"
-    if doc["language"] != "java":
-        return "regenerated_language"
-    code = doc["code"]
-    if not isinstance(code, str) or not code.strip():
-        return "regenerated_code_empty"
-    return "regenerated_code_nul" if "\0" in code else "regenerated_code_not_trimmed" if code != code.strip() else None
+    return next((code for code, holds in CODE_RULES if not holds(doc)), None)
 
 
 @F.pandas_udf(T.StringType())
@@ -199,5 +202,5 @@ def canonical_json(value, newline: bool = False) -> str:
 
 def isolated(payload: Column, code: Column, forbidden: list[str]) -> Column:
     """Whether a payload holds neither the code, its digest nor a forbidden key at any depth."""
-    keys = F.regexp_extract_all(F.lower(payload), F.lit(r'"((?:\\.|[^"\\])*)"\s*:'), F.lit(1))
+    keys = F.regexp_extract_all(F.lower(payload), F.lit(KEY), F.lit(1))
     return ~F.contains(payload, code) & ~F.contains(payload, F.sha2(code, 256)) & ~F.arrays_overlap(keys, F.array(*[F.lit(k.lower()) for k in forbidden]))

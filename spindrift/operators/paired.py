@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,10 +55,17 @@ def paired_summary(df: DataFrame, left: str, right: str, by: list[str]) -> DataF
     """Means of both arms and of the difference, its SD and median, signs, and exact matches."""
     d = F.col(left).cast("double") - F.col(right)
     rows = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(left).alias("left_mean"), F.avg(right).alias("right_mean"), F.avg(d).alias("difference_mean"), F.median(d).alias("difference_median"),
+    told = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(left).alias("left_mean"), F.avg(right).alias("right_mean"), F.avg(d).alias("difference_mean"),
         sd(d).alias("difference_sd"), F.count(F.when(d > 0, 1)).alias("positive"), F.count(F.when(d == 0, 1)).alias("zero"), F.count(F.when(d < 0, 1)).alias("negative"),
     )
+    return ranks.with_median(told, rows.select(*by, d.alias("_d")), "_d", by, "difference_median")
+
+
+def long_metrics(df: DataFrame, keys: list[str], extractors: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(keys..., metric, left, right): a row for each named pair of expressions over both arms."""
+    each = F.array(*[F.struct(F.lit(name).alias("metric"), left.cast("double").alias("left"), right.cast("double").alias("right")) for name, (left, right) in extractors.items()])
+    return df.select(*keys, F.explode(each).alias("_m")).select(*keys, "_m.*")
 
 
 def arm_auc(df: DataFrame, left: str, right: str, by: list[str]) -> DataFrame:

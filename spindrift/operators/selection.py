@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cohort import CohortError, require_none
+
 # The checks of an attempt, those that make it a terminal success, the order in which a
 # failing one is reported, and the stage and class of each failure.
 CHECKS = (
@@ -55,10 +57,54 @@ def schedule(units: DataFrame, unit: str, runs: int) -> DataFrame:
 
 
 def hash_chain(df: DataFrame, cell: list[str], attempt: str, *fields: str) -> DataFrame:
-    """Each attempt with its digest and that of the attempt before it in the cell."""
-    own = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in (*cell, attempt, *fields)]), 256)
-    rows = df.withColumn("digest", own)
-    return rows.select(*cell, attempt, "digest", F.lag("digest").over(Window.partitionBy(*cell).orderBy(attempt)).alias("previous_digest"))
+    """Each attempt with its digest and that of the attempt before it in the cell, which its own digest takes in.
+
+    So a digest binds all attempts up to its own.  A cell's attempts are folded in order; their number has a cap.
+    """
+    own = F.concat_ws("|", *[F.col(c).cast("string") for c in (*cell, attempt, *fields)])
+    cells = df.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct(F.col(attempt).alias("a"), own.alias("said")))).alias("_rows"))
+    first = F.array().cast("array<struct<a:%s,digest:string,previous:string>>" % df.schema[attempt].dataType.simpleString())
+
+    def link(chain: Column, row: Column) -> Column:
+        before = F.try_element_at(chain, F.lit(-1))["digest"]
+        return F.concat(chain, F.array(F.struct(row["a"].alias("a"), F.sha2(F.concat_ws("|", F.coalesce(before, F.lit("")), row["said"]), 256).alias("digest"), before.alias("previous"))))
+
+    links = cells.select(*cell, F.explode(F.aggregate("_rows", first, link)).alias("_l"))
+    return links.select(*cell, F.col("_l.a").alias(attempt), F.col("_l.digest").alias("digest"), F.col("_l.previous").alias("previous_digest"))
+
+
+def fixed_cohort(df: DataFrame, unit: str, run: str, attempt: str, checks: str, rows: int | None = None, runs: dict | None = None, per_unit: dict | None = None) -> DataFrame:
+    """The cells of a closed cohort, in (run, unit) order: all rows must be a first attempt with every check holding.
+
+    ``rows``, ``runs`` (rows by run) and ``per_unit`` (units by their number of rows) are what there must be.
+    """
+    require_none(df.filter((F.col(attempt) != 1) | ~F.forall(F.map_values(F.col(checks)), lambda x: F.coalesce(x, F.lit(False)))), "cohort_cell_not_eligible")
+    found = lambda key, by: {r[0]: r[1] for r in by.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}  # noqa: E731  one row a run or number of runs
+    if rows is not None and df.count() != rows:
+        raise CohortError("cohort_row_count")
+    if runs is not None and found(run, df) != runs:
+        raise CohortError("cohort_run_counts")
+    if per_unit is not None and found("n", df.groupBy(unit).agg(F.count(F.lit(1)).alias("n"))) != per_unit:
+        raise CohortError("cohort_unit_distribution")
+    return df.orderBy(run, unit)
+
+
+def gate(valid: Column, total: Column, rho: Column, lower: Column, p: Column, most: int = 50, least: int = 45) -> Column:
+    """(decision, category) of a fail-fast conjunction: enough units are valid, and the estimate, its lower bound and its one-sided p-value pass.
+
+    A total other than ``most``, a number of valid units out of range and a p-value outside [0, 1] are errors.
+    """
+    known = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    sound = known(rho.cast("double")) & known(lower.cast("double")) & known(p.cast("double"))
+    go = F.coalesce(sound & (rho >= 0.30) & (lower > 0) & (p <= 0.05), F.lit(False))
+    error = (
+        F.when(total != most, "gate_total_methods_not_50").when((valid < 0) | (valid > total), "gate_invalid_valid_count")
+        .when((valid >= least) & known(p.cast("double")) & ~p.between(0, 1), "gate_invalid_p_value")
+    )
+    told = F.when(valid < least, F.struct(F.lit("NO-GO").alias("decision"), F.lit("technical_no_go_inconclusive_association").alias("category")))
+    told = told.when(go, F.struct(F.lit("GO").alias("decision"), F.lit("empirical_gate_pass").alias("category")))
+    told = told.otherwise(F.struct(F.lit("NO-GO").alias("decision"), F.lit("empirical_fail_fast").alias("category")))
+    return F.when(error.isNotNull(), F.raise_error(error).cast("struct<decision:string,category:string>")).otherwise(told)
 
 
 def barrier(df: DataFrame, run: str, unit: str, selected: Column) -> DataFrame:

@@ -61,32 +61,39 @@ def last_row_wins(spark, d):
 
 
 def manifest_diff(spark, d):
-    """Documents as files, of which some are gone, new, longer or changed in the second listing."""
-    docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"), "doc_id")
-    expected = docs.filter("doc_id % 11 <> 0")
-    actual = docs.filter("doc_id % 13 <> 0").withColumn("bytes", F.when(F.col("doc_id") % 17 == 0, F.col("bytes") + 1).otherwise(F.col("bytes"))).withColumn("sha256", F.when(F.col("doc_id") % 19 == 0, F.lit("0")).otherwise(F.col("sha256")))
+    """Two listings of files by number: documents and benchmark items, and pages, labels and items in lower case."""
+    listing = lambda name, key, text, kind: table(spark, d, name).select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("path"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    expected = listing("documents", "doc_id", F.col("text"), "t").unionByName(listing("benchmark", "item_id", F.col("text"), "b"))
+    actual = listing("pages", "page_id", F.col("html"), "t").unionByName(listing("benchmark", "item_id", F.lower("text"), "b")).unionByName(listing("nation", "n_nationkey", F.col("n_name"), "n"))
     return cohort.manifest_diff(expected, actual)
 
 
 def three_way_split(spark, d):
-    a, b = table(spark, d, "documents").filter("doc_id % 2 = 0"), table(spark, d, "labels")
+    """Numbers of labelled documents against those of vectors."""
+    a, b = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), table(spark, d, "labels")
     return cohort.three_way(a, b, "doc_id").groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
 def multiset_difference(spark, d):
-    """Statuses left when order lines' flags are taken from orders' statuses, each as often as it occurs."""
-    a, b = table(spark, d, "orders").select(F.col("o_orderstatus").alias("s")), table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_linestatus").alias("s"))
+    """Statuses left when orders' statuses are taken from order lines' flags, each as often as it occurs."""
+    a, b = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("s")), table(spark, d, "orders").select(F.col("o_orderstatus").alias("s"))
     return a.exceptAll(b).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_union(spark, d):
-    a, b = table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
+    a, b = table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     return a.unionByName(b).distinct()
 
 
+def bag_union(spark, d):
+    """How often each key is in orders and customers together."""
+    a, b = table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return a.unionByName(b).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
 def missing_units(spark, d):
-    """Customers without any order."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Documents without a label."""
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
 
 
 def json_numeric_availability(spark, d):
@@ -105,8 +112,9 @@ def review_hours(spark, d):
 
 
 def secret_findings(spark, d):
-    """Secrets in documents: rule and line of the first match."""
-    return files.scan_secrets(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "rule", F.col("line").cast("long").alias("line"))
+    """Secrets in documents, each followed by settings lines made of its own id: rule and line of the first match."""
+    docs = table(spark, d, "documents").withColumn("text", F.concat("text", F.lit("\nkey = v\napi_key: "), F.sha2(F.col("doc_id").cast("string"), 256), F.when(F.col("lang") == "en", F.concat(F.lit("\nAuthorization: Bearer "), F.sha1(F.col("source").cast("binary")))).otherwise("\nnothing")))
+    return files.scan_secrets(docs, "doc_id", "text").select("doc_id", "rule", F.col("line").cast("long").alias("line"))
 
 
 def marker_findings(spark, d):
@@ -137,16 +145,14 @@ def stream_window_rates(spark, d):
     return rows.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "failed")
 
 
-QUERIES = {f.__name__: f for f in (row_candidates, positive_projects, nearest_match_with_replacement, greedy_match_without_replacement, closest_pairs_topk, hours_to_next_purchase, last_row_wins, manifest_diff, three_way_split, multiset_difference, distinct_union, missing_units, json_numeric_availability, review_hours, secret_findings, marker_findings, file_snapshot, stratified_topk, stream_first_valid, stream_window_rates)}
+QUERIES = {f.__name__: f for f in (row_candidates, positive_projects, nearest_match_with_replacement, greedy_match_without_replacement, closest_pairs_topk, hours_to_next_purchase, last_row_wins, manifest_diff, three_way_split, multiset_difference, distinct_union, bag_union, missing_units, json_numeric_availability, review_hours, secret_findings, marker_findings, file_snapshot, stratified_topk, stream_first_valid, stream_window_rates)}
 
 _Q = text.TOKEN_PATTERN.replace("'", "''")
 _NEAREST = """(WITH o AS (SELECT o_custkey, o_orderkey, ln(1 + o_totalprice) AS s, o_orderpriority = '1-URGENT' AS u FROM orders),
 p AS (SELECT a.o_custkey, a.o_orderkey AS unit, b.o_orderkey AS match, abs(a.s - b.s) AS distance, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.s - b.s), sha256(CAST(b.o_orderkey AS VARCHAR))) AS n FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.u AND NOT b.u)
 SELECT o_custkey, unit, match, round(distance, 6) AS distance FROM p WHERE n = 1)"""
-_RULES = {
-    "authorization_bearer": r"(?i)()\bauthorization\s*:\s*bearer\s+[^\s\"'']{8,}", "private_key_block": r"()-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----",
-    "provider_secret_literal": r"(^|[^A-Za-z0-9_-])sk-[A-Za-z0-9_-]{16,}", "assigned_secret": r"(?i)()\b(?:api[_-]?key|access[_-]?token|client[_-]?secret)\s*[:=]\s*[\"'']?[A-Za-z0-9_./+=-]{16,}",
-}
+#: The same patterns for SQL: an empty group at the start (what stands before the match), look-behind as a group, quotes doubled.
+_RULES = {rule: (p.replace("(?i)", "(?i)()") if p.startswith("(?i)") else p.replace("(?<![A-Za-z0-9_-])", "(^|[^A-Za-z0-9_-])") if p.startswith("(?<!") else "()" + p).replace("'", "''") for rule, p in files.SECRET_PATTERNS.items()}
 
 ORACLE_SQL = {
     "row_candidates": f"SELECT doc_id, len(regexp_extract_all(text, '{_Q}')) AS token_count FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0 AND strlen(text) <= 24000 AND len(regexp_extract_all(text, '{_Q}')) BETWEEN 12 AND 900",
@@ -155,14 +161,15 @@ ORACLE_SQL = {
     "closest_pairs_topk": f"WITH t AS (SELECT *, sha256(CAST(unit AS VARCHAR)) AS h FROM {_NEAREST} ORDER BY distance, h LIMIT 60) SELECT 'half-pair-' || lpad(CAST(row_number() OVER (ORDER BY h) AS VARCHAR), 4, '0') AS pair_id, unit, match, distance FROM t",
     "hours_to_next_purchase": "WITH a AS (SELECT event_id, user_id, epoch_us(ts) AS at, event_type FROM events) SELECT a.event_id, round((min(b.at) - any_value(a.at)) / 3.6e9, 6) AS hours FROM a LEFT JOIN a b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.at >= a.at WHERE a.event_type = 'click' GROUP BY a.event_id",
     "last_row_wins": "SELECT l_partkey, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) AS n FROM lineitem) WHERE n = 1",
-    "manifest_diff": "SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'unexpected' WHEN doc_id % 17 = 0 THEN 'size_mismatch' ELSE 'hash_mismatch' END AS finding FROM documents WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0)",
-    "three_way_split": "SELECT CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'unexpected' ELSE 'common' END AS side, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b USING (doc_id) GROUP BY 1",
-    "multiset_difference": "SELECT s, count(*) AS n FROM (SELECT o_orderstatus AS s FROM orders EXCEPT ALL SELECT l_linestatus FROM lineitem WHERE l_quantity > 49) GROUP BY s",
-    "distinct_union": "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0",
-    "missing_units": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "manifest_diff": "WITH e AS (SELECT 't' || doc_id AS path, strlen(text) AS n, sha256(text) AS h FROM documents UNION ALL SELECT 'b' || item_id, strlen(text), sha256(text) FROM benchmark), a AS (SELECT 't' || page_id AS path, strlen(html) AS n, sha256(html) AS h FROM pages UNION ALL SELECT 'b' || item_id, strlen(lower(text)), sha256(lower(text)) FROM benchmark UNION ALL SELECT 'n' || n_nationkey, strlen(n_name), sha256(n_name) FROM nation), f AS (SELECT path, CASE WHEN a.n IS NULL THEN 'missing' WHEN e.n IS NULL THEN 'unexpected' WHEN a.n <> e.n THEN 'size_mismatch' WHEN a.h <> e.h THEN 'hash_mismatch' END AS finding FROM e FULL JOIN a USING (path)) SELECT * FROM f WHERE finding IS NOT NULL",
+    "three_way_split": "SELECT CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.vec_id IS NULL THEN 'unexpected' ELSE 'common' END AS side, count(*) AS n FROM (SELECT DISTINCT vec_id FROM embeddings) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.vec_id = b.doc_id GROUP BY 1",
+    "multiset_difference": "SELECT s, count(*) AS n FROM (SELECT l_linestatus AS s FROM lineitem EXCEPT ALL SELECT o_orderstatus FROM orders) GROUP BY s",
+    "distinct_union": "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer",
+    "bag_union": "SELECT k, count(*) AS n FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer) GROUP BY k",
+    "missing_units": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "json_numeric_availability": "SELECT event_type, count(*) AS n, count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS available, round(avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean FROM events GROUP BY event_type",
     "review_hours": "WITH f AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS id FROM events GROUP BY 1), g AS (SELECT f.user_id, e.ts AS at FROM f JOIN events e ON e.event_id = f.id WHERE e.event_type <> 'purchase') SELECT g.user_id, round((min(epoch_us(e.ts)) FILTER (e.event_type = 'purchase' AND e.ts >= g.at) - any_value(epoch_us(g.at))) / 3.6e9, 6) AS hours, count(*) FILTER (e.event_type <> 'purchase') AS reviews, count(*) FILTER (e.event_type = 'purchase') AS commits, count(DISTINCT e.event_type) FILTER (e.event_type <> 'purchase') AS reviewers, false AS merged FROM g JOIN events e USING (user_id) GROUP BY g.user_id",
-    "secret_findings": " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, CAST(length(s) - length(replace(s, chr(10), '')) + 1 AS BIGINT) AS line FROM (SELECT doc_id, string_split_regex(text, '{p}')[1] || regexp_extract(text, '{p}', 1) AS s FROM documents WHERE regexp_matches(text, '{p}'))" for rule, p in _RULES.items()),
+    "secret_findings": " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, CAST(length(s) - length(replace(s, chr(10), '')) + 1 AS BIGINT) AS line FROM (SELECT doc_id, string_split_regex(text, '{p}')[1] || regexp_extract(text, '{p}', 1) AS s FROM (SELECT doc_id, text || chr(10) || 'key = v' || chr(10) || 'api_key: ' || sha256(CAST(doc_id AS VARCHAR)) || CASE WHEN lang = 'en' THEN chr(10) || 'Authorization: Bearer ' || sha1(source) ELSE chr(10) || 'nothing' END AS text FROM documents) WHERE regexp_matches(text, '{p}'))" for rule, p in _RULES.items()),
     "marker_findings": "SELECT doc_id, marker, length(substr(text, 1, instr(text, marker) - 1)) - length(replace(substr(text, 1, instr(text, marker) - 1), chr(10), '')) + 1 AS line FROM documents, (SELECT unnest(['the', 'License', '@']) AS marker) WHERE instr(text, marker) > 0",
     "stratified_topk": "SELECT p_type, p_partkey, place FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS place FROM part) WHERE place <= 2",
     "stream_first_valid": "SELECT l_orderkey, count(*) AS attempts, CAST(min(l_linenumber) FILTER (l_returnflag <> 'R') AS BIGINT) AS selected_attempt FROM lineitem GROUP BY 1",

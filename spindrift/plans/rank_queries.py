@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks, text
 from ..operators import models, paired, resampling
+from ..sources.store import stored
 from .tables import labelled, r6, table
 
 
 def partial_spearman_tokens_quality(spark, d):
     """Token count against quality, controlling for length in characters."""
     rows = labelled(spark, d).select(F.size(text.tokens(F.col("text"))).alias("n_tokens"), "quality", "n_chars")
-    return ranks.partial_spearman(rows, "n_tokens", "quality", "n_chars").select("n", r6("rho").alias("rho"))
+    # three narrow columns, written once: ranks read them several times and texts aren't taken apart again
+    return ranks.partial_spearman(stored(rows, "tokens"), "n_tokens", "quality", "n_chars").select("n", r6("rho").alias("rho"))
 
 
 def average_rank(spark, d):
@@ -84,12 +86,12 @@ def _cells(spark, d):
 
 
 def run_stability(spark, d):
-    rows = paired.run_pairs(_cells(spark, d).filter("run <= 4"), "l_orderkey", "run", "v")
+    rows = paired.run_pairs(_cells(spark, d), "l_orderkey", "run", "v")
     return rows.select("run_a", "run_b", "n", r6("rho").alias("rho"))
 
 
 def icc_3_1(spark, d):
-    return paired.icc_3_1(_cells(spark, d), "l_orderkey", "run", "v", [1, 2, 3]).select("n", F.col("k").cast("long").alias("k"), r6("icc").alias("icc"))
+    return paired.icc_3_1(_cells(spark, d), "l_orderkey", "run", "v", list(range(1, 8))).select("n", F.col("k").cast("long").alias("k"), r6("icc").alias("icc"))
 
 
 def outcome_agreement(spark, d):
@@ -102,7 +104,7 @@ def outcome_agreement(spark, d):
 
 
 def gate_decision(spark, d):
-    """GO if enough units are valid and the estimate, its lower bound and its p-value pass."""
+    """GO if enough units are valid and the estimate and its lower bound pass (the whole rule is ``selection.gate``)."""
     rows = ranks.spearman(_units(spark, d), "price", "orders", ["c_mktsegment"])
     low, _ = ranks.fisher_interval(F.col("rho"), F.col("n"))
     go = (F.col("n") >= 45) & (F.col("rho") >= 0.30) & (low > 0)
@@ -233,8 +235,8 @@ ORACLE_SQL = {
     "leave_one_group_out": f"WITH u AS {_UNITS_SQL}, o AS (SELECT s.c_mktsegment AS omitted, price, orders, balance FROM u JOIN (SELECT DISTINCT c_mktsegment FROM u) s ON u.c_mktsegment <> s.c_mktsegment), r AS ({_ranked_sql({'rx': 'price', 'ry': 'orders', 'rz': 'balance'}, 'omitted')} o), c AS (SELECT omitted, {_XYZ} FROM r GROUP BY 1) SELECT omitted, n, {_PARTIAL} AS rho FROM c",
     "holm_family": "WITH f AS (SELECT o_orderstatus AS family, o_orderpriority AS name, sum(o_custkey) AS s FROM orders GROUP BY ALL), p AS (SELECT family, name, CASE WHEN s % 5 <> 0 THEN s % 1000 / 20000.0 END AS p FROM f), h AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST, name) + 1) * p) END AS raw FROM p), a AS (SELECT *, CASE WHEN p IS NOT NULL THEN max(raw) OVER (PARTITION BY family ORDER BY p NULLS LAST, name ROWS UNBOUNDED PRECEDING) END AS adj FROM h) SELECT family, name, round(CAST(p AS DOUBLE), 6) AS p, round(CAST(adj AS DOUBLE), 6) AS adjusted, coalesce(adj <= 0.05, false) AS rejected FROM a",
     "boundary_sensitivity": _boundary("minimum", -1) + " UNION ALL " + _boundary("maximum", 2),
-    "run_stability": f"WITH c AS {_CELLS}, p AS (SELECT a.run AS run_a, b.run AS run_b, a.v AS x, b.v AS y FROM c a JOIN c b USING (l_orderkey) WHERE a.run < b.run AND a.run <= 4 AND b.run <= 4), r AS (SELECT run_a, run_b, rank() OVER (PARTITION BY run_a, run_b ORDER BY x) + (count(*) OVER (PARTITION BY run_a, run_b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY run_a, run_b ORDER BY y) + (count(*) OVER (PARTITION BY run_a, run_b, y) - 1) / 2.0 AS ry FROM p) SELECT run_a, run_b, count(*) AS n, round({_corr('rx', 'ry')}, 6) AS rho FROM r GROUP BY ALL",
-    "icc_3_1": f"WITH c AS (SELECT * FROM {_CELLS} WHERE run IN (1, 2, 3)), w AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS k FROM c), v AS (SELECT *, avg(v) OVER (PARTITION BY l_orderkey) AS rm, avg(v) OVER (PARTITION BY run) AS cm, avg(v) OVER () AS g FROM w WHERE k = 3), s AS (SELECT count(*) / 3 AS n, sum((rm - g) * (rm - g)) AS ssr, sum((v - rm - cm + g) * (v - rm - cm + g)) AS sse FROM v), m AS (SELECT n, ssr / (n - 1) AS msr, sse / ((n - 1) * 2) AS mse FROM s) SELECT CAST(n AS BIGINT) AS n, CAST(3 AS BIGINT) AS k, round((msr - mse) / (msr + 2 * mse), 6) AS icc FROM m",
+    "run_stability": f"WITH c AS {_CELLS}, p AS (SELECT a.run AS run_a, b.run AS run_b, a.v AS x, b.v AS y FROM c a JOIN c b USING (l_orderkey) WHERE a.run < b.run), r AS (SELECT run_a, run_b, rank() OVER (PARTITION BY run_a, run_b ORDER BY x) + (count(*) OVER (PARTITION BY run_a, run_b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY run_a, run_b ORDER BY y) + (count(*) OVER (PARTITION BY run_a, run_b, y) - 1) / 2.0 AS ry FROM p) SELECT run_a, run_b, count(*) AS n, round({_corr('rx', 'ry')}, 6) AS rho FROM r GROUP BY ALL",
+    "icc_3_1": f"WITH c AS (SELECT * FROM {_CELLS} ), w AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS k FROM c), v AS (SELECT *, avg(v) OVER (PARTITION BY l_orderkey) AS rm, avg(v) OVER (PARTITION BY run) AS cm, avg(v) OVER () AS g FROM w WHERE k = 7), s AS (SELECT count(*) / 7 AS n, sum((rm - g) * (rm - g)) AS ssr, sum((v - rm - cm + g) * (v - rm - cm + g)) AS sse FROM v), m AS (SELECT n, ssr / (n - 1) AS msr, sse / ((n - 1) * 6) AS mse FROM s) SELECT CAST(n AS BIGINT) AS n, CAST(7 AS BIGINT) AS k, round((msr - mse) / (msr + 6 * mse), 6) AS icc FROM m",
     "outcome_agreement": f"WITH m AS (SELECT source, round(avg(quality), 6) AS au, round(avg(toxic), 6) AS pbu FROM documents JOIN labels USING (doc_id) GROUP BY 1), r AS ({_ranked_sql({'rx': 'au', 'ry': 'pbu'})} m), c AS (SELECT count(*) AS n, round({_corr('rx', 'ry')}, 6) AS rho FROM r), e AS (SELECT round(avg(pbu - au), 6) AS mean_difference, round(median(pbu - au), 6) AS median_difference FROM m) SELECT * FROM c, e",
     "gate_decision": _RAW + "SELECT c_mktsegment, n, CASE WHEN n >= 45 AND rho >= 0.30 AND tanh(atanh(rho) - 1.959963984540054 / sqrt(n - 3)) > 0 THEN 'GO' ELSE 'NO_GO' END AS decision FROM c",
     "correlation_grid": f"WITH u AS {_UNITS_SQL}, l AS ({_GRID}), r AS (SELECT metadata, feature, rank() OVER (PARTITION BY metadata, feature ORDER BY x) + (count(*) OVER (PARTITION BY metadata, feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY metadata, feature ORDER BY y) + (count(*) OVER (PARTITION BY metadata, feature, y) - 1) / 2.0 AS ry FROM l) SELECT metadata, feature, count(*) AS n, round({_corr('rx', 'ry')}, 6) AS rho FROM r GROUP BY ALL",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..operators import aggregates as agg
 from ..operators import selection as sel
 from .tables import labelled, r6, table
@@ -75,7 +76,8 @@ def run_success_rates(spark, d):
 
 def ranges_within_unit(spark, d):
     rows = agg.ranges_within_unit(table(spark, d, "lineitem"), "l_orderkey", "l_quantity")
-    return rows.agg(F.count(F.lit(1)).alias("units"), r6(F.max("spread")).alias("largest"), r6(F.median("spread")).alias("median"))
+    told = rows.agg(F.count(F.lit(1)).alias("units"), r6(F.max("spread")).alias("largest"))
+    return ranks.with_median(told, rows, "spread", []).withColumn("median", r6("median"))
 
 
 def mean_vector_by_label(spark, d):
@@ -174,7 +176,7 @@ ORACLE_SQL = {
     "contiguous_attempts": "SELECT l_orderkey, count(*) AS n, min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY 1",
     "attempts_after_selection": f"WITH a AS (SELECT * FROM {_LEDGER_SQL}), f AS (SELECT l_orderkey, min(attempt) AS m FROM a WHERE l_returnflag <> 'R' GROUP BY 1) SELECT l_orderkey, count(*) AS late_attempts FROM a JOIN f USING (l_orderkey) WHERE attempt > m GROUP BY 1",
     "schedule": "SELECT r.range AS run_index, n_name, row_number() OVER (ORDER BY r.range, n_name) AS ordinal FROM nation, range(3) r",
-    "attempt_chain": f"WITH h AS (SELECT l_orderkey, attempt, sha256(l_orderkey || '|' || attempt || '|' || l_returnflag) AS digest FROM {_LEDGER_SQL}) SELECT l_orderkey, attempt, digest, lag(digest) OVER (PARTITION BY l_orderkey ORDER BY attempt) AS previous_digest FROM h",
+    "attempt_chain": f"WITH RECURSIVE l AS (SELECT l_orderkey, attempt, l_orderkey || '|' || attempt || '|' || l_returnflag AS said FROM {_LEDGER_SQL}), c(l_orderkey, attempt, digest, previous_digest) AS (SELECT l_orderkey, attempt, sha256('|' || said), CAST(NULL AS VARCHAR) FROM l WHERE attempt = 1 UNION ALL SELECT l.l_orderkey, l.attempt, sha256(c.digest || '|' || l.said), c.digest FROM c JOIN l ON l.l_orderkey = c.l_orderkey AND l.attempt = c.attempt + 1) SELECT * FROM c",
     "run_barrier": "WITH u AS (SELECT count(DISTINCT l_orderkey) AS units FROM lineitem), r AS (SELECT l_linenumber, count(DISTINCT l_orderkey) AS s FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) SELECT CAST(l_linenumber AS BIGINT) AS run, s AS selected_units, units, coalesce(lag(s) OVER (ORDER BY l_linenumber) = units, true) AS is_open FROM r, u",
     "primary_failure": "SELECT CASE WHEN NOT l_quantity < 45 THEN 'quantity' WHEN NOT l_discount < 0.09 THEN 'discount' WHEN NOT l_returnflag <> 'R' THEN 'flag' END AS code, count(*) AS n FROM lineitem GROUP BY 1",
     "eligibility": "WITH c AS (SELECT " + " + ".join(f"CASE WHEN {c} THEN 0 ELSE 1 END" for c in [*_CHECKS_SQL[:5], " AND ".join(_CHECKS_SQL[:5]), *_CHECKS_SQL[6:]]) + " AS k, CASE " + " ".join(f"WHEN NOT ({_CHECKS_SQL[sel.CHECKS.index(n)]}) THEN '{n}'" for n in sel.REPORT_ORDER) + " END AS primary_check, CASE " + " ".join(f"WHEN NOT ({_CHECKS_SQL[sel.CHECKS.index(n)]}) THEN '{sel.FAILURES[n][1]}'" for n in sel.REPORT_ORDER) + " END AS failure_class FROM lineitem) SELECT k = 0 AS eligible, primary_check, failure_class, count(*) AS n, CAST(sum(k) AS BIGINT) AS codes FROM c GROUP BY ALL",

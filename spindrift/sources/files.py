@@ -122,3 +122,14 @@ def write_or_verify(df: DataFrame, path: str) -> str:
 def append_records(df: DataFrame, path: str) -> None:
     """JSON lines added to a ledger."""
     df.write.mode("append").json(path)
+
+
+def materialize(df: DataFrame, path: str, text: str, keys: list[str], index: list[str]) -> None:
+    """A data set as files: ``records`` (JSON lines), ``index`` (CSV of some columns) and ``manifest`` (bytes and digest of each text).
+
+    Each part is written once and never over another.
+    """
+    digest = df.select(*keys, F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    df.write.mode("errorifexists").json(f"{path}/records")
+    df.select(*index).write.mode("errorifexists").option("header", True).csv(f"{path}/index")
+    digest.write.mode("errorifexists").json(f"{path}/manifest")

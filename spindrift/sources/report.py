@@ -35,10 +35,24 @@ def bold_max(values: list[float | None], latex: bool = False) -> list[str]:
     return [mark(number(v)) if alone and v == top else number(v) for v in values]
 
 
-def markdown(df: DataFrame) -> str:
-    """A Markdown table of a small result; larger ones are refused rather than cut."""
+def _few_rows(df: DataFrame) -> list:
     rows = df.limit(MOST_ROWS + 1).collect()
     if len(rows) > MOST_ROWS:
         raise ValueError("too many rows for a report table")
+    return rows
+
+
+def latex(df: DataFrame, caption: str | None = None) -> str:
+    """A LaTeX table of a small result, numbers to the right."""
+    rows = _few_rows(df)
+    line = lambda cells: " & ".join(cells) + r" \\"
+    spec = "".join("r" if kind in ("int", "bigint", "double", "float") else "l" for _, kind in df.dtypes)
+    body = [r"\begin{tabular}{" + spec + "}", r"\hline", line([tex(c) for c in df.columns]), r"\hline", *[line([tex(number(x)) for x in r]) for r in rows], r"\hline", r"\end{tabular}"]
+    return "\n".join([*([r"\caption{" + tex(caption) + "}"] if caption else []), *body]) + "\n"
+
+
+def markdown(df: DataFrame) -> str:
+    """A Markdown table of a small result; larger ones are refused rather than cut."""
+    rows = _few_rows(df)
     line = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line([number(x) for x in r]) for r in rows]]) + "\n"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.store import new_folder
 
 
 def first_valid_stream(attempts: DataFrame, cell: list[str], attempt: str, valid: str) -> DataFrame:
@@ -38,12 +40,21 @@ def window_rates(events: DataFrame, at: str, failed, size: str, late: str) -> Da
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what its source has now and gives the sink's rows."""
+    """Runs a stream over what its source has now and gives the sink's rows: of the last batch in complete mode, of all in append mode.
+
+    Rows go to Parquet in the shared folder, with the stream's checkpoint beside them; none go to the driver.
+    """
     spark: SparkSession = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    folder = new_folder(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")  # one row
+    return rows.drop("batch")
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
