@@ -1,53 +1,5 @@
-"""Where intermediate tables go: the folder that the cluster names in ``spark.checkpoint.dir``."""
+"""Where intermediate tables go; see the library's store."""
 
-from __future__ import annotations
+from ..sources.store import clear, new_folder, shared_root, stored, unused
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this session.
-
-    ``spark.checkpoint.dir`` is used as it stands.  Only a session with a local master that names
-    none (as in tests) gets a temporary folder; a cluster without the setting is an error, because
-    executors would not see each other's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        own = tempfile.mkdtemp(prefix="spindrift-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        _OWN[app] = "file://" + own
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have, made from ``name``."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+__all__ = ["clear", "new_folder", "shared_root", "stored", "unused"]
