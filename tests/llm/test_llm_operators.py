@@ -435,6 +435,14 @@ are met:"""
     assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("gpl", 1.0), 4: ("bsd", 1.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("", 0.0)}
 
 
+def test_licenses_of_long_texts_and_columns_of_the_same_names(spark):
+    notice = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    long = "plain words of a text. " * 250_000 + notice + ". " + "MIT license " * 3
+    rows = [(1, long, "x", 1), (None, notice, "y", 2), (None, None, "z", 3), (1, long, "x", 1)]
+    got = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string, labels string, score int")).collect()
+    assert sorted(((r.doc_id or 0), r.n_words, r.n_base, r.labels, r.score) for r in got) == [(0, 0, 0, "", 0.0), (0, 21, 0, "bsd", 1.0), *[(1, 1_250_027, 3, "bsd,mit", 1.0)] * 2]
+
+
 def test_license_join_against_all_pairs():
     rng = random.Random(5)
     t = licenses.Templates()
@@ -461,6 +469,13 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judged(df.filter("page_id IN (11, 6)")).collect()} == {"allow"}
 
 
+def test_urls_without_rules_long_urls_and_columns_of_the_same_names(spark):
+    rows = [(None, None), (None, "http://a.net/de/" + "x" * 300_000), (5, "http://b.org/es/1"), (5, "http://b.org/es/1"), (6, "http://b.org/es/" + "é%" * 50_000), (7, ""), (8, "a://b://c/d")]
+    df = spark.createDataFrame([(i, u, "h", "r", 1, True, 0) for i, u in rows], "page_id long, url string, host string, rule string, chunk int, aside boolean, run int")
+    got = sorted(((r.page_id or 0), len(r.path), r.rule or "", r.verdict) for r in urls.judged(df).collect())
+    assert got == [(0, 0, "", "allow"), (0, 300_004, "net/de/", "allow"), (5, 5, "org/es/", "block"), (5, 5, "org/es/", "block"), (6, 100_004, "org/es/", "block"), (7, 0, "", got[5][3]), (8, 5, "", got[6][3])]
+
+
 def test_url_scores_use_exact_counts_however_many(spark):
     rng = random.Random(31)
     letters = "abcdefghijklmnopqrstuvwxyz0123456789-é"
@@ -536,6 +551,14 @@ class Counted:
         return self.data[at : at + n]
 
 
+def test_warc_of_long_pages_and_columns_of_the_same_names(spark, tmp_path):
+    rows = [(1, "u", "é" * 2_000_000), (2, "u", "é" * 2_000_000), (None, None, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, first int")
+    files = warc.write(df, f"file://{tmp_path}/w")
+    got = warc.read(spark, f"file://{tmp_path}/w", files, 1000).select("record_type", "payload_bytes", "target_uri").collect()
+    assert sorted(map(str, got)) == sorted(map(str, [type(got[0])(record_type=a, payload_bytes=b, target_uri=c) for a, b, c in (("response", 4_000_000, "u"), ("revisit", 4_000_000, "u"), ("response", 0, None))]))
+
+
 def test_warc_reads_each_byte_about_once():
     rng = random.Random(2)
     bodies = [bytes(rng.randbytes(12_000 + 50 * k)) for k in range(60)] + [rng.randbytes(3_000_000)]
