@@ -130,7 +130,7 @@ def hash_bootstrap_within_group(spark, d):
 def hash_permutation_within_group(spark, d):
     """How many of 20 hashed permutations within segments reach the observed rank correlation."""
     u = _units(spark, d).select("c_custkey", "c_mktsegment", F.col("price").alias("x"), F.col("orders").cast("double").alias("y"))
-    u = u.withColumn("rx", ranks.average_rank("x")).withColumn("ry", ranks.average_rank("y")).select("c_custkey", "c_mktsegment", "rx", "ry")
+    u = ranks.with_ranks(u, {"rx": "x", "ry": "y"}).select("c_custkey", "c_mktsegment", "rx", "ry")
     reps = u.select("*", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("r"))
     place = Window.partitionBy("c_mktsegment", "r")
     key = F.when(F.col("r") == 0, F.col("c_custkey")).otherwise(resampling.hashed_draw(F.col("r"), F.col("c_custkey")))

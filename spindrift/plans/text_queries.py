@@ -108,10 +108,21 @@ def cosine_adjacent(spark, d):
 
 
 def ngram_overlap_benchmark(spark, d):
-    """Shared distinct token 4-grams of benchmark items and documents."""
-    grams = lambda df, key: df.select(key, F.explode(F.array_distinct(F.transform(text.ngrams(text.tokens(F.lower("text")), 4), lambda g: F.array_join(g, " ")))).alias("g"))
-    hits = grams(table(spark, d, "documents"), "doc_id").join(grams(table(spark, d, "benchmark"), "item_id"), "g")
-    return hits.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    """Shared distinct token 4-grams of benchmark items and documents; grams are compared by 64-bit hashes.
+
+    Only the grams that a benchmark item has too go on from a document.
+    """
+
+    def grams(name: str, key: str):
+        def hashes(t):
+            each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 4, F.lit(0))), lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(4)]))
+            return F.when(F.size(t) >= 4, each)
+
+        return table(spark, d, name).select(key, F.explode(text.let(text.tokens(F.lower("text")), hashes)).alias("h"))  # tokens are taken once
+
+    items = grams("benchmark", "item_id").distinct()
+    hits = grams("documents", "doc_id").join(items.select("h").distinct(), "h", "left_semi").distinct()
+    return hits.join(items, "h").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def masked_tag_counts(spark, d):
