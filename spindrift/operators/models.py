@@ -33,19 +33,33 @@ def hc3(x, y, size) -> dict:
 
 
 def hc3_by(df: DataFrame, by: str, x: str, y: str, size: str) -> DataFrame:
-    """HC3 sensitivity of each group; nulls where it is undefined."""
+    """(by, coefficient, error, low, high, n): the HC3 sensitivity of each group; nulls where it is undefined.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        key, rows = rows["k"].iloc[0], rows.dropna(subset=["x", "y", "s"])
-        try:
-            r = hc3(rows["x"], rows["y"], rows["s"]) if len(rows) >= 4 else None
-        except (ValueError, np.linalg.LinAlgError):
-            r = None
-        r = r or {"coefficient": None, "error": None, "low": None, "high": None, "n": len(rows)}
-        return pd.DataFrame([{"k": key, **r}])
-
-    rows = df.select(F.col(by).cast("string").alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(size).cast("double").alias("s"))
-    return rows.groupBy("k").applyInPandas(one, "k string, coefficient double, error double, low double, high double, n int").withColumnRenamed("k", by)
+    Sums only: one aggregate gives the moments, from which the coefficients follow, and a second one the
+    residuals' sum with their leverages.  So a group of any size is spread over tasks.
+    """
+    rows = df.select(F.col(by).cast("string").alias("k"), *[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (size, "s"))])
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("s").isNotNull()
+    rows = rows.withColumn("whole", whole).withColumn("w", F.when(F.col("s") > 0, F.log2("s")))
+    on = lambda c: F.when(F.col("whole"), F.col(c))
+    moments = rows.groupBy("k").agg(
+        F.count(on("x")).alias("n"), F.min(on("s")).alias("least"), F.avg(on("y")).alias("my"), *[f(on(c)).alias(f"{name}{c}") for c in ("x", "w") for name, f in (("m", F.avg), ("s", F.stddev_samp))],
+        F.covar_samp(on("x"), on("w")).alias("xw"), F.covar_samp(on("x"), on("y")).alias("xy"), F.covar_samp(on("w"), on("y")).alias("wy"),
+    )
+    tiny = float(np.finfo(float).eps)
+    moments = moments.withColumn("r", F.try_divide("xw", F.col("sx") * F.col("sw"))).withColumn("room", 1 - F.col("r") * F.col("r"))
+    defined = (F.col("n") >= 4) & (F.col("least") > 0) & (F.col("sx") > tiny) & (F.col("sw") > tiny) & (F.col("room") > tiny)
+    cx, cw = F.try_divide("xy", "sx"), F.try_divide("wy", "sw")
+    moments = moments.withColumn("b1", F.when(defined, F.try_divide(cx - F.col("r") * cw, F.col("room")))).withColumn("b2", F.when(defined, F.try_divide(cw - F.col("r") * cx, F.col("room"))))
+    moments = moments.withColumnRenamed("k", "_k")
+    each = rows.filter("whole").join(moments, F.col("k").eqNullSafe(F.col("_k"))).filter("b1 IS NOT NULL")
+    zx, zw, scale = (F.col("x") - F.col("mx")) / F.col("sx"), (F.col("w") - F.col("mw")) / F.col("sw"), (F.col("n") - 1) * F.col("room")
+    leverage = 1 / F.col("n") + (zx * zx - 2 * F.col("r") * zx * zw + zw * zw) / scale
+    part = (zx - F.col("r") * zw) / scale * F.try_divide(F.col("y") - F.col("my") - F.col("b1") * zx - F.col("b2") * zw, 1 - leverage)
+    errors = each.groupBy("_k").agg(F.sqrt(F.sum(part * part)).alias("error")).withColumnRenamed("_k", "_e")
+    told = moments.join(errors, F.col("_k").eqNullSafe(F.col("_e")), "left")
+    half = F.lit(Z975) * F.col("error")
+    return told.select(F.col("_k").alias(by), F.col("b1").alias("coefficient"), "error", (F.col("b1") - half).alias("low"), (F.col("b1") + half).alias("high"), F.col("n").cast("int").alias("n"))
 
 
 def gee(design: np.ndarray, hits: np.ndarray, trials: np.ndarray, cluster: np.ndarray, rounds: int = 60, tolerance: float = 1e-6) -> dict:

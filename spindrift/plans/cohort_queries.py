@@ -155,6 +155,13 @@ SELECT o_custkey, unit, match, round(distance, 6) AS distance FROM p WHERE n = 1
 _RULES = {rule: (p.replace("(?i)", "(?i)()") if p.startswith("(?i)") else p.replace("(?<![A-Za-z0-9_-])", "(^|[^A-Za-z0-9_-])") if p.startswith("(?<!") else "()" + p).replace("'", "''") for rule, p in files.SECRET_PATTERNS.items()}
 
 ORACLE_SQL = {
+    "greedy_match_without_replacement": """
+WITH RECURSIVE q AS (SELECT p_brand, p_partkey AS k, p_partkey % 4 = 0 AS pos, ln(1 + CAST(p_size AS DOUBLE)) AS s, sha256(CAST(p_partkey AS VARCHAR)) AS h FROM part),
+a AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY h) AS i FROM q WHERE pos),
+m(p_brand, i, unit, match, distance, used) AS (SELECT DISTINCT p_brand, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST([] AS BIGINT[]) FROM q UNION ALL
+SELECT p_brand, i, unit, match, distance, list_append(used, match) FROM (SELECT m.p_brand, a.i, a.k AS unit, n.k AS match, abs(a.s - n.s) AS distance, m.used, row_number() OVER (PARTITION BY m.p_brand ORDER BY abs(a.s - n.s), n.h) AS best
+FROM m JOIN a ON a.p_brand = m.p_brand AND a.i = m.i + 1 JOIN q n ON n.p_brand = m.p_brand AND NOT n.pos AND NOT list_contains(m.used, n.k)) WHERE best = 1)
+SELECT p_brand, unit, match, round(distance, 6) AS distance FROM m WHERE i > 0""",
     "row_candidates": f"SELECT doc_id, len(regexp_extract_all(text, '{_Q}')) AS token_count FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0 AND strlen(text) <= 24000 AND len(regexp_extract_all(text, '{_Q}')) BETWEEN 12 AND 900",
     "positive_projects": "WITH l AS (SELECT source, toxic FROM documents JOIN labels USING (doc_id)) SELECT source, count(*) AS negatives FROM l WHERE toxic = 0 AND source IN (SELECT source FROM l WHERE toxic = 1) GROUP BY source",
     "nearest_match_with_replacement": f"SELECT * FROM {_NEAREST}",

@@ -227,7 +227,15 @@ def _fisher(sign: str) -> str:
 _GRID = " UNION ALL ".join(f"SELECT '{a}' AS metadata, '{b}' AS feature, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM u" for a in ("balance", "c_nationkey") for b in ("price", "orders", "done"))
 _RAW = f"WITH r AS ({_ranked_sql({'rx': 'price', 'ry': 'orders'}, 'c_mktsegment')} {_UNITS_SQL}), c AS (SELECT c_mktsegment, count(*) AS n, {_corr('rx', 'ry')} AS rho FROM r GROUP BY 1) "
 
+_HC3 = f"""WITH u AS (SELECT c_mktsegment AS k, price AS x, done AS y, log2(orders + 1) AS w FROM {_UNITS_SQL}),
+m AS (SELECT k, count(*) AS n, avg(x) AS mx, stddev_samp(x) AS sx, avg(w) AS mw, stddev_samp(w) AS sw, avg(y) AS my, corr(x, w) AS r, covar_samp(x, y) / stddev_samp(x) AS cx, covar_samp(w, y) / stddev_samp(w) AS cw FROM u GROUP BY k),
+b AS (SELECT *, (cx - r * cw) / (1 - r * r) AS b1, (cw - r * cx) / (1 - r * r) AS b2, (n - 1) * (1 - r * r) AS d FROM m),
+z AS (SELECT b.*, y, (x - mx) / sx AS zx, (w - mw) / sw AS zw FROM u JOIN b USING (k)),
+e AS (SELECT k, n, b1, sqrt(sum(pow((zx - r * zw) / d * (y - my - b1 * zx - b2 * zw) / (1 - (1.0 / n + (zx * zx - 2 * r * zx * zw + zw * zw) / d)), 2))) AS error FROM z GROUP BY k, n, b1)
+SELECT k AS c_mktsegment, CAST(n AS INTEGER) AS n, round(b1, 6) AS coefficient, round(error, 6) AS error, round(b1 - 1.959963984540054 * error, 6) AS low, round(b1 + 1.959963984540054 * error, 6) AS high FROM e"""
+
 ORACLE_SQL = {
+    "hc3_sensitivity": _HC3,
     "partial_spearman_tokens_quality": f"WITH b AS (SELECT len(regexp_extract_all(text, '{_Q}')) AS x, quality AS y, n_chars AS z FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), r AS ({_ranked_sql({'rx': 'x', 'ry': 'y', 'rz': 'z'})} b), c AS (SELECT {_XYZ} FROM r) SELECT n, {_PARTIAL} AS rho FROM c",
     "average_rank": "SELECT c_custkey, c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0 AS rank_in_segment FROM customer",
     "raw_spearman": _RAW + f"SELECT c_mktsegment, n, round(rho, 6) AS rho, {_fisher('-')} AS low, {_fisher('+')} AS high FROM c",

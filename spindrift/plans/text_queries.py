@@ -181,7 +181,26 @@ QUERIES = {f.__name__: f for f in (token_count, static_features, smell_value_cou
 
 _WORD_SQL = text.WORD_PATTERN.replace("\\u2019", "’").replace("'", "''")
 
+
+
+def _table_sql(first: str, best: str, along: str, told: str) -> str:
+    """A dynamic programme over both token lists, a row of its table at a time: ``best`` from above (v) and from above left (d), then ``along`` the row."""
+    return f"""
+WITH RECURSIVE p AS (SELECT conv_id, turn, {_tokens_sql('reference')} AS r, {_tokens_sql('candidate')} AS c FROM {TURN_PAIRS_SQL}),
+rt AS (SELECT conv_id, turn, unnest(r) AS t, unnest(range(1, len(r) + 1)) AS i FROM p), ct AS (SELECT conv_id, turn, unnest(c) AS t, unnest(range(1, len(c) + 1)) AS j FROM p),
+dp(conv_id, turn, i, j, v) AS (SELECT conv_id, turn, CAST(0 AS BIGINT), j, CAST({first} AS BIGINT) FROM (SELECT conv_id, turn, unnest(range(0, len(c) + 1)) AS j FROM p) UNION ALL
+SELECT conv_id, turn, i + 1, j, CAST({along} AS BIGINT) FROM (SELECT *, CASE WHEN j = 0 THEN {first.replace("j", "i + 1")} ELSE {best} END AS best FROM (SELECT dp.*, lag(v) OVER (PARTITION BY dp.conv_id, dp.turn ORDER BY dp.j) AS d, coalesce(rt.t = ct.t, false) AS same
+FROM dp JOIN rt ON rt.conv_id = dp.conv_id AND rt.turn = dp.turn AND rt.i = dp.i + 1 LEFT JOIN ct ON ct.conv_id = dp.conv_id AND ct.turn = dp.turn AND ct.j = dp.j)) WINDOW w AS (PARTITION BY conv_id, turn ORDER BY j)),
+x AS (SELECT conv_id, turn, v, len(r) AS nr, len(c) AS nc FROM dp JOIN p USING (conv_id, turn) WHERE i = len(r) AND j = len(c))
+SELECT conv_id, turn, {told} FROM x"""
+
+
 ORACLE_SQL = {
+    "token_levenshtein_pairs": _table_sql("j", "least(v + 1, d + CASE WHEN same THEN 0 ELSE 1 END)", "min(best - j) OVER w + j", "v AS distance, CASE WHEN greatest(nr, nc) > 0 THEN round(1 - v / greatest(nr, nc)::DOUBLE, 6) END AS sts"),
+    "rouge_l_turn_pairs": _table_sql(
+        "0", "greatest(v, d + CASE WHEN same THEN 1 ELSE 0 END)", "max(best) OVER w",
+        "CASE WHEN nr * nc > 0 THEN round(v / nc::DOUBLE, 6) END AS precision, CASE WHEN nr * nc > 0 THEN round(v / nr::DOUBLE, 6) END AS recall, CASE WHEN nr * nc > 0 THEN round(2 * v / (nr + nc)::DOUBLE, 6) END AS f1",
+    ),
     "token_count": f"SELECT doc_id, len({_tokens_sql('text')}) AS n_tokens, len(regexp_extract_all(text, '{_WORD_SQL}')) AS n_words FROM documents",
     "static_features": f"""
 WITH f AS {_FEATURES_SQL},
