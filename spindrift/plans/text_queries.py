@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import java, similarity, text
+from ..functions import similarity, text
 from ..operators import documents as docs_ops
 from .tables import TURN_PAIRS_SQL, r6, table, turn_pairs
 
@@ -131,10 +131,6 @@ def masked_tag_counts(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_count(h, F.lit("<[a-zA-Z]")).cast("long").alias("opening"), F.regexp_count(h, F.lit("</[a-zA-Z]")).cast("long").alias("closing"), F.size(F.array_distinct(F.regexp_extract_all(h, F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)))).cast("long").alias("kinds"))
 
 
-def java_source_facts(spark, d):
-    return table(spark, d, "benchmark").select("item_id", java.java_facts("text").alias("f")).select("item_id", F.col("f.token_count").cast("long").alias("token_count"), F.col("f.ncloc").cast("long").alias("ncloc"), F.col("f.cyclomatic").cast("long").alias("cyclomatic"), F.array_join("f.failure_codes", ",").alias("failure_codes"))
-
-
 _CHUNK = "concat('@@ -1,2 +1,2 @@', chr(10), ' kept ', source, chr(10), '-old ', lang, chr(10), '+new ', source, ' ', lang)"
 
 
@@ -177,7 +173,7 @@ def stable_order(spark, d):
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("key")).cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (token_count, static_features, smell_value_counts, token_ngram_counts, bleu4_turn_pairs, rouge_turn_pairs, rouge_l_turn_pairs, token_levenshtein_pairs, length_ratio, cosine_adjacent, ngram_overlap_benchmark, masked_tag_counts, java_source_facts, diff_sides, intent_metrics, direction_features, line_features, stable_order)}
+QUERIES = {f.__name__: f for f in (token_count, static_features, smell_value_counts, token_ngram_counts, bleu4_turn_pairs, rouge_turn_pairs, rouge_l_turn_pairs, token_levenshtein_pairs, length_ratio, cosine_adjacent, ngram_overlap_benchmark, masked_tag_counts, diff_sides, intent_metrics, direction_features, line_features, stable_order)}
 
 _WORD_SQL = text.WORD_PATTERN.replace("\\u2019", "’").replace("'", "''")
 
