@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,40 +94,6 @@ def nearest_match(left: DataFrame, right: DataFrame, group: str, size: str, key:
     return rows.withColumn("b", best).filter("b IS NOT NULL").select(group, F.col("k").alias("unit"), F.col("b.match").alias("match"), F.col("b.distance").alias("distance"))
 
 
-def greedy_match(df: DataFrame, group: str, positive: str, size: str, key: str) -> DataFrame:
-    """Nearest matches without replacement: positives, in stable order, each take the nearest negative left.
-
-    The order makes this sequential inside a group; groups run in parallel.  Negatives are kept
-    sorted by size, so a step looks at the nearest ones left only.
-    """
-    import bisect
-    import hashlib
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.assign(s=np.log1p(rows["size"].astype(float)), h=[hashlib.sha256(str(k).encode()).hexdigest() for k in rows["key"]])
-        left = sorted((s, h, k) for s, h, k in rows.loc[~rows["positive"], ["s", "h", "key"]].itertuples(index=False))
-        out = []
-        for s, h, k in sorted(rows.loc[rows["positive"], ["s", "h", "key"]].itertuples(index=False), key=lambda r: r[1]):
-            if not left:
-                break
-            i = bisect.bisect_left(left, (s, "", ""))
-            near = [j for j in (i - 1, i) if 0 <= j < len(left)]
-            for j in list(near):  # all of the same size as a neighbour: the least hash of them comes first
-                j0 = bisect.bisect_left(left, (left[j][0], "", ""))
-                near.append(j0)
-            j = min(near, key=lambda j: (abs(left[j][0] - s), left[j][1]))
-            out.append((rows["grp"].iloc[0], k, left[j][2], abs(left[j][0] - s)))
-            del left[j]
-        return pd.DataFrame(out, columns=["grp", "unit", "match", "distance"])
-
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(group).alias("grp"), F.col(positive).cast("boolean").alias("positive"), F.col(size).cast("double").alias("size"), F.col(key).alias("key"))
-    found = rows.groupBy("grp").applyInPandas(match, f"grp {df.schema[group].dataType.simpleString()}, unit {kind}, match {kind}, distance double")
-    return found.withColumnRenamed("grp", group)
-
-
 def closest_pairs(pairs: DataFrame, distance: str, key: str, k: int) -> DataFrame:
     """The ``k`` pairs of least distance (ties by stable key), numbered in stable order."""
     top = pairs.withColumn("_h", text.stable_key(F.col(key).cast("string"))).orderBy(distance, "_h").limit(k)

@@ -1,15 +1,16 @@
-"""Regression sensitivities: HC3 least squares and binomial GEE, as grouped NumPy kernels."""
+"""Regression sensitivities: HC3 least squares and binomial GEE from aggregates, with small exact NumPy versions of both."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probability import Z975, normal_two_sided
+from ..sources.store import stored
 
 
 def _z(x: np.ndarray) -> np.ndarray:
@@ -126,45 +127,130 @@ def participant_group(label):
     return F.when(norm == "professional developer", "professional").when(student, "student").otherwise("other")
 
 
+class _Clustered:
+    """Sums that a binomial GEE needs, by one aggregate over rows and one over clusters.
+
+    ``rows``: (cluster, y, x0, x1, ...), y between 0 and 1.  A pass takes coefficients as one broadcast row (not as
+    literals, so that all passes share their compiled code) and gives each cluster's sums, partly before the shuffle.
+    The inverse of an exchangeable matrix is in closed form and depends on a cluster's size alone, so clusters are summed
+    by size: any working correlation's score and information follow from these few rows (n rows have at most
+    sqrt(2 n) sizes).  The sandwich's middle is a pass of its own, as one row.
+    """
+
+    def __init__(self, rows: DataFrame, p: int) -> None:
+        self.rows, self.p, self.names = rows, p, [(j, k) for j in range(p) for k in range(j, p)]
+
+    def _clusters(self, beta: np.ndarray, alpha: float) -> tuple[str, dict]:
+        now = self.rows.sparkSession.createDataFrame(pa.table({**{f"b{j}": [float(b)] for j, b in enumerate(beta)}, "alpha": [float(alpha)]}))
+        eta = " + ".join(f"b{j} * x{j}" for j in range(self.p))
+        each = f"SELECT *, sqrt(greatest(mu * (1 - mu), 1e-300D)) AS s FROM (SELECT /*+ BROADCAST(b) */ r.*, b.*, 1 / (1 + exp(-({eta}))) AS mu FROM {{r}} r CROSS JOIN {{now}} b)"
+        each = f"SELECT cluster, alpha, (y - mu) / s AS e, {', '.join(f'x{j} * s AS d{j}' for j in range(self.p))} FROM ({each})"
+        sums = ", ".join([*(f"sum(d{j}) AS s{j}, sum(d{j} * e) AS e{j}" for j in range(self.p)), *(f"sum(d{j} * d{k}) AS q{j}_{k}" for j, k in self.names)])
+        return f"SELECT cluster, first(alpha) AS alpha, count(*) AS m, sum(e) AS es, sum(e * e) AS ee, {sums} FROM ({each}) GROUP BY cluster", {"r": self.rows, "now": now}
+
+    def _square(self, flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.p, self.p))
+        for x, (j, k) in zip(flat, self.names, strict=True):
+            out[j, k] = out[k, j] = x
+        return out
+
+    def sums(self, beta: np.ndarray) -> _Sums:
+        clusters, tables = self._clusters(beta, 0.0)
+        parts = [*(f"sum(e{j})" for j in range(self.p)), *(f"sum(s{j} * es)" for j in range(self.p)), *(f"sum(q{j}_{k})" for j, k in self.names), *(f"sum(s{j} * s{k})" for j, k in self.names)]
+        rows = self.rows.sparkSession.sql(f"SELECT m, count(*), sum(ee), sum((es * es - ee) / 2), {', '.join(parts)} FROM ({clusters}) GROUP BY m", **tables).collect()  # one row a cluster size
+        return _Sums(np.array(rows, dtype=float), self)
+
+    def meat(self, beta: np.ndarray, alpha: float) -> np.ndarray:
+        clusters, tables = self._clusters(beta, alpha)
+        scores = ", ".join(f"(e{j} - alpha / (1 + (m - 1) * alpha) * s{j} * es) / (1 - alpha) AS u{j}" for j in range(self.p))
+        row = self.rows.sparkSession.sql(f"SELECT {', '.join(f'sum(u{j} * u{k})' for j, k in self.names)} FROM (SELECT {scores} FROM ({clusters}))", **tables).first()
+        return self._square(np.array(row, dtype=float))
+
+
+class _Sums:
+    """Clusters' sums by size, at one set of coefficients."""
+
+    def __init__(self, rows: np.ndarray, model: _Clustered) -> None:
+        p, q = model.p, len(model.names)
+        self.model, self.m, self.count = model, rows[:, 0], rows[:, 1]
+        self.n, self.pairs = float(self.m @ self.count), float((self.m * (self.m - 1) / 2) @ self.count)
+        self.ee, self.cross = float(rows[:, 2].sum()), float(rows[:, 3].sum())
+        self.e, self.s, self.dd, self.ss = np.split(rows[:, 4:], [p, 2 * p, 2 * p + q], axis=1)
+
+    def equations(self, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """(score, information) with this working correlation."""
+        shrink = (alpha / (1 + (self.m - 1) * alpha))[:, None]
+        return (self.e - shrink * self.s).sum(axis=0) / (1 - alpha), self.model._square((self.dd - shrink * self.ss).sum(axis=0) / (1 - alpha))
+
+
+def gee_by_sums(rows: DataFrame, p: int, rounds: int = 60, tolerance: float = 1e-6) -> dict:
+    """What :func:`gee` gives, from aggregates: ``rows`` (cluster, y, x0 ... x{p-1}) may be of any number, and so may a cluster's."""
+    model, beta, alpha, settled = _Clustered(rows, p), np.zeros(p), 0.0, False
+    at = model.sums(beta)
+    for _ in range(25):
+        score, info = at.equations(0.0)
+        step = np.linalg.solve(info, score)
+        beta = beta + step
+        at = model.sums(beta)
+        if np.abs(step).max() < 1e-10 * max(1.0, np.abs(beta).max()):
+            break
+    for _ in range(rounds):
+        alpha = at.cross / (at.ee / (at.n - p)) / (at.pairs - p) if at.pairs > p else 0.0
+        score, info = at.equations(alpha)
+        beta = beta + np.linalg.solve(info, score)
+        at = model.sums(beta)
+        score, info = at.equations(alpha)
+        if np.abs(score).max() < tolerance:
+            settled = True
+            break
+    bread = np.linalg.inv(info)
+    error = np.sqrt(np.diag(bread @ model.meat(beta, alpha) @ bread))
+    return {"converged": settled, "correlation": alpha, "estimate": beta, "error": error, "p": [normal_two_sided(b / s) if s else float(b == 0) for b, s in zip(beta, error, strict=True)]}
+
+
 def gee_sensitivity(evaluations: DataFrame, units: DataFrame, trials: int) -> DataFrame:
     """Participant-level models of hits out of ``trials``, with and without a group interaction.
 
     ``evaluations``: (participant, grp, unit, hits); ``units``: (unit, predictor, size).  Predictor
     and log2 size are standardised once over units that have both and any response, then joined.
+    All passes are aggregates; one row of sums a pass reaches the driver.
     """
+    spark = evaluations.sparkSession
     rows = evaluations.filter(F.col("hits").isNotNull()).join(units.filter(F.col("predictor").isNotNull()), "unit")
+    rows = stored(rows.select("participant", "grp", "unit", F.col("hits").cast("double").alias("hits"), F.col("predictor").cast("double").alias("x"), F.log2(F.col("size").cast("double")).alias("w")), "gee")
+    once = rows.groupBy("unit").agg(F.min("x").alias("x"), F.min("w").alias("w"))
+    z = once.agg(*[f(c).alias(f"{n}{c}") for c in "xw" for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    tiny = float(np.finfo(float).eps)
+    told = lambda out: spark.createDataFrame(out, GEE_RESULT)
+    if not all(z[f"s{c}"] is not None and z[f"s{c}"] > tiny for c in "xw"):
+        n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("participant").alias("c")).first()
+        return told([("base", None, None, None, None, None, None, n["n"], n["c"], "undefined_zscore")])
+    pro = (F.col("grp") == "professional").cast("double")
+    zx, zw = (F.col("x") - z["mx"]) / z["sx"], (F.col("w") - z["mw"]) / z["sw"]
+    design = stored(rows.select(F.col("participant").alias("cluster"), "grp", (F.col("hits") / trials).alias("y"), F.lit(1.0).alias("x0"), zx.alias("x1"), zw.alias("x2"), F.coalesce(pro, F.lit(0.0)).alias("x3"), (zx * F.coalesce(pro, F.lit(0.0))).alias("x4")), "gee")
+    out = []
+    for model, p in (("base", 3), ("interaction", 5)):
+        part = design if model == "base" else design.filter("grp <> 'other' OR grp IS NULL")
+        pairs = [(j, k) for j in range(p) for k in range(j, p)]
+        n = part.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("c"), F.min("y").alias("lo"), F.max("y").alias("hi"), *[F.sum(F.col(f"x{j}") * F.col(f"x{k}")).alias(f"g{j}_{k}") for j, k in pairs]).first()
+        failure, r = None, None
+        if n["c"] < 2:
+            failure = "insufficient_participant_clusters"
+        elif n["n"] < p or _singular(np.array([[n[f"g{min(j, k)}_{max(j, k)}"] for k in range(p)] for j in range(p)])):
+            failure = "singular_gee_design"
+        elif n["lo"] == n["hi"]:
+            failure = "constant_gee_outcome"
+        else:
+            r = gee_by_sums(part, p)
+            failure = None if r["converged"] else "gee_not_converged"
+        if failure:
+            out.append((model, None, None, None, None, None, None, n["n"], n["c"], failure))
+        else:
+            out += [(model, t, float(b), float(e), float(b - Z975 * e), float(b + Z975 * e), float(q), n["n"], n["c"], None) for t, b, e, q in zip(_TERMS, r["estimate"], r["error"], r["p"], strict=False)]
+    return told(out)
+
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["participant", "unit"])
-        once = rows.drop_duplicates("unit")
-        out = []
-        try:
-            zx = dict(zip(once["unit"], _z(once["predictor"].to_numpy(float)), strict=True))
-            zs = dict(zip(once["unit"], _z(np.log2(once["size"].to_numpy(float))), strict=True))
-        except ValueError:
-            return pd.DataFrame([["base", None, None, None, None, None, None, len(rows), rows["participant"].nunique(), "undefined_zscore"]], columns=[c.split()[0] for c in GEE_RESULT.split(", ")])
-        for model in ("base", "interaction"):
-            part = rows if model == "base" else rows[rows["grp"] != "other"]
-            x, s = part["unit"].map(zx).to_numpy(float), part["unit"].map(zs).to_numpy(float)
-            columns = [np.ones(len(part)), x, s]
-            if model == "interaction":
-                pro = (part["grp"] == "professional").to_numpy(float)
-                columns += [pro, x * pro]
-            design, clusters = np.column_stack(columns), part["participant"].nunique()
-            failure, r = None, None
-            if clusters < 2:
-                failure = "insufficient_participant_clusters"
-            elif len(part) < design.shape[1] or np.linalg.matrix_rank(design) < design.shape[1]:
-                failure = "singular_gee_design"
-            elif part["hits"].nunique() < 2:
-                failure = "constant_gee_outcome"
-            else:
-                r = gee(design, part["hits"].to_numpy(float), np.full(len(part), float(trials)), part["participant"].to_numpy())
-                failure = None if r["converged"] else "gee_not_converged"
-            if failure:
-                out.append([model, None, None, None, None, None, None, len(part), clusters, failure])
-            else:
-                out += [[model, t, b, e, b - Z975 * e, b + Z975 * e, p, len(part), clusters, None] for t, b, e, p in zip(_TERMS, r["estimate"], r["error"], r["p"], strict=False)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in GEE_RESULT.split(", ")])
-
-    return rows.groupBy().applyInPandas(fit, GEE_RESULT)  # one study is one model: hundreds of evaluations
+def _singular(gram: np.ndarray) -> bool:
+    """Whether columns with these sums of products depend on each other; they are scaled to length 1 first."""
+    length = np.sqrt(np.diag(gram))
+    return bool((length == 0).any() or np.linalg.eigvalsh(gram / np.outer(length, length)).min() < 1e-12)

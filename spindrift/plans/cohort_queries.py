@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cohort
+from ..operators import cohort, matching
 from ..sources import files
 from ..streaming import ledger
 from .tables import labelled, r6, table
@@ -39,10 +39,36 @@ def nearest_match_with_replacement(spark, d):
 
 
 def greedy_match_without_replacement(spark, d):
-    rows = cohort.greedy_match(_parts(spark, d), "p_brand", "positive", "p_size", "p_partkey")
+    rows = matching.match_without_replacement(_parts(spark, d), "p_brand", "positive", "p_size", "p_partkey")
     return rows.select("p_brand", "unit", "match", r6("distance").alias("distance"))
 
 
+def greedy_match_in_one_group(spark, d):
+    """All parts as one group: every fourth takes the nearest by price of the parts that are left."""
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 4 == 0).alias("positive"), F.lit("all").alias("g"))
+    return matching.match_without_replacement(parts, "g", "positive", "price", "p_partkey", 512).select("unit", "match", r6("distance").alias("distance"))
+
+
+#: Of each order status, so many customers, and of all.
+_QUOTAS, _TOTAL = {"F": 20, "O": 15, "P": 5}, 60
+
+
+def _quota_orders(spark, d):
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+
+
+def quota_selection(spark, d):
+    """Urgent orders by quotas of their status, no customer twice, then any up to the total."""
+    found = matching.fill_quotas(_quota_orders(spark, d).filter("urgent"), "o_custkey", "o_orderstatus", "o_orderkey", _QUOTAS, _TOTAL)
+    return found.select(F.col("unit").cast("long").alias("o_orderkey"), F.col("project").cast("long").alias("o_custkey"), F.col("category").alias("o_orderstatus"), "place")
+
+
+def one_pair_a_project(spark, d):
+    """One urgent order a customer, by quotas, with the customer's nearest other order by price."""
+    found = matching.one_pair_a_project(_quota_orders(spark, d), "o_custkey", "urgent", "o_orderstatus", "o_totalprice", "o_orderkey", _QUOTAS, _TOTAL)
+    return found.select("place", "o_custkey", F.col("category").alias("o_orderstatus"), "unit", "match", r6("distance").alias("distance"))
+
+
 def closest_pairs_topk(spark, d):
     rows = nearest_match_with_replacement(spark, d)
     return cohort.closest_pairs(rows, "distance", "unit", 60).select("pair_id", "unit", "match", "distance")
@@ -145,7 +171,7 @@ def stream_window_rates(spark, d):
     return rows.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "failed")
 
 
-QUERIES = {f.__name__: f for f in (row_candidates, positive_projects, nearest_match_with_replacement, greedy_match_without_replacement, closest_pairs_topk, hours_to_next_purchase, last_row_wins, manifest_diff, three_way_split, multiset_difference, distinct_union, bag_union, missing_units, json_numeric_availability, review_hours, secret_findings, marker_findings, file_snapshot, stratified_topk, stream_first_valid, stream_window_rates)}
+QUERIES = {f.__name__: f for f in (row_candidates, positive_projects, nearest_match_with_replacement, greedy_match_without_replacement, greedy_match_in_one_group, quota_selection, one_pair_a_project, closest_pairs_topk, hours_to_next_purchase, last_row_wins, manifest_diff, three_way_split, multiset_difference, distinct_union, bag_union, missing_units, json_numeric_availability, review_hours, secret_findings, marker_findings, file_snapshot, stratified_topk, stream_first_valid, stream_window_rates)}
 
 _Q = text.TOKEN_PATTERN.replace("'", "''")
 _NEAREST = """(WITH o AS (SELECT o_custkey, o_orderkey, ln(1 + o_totalprice) AS s, o_orderpriority = '1-URGENT' AS u FROM orders),
@@ -154,7 +180,36 @@ SELECT o_custkey, unit, match, round(distance, 6) AS distance FROM p WHERE n = 1
 #: The same patterns for SQL: an empty group at the start (what stands before the match), look-behind as a group, quotes doubled.
 _RULES = {rule: (p.replace("(?i)", "(?i)()") if p.startswith("(?i)") else p.replace("(?<![A-Za-z0-9_-])", "(^|[^A-Za-z0-9_-])") if p.startswith("(?<!") else "()" + p).replace("'", "''") for rule, p in files.SECRET_PATTERNS.items()}
 
+
+
+def _quota_sql(where: str) -> str:
+    """(o_orderkey, o_custkey, o_orderstatus, place): a step for each category and one for the rest, each over customers that none before has taken."""
+    steps, taken = [], []
+    for i, (status, n) in enumerate([*_QUOTAS.items(), (None, _TOTAL)]):
+        used = f" AND o_custkey NOT IN ({' UNION ALL '.join(f'SELECT o_custkey FROM t{k}' for k in taken)})" if taken else ""
+        before = " + ".join(f"(SELECT count(*) FROM t{k})" for k in taken) or "0"
+        only = f" AND o_orderstatus = '{status}'" if status else ""
+        first = f"SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY h) AS f FROM u WHERE true{only}{used}"
+        steps.append(f"t{i} AS (SELECT o_orderkey, o_custkey, o_orderstatus, {before} + r AS place FROM (SELECT *, row_number() OVER (ORDER BY h) AS r FROM ({first}) WHERE f = 1) WHERE r <= least({n}, {_TOTAL} - ({before})))")
+        taken.append(i)
+    source = f"u AS (SELECT *, sha256('quota' || chr(31) || o_custkey || chr(31) || o_orderkey) AS h FROM orders WHERE o_orderpriority = '1-URGENT'{where})"
+    return f"WITH {source}, {', '.join(steps)} {' UNION ALL '.join(f'SELECT * FROM t{k}' for k in taken)}"
+
+
 ORACLE_SQL = {
+    "greedy_match_in_one_group": """
+WITH RECURSIVE q AS (SELECT p_partkey AS k, p_partkey % 4 = 0 AS pos, ln(1 + p_retailprice) AS s, sha256(CAST(p_partkey AS VARCHAR)) AS h FROM part),
+a AS (SELECT *, row_number() OVER (ORDER BY h) AS i FROM q WHERE pos),
+m(i, unit, match, distance, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST([] AS BIGINT[]) UNION ALL
+SELECT i, unit, match, distance, list_append(used, match) FROM (SELECT a.i, a.k AS unit, n.k AS match, abs(a.s - n.s) AS distance, m.used, row_number() OVER (ORDER BY abs(a.s - n.s), n.h) AS best
+FROM m JOIN a ON a.i = m.i + 1 JOIN q n ON NOT n.pos AND NOT list_contains(m.used, n.k)) WHERE best = 1)
+SELECT unit, match, round(distance, 6) AS distance FROM m WHERE i > 0""",
+    "quota_selection": f"SELECT o_orderkey, o_custkey, o_orderstatus, CAST(place AS BIGINT) AS place FROM ({_quota_sql('')})",
+    "one_pair_a_project": f"""
+SELECT place, o_custkey, o_orderstatus, unit, match, round(distance, 6) AS distance FROM (
+SELECT CAST(c.place AS BIGINT) AS place, c.o_custkey, c.o_orderstatus, c.o_orderkey AS unit, n.o_orderkey AS match, abs(ln(1 + o.o_totalprice) - ln(1 + n.o_totalprice)) AS distance,
+       row_number() OVER (PARTITION BY c.place ORDER BY abs(ln(1 + o.o_totalprice) - ln(1 + n.o_totalprice)), sha256(CAST(n.o_orderkey AS VARCHAR))) AS r
+FROM ({_quota_sql(" AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT')")}) c JOIN orders o USING (o_orderkey) JOIN orders n ON n.o_custkey = c.o_custkey AND n.o_orderpriority <> '1-URGENT') WHERE r = 1""",
     "greedy_match_without_replacement": """
 WITH RECURSIVE q AS (SELECT p_brand, p_partkey AS k, p_partkey % 4 = 0 AS pos, ln(1 + CAST(p_size AS DOUBLE)) AS s, sha256(CAST(p_partkey AS VARCHAR)) AS h FROM part),
 a AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY h) AS i FROM q WHERE pos),

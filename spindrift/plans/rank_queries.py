@@ -190,15 +190,26 @@ def hc3_sensitivity(spark, d):
     return models.hc3_by(u, "c_mktsegment", "price", "done", "size").select("c_mktsegment", "n", *[r6(c).alias(c) for c in ("coefficient", "error", "low", "high")])
 
 
-def gee_sensitivity(spark, d):
-    """Quality hits by language group as participants' groups; sources are units, languages by thousand are participants."""
+def _gee_inputs(spark, d):
     rows = labelled(spark, d).select(F.concat("lang", F.lit("-"), (F.col("doc_id") % 40).cast("string")).alias("participant"), F.when(F.col("lang") == "en", "professional").when(F.col("lang") == "de", "student").otherwise("other").alias("grp"), F.col("source").alias("unit"), F.col("quality").cast("int").alias("hits"))
     units = table(spark, d, "documents").groupBy(F.col("source").alias("unit")).agg(F.avg("n_chars").alias("predictor"), F.count(F.lit(1)).cast("double").alias("size"))
-    units = units.withColumn("size", F.col("size") + F.length("unit"))
+    return rows, units.withColumn("size", F.col("size") + F.length("unit") + F.ascii(F.substring("unit", -1, 1)) % 3)
+
+
+def gee_sensitivity(spark, d):
+    """Quality hits by language group as participants' groups; sources are units, languages by forty are participants."""
+    rows, units = _gee_inputs(spark, d)
     r = models.gee_sensitivity(rows, units, 1)
     return r.select("model", "term", r6("estimate").alias("estimate"), r6("error").alias("error"), "n_rows", "n_clusters", "failure")
 
 
+def gee_base_model(spark, d):
+    """The base model alone, with its interval and p-value: SQL can follow three coefficients."""
+    rows, units = _gee_inputs(spark, d)
+    r = models.gee_sensitivity(rows.withColumn("grp", F.lit("other")), units, 1).filter("model = 'base'")
+    return r.select("term", *[r6(c).alias(c) for c in ("estimate", "error", "low", "high", "p")], "n_rows", "n_clusters")
+
+
 def seeded_associations(spark, d):
     """Raw and adjusted correlations with bootstrap intervals and permutation p-values, from fixed seeds."""
     m = labelled(spark, d).groupBy("source").agg(F.first("lang").alias("_l"), F.avg("n_chars").alias("length"), F.count(F.lit(1)).alias("rows_in_source"), F.avg("toxic").alias("toxic"), F.avg("quality").alias("quality"))
@@ -207,7 +218,7 @@ def seeded_associations(spark, d):
     return r.select("metric", F.col("n").cast("long").alias("n"), *[r6(c).alias(c) for c in ("raw_rho", "partial_rho", "raw_low", "raw_high", "raw_p", "partial_p")])
 
 
-QUERIES = {f.__name__: f for f in (partial_spearman_tokens_quality, average_rank, raw_spearman, partial_spearman, leave_one_group_out, holm_family, boundary_sensitivity, run_stability, icc_3_1, outcome_agreement, gate_decision, correlation_grid, hash_bootstrap_within_group, hash_permutation_within_group, auc_length_by_quality, point_biserial, wilcoxon_runs, wilcoxon_p, paired_summary, arm_separation, paired_contrast, quantiles, hc3_sensitivity, gee_sensitivity, seeded_associations)}
+QUERIES = {f.__name__: f for f in (partial_spearman_tokens_quality, average_rank, raw_spearman, partial_spearman, leave_one_group_out, holm_family, boundary_sensitivity, run_stability, icc_3_1, outcome_agreement, gate_decision, correlation_grid, hash_bootstrap_within_group, hash_permutation_within_group, auc_length_by_quality, point_biserial, wilcoxon_runs, wilcoxon_p, paired_summary, arm_separation, paired_contrast, quantiles, hc3_sensitivity, gee_sensitivity, gee_base_model, seeded_associations)}
 
 _Q = text.TOKEN_PATTERN.replace("'", "''")
 _AB = "(SELECT l_orderkey, max(l_linestatus) AS status, round(avg(CASE WHEN l_linenumber = 1 THEN l_quantity END), 6) AS a, round(avg(CASE WHEN l_linenumber = 2 THEN l_quantity END), 6) AS b FROM lineitem GROUP BY 1)"
@@ -234,7 +245,53 @@ z AS (SELECT b.*, y, (x - mx) / sx AS zx, (w - mw) / sw AS zw FROM u JOIN b USIN
 e AS (SELECT k, n, b1, sqrt(sum(pow((zx - r * zw) / d * (y - my - b1 * zx - b2 * zw) / (1 - (1.0 / n + (zx * zx - 2 * r * zx * zw + zw * zw) / d)), 2))) AS error FROM z GROUP BY k, n, b1)
 SELECT k AS c_mktsegment, CAST(n AS INTEGER) AS n, round(b1, 6) AS coefficient, round(error, 6) AS error, round(b1 - 1.959963984540054 * error, 6) AS low, round(b1 + 1.959963984540054 * error, 6) AS high FROM e"""
 
+
+def _gee_sql(first: int = 12, rounds: int = 25) -> str:
+    """Scoring steps as recursion over (step, coefficients, correlation): ``first`` ones of independent rows, then ``rounds`` with the correlation of the coefficients before."""
+    g = ("x0", "x1", "x2")
+    pairs = [(a, b) for i, a in enumerate(g) for b in g[i:]]
+    name = lambda a, b: f"q{min(a, b)[1]}{max(a, b)[1]}"
+    eta = "(k.b0 + k.b1 * r.x1 + k.b2 * r.x2)"
+
+    def clusters(k: str) -> str:
+        mu = f"(1 / (1 + exp(-{eta})))"
+        e, s = f"((r.y - {mu}) / sqrt({mu} * (1 - {mu})))", f"sqrt({mu} * (1 - {mu}))"
+        each = f"SELECT k.i, k.b0, k.b1, k.b2, r.c, r.x0 * {s} AS x0, r.x1 * {s} AS x1, r.x2 * {s} AS x2, {e} AS e FROM r, {k} k"
+        return f"SELECT i, b0, b1, b2, c, count(*) AS m, sum(e) AS es, sum(e * e) AS ee, " + ", ".join(f"sum({a}) AS s{a[1]}, sum({a} * e) AS e{a[1]}" for a in g) + ", " + ", ".join(f"sum({a} * {b}) AS {name(a, b)}" for a, b in pairs) + f" FROM ({each}) GROUP BY ALL"
+
+    alpha = f"CASE WHEN i < {first} THEN 0.0 ELSE sum((es * es - ee) / 2) OVER (PARTITION BY i) / (sum(ee) OVER (PARTITION BY i) / (sum(m) OVER (PARTITION BY i) - 3)) / (sum(m * (m - 1) / 2) OVER (PARTITION BY i) - 3) END"
+    shrink = "a / (1 + (m - 1) * a)"
+    parts = lambda: ", ".join(f"(e{a[1]} - {shrink} * s{a[1]} * es) / (1 - a) AS u{a[1]}" for a in g) + ", " + ", ".join(f"({name(a, b)} - {shrink} * s{a[1]} * s{b[1]}) / (1 - a) AS {name(a, b)}" for a, b in pairs)
+    det = "(q00 * (q11 * q22 - q12 * q12) - q01 * (q01 * q22 - q12 * q02) + q02 * (q01 * q12 - q11 * q02))"
+    inverse = {"00": "q11 * q22 - q12 * q12", "01": "q02 * q12 - q01 * q22", "02": "q01 * q12 - q02 * q11", "11": "q00 * q22 - q02 * q02", "12": "q01 * q02 - q00 * q12", "22": "q00 * q11 - q01 * q01"}
+    inv = lambda j, k: f"(({inverse[min(j, k) + max(j, k)]}) / {det})"
+    total = ", ".join(f"sum(u{j}) AS u{j}" for j in "012") + ", " + ", ".join(f"sum({name(a, b)}) AS {name(a, b)}" for a, b in pairs)
+    move = lambda j: " + ".join(f"{inv(j, k)} * u{k}" for k in "012")
+    step = f"SELECT i + 1, b0 + {move('0')}, b1 + {move('1')}, b2 + {move('2')} FROM (SELECT i, b0, b1, b2, {total} FROM (SELECT *, {parts()} FROM (SELECT *, {alpha} AS a FROM ({clusters('k')}))) GROUP BY ALL) WHERE i < {first + rounds}"
+    step = step.replace("SELECT *, (e0", "SELECT i, b0, b1, b2, (e0")
+    meat = ", ".join(f"sum(u{a[1]} * u{b[1]}) AS v{a[1]}{b[1]}" for a, b in pairs)
+    v = lambda j, k: f"v{min(j, k)}{max(j, k)}"
+    error = lambda j: "sqrt(" + " + ".join(f"{inv(j, k)} * {v(k, l)} * {inv(l, j)}" for k in "012" for l in "012") + ")"  # noqa: E731, E741
+    last = f"SELECT *, {parts()} FROM (SELECT *, {alpha} AS a FROM ({clusters('(SELECT * FROM k ORDER BY i DESC LIMIT 1)')}))".replace("SELECT *, (e0", "SELECT i, b0, b1, b2, m, (e0")
+    return f"""
+WITH RECURSIVE u AS (SELECT source AS unit, avg(n_chars) AS x, log2(count(*) + length(source) + ascii(right(source, 1)) % 3) AS w FROM documents GROUP BY source),
+h AS (SELECT lang || '-' || (doc_id % 40) AS c, source AS unit, quality AS y, x, w FROM documents JOIN labels USING (doc_id) JOIN u ON u.unit = source WHERE quality IS NOT NULL),
+z AS (SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(w) AS mw, stddev_samp(w) AS sw FROM (SELECT DISTINCT unit, x, w FROM h)),
+r AS (SELECT c, y, 1.0::DOUBLE AS x0, (x - mx) / sx AS x1, (w - mw) / sw AS x2 FROM h, z),
+k(i, b0, b1, b2) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL {step}),
+f AS (SELECT b0, b1, b2, sum(m) AS n_rows, count(*) AS n_clusters, {total}, {meat} FROM ({last}) GROUP BY ALL),
+t AS (SELECT unnest([{{'t': 'intercept', 'b': b0, 'e': {error('0')}}}, {{'t': 'z_predictor', 'b': b1, 'e': {error('1')}}}, {{'t': 'z_log2_size', 'b': b2, 'e': {error('2')}}}]) AS o, n_rows, n_clusters FROM f)
+SELECT o.t AS term, round(o.b, 6) AS estimate, round(o.e, 6) AS error, round(o.b - {models.Z975} * o.e, 6) AS low, round(o.b + {models.Z975} * o.e, 6) AS high, round({_normal_sql("abs(o.b / o.e)")}, 6) AS p, CAST(n_rows AS BIGINT) AS n_rows, n_clusters FROM t"""
+
+
+def _normal_sql(z: str, cells: int = 4000) -> str:
+    """Two-sided normal tail by Simpson's rule over [0, z]."""
+    n = 2 * cells
+    return f"(1 - 2 / sqrt(2 * pi()) * list_sum(list_transform(range(0, {n + 1}), lambda i: (CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * ({z} * i / {n}) * ({z} * i / {n})))) * {z} / {n} / 3)"
+
+
 ORACLE_SQL = {
+    "gee_base_model": _gee_sql(),
     "hc3_sensitivity": _HC3,
     "partial_spearman_tokens_quality": f"WITH b AS (SELECT len(regexp_extract_all(text, '{_Q}')) AS x, quality AS y, n_chars AS z FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), r AS ({_ranked_sql({'rx': 'x', 'ry': 'y', 'rz': 'z'})} b), c AS (SELECT {_XYZ} FROM r) SELECT n, {_PARTIAL} AS rho FROM c",
     "average_rank": "SELECT c_custkey, c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0 AS rank_in_segment FROM customer",

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import aggregates, cohort, documents, models, paired, resampling, selection
+from spindrift.operators import aggregates, cohort, documents, matching, models, paired, resampling, selection
 from spindrift.plans import cohort_queries
 from spindrift.sources import files, report
 from spindrift.streaming import ledger
@@ -62,7 +62,7 @@ def test_matches(spark):
     df = spark.createDataFrame([("g", 1, 10.0, True), ("g", 2, 11.0, False), ("g", 3, 30.0, True), ("g", 4, 29.0, False), ("h", 5, 1.0, True)], "g string, k long, s double, p boolean")
     near = {r.unit: r.match for r in cohort.nearest_match(df.filter("p"), df.filter("NOT p"), "g", "s", "k").collect()}
     assert near == {1: 2, 3: 4}
-    greedy = {r.unit: r.match for r in cohort.greedy_match(df, "g", "p", "s", "k").collect()}
+    greedy = {r.unit: r.match for r in matching.match_without_replacement(df, "g", "p", "s", "k").collect()}
     assert greedy == {1: 2, 3: 4}
 
 
@@ -196,6 +196,34 @@ def test_hc3_against_direct():
     assert got["coefficient"] == pytest.approx(beta[1]) and got["error"] == pytest.approx(math.sqrt(cov[1, 1]))
 
 
+def test_gee_by_sums_equals_the_small_version(spark):
+    """Clusters of one to forty rows, and one with a third of all: coefficients, errors and correlation to 1e-9."""
+    rng = np.random.default_rng(8)
+    cluster = np.concatenate([np.repeat(np.arange(60), rng.integers(1, 40, 60)), np.full(500, 99)])
+    n = len(cluster)
+    x = np.column_stack([np.ones(n), rng.normal(size=(n, 2))])
+    lean = rng.normal(size=100)[cluster] * 0.4
+    hits = rng.binomial(3, 1 / (1 + np.exp(-(x @ [0.2, -0.5, 0.3] + lean)))).astype(float)
+    want = models.gee(x, hits, np.full(n, 3.0), cluster)
+    rows = spark.createDataFrame([(f"c{c}", float(h / 3), *map(float, v)) for c, h, v in zip(cluster, hits, x, strict=True)], "cluster string, y double, x0 double, x1 double, x2 double").repartition(7)
+    got = models.gee_by_sums(rows, 3)
+    assert got["converged"] and want["converged"] and abs(got["correlation"] - want["correlation"]) < 1e-9
+    assert np.abs(got["estimate"] - want["estimate"]).max() < 1e-9 and np.abs(got["error"] - want["error"]).max() < 1e-9
+    assert np.abs(np.array(got["p"]) - want["p"]).max() < 1e-8
+
+
+def test_gee_failures(spark):
+    units = spark.createDataFrame([(u, float(u % 5), float(2 ** (u % 4))) for u in range(20)], "unit int, predictor double, size double")
+    evaluations = lambda rows: spark.createDataFrame(rows, "participant string, grp string, unit int, hits int")
+    failed = lambda rows, u=units: {r.model: r.failure for r in models.gee_sensitivity(evaluations(rows), u, 3).collect()}
+    many = [(f"p{u % 6}", ["student", "professional", "other"][u % 3], u, u % 4) for u in range(20)]
+    assert failed([("one", "student", u, u % 4) for u in range(20)])["base"] == "insufficient_participant_clusters"
+    assert failed([(p, g, u, 2) for p, g, u, _ in many])["base"] == "constant_gee_outcome"
+    assert failed([(p, "student" if u % 2 else "other", u, h) for p, g, u, h in many])["interaction"] == "singular_gee_design"
+    assert failed(many, units.withColumn("predictor", F.lit(1.0))) == {"base": "undefined_zscore"}
+    assert failed([(p, g, u, None) for p, g, u, _ in many]) == {"base": "undefined_zscore"}
+
+
 def test_gee_solves_its_equations():
     rng = np.random.default_rng(6)
     cluster = np.repeat(np.arange(30), 4)
