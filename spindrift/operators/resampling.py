@@ -1,7 +1,8 @@
-"""Seeded permutation tests and bootstrap intervals, one group of rows (a metric and outcome) a task.
+"""Seeded permutation tests and bootstrap intervals, one group of rows (a metric and outcome) a task: the small exact versions.
 
-A seed's stream can't be split without changing its draws, so parallelism is over groups.  Draws are
-made one replicate after the other; statistics are computed for many replicates at once.
+A sequential generator's stream can't be split without changing its draws, so parallelism is over groups, and a group is
+bounded by ``MOST_ROWS``.  Draws are made one replicate after the other; statistics are computed for many replicates at
+once.  For groups of any size, ``analysis`` has the same tests with draws that any task can make.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import counted
+
 BOOTSTRAP_SEED, PRIMARY_SEED, SECONDARY_SEED = 20_260_811, 20_260_812, 20_260_813
 _BATCH = 2048
+#: Rows of a seeded group; one with more is an error.
+MOST_ROWS = 20_000
 
 
 def metric_seed(name: str, base: int = SECONDARY_SEED) -> int:
@@ -128,6 +133,8 @@ def associations(df: DataFrame, unit: str, stratum: str, control: str, outcome:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=["x", "y", "z"]).sort_values([stratum, unit])
         name = rows["metric"].iloc[0] if len(rows) else ""
+        if len(rows) > MOST_ROWS:
+            raise ValueError(f"seeded_group_too_large:{len(rows)}")
         x, y, z = (rows[c].to_numpy() for c in "xyz")
         if len(rows) < 4 or np.ptp(x) == 0 or np.ptp(y) == 0:
             return pd.DataFrame([[name, len(rows), *[None] * 8]], columns=[c.split()[0] for c in RESULT.split(", ")])
@@ -148,11 +155,11 @@ def hashed_draw(*parts):
 def hash_bootstrap_means(df: DataFrame, unit: str, group: str, value: str, replicates: int) -> DataFrame:
     """Bootstrap means within groups whose draws are hashes, so that any engine gets the same ones.
 
-    Rows of a group are numbered; replicate r's i-th draw is the row of number hash(group, r, i) mod n.
+    Rows of a group are numbered by ranges; replicate r's i-th draw is the row of number hash(group, r, i) mod n.
     """
-    from pyspark.sql import Window
-
-    numbered = df.select(group, F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(unit)) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n"))
-    draws = numbered.select(group, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    draws = draws.select(group, "r", F.pmod(hashed_draw(F.col(group), F.col("r"), F.col("i")), F.col("n")).alias("i"))
-    return draws.join(numbered.select(group, F.col("i").cast("long").alias("i"), "v"), [group, "i"]).groupBy(group, "r").agg(F.avg("v").alias("m"))
+    numbered = counted(df.select(group, unit, F.col(value).cast("double").alias("v")), [group], [unit], "i")
+    sizes = numbered.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
+    draws = numbered.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).select(group, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    draws = draws.select(F.col(group).alias("_g"), "r", F.pmod(hashed_draw(F.col(group), F.col("r"), F.col("i")), F.col("n")).alias("_i"))
+    found = draws.join(numbered.select(group, "i", "v"), F.col("_g").eqNullSafe(F.col(group)) & (F.col("_i") == F.col("i")))
+    return found.groupBy(group, "r").agg(F.avg("v").alias("m"))

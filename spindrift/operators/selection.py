@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cohort import CohortError, require_none
+from .numbering import counted
 
 # The checks of an attempt, those that make it a terminal success, the order in which a
 # failing one is reported, and the stage and class of each failure.
@@ -46,11 +47,12 @@ def nothing_after_selection(df: DataFrame, cell: list[str], attempt: str, valid:
 def schedule(units: DataFrame, unit: str, runs: int) -> DataFrame:
     """Every unit in every run, numbered by (run, unit) from 1.
 
-    Numbers come from per-run counts and a rank within the run, so no window spans all rows.
+    Units are numbered by ranges, so no window spans all rows.
     """
     spark = units.sparkSession
     rows = units.select(unit).distinct()
-    number = rows.select(unit, F.row_number().over(Window.orderBy(unit)).alias("_i"))  # unit lists are short: 50 cases in the study
+    number = counted(rows, [], [unit], "_i").select(unit, F.col("_i") + 1)
+    number = number.toDF(unit, "_i")
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
     grid = number.crossJoin(F.broadcast(spark.range(runs).select(F.col("id").cast("int").alias("run_index")))).crossJoin(F.broadcast(n))
     return grid.select("run_index", unit, (F.col("run_index") * F.col("_n") + F.col("_i")).alias("ordinal"))
@@ -89,7 +91,7 @@ def fixed_cohort(df: DataFrame, unit: str, run: str, attempt: str, checks: str,
     return df.orderBy(run, unit)
 
 
-def gate(valid: Column, total: Column, rho: Column, lower: Column, p: Column, most: int = 50, least: int = 45) -> Column:
+def gate(valid: Column, total: Column, rho: Column, lower: Column, p: Column, most: int | Column = 50, least: int = 45) -> Column:
     """(decision, category) of a fail-fast conjunction: enough units are valid, and the estimate, its lower bound and its one-sided p-value pass.
 
     A total other than ``most``, a number of valid units out of range and a p-value outside [0, 1] are errors.

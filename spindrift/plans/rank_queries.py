@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks, text
-from ..operators import models, paired, resampling
+from ..operators import analysis, models, numbering, paired, resampling
 from ..sources.store import stored
 from .tables import labelled, r6, table
 
@@ -130,14 +130,12 @@ def hash_bootstrap_within_group(spark, d):
 def hash_permutation_within_group(spark, d):
     """How many of 20 hashed permutations within segments reach the observed rank correlation."""
     u = _units(spark, d).select("c_custkey", "c_mktsegment", F.col("price").alias("x"), F.col("orders").cast("double").alias("y"))
-    u = ranks.with_ranks(u, {"rx": "x", "ry": "y"}).select("c_custkey", "c_mktsegment", "rx", "ry")
-    reps = u.select("*", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("r"))
-    place = Window.partitionBy("c_mktsegment", "r")
-    key = F.when(F.col("r") == 0, F.col("c_custkey")).otherwise(resampling.hashed_draw(F.col("r"), F.col("c_custkey")))
-    shuffled = reps.select("c_mktsegment", "r", "ry", F.row_number().over(place.orderBy(key, "c_custkey")).alias("i"))
-    fixed = reps.select("c_mktsegment", "r", "rx", F.row_number().over(place.orderBy("c_custkey")).alias("i"))
-    stats = fixed.join(shuffled, ["c_mktsegment", "r", "i"]).groupBy("r").agg(r6(ranks.correlation("rx", "ry")).alias("rho"))
-    return stats.select(F.col("r").cast("long").alias("r"), "rho")
+    u = ranks.with_ranks(u, {"rx": "x", "ry": "y"}).select(F.col("c_custkey").alias("unit"), "c_mktsegment", "rx", "ry")
+    fixed = numbering.counted(u, ["c_mktsegment"], ["unit"], "i")
+    moved = analysis.permuted(fixed.select("c_mktsegment", "unit", F.col("ry").alias("drawn")), ["c_mktsegment"], 20, resampling.hashed_draw(F.col("r"), F.col("unit")))
+    pairs = fixed.select("c_mktsegment", F.col("i").alias("place"), "rx").join(moved, ["c_mktsegment", "place"]).select("r", "rx", "drawn")
+    pairs = pairs.unionByName(fixed.select(F.lit(0).alias("r"), "rx", F.col("ry").alias("drawn")))
+    return pairs.groupBy(F.col("r").cast("long").alias("r")).agg(r6(ranks.correlation("rx", "drawn")).alias("rho"))
 
 
 def auc_length_by_quality(spark, d):

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import matching, numbering
+from spindrift.operators import analysis, matching, numbering, resampling
 
 
 def plain_greedy(rows):
@@ -112,3 +112,24 @@ def test_too_few_pairs_are_an_error(spark):
     assert [(r.g, r.unit, r.match) for r in got] == [("p", 1, 3)]
     with pytest.raises(matching.CohortError, match="pair_count_not_2:1"):
         matching.one_pair_a_project(df, "g", "y", "c", "s", "k", {"a": 2}, 2, exact=True)
+
+
+def test_permutations_in_buckets_are_one_order(spark, monkeypatch):
+    """However small the buckets, places are those of one sort by hashed key, and every group's rows change places within it."""
+    rows = spark.createDataFrame([(g, i) for g in ("a", None) for i in range(120)], "g string, unit long")
+    key = resampling.hashed_draw(F.lit(5), F.col("r"), F.col("unit"))
+    told = lambda: sorted(((r.g or "", r.r, r.place, r.unit) for r in analysis.permuted(rows, ["g"], 3, key).collect()))
+    whole = told()
+    monkeypatch.setattr(analysis, "BUCKET", 7)
+    assert told() == whole
+    for g in ("", "a"):
+        for r in (1, 2, 3):
+            own = [x for x in whole if x[:2] == (g, r)]
+            draw = lambda u, r=r: int(hashlib.md5(f"5|{r}|{u}".encode()).hexdigest()[:8], 16)
+            assert [x[2] for x in own] == list(range(120)) and [x[3] for x in own] == sorted(range(120), key=lambda u: (draw(u), u))
+
+
+def test_analysis_without_complete_rows(spark):
+    df = spark.createDataFrame([(1, "s", 2.0, None, 1.0), (2, "s", None, 3.0, 1.0)], "u long, s string, z double, x double, y double")
+    r = analysis.analyzed(df, "u", "s", "z", ["x"], ["y"], 3, 3, ("x", "y"), most=None).collect()
+    assert [(x.n_total, x.n_complete, x.n_missing, x.raw_rho, x.partial_two_p, x.rejected, x.category) for x in r] == [(2, 0, 2, None, None, False, "technical_no_go_inconclusive_association")]
