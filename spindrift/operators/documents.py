@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import WORD_PATTERN
+from ..functions.text import WORD_PATTERN, tokens
 
 # Limits and schema names of the document formats.
 DIRECTIONS_VERSION, CODE_VERSION = "implementation-directions-v1", "regenerated-code-v1"
@@ -78,90 +78,135 @@ def direction_features(directions: Column) -> Column:
     )
 
 
-def direction_error(raw: str | None) -> str | None:
-    """The code of the first rule that a directions document breaks; None if it is sound."""
-
-    def text_error(x, code: str, most: int) -> str | None:
-        if not isinstance(x, str):
-            return f"{code}_not_string"
-        if not x or x != x.strip():
-            return f"{code}_not_trimmed_nonempty"
-        if "\n" in x or "\r" in x or "\0" in x:
-            return f"{code}_not_single_line"
-        return f"{code}_too_long" if len(x) > most else None
-
-    def list_error(xs, code: str, items: int, most: int) -> str | None:
-        if not isinstance(xs, list):
-            return f"{code}_not_array"
-        if len(xs) > items:
-            return f"{code}_too_many"
-        for x in xs:
-            if e := text_error(x, f"{code}_item", most):
-                return e
-        return f"{code}_duplicate" if len(set(xs)) != len(xs) else None
-
-    try:
-        doc = json.loads(raw or "")
-    except ValueError:
-        return "directions_not_json"
-    if not isinstance(doc, dict):
-        return "directions_document_not_object"
-    if set(doc) != {"schema_version", "directions"}:
-        return "directions_root_keys"
-    if doc["schema_version"] != DIRECTIONS_VERSION:
-        return "directions_schema_version"
-    items = doc["directions"]
-    if not isinstance(items, list):
-        return "directions_not_array"
-    if not 1 <= len(items) <= MAX_DIRECTIONS:
-        return "directions_count_out_of_range"
-    earlier: set[str] = set()
-    for place, d in enumerate(items, 1):
-        if not isinstance(d, dict):
-            return "direction_not_object"
-        if set(d) != {"id", "action", "conditions", "depends_on"}:
-            return "direction_keys"
-        if d["id"] != f"D{place:02d}":
-            return "direction_id_not_sequential"
-        e = text_error(d["action"], "direction_action", MAX_ACTION) or list_error(d["conditions"], "direction_conditions", MAX_CONDITIONS, MAX_CONDITION)
-        e = e or list_error(d["depends_on"], "direction_dependencies", MAX_DIRECTIONS, MAX_DEPENDENCY)
-        if e:
-            return e
-        if set(d["depends_on"]) - earlier:
-            return "direction_dependency_not_prior"
-        earlier.add(d["id"])
-    return None
+# Checks on VARIANT values.  A rule is a code and a condition that must hold; the first broken one is told.
 
 
-@F.pandas_udf(T.StringType())
-def direction_error_code(raw: pd.Series) -> pd.Series:
-    return raw.map(direction_error)
+def _type(v: Column) -> Column:
+    """``STRING``, ``OBJECT<...``, ``ARRAY<...``, ``VOID`` for a JSON null, and so on."""
+    return F.schema_of_variant(v)
 
 
-# Codes of a generated-code document in the order in which they are reported, with what each one asks for.
-CODE_RULES = (
-    ("regenerated_document_not_object", lambda doc: isinstance(doc, dict)),
-    ("regenerated_root_keys", lambda doc: set(doc) == {"schema_version", "language", "code"}),
-    ("regenerated_schema_version", lambda doc: doc["schema_version"] == CODE_VERSION),
-    ("regenerated_language", lambda doc: doc["language"] == "java"),
-    ("regenerated_code_empty", lambda doc: isinstance(doc["code"], str) and bool(doc["code"].strip())),
-    ("regenerated_code_nul", lambda doc: "\0" not in doc["code"]),
-    ("regenerated_code_not_trimmed", lambda doc: doc["code"] == doc["code"].strip()),
-)
+def _get(v: Column, kind: str, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, kind)
 
 
-def code_error(raw: str | None) -> str | None:
-    """The code of the first rule that a generated-code document breaks."""
-    try:
-        doc = json.loads(raw or "")
-    except ValueError:
-        return "regenerated_not_json"
-    return next((code for code, holds in CODE_RULES if not holds(doc)), None)
+def _first_broken(rules: list[tuple[str, Column]], otherwise: Column | None = None) -> Column:
+    """The code of the first rule that doesn't hold (a null counts as not), else ``otherwise``."""
+    told = F.lit(None).cast("string") if otherwise is None else otherwise
+    for code, holds in reversed(rules):
+        told = F.when(~F.coalesce(holds, F.lit(False)), code).otherwise(told)
+    return told
 
 
-@F.pandas_udf(T.StringType())
-def code_error_code(raw: pd.Series) -> pd.Series:
-    return raw.map(code_error)
+def _first(codes: Column) -> Column:
+    return F.get(F.filter(codes, lambda c: c.isNotNull()), F.lit(0))
+
+
+def _trimmed(s: Column) -> Column:
+    return ~s.rlike(r"(?Us)^[\s\x1c-\x1f]|[\s\x1c-\x1f]\z")
+
+
+def _text_rules(v: Column, code: str, most: int) -> list[tuple[str, Column]]:
+    s = _get(v, "string")
+    return [
+        (f"{code}_not_string", _type(v) == "STRING"), (f"{code}_not_trimmed_nonempty", (s != "") & _trimmed(s)),
+        (f"{code}_not_single_line", ~s.rlike(r"[\r\n\x00]")), (f"{code}_too_long", F.length(s) <= most),
+    ]
+
+
+def _list_error(v: Column, code: str, items: int, most: int) -> Column:
+    xs = _get(v, "array<variant>")
+    strings = _get(v, "array<string>")
+    inside = _first(F.transform(xs, lambda x: _first_broken(_text_rules(x, f"{code}_item", most))))
+    rules = [(f"{code}_not_array", xs.isNotNull()), (f"{code}_too_many", F.size(xs) <= items)]
+    return _first_broken(rules, F.coalesce(inside, F.when(F.size(F.array_distinct(strings)) != F.size(strings), f"{code}_duplicate")))
+
+
+def _keys(v: Column) -> Column:
+    return F.array_sort(F.map_keys(_get(v, "map<string,variant>")))
+
+
+def _has_keys(v: Column, *keys: str) -> Column:
+    return _keys(v) == F.array(*map(F.lit, sorted(keys)))
+
+
+def _one_direction(d: Column, i: Column) -> Column:
+    """Ids count up from D01, so what may be depended on are the ids below the direction's own."""
+    own = F.format_string("D%02d", (i + 1).cast("int"))
+    number = lambda x: F.substring(x, 2, 9).try_cast("int")
+    prior = lambda x: F.coalesce((F.format_string("D%02d", number(x)) == x) & number(x).between(1, i), F.lit(False))
+    texts = F.coalesce(
+        _first_broken(_text_rules(_get(d, "variant", "$.action"), "direction_action", MAX_ACTION)),
+        _list_error(_get(d, "variant", "$.conditions"), "direction_conditions", MAX_CONDITIONS, MAX_CONDITION),
+        _list_error(_get(d, "variant", "$.depends_on"), "direction_dependencies", MAX_DIRECTIONS, MAX_DEPENDENCY),
+        F.when(F.exists(_get(d, "array<string>", "$.depends_on"), lambda x: ~prior(x)), "direction_dependency_not_prior"),
+    )
+    rules = [("direction_not_object", _type(d).startswith("OBJECT")), ("direction_keys", _has_keys(d, "id", "action", "conditions", "depends_on")), ("direction_id_not_sequential", (_type(_get(d, "variant", "$.id")) == "STRING") & (_get(d, "string", "$.id") == own))]
+    return _first_broken(rules, texts)
+
+
+def direction_error(raw: Column) -> Column:
+    """The code of the first rule that a directions document breaks; null if it is sound.
+
+    JSON is taken strictly: a repeated key or NaN makes the text no JSON.
+    """
+    v = F.try_parse_json(raw)
+    items = _get(v, "array<variant>", "$.directions")
+    version = _get(v, "variant", "$.schema_version")
+    rules = [
+        ("directions_not_json", v.isNotNull()), ("directions_document_not_object", _type(v).startswith("OBJECT")), ("directions_root_keys", _has_keys(v, "schema_version", "directions")),
+        ("directions_schema_version", (_type(version) == "STRING") & (_get(version, "string") == DIRECTIONS_VERSION)), ("directions_not_array", items.isNotNull()), ("directions_count_out_of_range", F.size(items).between(1, MAX_DIRECTIONS)),
+    ]
+    return _first_broken(rules, _first(F.transform(items, _one_direction)))
+
+
+def code_error(raw: Column) -> Column:
+    """The code of the first rule that a generated-code document breaks; null if it is sound."""
+    v = F.try_parse_json(raw)
+    at = lambda key: _get(v, "variant", f"$.{key}")
+    is_text = lambda key, value: (_type(at(key)) == "STRING") & (_get(v, "string", f"$.{key}") == value)
+    code = _get(v, "string", "$.code")
+    return _first_broken([
+        ("regenerated_not_json", v.isNotNull()), ("regenerated_document_not_object", _type(v).startswith("OBJECT")), ("regenerated_root_keys", _has_keys(v, "schema_version", "language", "code")),
+        ("regenerated_schema_version", is_text("schema_version", CODE_VERSION)), ("regenerated_language", is_text("language", "java")),
+        ("regenerated_code_empty", (_type(at("code")) == "STRING") & code.rlike(r"(?U)[^\s\x1c-\x1f]")), ("regenerated_code_nul", ~code.rlike(r"\x00")), ("regenerated_code_not_trimmed", _trimmed(code)),
+    ])
+
+
+# Limits of the lenient formats.
+LENIENT_DIRECTION, LENIENT_DIRECTIONS, LENIENT_CODE, LENIENT_TEXT, LEAST_TOKENS = 5000, 200, 64_000, 128_000, 3
+
+
+def _stripped(s: Column) -> Column:
+    return F.regexp_replace(s, r"(?Us)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def lenient_directions(raw: Column) -> Column:
+    """(directions, error) of a looser document: the usable strings of its list, trimmed; others are passed over."""
+    v = F.try_parse_json(raw)
+    items = _get(v, "array<variant>", "$.directions")
+    texts = F.filter(F.transform(F.filter(items, lambda x: _type(x) == "STRING"), lambda x: _get(x, "string")), lambda s: (_stripped(s) != "") & (F.length(s) <= LENIENT_DIRECTION))
+    error = _first_broken([("directions_not_json", v.isNotNull()), ("directions_schema_invalid", F.coalesce(F.array_contains(_keys(v), "directions"), F.lit(False))), ("directions_value_invalid", F.size(texts).between(1, LENIENT_DIRECTIONS))])
+    return F.struct(F.when(error.isNull(), F.transform(texts, _stripped)).alias("directions"), error.alias("error"))
+
+
+def directions_from_output(raw: Column) -> Column:
+    """(directions, error) of a model's answer: its lenient document, else the whole answer as one direction."""
+    found, whole = lenient_directions(raw), _stripped(raw)
+    usable = (whole != "") & (F.octet_length(whole) <= LENIENT_TEXT)
+    return F.struct(F.when(found["error"].isNull(), found["directions"]).when(usable, F.array(whole)).alias("directions"), F.when(found["error"].isNotNull() & ~F.coalesce(usable, F.lit(False)), "directions_text_invalid").alias("error"))
+
+
+def lenient_code(raw: Column) -> Column:
+    """(code, error) of a looser document: its code with line feeds only, trimmed, of at least three tokens."""
+    v = F.try_parse_json(raw)
+    code = _get(v, "string", "$.code")
+    clean = _stripped(F.regexp_replace(code, "\r\n?", "\n"))
+    error = _first_broken([
+        ("code_not_json", v.isNotNull()), ("code_schema_invalid", F.coalesce(F.array_contains(_keys(v), "code"), F.lit(False))),
+        ("code_value_invalid", (_type(_get(v, "variant", "$.code")) == "STRING") & (_stripped(code) != "") & (F.octet_length(code) <= LENIENT_CODE)), ("code_too_short", F.size(tokens(clean)) >= LEAST_TOKENS),
+    ])
+    return F.struct(F.when(error.isNull(), clean).alias("code"), error.alias("error"))
 
 
 def recover_json(raw: str | None):

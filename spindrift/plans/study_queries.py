@@ -112,7 +112,7 @@ def code_documents(spark, d):
     """Documents as generated code: how many break which rule first."""
     made = F.struct(F.when(F.col("source") > "src2", "regenerated-code-v1").otherwise("v0").alias("schema_version"), F.when(F.col("lang") == "en", "java").otherwise(F.col("lang")).alias("language"), F.concat(F.when(F.col("n_chars") % 3 == 0, " ").otherwise("x"), "source").alias("code"))
     raw = F.when(F.col("n_chars") % 7 == 0, "{").otherwise(F.to_json(made))
-    return table(spark, d, "documents").groupBy(documents.code_error_code(raw).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "documents").groupBy(documents.code_error(raw).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def recovered_answers(spark, d):

@@ -124,11 +124,10 @@ def _doc(**change):
 
 
 def test_directions(spark):
-    assert documents.direction_error(_doc()) is None
-    assert documents.direction_error(_doc(directions=[])) == "directions_count_out_of_range"
     bad = json.loads(_doc())
     bad["directions"][0]["depends_on"] = ["D02"]
-    assert documents.direction_error(json.dumps(bad)) == "direction_dependency_not_prior"
+    rows = spark.createDataFrame([(_doc(),), (_doc(directions=[]),), (json.dumps(bad),)], "r string")
+    assert [r.e for r in rows.select(documents.direction_error(F.col("r")).alias("e")).collect()] == [None, "directions_count_out_of_range", "direction_dependency_not_prior"]
     schema = "schema_version string, directions array<struct<id:string,action:string,conditions:array<string>,depends_on:array<string>>>"
     f = spark.createDataFrame([(_doc(),)], "j string").select(documents.direction_features(F.from_json("j", schema)["directions"]).alias("f")).first().f
     assert (f.instruction_count, f.condition_density, f.dependency_edge_density, f.dependency_max_depth, f.dependency_max_fan_out) == (2, 0.5, 1.0, 1, 1)
