@@ -9,10 +9,11 @@ then extracted again from all containers with the path that won, or from their o
 where the winning path doesn't occur.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out wherever they stand: by tag or role, and by a class or id that says nothing else
-(``sidebar-left``).  A class that names them beside other things (``has-sidebar``, ``related-work``)
-is only a hint: such an element stays if it is part of an article or main element, or if it holds at
-least half of the page's text.  Character references are decoded, white space inside a block
+left out wherever they stand: by tag or role, and where all classes and ids say nothing but adverts or comments
+(``comment-list``).  Other classes are hints, which the share of the page's text outside links decides.  An element
+whose classes all say nothing else (``sidebar-left``) stays if it holds three quarters of it, one whose classes name
+more than that (``main-content sidebar-right``, ``has-sidebar``) if it holds half.  The latter stays inside an article or
+main element in any case (``related-work``), unless it names adverts or comments (``user-comments``).  Character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined by one line feed in page order.
 
 Null and empty html give an empty text; pages without a host vote for themselves alone under the empty
@@ -38,8 +39,8 @@ from .store import stored
 from .urls import host_and_path
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|title|select|object|noembed|xmp)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
+    r"|<(?P<raw>script|style|template|textarea|iframe|title|noembed|xmp)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?<!/)>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
     r"|</?[a-zA-Z].*\Z",  # a tag that never ends
     re.S | re.I,
@@ -52,7 +53,9 @@ _DIGITS = re.compile(r"\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article aside body center dd details div fieldset form main section table tbody td".split())
 BLOCKS = CONTAINERS | frozenset("address blockquote caption dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 head header hr html li menu nav ol p pre summary tfoot th thead tr ul".split())
-LEFT_OUT = frozenset("aside button dialog footer form head header input label menu nav option".split())
+#: Elements that are left out with what is in them, and whose inside ends nothing outside.
+ISLANDS = frozenset("button math noscript select svg".split())
+LEFT_OUT = ISLANDS | frozenset("aside button dialog footer form head header input label menu nav option".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of classes and ids that mark what isn't main text.
 MARKS = frozenset(
@@ -60,6 +63,11 @@ MARKS = frozenset(
     "header masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted "
     "promotion related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Of these and some services' names, those that mark adverts, reader comments and consent.
+STRONG = frozenset("ad ads adv advert advertisement adverts comment comments consent cookie cookies disqus newsletter outbrain recommended reply replies respond sponsor sponsored taboola".split())
+MARKS |= STRONG
+#: Words of layout classes that may well be around the article.
+CONTENT = frozenset("article body content entry layout main page post story text".split())
 #: Words that say nothing about an element beside such a mark.
 NEUTRAL = frozenset(
     "area article articles bar block body bottom box btn button buttons card cell center col column container content desktop div element fixed float floating footer "
@@ -70,10 +78,13 @@ NEUTRAL = frozenset(
 ARTICLE = frozenset("article body content entry main post story text".split())
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _LISTS = frozenset("ul ol dl table select".split()) | CONTAINERS - {"td", "dd", "tbody"}
+_ISLAND_END = re.compile(r"</(button|math|noscript|select|svg)\b", re.I)
 _CLASS_WORD = re.compile(r"[A-Za-z]+")
 _OUTWARD, _MAIN_TAGS = 0.6, frozenset(("article", "main"))
 #: The share of a page's text outside links that the lifted container holds at least.
 NEARLY = 0.9
+#: The share of a page's text outside links that spares an element whose class hints at what isn't main text: where it names other things too, and where it doesn't.
+HALF, MOST = 0.5, 0.75
 IN, HINTED, OUT = 0, 1, 2
 
 
@@ -120,21 +131,27 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip() else {}
 
 
-def _marked(tag: str, attrs: dict[str, str]) -> int:
-    """OUT for an element that is left out with all that is in it, HINTED if a class or id names such a one beside other things."""
+def _marked(tag: str, attrs: dict[str, str]) -> tuple[int, float, bool]:
+    """OUT for an element that is left out with all that is in it, HINTED if a class or id names such a one; the share of text that spares it, and whether an article around it does."""
     if tag in LEFT_OUT or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return OUT
+        return OUT, 0, False
     if "style" in attrs and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs["style"], re.I):
-        return OUT
+        return OUT, 0, False
     if tag in ("html", "body", "main", "article"):
         words = attrs.get("class", "").lower().split()
-        return OUT if tag == "article" and ("comment" in words or "reply" in words) else IN
+        return (OUT if tag == "article" and ("comment" in words or "reply" in words) else IN), 0, False
     names = [n for k in ("class", "id") if k in attrs for n in attrs[k].split()]
     told = [set(_CLASS_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower())) for n in names]
     marks = [words for words in told if words & MARKS]
-    if any(words <= MARKS | NEUTRAL for words in marks) and not any(n.lower() in ARTICLE for n in names):
-        return OUT
-    return HINTED if marks else IN
+    if not marks:
+        return IN, 0, False
+    strong = any(words & STRONG for words in marks)
+    alone = len(marks) == len(told) and all(words <= MARKS | NEUTRAL for words in marks)
+    if alone and strong:
+        return OUT, 0, False
+    if alone and not any(words & CONTENT for words in marks):
+        return HINTED, MOST, False
+    return HINTED, HALF, not strong and not alone
 
 
 class Page:
@@ -156,17 +173,17 @@ class Page:
 
 def containers(html: str | None) -> Page:
     """A page's containers with their scores, and its blocks."""
-    page, hints, around = _read(html or "", frozenset())
+    page, hints, around, shares = _read(html or "", frozenset())
     total = page.found[0].mass + sum(hints.values())
     for k in sorted(around, reverse=True):  # what a hinted element holds, that around it holds too
         if around[k] >= 0:
             hints[around[k]] += hints[k]
-    spared = frozenset(k for k, mass in hints.items() if mass > 0 and 2 * mass >= total)
+    spared = frozenset(k for k, mass in hints.items() if mass > 0 and mass >= shares[k] * total)
     return _read(html or "", spared)[0] if spared else page
 
 
-def _read(page: str, spared: frozenset[int]) -> tuple[Page, dict[int, float], dict[int, int]]:
-    """The page without hinted elements but those ``spared`` (by number); how much text each one left out holds itself, and which one is around it (-1: none)."""
+def _read(page: str, spared: frozenset[int]) -> tuple[Page, dict[int, float], dict[int, int], dict[int, float]]:
+    """The page without hinted elements but those ``spared`` (by number); how much text each one left out holds itself, which one is around it (-1: none), and the share that spares it."""
     root = Container("", None, 0)
     found, blocks = [root], []
     stack: list[tuple[str, Container, int, bool, int]] = [("", root, IN, False, -1)]  # tag, container, whether left out, in a link, number of the hinted element around
@@ -174,6 +191,7 @@ def _read(page: str, spared: frozenset[int]) -> tuple[Page, dict[int, float], di
     kinds: dict[str, list[int]] = {"block": [0], "container": [0], "list": [0]}
     hints: dict[int, float] = defaultdict(float)
     around: dict[int, int] = {}
+    shares: dict[int, float] = {}
     text: list[str] = []
     linked = number = 0
 
@@ -197,7 +215,7 @@ def _read(page: str, spared: frozenset[int]) -> tuple[Page, dict[int, float], di
 
     def kinds_of(tag: str) -> Iterator[list[int]]:
         for kind, tags in (("block", BLOCKS), ("container", CONTAINERS), ("list", _LISTS)):
-            if tag in tags:
+            if tag in tags or tag in ISLANDS:
                 yield kinds[kind]
 
     def pop_to(depth: int) -> None:
@@ -210,6 +228,7 @@ def _read(page: str, spared: frozenset[int]) -> tuple[Page, dict[int, float], di
                 at.pop()
 
     at = 0
+    last_end = {m[1].lower(): m.start() for m in _ISLAND_END.finditer(page)}
     for m in _TOKEN.finditer(page):
         if m.start() > at and stack[-1][2] != OUT:
             piece = page[at : m.start()]
@@ -220,33 +239,39 @@ def _read(page: str, spared: frozenset[int]) -> tuple[Page, dict[int, float], di
         if m["raw"] or not m["name"]:
             continue
         tag = m["name"].lower()
+        shown = stack[-1][2] != OUT
         if m["close"]:
-            if tag in BLOCKS or tag == "br":
+            if shown and (tag in BLOCKS or tag == "br"):
                 flush()
-            if tag != "br" and places[tag] and (tag in BLOCKS or places[tag][-1] > kinds["block"][-1]):  # an inline element doesn't end blocks
+            if tag != "br" and places[tag] and (tag in BLOCKS or tag in ISLANDS or places[tag][-1] > kinds["block"][-1]):  # an inline element doesn't end blocks
                 pop_to(places[tag][-1])
             continue
         if tag == "br":
-            text.append(" ")
+            if shown:
+                text.append(" ")
             continue
+        if tag in BLOCKS and tag != "hr" and (choices := places["select"] or places["option"]):  # nothing but options goes into a select, nothing but text into these
+            pop_to(choices[0])
+            shown = stack[-1][2] != OUT
         if tag in BLOCKS:
-            flush()
+            if shown:
+                flush()
             if places["p"] and places["p"][-1] > kinds["container"][-1]:  # an open paragraph ends, with what is open in it
                 pop_to(places["p"][-1])
             open_ = [places[t][-1] for t in _IMPLIED.get(tag, ()) if places[t]]
             if open_ and max(open_) > kinds["list"][-1]:
                 pop_to(max(open_))
-        if tag in VOID:
+        if tag in VOID or tag in ISLANDS and last_end.get(tag, 0) < at:  # one that never ends must not take the rest of the page with it
             continue
         _, holder, out, in_link, hint = stack[-1]
         attrs = _attributes(m["attrs"])
         number += 1
         if out != OUT:
-            own = _marked(tag, attrs)
-            if own == HINTED and (number in spared or any(places[t] for t in _MAIN_TAGS)):
+            own, share, soft = _marked(tag, attrs)
+            if own == HINTED and (number in spared or soft and any(places[t] for t in _MAIN_TAGS)):
                 own = IN
             if own == HINTED:
-                around[number], hint = hint, number
+                around[number], shares[number], hint = hint, share, number
             out = max(out, own)
         if tag in CONTAINERS and out == IN:
             classes = ".".join(sorted(_DIGITS.sub("#", c).replace(">", "") for c in attrs.get("class", "").split()))
@@ -260,7 +285,7 @@ def _read(page: str, spared: frozenset[int]) -> tuple[Page, dict[int, float], di
     if at < len(page) and stack[-1][2] != OUT:
         text.append(page[at:])
     flush()
-    return Page(found, blocks), hints, around
+    return Page(found, blocks), hints, around, shares
 
 
 def best(page: Page) -> Container:
@@ -301,8 +326,8 @@ def main_text(page: Page, path: str | None) -> str:
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tally: dict[tuple[str, str], float] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = containers(page)
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one page at a time becomes a string
+            found = containers(page.as_py())
             top = best(found)
             if top.score > 0:
                 path = lifted(found, top).path
@@ -312,7 +337,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(containers(page), path) for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [main_text(containers(page.as_py()), path) for page, path in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

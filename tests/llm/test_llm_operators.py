@@ -745,6 +745,40 @@ def test_pages_with_marks_among_other_words():
     assert text("<body><div class='page with-menu'><div class='inner has-ads'>" + body + "</div></div><div>short rest</div></body>").startswith(clean)
 
 
+@pytest.mark.parametrize("name", ["main-content sidebar-right", "layout nav-left", "page-wrapper banner-top", "post-content widget", "entry-content related", "widget-content", "content comments-open", "sidebar", "col-md-8 has-ads"])
+def test_layout_classes_do_not_empty_an_article(name):
+    """A class that names something else as well is judged by the text that it holds; so is one that names nothing else."""
+    body = "Words of the article that go on and on. " * 12
+    html = f"<body><div class='nav'><a href='/'>Home</a></div><div class='{name}'><h1>Title</h1><p>{body}</p><div class='ad-300x250'>Buy now</div><div class='user-comments'>Reader says hi</div></div><div class='sidebar-box'>Side words.</div></body>"
+    assert pages.main_text(pages.containers(html), None) == f"Title\n{body.strip()}"
+
+
+def test_adverts_and_comments_inside_an_article():
+    body = "Words of the article that go on and on. " * 12
+    for name in ("ad-300x250", "user-comments", "recommended", "outbrain", "box recommended", "comments-area", "widget cookie-note", "sidebar"):
+        assert pages.main_text(pages.containers(f"<article><p>{body}</p><div class='{name}'><p>Away with it.</p></div><p>End.</p></article>"), None) == f"{body.strip()}\nEnd."
+    assert pages.main_text(pages.containers(f"<article class='has-comments'><p>{body}</p><div class='related-work'><p>It stays.</p></div></article>"), None) == f"{body.strip()}\nIt stays."
+
+
+def test_extracted_by_layout_classes_in_spark(spark):
+    body = "Words of the article that go on and on. " * 12
+    rows = [(k, f"http://h/{k}", f"<body><div class='main-content sidebar-right'><p>{body}{k}</p></div></body>") for k in range(3)]
+    assert {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {k: f"{body}{k}" for k in range(3)}
+
+
+def test_markup_that_must_not_take_the_rest_of_the_page():
+    text = lambda html: pages.main_text(pages.containers(html), None)
+    for html, want in (
+        ("<p>Before <svg viewBox='0 0 1 1'/> and after.</p><p>More.</p>", "Before and after.\nMore."), ("<p>One <math/> two.</p><p>More.</p>", "One two.\nMore."),
+        ("<div><select><option>A<option>B</div><p>The rest.</p>", "The rest."), ("<p>Choose <select><option>A</p><p>The rest.</p>", "Choose\nThe rest."), ("<p>a</p><select><option>x<option>y<p>The rest.</p>", "a\nThe rest."),
+        ("<p>a</p><noscript><p>The rest.</p>", "a\nThe rest."), ("<p>a</p><noscript><p>Turn scripts on.</p></noscript><p>b</p>", "a\nb"), ("<p>a</p><object data='x'><p>Instead of it.</p></object><p>b</p>", "a\nInstead of it.\nb"),
+        ("<p>a</p><!--><p>Shown.</p><!-- c --><p>b</p>", "a\nShown.\nb"), ("<p>a</p><!---><p>Shown.</p>-->", "a\nShown.\n-->"), ("<p>a</p><!-- x --!><p>Shown.</p>", "a\nShown."),
+        ("<p>a <svg><svg><text>in</text></svg><text>label</text></svg> b</p>", "a b"), ("<p>Hello <svg><foreignObject><div>label</div></foreignObject></svg> world</p><p>b</p>", "Hello world\nb"), ("<p>a<svg><title/><path d='1'/></svg>b</p><p>c</p>", "ab\nc"),
+        ("<p>x <button><div>Press</div></button> y</p>", "x y"), ("<p>a</p><svg><text>no end</text><p>The rest.</p>", "a\nno end\nThe rest."),
+    ):
+        assert text(html) == want, html
+
+
 def test_deep_and_long_pages_in_linear_time():
     text = lambda html: pages.main_text(pages.containers(html), None)
     for deep in (600, 100_000):
