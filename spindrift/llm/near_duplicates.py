@@ -19,6 +19,8 @@ than a block that are alike by signature and yet aren't connected by their sets:
 Null and empty texts, and those without words, have an empty set and link with nothing; texts of
 fewer than five words have one shingle, their whole word sequence; repeated rows are copies of each
 other; rows with a null id take no part and count as kept; columns other than id and text are ignored.
+Rows of one id with different texts are documents of their own that happen to share a name: each is linked by its own
+text, and a group's component is the smallest id of its rows.
 """
 
 from __future__ import annotations
@@ -275,10 +277,10 @@ def _some(df: DataFrame) -> bool:
 
 
 class Linking:
-    """Verified links and the components that they make so far, of the classes ``ids`` with texts (id, text)."""
+    """Verified links and the components that they make so far, of the classes ``rows`` (id, row) with texts (row, text)."""
 
-    def __init__(self, texts: DataFrame, ids: DataFrame) -> None:
-        self.sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+    def __init__(self, texts: DataFrame, rows: DataFrame) -> None:
+        self.sets = stored(texts.join(rows, "row").select("id", "text").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
         self.links: DataFrame | None = None
         self.found: DataFrame | None = None
 
@@ -300,15 +302,16 @@ class Linking:
         return pairs.filter("ca <> cb").select("a", "b")
 
 
-def linked_components(texts: DataFrame, sig: DataFrame) -> DataFrame | None:
-    """(id, component) of the classes (id, sig) that are linked with others; None if there are none.  ``texts`` has (id, text)."""
+def linked_components(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(id, component) of the classes (id, row, sig) that are linked with others; None if there are none.  ``texts`` has (row, text)."""
+    sig = classes.select("id", "sig")
     keys = sig.mapInArrow(_keys, "key bigint, id bigint")
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(keys.join(stored(shared, "keys"), "key"), "members")
     stars = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     pairs = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     close = stored(pairs.select("a", "b", "sa", "sb").mapInArrow(_distances, "a bigint, b bigint, far int"), "close")
-    state = Linking(texts, members.select("id").distinct())  # texts are shuffled once, those that share a key go on as sets
+    state = Linking(texts, classes.select("id", "row").join(members.select("id").distinct(), "id", "left_semi"))  # texts are shuffled once, those that share a key go on as sets
     nearest = close.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a"))
     state.verify(nearest.select("a", "b"), "nearest")
     state.verify(state.apart(close.join(nearest, ["a", "b"], "left_anti").select("a", "b")), "others")
@@ -338,18 +341,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def near_duplicate_rows(docs: DataFrame) -> DataFrame:
     """The same with ``row``, the hash of a row's id and text."""
     signed = signatures(docs)
-    classes = stored(
-        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")),
-        "classes",
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    found = linked_components(texts, classes.select("id", "sig"))
-    ids = _labelled(classes.select("d1", "d2", F.col("n_shingles").alias("n"), "id"), found)
+    first = F.min(F.struct("doc_id", "row")).alias("f")
+    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(first, F.first("sig").alias("sig"))
+    classes = stored(classes.select("d1", "d2", F.col("n_shingles").alias("n"), F.col("f.doc_id").alias("least"), "f.row", "sig"), "classes")
+    classes, shared = _named(classes)
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
+    found = linked_components(texts, classes.select("id", "row", "sig"))
+    ids = _labelled(classes.select("d1", "d2", "n", "id", "least"), found)
+    if shared and found is not None:  # a component is called by the smallest of its documents' ids, not of its classes' names
+        least = ids.groupBy(F.col("component").alias("_name")).agg(F.min("least").alias("_least"))
+        ids = ids.join(least, F.col("component") == F.col("_name")).withColumn("component", F.col("_least"))
+    elif shared:
+        ids = ids.withColumn("component", F.col("least"))
     joined = signed.join(ids.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "n", "component"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") == F.col("n")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _named(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """Classes with ``id``, a name of their own, and whether some share their smallest document id.
+
+    The name is that document id; of classes that share it, the others get numbers below all ids.
+    """
+    shared = stored(classes.groupBy("least").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("first")).filter("m > 1"), "shared")
+    if not _some(shared):
+        return classes.withColumn("id", F.col("least")), False
+    below = classes.agg(F.min("least")).first()[0]
+    known = classes.join(shared.select(F.col("least").alias("_least"), "first"), F.col("least") == F.col("_least"), "left")
+    own = F.when(F.col("first").isNull() | (F.col("row") == F.col("first")), F.col("least")).otherwise(F.lit(below - 1) - F.monotonically_increasing_id())
+    return stored(known.withColumn("id", own).drop("_least", "first"), "named"), True
+
+
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,13 +1,15 @@
 """The pipeline against plain versions of its stages, on the smallest tables."""
 
+import random
 from collections import defaultdict
 from pathlib import Path
 
 import brute
 import pytest
+from brute import shingles
 from pyspark.sql import functions as F
 
-from spindrift.llm import stages, words
+from spindrift.llm import near_duplicates, stages, words
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables are not here")
@@ -61,3 +63,29 @@ def test_stages_with_null_and_repeated_ids_and_columns_of_the_same_names(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() >= 5
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_repeated_ids_with_different_texts_lose_no_link(spark):
+    """Rows are linked by their own texts: held against all pairs of rows."""
+    rng = random.Random(12)
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(14)]
+    rows = [(1, base[0]), (1, base[1]), (2, base[0] + " tail"), (3, base[1] + " tail")]
+    for k in range(60):
+        words = rng.choice(base).split()
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = f"e{rng.randrange(5)}"
+        rows.append((rng.randrange(4, 16), " ".join(words)))
+    rows += [(20, ""), (20, None), (20, base[0] + " tail")]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [a if x == b else x for x in label]
+    want = sorted((rows[i][0], len(sets[i]), min(rows[j][0] for j in range(len(rows)) if label[j] == label[i])) for i in range(len(rows)))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    four = spark.createDataFrame(rows[:4], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates.near_duplicates(four).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
