@@ -177,6 +177,18 @@ def masked_source(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else mask(s))
 
 
+@F.pandas_udf(T.StringType())
+def extracted_method(source: pd.Series, signature: pd.Series) -> pd.Series:
+    """The declaration that a signature names, with its doc comment; null if there isn't exactly one."""
+    return pd.Series([None if s is None or g is None else extract_method(canonical_source(s), g) for s, g in zip(source, signature, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("package", T.StringType()), T.StructField("imports", T.ArrayType(T.StringType()))]))
+def source_context(source: pd.Series) -> pd.DataFrame:
+    """Package and imports of a compilation unit."""
+    return pd.DataFrame([context(canonical_source(s) or "") for s in source], columns=["package", "imports"])
+
+
 def tree_of(source: str):
     """(label, children): nesting of brackets with token leaves, for tree edit distance."""
     root: tuple[str, list] = ("source", [])

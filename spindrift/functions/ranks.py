@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,33 @@ def medians(df: DataFrame, value: str, by: list[str], name: str = "median") -> D
     return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], name)
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
+    """(by..., q0, q1, ...): exact quantiles (linear between neighbours) of each group; nulls and NaN don't count.
+
+    Selection by ranges, as for medians: equal values are counted before the shuffle, a group's distinct values are dealt
+    out to ranges cut at approximate quantiles, and only ranges that hold a wanted place are put in order.  No buffer holds a
+    group's values, and no task a group.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    named = lambda b, on: b.withColumnsRenamed({k: f"{k}_" for k in on})
+    same = lambda a, b, on: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"{k}_"]) for k in on], F.lit(True))
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    bounds = named(counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_b"), F.sum("_n").alias("_all")), keys)
+    placed = counts.join(bounds, same(counts, bounds, keys)).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col("_v")))).select(*keys, "_v", "_n", "_all", "_r")
+    lower = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a group
+    totals = placed.groupBy(*keys, "_r").agg(F.sum("_n").alias("_t"), F.max("_all").alias("_m")).withColumn("_before", F.coalesce(F.sum("_t").over(lower), F.lit(0)))
+    places = [(F.floor(F.col("_m") * s - F.lit(s)) + 1, F.col("_m") * s - F.lit(s) - F.floor(F.col("_m") * s - F.lit(s))) for s in shares]  # place from 1 of the lower neighbour, and the part of the way to the next
+    wanted = reduce(lambda a, b: a | b, [(F.col("_before") < p + 1) & (F.col("_before") + F.col("_t") >= p) for p, _ in places])
+    kept = named(totals.filter(wanted).drop("_t"), [*keys, "_r"])
+    inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.join(kept, same(placed, kept, [*keys, "_r"])).withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    at = lambda p: F.max(F.when((F.col("_from") < p) & (F.col("_from") + F.col("_n") >= p), F.col("_v")))
+    told = [x for i, (p, part) in enumerate(places) for x in (at(p).alias(f"_lo{i}"), at(p + 1).alias(f"_hi{i}"), F.max(part).alias(f"_part{i}"))]
+    found = near.groupBy(*keys).agg(*told)
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *[(F.col(f"_lo{i}") + F.col(f"_part{i}") * (F.coalesce(f"_hi{i}", f"_lo{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i in range(len(shares))])
+
+
 def with_median(rows: DataFrame, df: DataFrame, value: str, by: list[str], name: str = "median") -> DataFrame:
     """``rows`` (one a group of ``df``) with the group's median; null where a group has no values."""
     found = medians(df, value, by, name)

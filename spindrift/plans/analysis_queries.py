@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import similarity, text
+from ..functions import ranks, similarity, text
 from ..functions.probability import Z975
 from ..operators import analysis
 from ..operators.resampling import BOOTSTRAP_SEED, PRIMARY_SEED
+from ..sources.store import stored
 from .rank_queries import _UNITS_SQL, _corr, _units
 from .tables import r6, table, turn_pairs
 from .text_queries import _ROUGE_SQL
@@ -44,7 +45,28 @@ def resampled_size_association(spark, d):
     return rows.select("metric", "n", *[r6(c).alias(c) for c in ("rho", "fisher_low", "fisher_high", "boot_low", "boot_high", "one_p", "two_p")])
 
 
-QUERIES = {f.__name__: f for f in (resampled_analysis, score_and_analyze, resampled_size_association)}
+#: Seven figures of a customer and eight of their orders, as SQL for either engine.
+_METADATA = {"balance": "c_acctbal", "nation": "c_nationkey", "region": "c_nationkey % 5", "segment": "length(c_mktsegment)", "shelf": "c_custkey % 7", "row": "c_custkey % 11", "side": "(c_custkey + c_nationkey) % 4"}
+_FEATURES = {
+    "orders": "count(*)", "mean_price": "round(avg(o_totalprice), 4)", "least_price": "min(o_totalprice)", "most_price": "max(o_totalprice)", "range": "round(max(o_totalprice) - min(o_totalprice), 4)",
+    "finished": "round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6)", "urgent": "round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END), 6)", "priorities": "count(DISTINCT o_orderpriority)",
+}
+
+
+def feature_grid(spark, d):
+    """Seven figures of customers against eight of their orders: 56 rank correlations in one plan, with the strongest feature of each marked."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(*[F.expr(e).cast("double").alias(n) for n, e in _FEATURES.items()])
+    u = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    long = lambda named, k, v: F.explode(F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*named.values()))).alias(k, v)
+    rows = u.select("*", long({n: F.expr(e).cast("double") for n, e in _METADATA.items()}, "metadata", "x")).select("metadata", "x", *_FEATURES)
+    rows = rows.select("metadata", "x", long({n: F.col(n) for n in _FEATURES}, "feature", "y"))
+    grid = stored(ranks.spearman(rows, "x", "y", ["metadata", "feature"]), "grid").withColumn("rho", r6("rho"))
+    top = ranks.strongest(grid, "feature", "rho", ["metadata"]).select(F.col("metadata").alias("m"), F.col("feature").alias("f"))
+    told = grid.join(F.broadcast(top), (F.col("metadata") == F.col("m")) & (F.col("feature") == F.col("f")), "left")  # seven rows
+    return told.select("metadata", "feature", "n", "rho", F.col("f").isNotNull().alias("strongest"))
+
+
+QUERIES = {f.__name__: f for f in (resampled_analysis, score_and_analyze, resampled_size_association, feature_grid)}
 
 
 def _draw(*parts: str) -> str:
@@ -116,4 +138,10 @@ ORACLE_SQL = {
     "resampled_size_association": f"""{_parts_sql(_CUSTOMERS.format("price, balance, orders").replace("balance AS z", "orders AS z"), ["price", "balance"], ["orders"])}
 SELECT metric, n, round(raw, 6) AS rho, round({_fisher('raw', '-', 3)}, 6) AS fisher_low, round({_fisher('raw', '+', 3)}, 6) AS fisher_high, round(raw_low, 6) AS boot_low, round(raw_high, 6) AS boot_high, round(raw_one_p, 6) AS one_p, round(raw_two_p, 6) AS two_p
 FROM p0 LEFT JOIN b USING (metric, outcome) LEFT JOIN pe USING (metric, outcome)""",
+    "feature_grid": f"""
+WITH u AS (SELECT {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _METADATA.items())}, o.* FROM customer JOIN (SELECT o_custkey, {", ".join(f"CAST({e} AS DOUBLE) AS f_{n}" for n, e in _FEATURES.items())} FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey),
+l AS ({" UNION ALL ".join(f"SELECT '{m}' AS metadata, '{f}' AS feature, {m} AS x, f_{f} AS y FROM u" for m in _METADATA for f in _FEATURES)}),
+r AS (SELECT metadata, feature, {", ".join(f"rank() OVER (PARTITION BY metadata, feature ORDER BY {c}) + (count(*) OVER (PARTITION BY metadata, feature, {c}) - 1) / 2.0 AS r{c}" for c in "xy")} FROM l),
+g AS (SELECT metadata, feature, count(*) AS n, round({_corr('rx', 'ry')}, 6) AS rho FROM r GROUP BY ALL)
+SELECT metadata, feature, n, rho, coalesce(rho IS NOT NULL AND row_number() OVER (PARTITION BY metadata ORDER BY abs(rho) DESC NULLS LAST, feature) = 1, false) AS strongest FROM g""",
 }

@@ -164,6 +164,13 @@ def stream_first_valid(spark, d):
     return ledger.drained(ledger.first_valid_stream(s, ["l_orderkey"], "l_linenumber", "valid"), "complete").select("l_orderkey", "attempts", F.col("selected_attempt").cast("long").alias("selected_attempt"))
 
 
+def stream_decided_cells(spark, d):
+    """Orders decided by their lines as they stream in: the first line that wasn't returned, if all before it have come, or that the first three were."""
+    s = ledger.stream_of(spark, f"{d}/lineitem.parquet").withColumn("valid", F.col("l_returnflag") != "R")
+    rows = ledger.drained(ledger.decided_cells(s, "l_orderkey", "l_linenumber", "valid", 3), "append")
+    return rows.select(F.col("cell").cast("long").alias("l_orderkey"), "status", "selected_attempt")
+
+
 def stream_window_rates(spark, d):
     """Events and errors a day from the event stream."""
     s = ledger.stream_of(spark, f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
@@ -171,7 +178,7 @@ def stream_window_rates(spark, d):
     return rows.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "failed")
 
 
-QUERIES = {f.__name__: f for f in (row_candidates, positive_projects, nearest_match_with_replacement, greedy_match_without_replacement, greedy_match_in_one_group, quota_selection, one_pair_a_project, closest_pairs_topk, hours_to_next_purchase, last_row_wins, manifest_diff, three_way_split, multiset_difference, distinct_union, bag_union, missing_units, json_numeric_availability, review_hours, secret_findings, marker_findings, file_snapshot, stratified_topk, stream_first_valid, stream_window_rates)}
+QUERIES = {f.__name__: f for f in (row_candidates, positive_projects, nearest_match_with_replacement, greedy_match_without_replacement, greedy_match_in_one_group, quota_selection, one_pair_a_project, closest_pairs_topk, hours_to_next_purchase, last_row_wins, manifest_diff, three_way_split, multiset_difference, distinct_union, bag_union, missing_units, json_numeric_availability, review_hours, secret_findings, marker_findings, file_snapshot, stratified_topk, stream_first_valid, stream_decided_cells, stream_window_rates)}
 
 _Q = text.TOKEN_PATTERN.replace("'", "''")
 _NEAREST = """(WITH o AS (SELECT o_custkey, o_orderkey, ln(1 + o_totalprice) AS s, o_orderpriority = '1-URGENT' AS u FROM orders),
@@ -235,5 +242,6 @@ SELECT p_brand, unit, match, round(distance, 6) AS distance FROM m WHERE i > 0""
     "marker_findings": "SELECT doc_id, marker, length(substr(text, 1, instr(text, marker) - 1)) - length(replace(substr(text, 1, instr(text, marker) - 1), chr(10), '')) + 1 AS line FROM documents, (SELECT unnest(['the', 'License', '@']) AS marker) WHERE instr(text, marker) > 0",
     "stratified_topk": "SELECT p_type, p_partkey, place FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS place FROM part) WHERE place <= 2",
     "stream_first_valid": "SELECT l_orderkey, count(*) AS attempts, CAST(min(l_linenumber) FILTER (l_returnflag <> 'R') AS BIGINT) AS selected_attempt FROM lineitem GROUP BY 1",
+    "stream_decided_cells": "WITH a AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS n, bool_and(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY ALL), p AS (SELECT l_orderkey, n, ok, count(*) OVER (PARTITION BY l_orderkey ORDER BY n) AS k FROM a WHERE n BETWEEN 1 AND 3), s AS (SELECT l_orderkey, min(n) FILTER (ok AND n = k) AS first, count(*) FILTER (n = k AND NOT ok) AS failed FROM p GROUP BY 1) SELECT l_orderkey, CASE WHEN first IS NOT NULL THEN 'selected' ELSE 'blocked' END AS status, first AS selected_attempt FROM s WHERE first IS NOT NULL OR failed = 3",
     "stream_window_rates": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1",
 }

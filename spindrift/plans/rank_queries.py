@@ -179,8 +179,8 @@ def paired_contrast(spark, d):
 
 
 def quantiles(spark, d):
-    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return table(spark, d, "events").groupBy("event_type").agg(r6(q[0]).alias("q025"), r6(q[1]).alias("q500"), r6(q[2]).alias("q975"))
+    q = ranks.quantiles(table(spark, d, "events"), "value", ["event_type"], [0.025, 0.5, 0.975])
+    return q.select("event_type", r6("q0").alias("q025"), r6("q1").alias("q500"), r6("q2").alias("q975"))
 
 
 def hc3_sensitivity(spark, d):

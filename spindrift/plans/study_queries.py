@@ -46,7 +46,11 @@ def fixed_cohort(spark, d):
     """First attempts of all order lines as a closed cohort, in order, by run."""
     checks = F.create_map(F.lit("quantity"), F.col("l_quantity") > 0, F.lit("price"), F.col("l_extendedprice") > 0)
     cells = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("run"), F.lit(1).alias("attempt"), checks.alias("checks"))
-    return selection.fixed_cohort(cells, "l_orderkey", "run", "attempt", "checks").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    # what there must be is taken from the orders' side: lines by number, and orders by how many lines they have
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    per_unit = {r["n"]: r["units"] for r in lines.groupBy("n").agg(F.count(F.lit(1)).alias("units")).collect()}
+    runs = {r["l"]: r["n"] for r in table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("l")).agg(F.count("l_orderkey").alias("n")).collect()}
+    return selection.fixed_cohort(cells, "l_orderkey", "run", "attempt", "checks", sum(n * units for n, units in per_unit.items()), runs, per_unit).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
 
 
 def usage_audit(spark, d):

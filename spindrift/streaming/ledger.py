@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.store import new_folder
 
@@ -17,21 +18,82 @@ def first_valid_stream(attempts: DataFrame, cell: list[str], attempt: str, valid
     return attempts.groupBy(*cell).agg(F.count(F.lit(1)).alias("attempts"), F.min(F.when(F.col(valid), F.col(attempt))).alias("selected_attempt"))
 
 
-def selected_once(attempts: DataFrame, cell: str, attempt: str, valid: str) -> DataFrame:
-    """Streaming (cell, selected_attempt), emitted once per cell when its first valid attempt comes.
+class Attempts(StatefulProcessor):
+    """State of a cell: its attempts so far by number, until it is decided; then only that it is.
 
-    Custom state holds only whether the cell is settled; attempts are expected in order per cell.
+    A cell is ``selected`` by its first valid attempt once all earlier ones have come, ``blocked`` once the first ``cap``
+    have come and none is valid, and ``expired`` if nothing has decided it ``wait_ms`` after its latest attempt (by
+    event time).  Each is told once.  An attempt that comes again counts as valid only if all its copies are; what
+    comes after the decision changes nothing.
     """
 
-    def settle(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        done = state.exists and state.get[0]
-        good = [int(x) for b in batches for x in b.loc[b["valid"], "attempt"]]
-        if good and not done:
-            state.update((True,))
-            yield pd.DataFrame({"cell": [key[0]], "selected_attempt": [min(good)]})
-
-    rows = attempts.select(F.col(cell).cast("string").alias("cell"), F.col(attempt).cast("long").alias("attempt"), F.col(valid).alias("valid"))
-    return rows.groupBy("cell").applyInPandasWithState(settle, "cell string, selected_attempt long", "done boolean", "append", "NoTimeout")
+    def __init__(self, cap: int, wait_ms: int | None) -> None:
+        self.cap, self.wait_ms = cap, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "attempt bigint", "valid boolean")
+        self.done = handle.getValueState("done", "done boolean")
+        self.latest = handle.getValueState("latest", "ms bigint")
+
+    def _told(self, key: tuple, status: str, attempt: int | None, n: int) -> pd.DataFrame:
+        self.done.update((True,))
+        self.seen.clear()
+        for at in list(self.handle.listTimers()) if self.wait_ms is not None else []:
+            self.handle.deleteTimer(at)
+        return pd.DataFrame({"cell": [key[0]], "status": [status], "selected_attempt": pd.array([attempt], dtype="Int64"), "attempts": [n]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        decided, latest = self.done.exists(), self.latest.get()[0] if self.latest.exists() else None
+        for batch in rows:
+            if decided:
+                continue
+            for attempt, valid, ms in zip(batch["attempt"].tolist(), batch["valid"].tolist(), batch["ms"].tolist(), strict=True):
+                if attempt != attempt or attempt is None:
+                    continue
+                before = self.seen.getValue((int(attempt),))[0] if self.seen.containsKey((int(attempt),)) else True
+                self.seen.updateValue((int(attempt),), (bool(before and valid),))
+                latest = ms if latest is None or ms > latest else latest
+        if decided:
+            return
+        known = {k[0]: v[0] for k, v in self.seen.iterator()}
+        for n in range(1, self.cap + 1):
+            if n not in known:
+                break
+            if known[n]:
+                yield self._told(key, "selected", n, len(known))
+                return
+        else:
+            yield self._told(key, "blocked", None, len(known))
+            return
+        if self.wait_ms is not None and latest is not None:
+            self.latest.update((int(latest),))
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(int(latest) + self.wait_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.done.exists():
+            yield self._told(key, "expired", None, sum(1 for _ in self.seen.keys()))
+
+    def close(self) -> None:
+        pass
+
+
+def decided_cells(attempts: DataFrame, cell: str, attempt: str, valid: str, cap: int, at: str | None = None, wait_ms: int | None = None, late: str = "0 seconds") -> DataFrame:
+    """Streaming (cell, status, selected_attempt, attempts): each cell once, when its attempts decide it, in append mode.
+
+    Attempts may come late, repeated and out of order.  With ``at`` and ``wait_ms``, cells that stay open are told as expired
+    when the watermark (``late`` behind) has passed their latest attempt by that much.
+    """
+    spark = attempts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = attempts.select(F.col(cell).cast("string").alias("cell"), F.col(attempt).cast("long").alias("attempt"), F.coalesce(F.col(valid), F.lit(False)).alias("valid"), (F.col(at).cast("timestamp") if at else F.lit(None).cast("timestamp")).alias("at"))
+    if at:
+        rows = rows.withWatermark("at", late)
+    rows = rows.withColumn("ms", F.coalesce(F.unix_millis("at"), F.lit(0)))
+    timed = at is not None and wait_ms is not None
+    return rows.groupBy("cell").transformWithStateInPandas(Attempts(cap, wait_ms if timed else None), "cell string, status string, selected_attempt bigint, attempts bigint", "Append", "EventTime" if timed else "None")
 
 
 def window_rates(events: DataFrame, at: str, failed, size: str, late: str) -> DataFrame:

@@ -160,3 +160,15 @@ def test_java_facts():
     assert java.extract_method(JAVA, "a.b.A.g()") is None
     assert "unbalanced_brackets" in java.analyze("int f() { ").failure_codes
     assert java.canonical_source("é\r\nx\r") == "é\nx\n"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 500])
+def test_quantiles_of_ranges_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(g, float(v)) for g, scale in (("a", 1.0), (None, 1e6), ("ties", 3.0)) for v in (rng.normal(size=n) * scale if g != "ties" else rng.integers(0, 3, n))] + [("a", None), ("a", float("nan")), ("empty", None)]
+    got = {r.g: r[1:] for r in ranks.quantiles(spark.createDataFrame(rows, "g string, v double").repartition(3), "v", ["g"], [0.0, 0.025, 0.5, 0.9, 1.0]).collect()}
+    for g in ("a", None, "ties"):
+        own = [v for h, v in rows if h == g and v is not None and not np.isnan(v)]
+        assert np.allclose(got[g], np.quantile(own, [0.0, 0.025, 0.5, 0.9, 1.0]), rtol=1e-12, atol=1e-12)
+    assert "empty" not in got
+    assert np.allclose(ranks.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", [], [0.25]).first().q0, np.quantile([v for _, v in rows if v is not None and not np.isnan(v)], 0.25))

@@ -257,11 +257,27 @@ def test_report(spark):
     assert report.markdown(spark.range(1)) == "| id |\n| --- |\n| 0 |\n"
 
 
-def test_selected_once_stream(spark, tmp_path):
-    spark.createDataFrame([("c", 1, False), ("c", 2, True), ("c", 3, True), ("d", 1, False)], "cell string, attempt long, valid boolean").write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema("cell string, attempt long, valid boolean").parquet(str(tmp_path / "in"))
-    got = ledger.drained(ledger.selected_once(s, "cell", "attempt", "valid"), "append").collect()
-    assert [(r.cell, r.selected_attempt) for r in got] == [("c", 2)]
+def test_decided_cells_stream(spark, tmp_path):
+    """Attempts that come late, repeated and out of order, batch by batch; each cell is told once."""
+    schema = "cell string, attempt long, valid boolean, at timestamp"
+    batches = [
+        [("late", 2, True, 10), ("plain", 1, True, 10), ("blocked", 3, False, 10), ("blocked", 1, False, 11), ("twice", 1, True, 10), ("twice", 1, False, 11), ("open", 2, True, 10), ("unknown", 1, None, 10)],
+        [("late", 1, False, 20), ("plain", 2, True, 21), ("plain", 1, False, 22), ("blocked", 2, False, 20), ("twice", 2, True, 23), ("unknown", 2, True, 20), (None, 1, True, 20)],
+        [("far", 1, True, 5000)], [("farther", 1, True, 9000)],
+    ]
+    told: dict = {}
+    for timed in (False, True):
+        folder = tmp_path / f"in{timed}"
+        for i, rows in enumerate(batches):
+            spark.createDataFrame([(c, a, v, s) for c, a, v, s in rows], "cell string, attempt long, valid boolean, s long").select("cell", "attempt", "valid", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(str(folder / f"b{i}"))
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+        extra = {"at": "at", "wait_ms": 1_000_000} if timed else {}
+        rows = ledger.drained(ledger.decided_cells(s, "cell", "attempt", "valid", 3, **extra), "append").collect()
+        assert len({r.cell for r in rows}) == len(rows)
+        told[timed] = {r.cell: (r.status, r.selected_attempt) for r in rows}
+    want = {"late": ("selected", 2), "plain": ("selected", 1), "blocked": ("blocked", None), "twice": ("selected", 2), "unknown": ("selected", 2), None: ("selected", 1), "far": ("selected", 1), "farther": ("selected", 1)}
+    assert told[False] == want
+    assert told[True] == want | {"open": ("expired", None)}
 
 
 def test_file_snapshot_query(spark, tmp_path):
