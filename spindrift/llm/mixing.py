@@ -10,7 +10,7 @@ groups are bounded, however many documents, sources or equal rows there are.
 
 Null and empty texts have size 0 and are taken 0 times; null sources form a source of their own,
 which sorts last; rows of one id, source and size are alike: they are counted, numbered and count each
-time, so null and repeated ids are spread over groups too; an empty table gives an empty result.
+time, so null and repeated ids are spread over groups too, whatever their sizes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         .withColumn("rate", rate)
         .withColumn("copies", F.floor("rate").cast("long"))
         .withColumn("frac", F.when(F.col("size") > 0, F.col("rate") - F.col("copies")).otherwise(0.0))
-        .withColumn("order", F.xxhash64("doc_id", "k"))
+        .withColumn("order", F.xxhash64("doc_id", "source", "size", "k"))
         .drop("rate")
     )
     shards = max(1, math.ceil(sized.count() / GROUP))
