@@ -7,7 +7,7 @@ tasks.  Only the text is an input of a score.
 
 Training takes a bounded sample: at most ``SAMPLE`` labelled rows, those with the least hash of the
 id, as far as they hold ``MOST_FEATURES`` features together.  All features of a row are learned from.  Null and empty texts have no features and score as the bias alone; rows with a null id or label
-are never learned from; repeated labels of an id count once, toxic if any says so; without labelled
+are never learned from; an id with several texts has all of them learned from, each once, within ``SAMPLE``; repeated labels of an id count once, toxic if any says so; without labelled
 rows every score is the prior of an untrained model, below 0.5.
 """
 
@@ -113,7 +113,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     known = known.groupBy(F.col("doc_id").alias("known_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("place", F.xxhash64("known_id")).orderBy("place", "known_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(known), F.col("doc_id") == F.col("known_id"))  # at most `sample` rows of three numbers
+    chosen = texts.join(F.broadcast(known), F.col("doc_id") == F.col("known_id")).withColumn("said", F.xxhash64("text"))  # at most `sample` rows of three numbers
+    # an id may have rows with different texts: its texts count once each, and rows as a whole are bounded
+    first = chosen.select("place", "said").distinct().orderBy("place", "said").limit(sample).withColumnsRenamed({"place": "first_place", "said": "first_said"})
+    chosen = chosen.join(F.broadcast(first), (F.col("place") == F.col("first_place")) & (F.col("said") == F.col("first_said"))).dropDuplicates(["place", "said"])
     examples = chosen.select("place", "toxic", "text").mapInArrow(_examples, "place bigint, toxic int, features binary")
     before = Window.orderBy("place", "toxic", "features").rowsBetween(Window.unboundedPreceding, -1)  # at most `sample` rows
     examples = examples.withColumn("before", F.coalesce(F.sum(F.octet_length("features")).over(before), F.lit(0))).filter(F.col("before") < 4 * MOST_FEATURES).drop("before")
