@@ -170,6 +170,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row; ``score`` is null without a model."""
     rows = scored(with_rules(pages, rules))
     own = F.when(F.col("score") > F.lit(threshold(rows)), "block").otherwise("allow")
+    own = F.when((F.col("host") == "") & (F.col("path") == ""), "allow").otherwise(own)  # a URL that says nothing, whatever the threshold
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
 
 
