@@ -170,19 +170,30 @@ def _search(phrases, slack: int):
     return of_batches
 
 
+def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """``items`` with texts of at most about ``most`` words: longer ones in pieces that overlap, so that each window is whole in one of them."""
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(low, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))
+    cut = items.withColumn("w", words).withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(most))))
+    cut = cut.filter((F.col("i") == 0) | (F.size("w") - F.col("i") >= window))
+    return cut.select("item_id", F.array_join(F.slice("w", F.col("i") + 1, F.lit(most + window - 1)), " ").alias("text")).distinct()
+
+
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = 0, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, n_words, hits: word places, items) for every indexed row.
 
     ``items`` has (item_id, text).  Its size is measured first; up to ``broadcast_words`` words are
-    broadcast at a time, and larger item tables are searched in rounds whose hits are united per row.
+    broadcast at a time, and larger item tables are searched in rounds whose hits are united per row.  Rounds are dealt by
+    item and text, with long texts in overlapping pieces, so that neither rows of one id nor a long text fill one.
     """
     spark = index.sparkSession
     items = items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
     rounds = max(1, -(-words // broadcast_words))
+    pieces = _pieces(items, window, max(window, broadcast_words // 8)) if rounds > 1 else items
     found = None
     for k in range(rounds):
-        part = items if rounds == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k)
+        part = items if rounds == 1 else pieces.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k)
         phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
         hits = index.select("doc_ids", "firsts", "terms", "counts", "postings", "segment").mapInArrow(_search(phrases, slack), HIT_SCHEMA)
         found = hits if found is None else found.unionByName(hits)

@@ -796,3 +796,55 @@ def test_pages_with_null_ids_and_columns_of_the_same_names(spark):
     got = pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.page_id or 0, r.text) for r in got.collect()) == [(0, "a b"), (0, "a b"), (3, ""), (4, " ".join(["&<p> éA"] * 1000))]
+
+
+def test_mix_spreads_rows_of_one_id(spark):
+    """15,000 rows with a null id and sizes of their own fall into groups of about ``GROUP``, and the source meets its target."""
+    docs = spark.range(15_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") + 1).alias("words")).unionByName(spark.createDataFrame([(1, "t", 10**8)], "doc_id long, source string, words long"))
+    out = store.stored(mixing.mix(docs, size="words"), "mixed")
+    spread = out.filter("source = 's'").select(F.xxhash64("doc_id", "source", "size", F.lit(1)).alias("order")).groupBy(F.pmod(F.shiftright("order", 5), F.lit(15))).count().collect()
+    assert len(spread) == 15 and max(r["count"] for r in spread) < 2 * mixing.GROUP
+    r = out.filter("source = 's'").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).first()
+    assert abs(r.taken - r.target) <= 15_000 and r.most <= 3
+
+
+def test_toxicity_bounds_rows_of_one_id(spark):
+    """Rows of one labelled id, alike or not, don't add to what is learned from beyond the sample, and their order doesn't matter."""
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.range(3000).select(F.lit(one).cast("long").alias("doc_id"), F.concat(F.lit("own text "), (F.col("id") % 900).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(one, 1)], "doc_id long, toxic int")
+    at, weight, bias = toxicity.train(docs, labels, sample=50)
+    again = toxicity.train(docs.distinct().orderBy(F.desc("text")), labels, sample=50)
+    assert (at == again[0]).all() and (weight == again[1]).all() and bias == again[2]
+    few = {toxicity.train(docs.limit(0), labels, sample=50)[2], bias}
+    assert len(few) == 2
+
+
+def test_urls_that_say_nothing_are_allowed(spark, monkeypatch):
+    monkeypatch.setattr(urls, "threshold", lambda rows: -1.0)
+    rows = [(k, f"http://{'net' if k % 2 else 'example.com'}/{'de' if k % 2 else 'en/7'}/{k}") for k in range(40)] + [(100, None), (101, ""), (102, "no scheme"), (103, "http://other.org/x")]
+    got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[k] for k in (100, 101, 102)] == ["allow"] * 3
+
+
+def test_rounds_are_bounded_for_one_item(spark, monkeypatch):
+    """Rows of one id and one long text are spread over the rounds, and the hits are those of one round."""
+    rng = random.Random(4)
+    long = sentence(rng, 3000, 5000)
+    items = [("one", sentence(rng, 40, 5000)) for _ in range(200)] + [("long", long), ("short", "two words"), ("none", ""), (None, sentence(rng, 30, 5000))]
+    texts = [f"{sentence(rng, 20)} {' '.join(long.split()[k * 100 : k * 100 + 30])} tail" for k in range(20)] + [items[5][1], "just two words", "", None]
+    index = store.stored(decontamination.build_index(documents(spark, list(enumerate(texts)))), "index")
+    table = spark.createDataFrame(items, "item_id string, text string")
+    sizes = []
+    plain = decontamination.Phrases.__init__
+
+    def spied(self, rows, window):
+        sizes.append(sum(len((t or "").split()) for _, t in rows))
+        plain(self, rows, window)
+
+    monkeypatch.setattr(decontamination.Phrases, "__init__", spied)
+    told = lambda n: {r.doc_id: (sorted(r.hits), sorted(x or "" for x in r["items"])) for r in decontamination.search(index, table, broadcast_words=n).collect()}
+    whole = told(1 << 20)
+    assert len(sizes) == 1
+    assert told(1500) == whole and sum(bool(h) for h, _ in whole.values()) >= 21
+    assert len(sizes) > 5 and max(sizes[1:]) <= 3 * 1500
