@@ -1,4 +1,9 @@
-"""Java source facts from an own lexer and a small structural scan (no parser library is used)."""
+"""Java source facts from an own lexer and a small structural scan (no parser library is used).
+
+``tokens``, ``masked``, ``code_lines`` and ``facts`` are column expressions: a source is cut into pieces by one pattern,
+brackets are matched by their running depth, and all else are filters over arrays of tokens.  They take canonical text
+(``nfc``).  The plain versions in Python are for single sources and for trees, and tests hold both against each other.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,12 @@ import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import let
+
 _TOKEN = re.compile(
     r'(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<text>"""(?:\\.|.)*?""")|(?P<string>"(?:\\.|[^"\\\n])*")|(?P<char>\'(?:\\.|[^\'\\\n])*\')'
     r"|(?P<number>0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[fFdDlL]?)"
@@ -157,13 +165,127 @@ def analyze(source: str | None, target: str | None = None) -> Facts:
     return facts
 
 
-FACTS_TYPE = T.StructType([T.StructField("token_count", T.IntegerType()), T.StructField("ncloc", T.IntegerType()), T.StructField("cyclomatic", T.IntegerType()), T.StructField("structurally_valid", T.BooleanType()), T.StructField("failure_codes", T.ArrayType(T.StringType()))])
+# The same as column expressions.  Java's patterns name Python's classes: word characters are letters, numbers and _.
+_WORD, _NAME, _GAP = r"\p{L}\p{N}_", r"\p{L}\p{Nl}\p{No}_", r"\s\x1c-\x1f\x85\p{Z}"
+_PIECE = (
+    r'(?s)//[^\n]*+|/\*.*?\*/|"""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\''
+    r"|0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|(?:\p{Nd}[\p{Nd}_]*\.?[\p{Nd}_]*|\.\p{Nd}[\p{Nd}_]*)(?:[eE][+-]?\p{Nd}+)?[fFdDlL]?"
+    rf"|[{_NAME}][{_WORD}]*+|\$[{_WORD}]*+|>>>=|<<=|>>=|>>>|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|>>|[{_GAP}]++|."
+)
+_NOT_NAMES = ("if", "for", "while", "switch", "catch", "synchronized", "try", "return", "new", "throw", "super", "this", "assert")
+
+
+def _pieces(source: Column) -> Column:
+    """All of a source, in order: comments, literals, words, marks and runs of white space."""
+    return F.regexp_extract_all(source, F.lit(_PIECE), F.lit(0))
+
+
+def _is_comment(p: Column) -> Column:
+    return p.startswith("//") | p.startswith("/*")
+
+
+def _is_literal(p: Column) -> Column:
+    return (p.startswith('"') | p.startswith("'")) & (F.length(p) > 1)
+
+
+def _blanked(p: Column) -> Column:
+    return F.regexp_replace(p, r"[^\n]", " ")
+
+
+def _tokens_of(pieces: Column) -> Column:
+    return F.filter(pieces, lambda p: ~_is_comment(p) & p.rlike(rf"[^{_GAP}]"))
 
 
-@F.pandas_udf(FACTS_TYPE)
-def java_facts(source: pd.Series) -> pd.DataFrame:
-    rows = [analyze(s) for s in source]
-    return pd.DataFrame([(len(f.tokens), f.ncloc, f.cyclomatic, not f.failure_codes, f.failure_codes) for f in rows], columns=FACTS_TYPE.names)
+def tokens(source: Column) -> Column:
+    """Spellings of all tokens but comments."""
+    return _tokens_of(_pieces(source))
+
+
+def masked(source: Column) -> Column:
+    """Comments and literals as spaces, so that places stay the same."""
+    return F.array_join(F.transform(_pieces(source), lambda p: F.when(_is_comment(p) | _is_literal(p), _blanked(p)).otherwise(p)), "")
+
+
+def _lines_of(pieces: Column) -> Column:
+    bare = F.array_join(F.transform(pieces, lambda p: F.when(_is_comment(p), _blanked(p)).otherwise(p)), "")
+    return F.size(F.filter(F.split(bare, "\n", -1), lambda line: line.rlike(rf"[^{_GAP}]")))
+
+
+def code_lines(source: Column) -> Column:
+    """Lines that hold more than white space and comments."""
+    return _lines_of(_pieces(source))
+
+
+def _depths(t: Column, opens: str, closes: str) -> Column:
+    """How many brackets of one kind are open after each token."""
+    step = lambda x: F.when(x == opens, 1).when(x == closes, -1).otherwise(0)
+    start = F.array(F.lit(0))
+    grown = F.aggregate(t, start, lambda d, x: F.concat(d, F.array(F.element_at(d, -1) + step(x))))
+    return F.slice(grown, 2, F.greatest(F.size(t), F.lit(1)))
+
+
+def _closing(t: Column, depth: Column, closes: str, at: Column) -> Column:
+    """The place of the bracket that closes the one at ``at``; -1 if it stays open."""
+    inside = F.get(depth, at)
+    return F.coalesce(F.array_min(F.filter(F.sequence(at, F.size(t) - 1), lambda j: (j > at) & (F.get(t, j) == closes) & (F.get(depth, j) == inside - 1))), F.lit(-1))
+
+
+def _is_balanced(t: Column) -> Column:
+    """Whether brackets close in the order in which they were opened: what is open is kept as a string."""
+    pairs = {")": "(", "]": "[", "}": "{"}
+
+    def step(held: Column, x: Column) -> Column:
+        pop = F.lit(False)
+        want = F.lit("")
+        for closes, opens in pairs.items():
+            want = F.when(x == closes, opens).otherwise(want)
+            pop = pop | (x == closes)
+        fits = F.right(held, F.lit(1)) == want
+        return F.when(held == "!", held).when(x.isin(*pairs.values()), F.concat(held, x)).when(pop & fits, F.substring(held, F.lit(1), F.length(held) - 1)).when(pop, "!").otherwise(held)
+
+    return F.aggregate(F.filter(t, lambda x: x.isin("(", ")", "[", "]", "{", "}")), F.lit(""), step) == ""
+
+
+def _methods_of(t: Column, round_: Column, curly: Column) -> Column:
+    """(at, body, stop) of declarations with a body: the places of the name, of its opening brace and of the closing one."""
+    places = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+    before = lambda i: F.coalesce(F.get(t, i - 1), F.lit(""))
+    named = F.filter(places, lambda i: (F.get(t, i + 1) == "(") & F.get(t, i).rlike(rf"^[A-Za-z_$][{_WORD}]*$") & ~F.get(t, i).isin(*_NOT_NAMES) & ~before(i).isin("new", "return") & ~before(i).rlike(r"[.=(,&|!?:+\-*/%<]$"))
+    ended = F.filter(F.transform(named, lambda i: F.struct(i.alias("at"), _closing(t, round_, ")", i + 1).alias("end"))), lambda m: m["end"] >= 0)
+
+    def with_body(m: Column) -> Column:
+        body = F.array_min(F.filter(F.sequence(m["end"], F.size(t) - 1), lambda j: (j > m["end"]) & (F.get(t, j) == "{")))
+        between = F.slice(t, m["end"] + 2, F.greatest(body - m["end"] - 1, F.lit(0)))
+        thrown = (F.size(between) > 1) & (F.get(between, F.lit(0)) == "throws") & F.forall(between, lambda x: x.rlike(rf"^[{_WORD}$.,<>@]+$"))
+        return F.struct(m["at"].alias("at"), F.when((F.size(between) == 0) | thrown, body).alias("body"))
+
+    found = F.filter(F.transform(ended, with_body), lambda m: m["body"].isNotNull())
+    return F.transform(found, lambda m: F.struct(m["at"].alias("at"), m["body"].alias("body"), _closing(t, curly, "}", m["body"]).alias("stop")))
+
+
+def _inside(at: Column, m: Column) -> Column:
+    return (m["body"] < at) & (at < m["stop"])
+
+
+def facts(source: Column) -> Column:
+    """(token_count, ncloc, cyclomatic, structurally_valid, failure_codes) of one method's source; time grows with the square of its tokens."""
+
+    def of_methods(pieces: Column, n: Column, t: Column, curly: Column, found: Column) -> Column:
+        outer = F.filter(found, lambda m: ~F.exists(found, lambda o: (o["at"] != m["at"]) & _inside(m["at"], o)))
+        first = F.get(outer, F.lit(0))
+        arrows = F.filter(F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (F.get(t, i) == "->") & (F.get(t, i + 1) == "{"))
+        inner = F.concat(
+            F.transform(F.filter(found, lambda m: (m["at"] != first["at"]) & _inside(m["at"], first)), lambda m: F.struct(m["at"].alias("lo"), m["stop"].alias("hi"))),
+            F.transform(arrows, lambda i: F.struct((i + 2).alias("lo"), _closing(t, curly, "}", i + 1).alias("hi"))),
+        )
+        decisions = F.filter(F.sequence(first["body"] + 1, F.greatest(first["stop"], first["body"] + 1)), lambda i: (i <= first["stop"]) & F.get(t, i).isin(*sorted(_DECISIONS)) & ~F.exists(inner, lambda r: (r["lo"] <= i) & (i <= r["hi"])))
+        checks = (("empty_source", n > 0), ("unbalanced_brackets", _is_balanced(t)), ("not_exactly_one_method", F.size(outer) == 1))
+        codes = F.array_compact(F.array(*[F.when(~ok, code) for code, ok in checks]))
+        return F.struct(n.alias("token_count"), _lines_of(pieces).alias("ncloc"), F.when(first.isNotNull(), 1 + F.size(decisions)).otherwise(1).alias("cyclomatic"), (F.size(codes) == 0).alias("structurally_valid"), codes.alias("failure_codes"))
+
+    in_braces = lambda p, n, t, curly: let(_methods_of(t, _depths(t, "(", ")"), curly), lambda found: of_methods(p, n, t, curly, found))
+    structure = lambda every: F.filter(every, lambda x: ~_is_literal(x))  # noqa: E731  literals are as white space here
+    return let(_pieces(source), lambda p: let(_tokens_of(p), lambda every: let(structure(every), lambda t: let(_depths(t, "{", "}"), lambda curly: in_braces(p, F.size(every), t, curly)))))
 
 
 @F.pandas_udf(T.StringType())

@@ -19,8 +19,8 @@ def partial_spearman_tokens_quality(spark, d):
 
 
 def average_rank(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", ranks.average_rank("c_acctbal", ["c_mktsegment"]).alias("rank_in_segment"))
-    return rows
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return ranks.with_ranks(rows, {"rank_in_segment": "c_acctbal"}, ["c_mktsegment"]).select("c_custkey", "c_mktsegment", "rank_in_segment")
 
 
 def _units(spark, d):
@@ -307,6 +307,10 @@ ORACLE_SQL = {
     "hash_permutation_within_group": f"WITH u AS (SELECT c_custkey, c_mktsegment, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 AS rx, rank() OVER (ORDER BY orders) + (count(*) OVER (PARTITION BY orders) - 1) / 2.0 AS ry FROM {_UNITS_SQL}), p AS (SELECT *, r.range AS r, CASE WHEN r.range = 0 THEN c_custkey ELSE CAST('0x' || substr(md5(r.range || '|' || c_custkey), 1, 8) AS BIGINT) END AS k FROM u, range(21) r), s AS (SELECT c_mktsegment, r, ry, row_number() OVER (PARTITION BY c_mktsegment, r ORDER BY k, c_custkey) AS i FROM p), f AS (SELECT c_mktsegment, r, rx, row_number() OVER (PARTITION BY c_mktsegment, r ORDER BY c_custkey) AS i FROM p) SELECT r, round({_corr('rx', 'ry')}, 6) AS rho FROM f JOIN s USING (c_mktsegment, r, i) GROUP BY r",
     "auc_length_by_quality": "WITH r AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM documents JOIN labels USING (doc_id)), s AS (SELECT CAST(sum(quality) AS BIGINT) AS n1, CAST(sum(1 - quality) AS BIGINT) AS n0, sum(quality * r) AS s FROM r) SELECT n1, n0, round((s - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auc FROM s",
     "point_biserial": f"SELECT lang, count(*) AS n, round({_corr('toxic', 'n_chars')}, 6) AS r FROM documents JOIN labels USING (doc_id) GROUP BY lang",
+    "wilcoxon_p": f"""WITH d AS (SELECT a - b AS d FROM (SELECT l_orderkey, avg(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS a, avg(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS b FROM lineitem GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL),
+r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0), w AS (SELECT count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM r),
+t AS (SELECT sum(t * t * t - t) AS t FROM (SELECT count(*)::DOUBLE AS t FROM d WHERE d <> 0 GROUP BY abs(d))), z AS (SELECT n, abs(w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - t / 2) / 24) AS z FROM w, t)
+SELECT CAST(n AS BIGINT) AS n, round({_normal_sql("z")}, 6) AS p FROM z""",
     "wilcoxon_runs": f"WITH d AS (SELECT status, a - b AS d FROM {_AB} WHERE a IS NOT NULL AND b IS NOT NULL), z AS (SELECT status, count(*) FILTER (d = 0) AS zeros FROM d GROUP BY 1), r AS (SELECT status, d, rank() OVER (PARTITION BY status ORDER BY abs(d)) + (count(*) OVER (PARTITION BY status, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0), w AS (SELECT status, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus FROM r GROUP BY 1), t AS (SELECT status, sum(t * t * t - t) AS tie_term FROM (SELECT status, abs(d) AS a, count(*)::DOUBLE AS t FROM d WHERE d <> 0 GROUP BY ALL) GROUP BY 1) SELECT status, n, zeros, round(w_plus, 6) AS w_plus, round(tie_term, 6) AS tie_term FROM z JOIN w USING (status) JOIN t USING (status)",
     "paired_summary": f"SELECT status, count(*) AS n, round(avg(a), 6) AS left_mean, round(avg(b), 6) AS right_mean, round(avg(a - b), 6) AS difference_mean, round(median(a - b), 6) AS difference_median, round(coalesce(stddev_samp(a - b), 0), 6) AS difference_sd, count(*) FILTER (a - b > 0) AS positive, count(*) FILTER (a - b = 0) AS zero, count(*) FILTER (a - b < 0) AS negative FROM {_AB} WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY status",
     "arm_separation": f"WITH x AS (SELECT status, 1 AS l, a AS v FROM {_AB} WHERE a IS NOT NULL UNION ALL SELECT status, 0, b FROM {_AB} WHERE b IS NOT NULL), r AS (SELECT status, l, rank() OVER (PARTITION BY status ORDER BY v) + (count(*) OVER (PARTITION BY status, v) - 1) / 2.0 AS r FROM x), s AS (SELECT status, CAST(sum(l) AS BIGINT) AS n1, CAST(sum(1 - l) AS BIGINT) AS n0, sum(l * r) AS s FROM r GROUP BY 1), a AS (SELECT *, (s - n1 * (n1 + 1) / 2.0) / (n1 * n0) AS auc FROM s) SELECT status, n1, n0, round(auc, 6) AS auc, round(greatest(auc, 1 - auc), 6) AS separation, CASE WHEN auc > 0.5 THEN 'left' WHEN auc < 0.5 THEN 'right' ELSE 'tie' END AS higher FROM a",

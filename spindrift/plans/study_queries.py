@@ -147,12 +147,13 @@ def safe_numbers(spark, d):
 
 
 def java_class_facts(spark, d):
-    """Facts of a Java method made from each document's numbers: tokens, lines and branches; French ones lack their last brace."""
+    """Facts of a Java method made from each document's numbers: branches, literals and lambdas as many as they ask for; French ones lack their last brace, German ones have a second method."""
+    many = lambda piece, n: F.repeat(F.lit(piece), n.cast("int"))
     source = F.concat(
-        F.lit("// a comment if (x)\nint f"), F.col("doc_id").cast("string"), F.lit("(int a) {\n  if (a > "), F.col("n_chars").cast("string"), F.lit(" && a != 3) { return \"if (\"; }\n\n"),
-        F.when(F.col("lang") == "en", "  for (int i = 0; i < a; i++) { a = a > i ? i : a; }\n").otherwise("  /* while (true) */\n"), F.lit("  return a;\n"), F.when(F.col("lang") == "fr", "").otherwise("}\n"),
+        F.lit("/** if (x) { "), "source", F.lit(" */\nint f(int a) throws java.io.IOException, E {\n"), many("  if (a > 1 && a < 9) { a++; } // while (\n", F.col("n_chars") % 5), many("  String s = \"while (\\\"{\";\n", F.col("doc_id") % 3),
+        many("  Runnable r = () -> { if (a > 0) { } };\n\n", F.col("doc_id") % 2), F.lit("  return a > 0 ? a : 1;\n"), F.when(F.col("lang") == "fr", "").otherwise("}\n"), F.when(F.col("lang") == "de", "int g() { return 1; }\n").otherwise(""),
     )
-    rows = table(spark, d, "documents").select("doc_id", "lang", source.alias("source")).select("doc_id", java.java_facts("source").alias("f"))
+    rows = table(spark, d, "documents").select("doc_id", java.facts(source).alias("f"))
     return rows.select("doc_id", F.col("f.token_count").cast("long").alias("token_count"), F.col("f.ncloc").cast("long").alias("ncloc"), F.col("f.cyclomatic").cast("long").alias("cyclomatic"), F.array_join("f.failure_codes", ",").alias("failure_codes"))
 
 
@@ -242,7 +243,7 @@ CASE WHEN lang = 'en' THEN 'https://github.com/a/b/blob/f00/' || source || '#L'
 'x_y_' || regexp_replace(source, '[^A-Za-z0-9._-]+', '_', 'g') || '_' || lang AS file, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') || 'k1' AS key FROM b""",
     "normalized_views": f"SELECT item_id, sha256(array_to_string(regexp_extract_all(text, '{_Q}'), ' ')) AS view_sha256 FROM benchmark",
     "safe_numbers": "SELECT count(*) AS n, count(*) FILTER (l_tax <> 0) AS known, round(avg(l_discount / l_tax) FILTER (l_tax <> 0), 6) AS mean FROM lineitem",
-    "java_class_facts": "SELECT doc_id, CAST(CASE lang WHEN 'en' THEN 52 WHEN 'fr' THEN 25 ELSE 26 END AS BIGINT) AS token_count, CAST(CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 3 ELSE 4 END AS BIGINT) AS ncloc, CAST(CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 1 ELSE 3 END AS BIGINT) AS cyclomatic, CASE WHEN lang = 'fr' THEN 'unbalanced_brackets' ELSE '' END AS failure_codes FROM documents",
+    "java_class_facts": "WITH k AS (SELECT doc_id, lang, n_chars % 5 AS b, doc_id % 3 AS s, doc_id % 2 AS l, CASE WHEN lang = 'fr' THEN 0 ELSE 1 END AS whole, CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS two FROM documents) SELECT doc_id, CAST(7 + 8 + 15 * b + 5 * s + 17 * l + 9 + whole + 9 * two AS BIGINT) AS token_count, CAST(2 + b + s + l + whole + two AS BIGINT) AS ncloc, CAST(CASE WHEN whole = 1 THEN 2 + 2 * b ELSE 1 END AS BIGINT) AS cyclomatic, CASE WHEN whole = 0 THEN 'unbalanced_brackets' WHEN two = 1 THEN 'not_exactly_one_method' ELSE '' END AS failure_codes FROM k",
     "partial_spearman_two_controls": f"""WITH u AS (SELECT c_mktsegment AS g, price AS x, orders AS y, balance AS z, done AS w FROM {_UNITS_SQL}), r AS (SELECT g, {_RANK("g", "x", "y", "z", "w")} FROM u),
 c AS (SELECT g, count(*) AS n, {", ".join(f"{_corr('r' + a, 'r' + b)} AS {a}{b}" for a, b in ("xy", "xz", "yz", "xw", "yw", "zw"))} FROM r GROUP BY g),
 p AS (SELECT g, n, {_PARTIAL("xy", "xz", "yz")} AS xy, {_PARTIAL("xw", "xz", "zw")} AS xw, {_PARTIAL("yw", "yz", "zw")} AS yw FROM c)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import documents as docs_ops
+from ..operators import numbering
 from .tables import TURN_PAIRS_SQL, r6, table, turn_pairs
 
 _Q = text.TOKEN_PATTERN.replace("'", "''")
@@ -170,7 +170,7 @@ def line_features(spark, d):
 def stable_order(spark, d):
     """Documents' stable keys and their place in each source by it."""
     rows = table(spark, d, "documents").select("doc_id", "source", text.stable_key(F.col("source"), F.col("doc_id").cast("string")).alias("key"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("key")).cast("long"))
+    return numbering.counted(rows, ["source"], ["key", "doc_id"], "before").select("doc_id", "source", "key", (F.col("before") + 1).alias("place"))
 
 
 QUERIES = {f.__name__: f for f in (token_count, static_features, smell_value_counts, token_ngram_counts, bleu4_turn_pairs, rouge_turn_pairs, rouge_l_turn_pairs, token_levenshtein_pairs, length_ratio, cosine_adjacent, ngram_overlap_benchmark, masked_tag_counts, diff_sides, intent_metrics, direction_features, line_features, stable_order)}

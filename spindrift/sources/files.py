@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import merkle
 from ..operators.cohort import CohortError, last_wins, require_none
 
 # Patterns of secrets that must not be published.
@@ -73,9 +74,11 @@ def snapshot_tree(spark: SparkSession, root: str, exclude: str | None = None) ->
 
 
 def tree_digest(snapshot: DataFrame) -> DataFrame:
-    """One digest of a snapshot: of its rows as canonical JSON in path order (a manifest of a study's files)."""
-    row = F.to_json(F.struct(F.col("bytes"), F.col("path"), F.col("sha256")))
-    return snapshot.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("path", row.alias("j")))).getField("j"), ","), 256).alias("sha256"))
+    """(files, bytes, sha256): one digest of a snapshot, the root of a digest tree over its rows as canonical JSON in path order."""
+    row = F.sha2(F.to_json(F.struct(F.col("bytes"), F.col("path"), F.col("sha256"))), 256)
+    levels = merkle.tree(snapshot.select("path", row.alias("h")), ["path"], "h")
+    totals = snapshot.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return totals.withColumn("sha256", F.lit(merkle.root(levels)))
 
 
 def verify_contents(files: DataFrame, expected: DataFrame) -> DataFrame:

@@ -172,3 +172,30 @@ def test_quantiles_of_ranges_are_exact(spark, n):
         assert np.allclose(got[g], np.quantile(own, [0.0, 0.025, 0.5, 0.9, 1.0]), rtol=1e-12, atol=1e-12)
     assert "empty" not in got
     assert np.allclose(ranks.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", [], [0.25]).first().q0, np.quantile([v for _, v in rows if v is not None and not np.isnan(v)], 0.25))
+
+
+def java_sources():
+    rng = random.Random(21)
+    parts = [
+        "int f(int a) {", "void g() {", "A(B b) throws E, x.F<G> {", "}", "}", "{", "(", ")", "[", "]", "if (a > 1 && b || c) {", "for (;;) { x(); }", "while (f(1)) y++;", "switch (x) { case 1: case 2: break; }", "r = () -> {", "x -> { if (y) { } };",
+        "return new Foo(1) { int h() { return 2; } };", "String s = \"a { \\\" ( // no\";", "char c = '\\'';", "// if ( {\n", "/* while {\n */", "\"\"\"\n text \\\"\"\"\" { \n\"\"\";", "\n", "\n\n", " \t", "x = a ? b : c;", "0x1F_L + 1.5e-3f", "$v", "_é²", "\"open", "'", "@Ann(1)",
+        "do { } while (x);", "catch (E e) { }", ">>>= <<= -> :: ...", "a.b(c) {", "= f(x) {", "é(", ";",
+    ]
+    return ["", " ", "\n", "int f() { return 1; }", *["".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(400)]]
+
+
+def test_java_expressions_equal_the_plain_version(spark):
+    """Tokens, masks, code lines and facts of random sources, whole and broken."""
+    sources = [java.canonical_source(s) for s in java_sources()]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "i int, s string").repartition(4)
+    s = F.col("s")
+    got = df.select("i", java.tokens(s).alias("t"), java.masked(s).alias("m"), java.code_lines(s).alias("n"), java.facts(s).alias("f")).collect()
+    assert len(got) == len(sources)
+    kinds = set()
+    for r in got:
+        want = java.analyze(sources[r.i])
+        assert list(r.t) == want.tokens, sources[r.i]
+        assert r.m == java.mask(sources[r.i]) and r.n == want.ncloc
+        assert (r.f.token_count, r.f.ncloc, r.f.cyclomatic, list(r.f.failure_codes)) == (len(want.tokens), want.ncloc, want.cyclomatic, want.failure_codes), sources[r.i]
+        kinds |= {*want.failure_codes, want.cyclomatic > 2}
+    assert kinds == {"empty_source", "unbalanced_brackets", "not_exactly_one_method", True, False}

@@ -80,7 +80,9 @@ def test_manifest_and_trees(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     before = spark.createDataFrame(files.snapshot_tree(spark, str(tmp_path)).collect())
     assert {r.path: r.bytes for r in before.collect()} == {"a.txt": 3, "sub/b.txt": 3}
-    assert files.tree_digest(before).first().files == 2
+    told = files.tree_digest(before).first()
+    rows = sorted((r.path, json.dumps({"bytes": r.bytes, "path": r.path, "sha256": r.sha256}, separators=(",", ":"))) for r in before.collect())
+    assert (told.files, told.bytes) == (2, 6) and told.sha256 == hashlib.sha256("\n".join(hashlib.sha256(j.encode()).hexdigest() for _, j in rows).encode()).hexdigest()
     (tmp_path / "a.txt").write_bytes(b"onE")
     (tmp_path / "c.txt").write_bytes(b"x")
     got = {(r.path, r.finding) for r in cohort.manifest_diff(before, files.snapshot_tree(spark, str(tmp_path))).collect()}
