@@ -208,7 +208,7 @@ def gee_by_sums(rows: DataFrame, p: int, rounds: int = 60, tolerance: float = 1e
     return {"converged": settled, "correlation": alpha, "estimate": beta, "error": error, "p": [normal_two_sided(b / s) if s else float(b == 0) for b, s in zip(beta, error, strict=True)]}
 
 
-def gee_sensitivity(evaluations: DataFrame, units: DataFrame, trials: int) -> DataFrame:
+def gee_sensitivity(evaluations: DataFrame, units: DataFrame, trials: int, tolerance: float = 1e-6) -> DataFrame:
     """Participant-level models of hits out of ``trials``, with and without a group interaction.
 
     ``evaluations``: (participant, grp, unit, hits); ``units``: (unit, predictor, size).  Predictor
@@ -241,7 +241,7 @@ def gee_sensitivity(evaluations: DataFrame, units: DataFrame, trials: int) -> Da
         elif n["lo"] == n["hi"]:
             failure = "constant_gee_outcome"
         else:
-            r = gee_by_sums(part, p)
+            r = gee_by_sums(part, p, tolerance=tolerance)
             failure = None if r["converged"] else "gee_not_converged"
         if failure:
             out.append((model, None, None, None, None, None, None, n["n"], n["c"], failure))

@@ -204,7 +204,7 @@ def gee_sensitivity(spark, d):
 def gee_base_model(spark, d):
     """The base model alone, with its interval and p-value: SQL can follow three coefficients."""
     rows, units = _gee_inputs(spark, d)
-    r = models.gee_sensitivity(rows.withColumn("grp", F.lit("other")), units, 1).filter("model = 'base'")
+    r = models.gee_sensitivity(rows.withColumn("grp", F.lit("other")), units, 1, 1e-10).filter("model = 'base'")
     return r.select("term", *[r6(c).alias(c) for c in ("estimate", "error", "low", "high", "p")], "n_rows", "n_clusters")
 
 
