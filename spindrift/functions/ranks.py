@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .probability import Z975
 
 #: Ranges that a group's distinct values are dealt out to.
@@ -23,37 +24,49 @@ def average_rank(value: str, by: list[str] | None = None) -> Column:
     return F.rank().over(group.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*(by or []), value)) - 1) / 2.0
 
 
-def with_ranks(df: DataFrame, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
+def with_ranks(df: DataFrame, columns: dict[str, str], by: list[str] | None = None, fixed: bool = False) -> DataFrame:
     """Adds average ranks (new name: value column) within groups; rows with a null value are dropped.
 
-    No task ever sees a whole group in order.  Equal values are counted first (partly before the
-    shuffle), so frequent ones are one row each; the distinct values of a group are dealt out to
-    ranges cut at approximate quantiles, and a value's rank is what stands in lower ranges, what
-    stands below it in its own range, and half of its own count.
+    No task ever sees a whole group in order.  A group's values are cut into cells at approximate quantiles: one cell for
+    each value that is a cut, one for what lies between two cuts.  A rank is what stands in lower cells and, between cuts,
+    the rank inside the cell.  Values that are cuts have a cell of their own and need no order, so their rows are
+    dealt out evenly; whatever is frequent is a cut.
+
+    Rows are read several times and the cuts depend on the order in which parts arrive.  So both are written once: all
+    steps see the same sums, rows and cuts.  ``fixed`` says that ``df`` is already what is stored.
     """
-    by = by or []
+    by, values = by or [], list(columns.values())
+    df = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in values]))
+    base, each = df if fixed else stored(df, "ranked"), range(len(values))
+    keys = [f"_k{i}" for i in range(len(by))]
 
-    def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
         if not keys:
             return left.crossJoin(F.broadcast(right))  # one row
-        renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
-        on = [left[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)]
-        return left.join(renamed, on).drop(*[f"_k{i}" for i in range(len(keys))])
-
-    for value in columns.values():
-        df = df.filter(F.col(value).isNotNull())
-    base = df
-    for name, value in columns.items():
-        counts = base.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-        bounds = counts.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_b"))
-        placed = joined(counts, bounds, by).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
-        lower = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a group
-        totals = placed.groupBy(*by, "_r").agg(F.sum("_n").alias("_t")).withColumn("_t", F.coalesce(F.sum("_t").over(lower), F.lit(0)))
-        inside = Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = joined(placed, totals, [*by, "_r"]).withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        ranked = ranked.select(*by, F.col(value).alias("_v"), (F.col("_t") + F.col("_in") + (F.col("_n") + 1) / 2.0).alias(name))
-        df = joined(df, ranked.withColumnRenamed("_v", value), [*by, value])
-    return df
+        return left.join(right, [left[c].eqNullSafe(right[k]) for c, k in zip(by, keys, strict=True)]).drop(*keys)
+
+    def cell(i: int) -> Column:
+        below = F.size(F.filter(f"_b{i}", lambda b: b < F.col(values[i])))
+        return 2 * below + F.coalesce(F.get(f"_b{i}", below) == F.col(values[i]), F.lit(False)).cast("int")
+
+    cuts = stored(base.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(*[F.array_distinct(F.percentile_approx(c, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).alias(f"_b{i}") for i, c in enumerate(values)]), "cuts")
+    cells = joined(base, cuts).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.posexplode(F.array(*[cell(i) for i in each])).alias("_i", "_c"))
+    lower = Window.partitionBy(*keys, "_i").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * RANGES rows a group
+    counts = cells.groupBy(*keys, "_i", "_c").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+    of = lambda i: F.map_from_entries(F.collect_list(F.when(F.col("_i") == i, F.struct("_c", F.struct("_before", "_n"))))).alias(f"_m{i}")
+    counted = counts.groupBy(*keys).agg(*[of(i) for i in each])
+    same = reduce(lambda a, b: a & b, [cuts[k].eqNullSafe(counted[k]) for k in keys], F.lit(True))
+    places = stored(cuts.join(F.broadcast(counted) if not keys else counted, same).select(*[cuts[k] for k in keys], *[f"_{x}{i}" for i in each for x in "bm"]), "cells")
+    out = joined(base, places).select(*base.columns, *[cell(i).alias(f"_c{i}") for i in each], *[f"_m{i}" for i in each])
+    out = out.select(*base.columns, *[f"_c{i}" for i in each], *[F.element_at(f"_m{i}", F.col(f"_c{i}")).alias(f"_p{i}") for i in each]).withColumn("_lot", F.floor(F.rand(1) * RANGES))
+    for i, (name, value) in enumerate(columns.items()):
+        is_cut = F.col(f"_c{i}") % 2 == 1
+        out = out.withColumn("_l", F.when(is_cut, F.col("_lot")).otherwise(F.lit(-1)))
+        part = [*by, f"_c{i}", "_l"]
+        inside, equal = Window.partitionBy(*part).orderBy(value), Window.partitionBy(*part, value)
+        between = F.rank().over(inside) + (F.count(F.lit(1)).over(equal) - 1) / 2.0
+        out = out.withColumn(name, F.col(f"_p{i}")["_before"] + F.when(is_cut, (F.col(f"_p{i}")["_n"] + 1) / 2.0).otherwise(between)).drop("_l", f"_c{i}", f"_p{i}")
+    return out.drop("_lot")
 
 
 def medians(df: DataFrame, value: str, by: list[str], name: str = "median") -> DataFrame:

@@ -199,3 +199,39 @@ def test_java_expressions_equal_the_plain_version(spark):
         assert (r.f.token_count, r.f.ncloc, r.f.cyclomatic, list(r.f.failure_codes)) == (len(want.tokens), want.ncloc, want.cyclomatic, want.failure_codes), sources[r.i]
         kinds |= {*want.failure_codes, want.cyclomatic > 2}
     assert kinds == {"empty_source", "unbalanced_brackets", "not_exactly_one_method", True, False}
+
+
+@pytest.fixture
+def shaky_cuts(monkeypatch):
+    """Approximate quantiles that come a little differently each time they're computed, as on a cluster."""
+    exact = F.percentile_approx
+    moved = F.udf(lambda cuts: [c + random.uniform(-9, 9) for c in cuts], "array<double>").asNondeterministic()
+    monkeypatch.setattr(ranks.F, "percentile_approx", lambda *a: moved(exact(*a)))
+
+
+def test_ranks_of_values_that_vary_when_computed_again(spark):
+    """Sums of doubles differ in their last bits from one computation to the next; no row is lost for it."""
+    again = F.udf(lambda i: round(i % 50 + random.random(), 4), "double").asNondeterministic()
+    rows = spark.range(2000).select("id", (F.col("id") % 2).alias("g"), again("id").alias("v"))
+    out = ranks.with_ranks(rows, {"r": "v"}, ["g"]).collect()
+    assert len(out) == 2000
+    for g in (0, 1):
+        values = sorted(x.v for x in out if x.g == g)
+        assert all(x.r == (values.index(x.v) + 1 + values.index(x.v) + values.count(x.v)) / 2 for x in out if x.g == g)
+
+
+def test_ranks_with_cuts_that_vary(spark, shaky_cuts):
+    rows = spark.range(3000).select(F.col("id").cast("double").alias("v"))
+    assert all(r.r == r.v + 1 for r in ranks.with_ranks(rows, {"r": "v"}).collect())
+
+
+def test_ranks_of_frequent_and_odd_values(spark):
+    """A value of most rows, NaN, negative zero and nulls in values and groups."""
+    given = [5.0] * 700 + [float("nan")] * 5 + [-0.0, 0.0, -1.0] * 40 + [float(i) / 7 for i in range(300)]
+    rows = spark.createDataFrame([(g, v) for g in (None, "a") for v in given] + [("a", None)], "g string, v double")
+    out = ranks.with_ranks(rows, {"r": "v"}, ["g"]).collect()
+    order = sorted(math.inf if math.isnan(v) else v for v in given)
+    assert len(out) == 2 * len(given)
+    for x in out:
+        v = math.inf if math.isnan(x.v) else x.v
+        assert x.r == order.index(v) + (order.count(v) + 1) / 2
