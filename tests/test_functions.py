@@ -235,3 +235,13 @@ def test_ranks_of_frequent_and_odd_values(spark):
     for x in out:
         v = math.inf if math.isnan(x.v) else x.v
         assert x.r == order.index(v) + (order.count(v) + 1) / 2
+
+
+def test_medians_with_cuts_that_vary(spark, shaky_cuts):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    assert {r.g: r.median for r in ranks.medians(rows, "v", ["g"]).collect()} == {0: 1498.5, 1: 1499.5, 2: 1500.5}
+
+
+def test_quantiles_with_cuts_that_vary(spark, shaky_cuts):
+    rows = spark.range(3001).select(F.col("id").cast("double").alias("v"))
+    assert tuple(ranks.quantiles(rows, "v", [], [0.0, 0.25, 0.5, 1.0]).first()) == (0.0, 750.0, 1500.0, 3000.0)
