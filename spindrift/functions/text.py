@@ -157,3 +157,15 @@ def safe_filename(path: Column) -> Column:
 def json_safe(value: Column) -> Column:
     """A number as JSON can hold it: null for NaN and infinities."""
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+#: Characters of which upper case has several, and as many for private use to stand in for them.
+_EXPANDING = "".join(chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and len(chr(i).upper()) > 1)
+_STAND_IN = "".join(chr(0xE000 + i) for i in range(len(_EXPANDING)))
+
+
+def simple_upper(value: Column) -> Column:
+    """Upper case character by character, as SQL engines with simple case mapping have it: those that would become several stay."""
+    plain = F.translate(F.upper(F.translate(value, _EXPANDING, _STAND_IN)), _STAND_IN, _EXPANDING)
+    single = F.array_join(F.transform(F.split(value, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+    return F.when(value.rlike(f"[{_STAND_IN[0]}-{_STAND_IN[-1]}]"), single).otherwise(plain)

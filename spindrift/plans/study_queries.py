@@ -108,7 +108,7 @@ def rendered_prompts(spark, d):
 def isolated_payloads(spark, d):
     """Documents whose payload holds neither the text that is to be kept apart, nor its digest, nor a forbidden key."""
     code = F.element_at(F.array(F.lit("SCH"), F.lit("TION"), F.lit("ABLE")), (F.col("n_chars") % 3 + 1).cast("int"))
-    rows = table(spark, d, "documents").select(code.alias("code"), F.concat(F.lit('{"Source": "'), "source", F.lit('", "lang": "'), "lang", F.lit('", "text": "'), F.upper("text"), F.lit('"}')).alias("payload"))
+    rows = table(spark, d, "documents").select(code.alias("code"), F.concat(F.lit('{"Source": "'), "source", F.lit('", "lang": "'), "lang", F.lit('", "text": "'), text.simple_upper(F.col("text")), F.lit('"}')).alias("payload"))
     return rows.groupBy(documents.isolated(F.col("payload"), F.col("code"), ["original_code"]).alias("isolated"), documents.isolated(F.col("payload"), F.col("code"), ["LANG"]).alias("without_lang")).agg(F.count(F.lit(1)).alias("n"))
 
 

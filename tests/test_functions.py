@@ -245,3 +245,10 @@ def test_medians_with_cuts_that_vary(spark, shaky_cuts):
 def test_quantiles_with_cuts_that_vary(spark, shaky_cuts):
     rows = spark.range(3001).select(F.col("id").cast("double").alias("v"))
     assert tuple(ranks.quantiles(rows, "v", [], [0.0, 0.25, 0.5, 1.0]).first()) == (0.0, 750.0, 1500.0, 3000.0)
+
+
+def test_simple_upper(spark):
+    """ß stays, and so doesn't put SCH into a text; the rest is upper case, null stays null."""
+    given = ["Großchen enößch", "ßß", "ﬁsch ŉ", "ärger\nzwei", "", "a", "ß\ue000ı\ue005𐐨"]
+    rows = spark.createDataFrame([(g,) for g in [*given, None]], "t string").select("t", text.simple_upper(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in rows} == {g: "".join(c.upper() if len(c.upper()) == 1 else c for c in g) for g in given} | {None: None}
