@@ -22,7 +22,7 @@ def canonical_row(columns: list[str]) -> Column:
 
 def tree(rows: DataFrame, order: list[str], digest: str, width: int = WIDTH) -> list[DataFrame]:
     """Levels (at, digest) from the rows' own digests in ``order`` up to the one row of the root; stored.  No rows: one empty level."""
-    levels = [counted(rows.select(*order, F.col(digest).alias("_digest")), [], order, "at").select("at", F.col("_digest").alias("digest"))]
+    levels = [counted(rows.select(*dict.fromkeys([*order, digest])), [], order, "at").select("at", F.col(digest).alias("digest"))]
     while levels[-1].limit(2).count() > 1:
         nodes = levels[-1].groupBy(F.floor(F.col("at") / width).alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "digest"))).alias("c"))  # at most `width` a node
         levels.append(stored(nodes.select(F.col("up").alias("at"), F.sha2(F.array_join(F.col("c.digest"), "\n"), 256).alias("digest")), "nodes"))

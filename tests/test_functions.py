@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import java, probability, ranks, similarity, text
-from spindrift.operators import resampling
+from spindrift.operators import merkle, numbering, resampling
+from spindrift.sources import store
 
 
 def one(spark, **columns):
@@ -252,3 +253,14 @@ def test_simple_upper(spark):
     given = ["Großchen enößch", "ßß", "ﬁsch ŉ", "ärger\nzwei", "", "a", "ß\ue000ı\ue005𐐨"]
     rows = spark.createDataFrame([(g,) for g in [*given, None]], "t string").select("t", text.simple_upper(F.col("t")).alias("u")).collect()
     assert {r.t: r.u for r in rows} == {g: "".join(c.upper() if len(c.upper()) == 1 else c for c in g) for g in given} | {None: None}
+
+
+def test_row_numbers_write_rows_once(spark):
+    """Numbers over all rows are added to the stored ranges: the rows aren't shuffled for them or written again."""
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit("x").alias("t"))
+    made = store._MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    found = numbering.counted(rows, [], ["v"], "n")
+    assert all(r.n == r.v for r in found.collect())
+    assert sorted(p.rpartition("/")[2].split("-")[0] for p in made[before:]) == ["counts", "ranges"]
+    assert [c for c in merkle.tree(rows, ["v"], "t")[0].columns] == ["at", "digest"]
