@@ -167,8 +167,8 @@ def stream_first_valid(spark, d):
 def stream_decided_cells(spark, d):
     """Orders decided by their lines as they stream in: the first line that wasn't returned, if all before it have come, or that the first three were."""
     s = ledger.stream_of(spark, f"{d}/lineitem.parquet").withColumn("valid", F.col("l_returnflag") != "R")
-    rows = ledger.drained(ledger.decided_cells(s, "l_orderkey", "l_linenumber", "valid", 3), "append")
-    return rows.select(F.col("cell").cast("long").alias("l_orderkey"), "status", "selected_attempt")
+    rows = ledger.drained(ledger.decisions(s, "l_orderkey", "l_linenumber", "valid", 3), "update", "cell")
+    return rows.select(F.col("cell").alias("l_orderkey"), "status", "selected_attempt")
 
 
 def stream_window_rates(spark, d):

@@ -96,13 +96,30 @@ def decided_cells(attempts: DataFrame, cell: str, attempt: str, valid: str, cap:
     return rows.groupBy("cell").transformWithStateInPandas(Attempts(cap, wait_ms if timed else None), "cell string, status string, selected_attempt bigint, attempts bigint", "Append", "EventTime" if timed else "None")
 
 
+def decisions(attempts: DataFrame, cell: str, attempt: str, valid: str, cap: int) -> DataFrame:
+    """Streaming (cell, status, selected_attempt) in update mode: the cells that their attempts so far decide, by the rules of :class:`Attempts`.
+
+    State is a flag for each of the first ``cap`` attempts of a cell, kept by Spark's own aggregate, so no cell is a call of
+    Python.  A decided cell is told again when more of its attempts come; the first telling counts (:func:`drained` with ``key``).
+    """
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ok = F.coalesce(F.col(valid), F.lit(False))
+    flags = attempts.groupBy(F.col(cell).alias("cell")).agg(*[F.bool_and(F.when(F.col(attempt) == n, ok)).alias(f"_{n}") for n in range(1, cap + 1)])
+    failed, selected = F.lit(True), F.lit(None).cast("long")
+    for n in range(1, cap + 1):
+        selected = F.coalesce(selected, F.when(failed & F.col(f"_{n}"), F.lit(n).cast("long")))
+        failed = failed & ~F.col(f"_{n}")
+    status = F.when(selected.isNotNull(), "selected").when(failed, "blocked")
+    return flags.select("cell", status.alias("status"), selected.alias("selected_attempt")).filter("status IS NOT NULL")
+
+
 def window_rates(events: DataFrame, at: str, failed, size: str, late: str) -> DataFrame:
     """Events and failures per tumbling window, late rows accepted within the watermark."""
     return events.withWatermark(at, late).groupBy(F.window(at, size).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(failed, 1)).alias("failed"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what its source has now and gives the sink's rows: of the last batch in complete mode, of all in append mode.
+def drained(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
+    """Runs a stream over what its source has now and gives the sink's rows: of the last batch in complete mode, of all in append mode, and in update mode the first one of each ``key``.
 
     Rows go to Parquet in the shared folder, with the stream's checkpoint beside them; none go to the driver.
     """
@@ -116,6 +133,9 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
     if mode == "complete":
         rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")  # one row
+    if mode == "update":
+        others = [c for c in stream.columns if c != key]
+        return rows.groupBy(key).agg(F.min_by(F.struct(*others), "batch").alias("_first")).select(key, "_first.*")
     return rows.drop("batch")
 
 

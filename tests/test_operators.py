@@ -289,3 +289,22 @@ def test_file_snapshot_query(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     rows = cohort_queries.file_snapshot(spark, str(tmp_path)).collect()
     assert {(r.path, r.bytes, r.sha256) for r in rows} == {(name, len(raw), hashlib.sha256(raw).hexdigest()) for name, raw in contents.items()} and len(rows) == len(contents)
+
+
+def test_decisions_stream(spark, tmp_path):
+    """Native state decides as the processor does: the first telling of a cell counts, whatever comes after."""
+    schema = "cell string, attempt long, valid boolean"
+    batches = [
+        [("late", 2, True), ("plain", 1, True), ("blocked", 3, False), ("blocked", 1, False), ("twice", 1, True), ("twice", 1, False), ("open", 2, True), ("unknown", 1, None), ("none", None, True), ("beyond", 4, True)],
+        [("late", 1, False), ("plain", 2, True), ("plain", 1, False), ("blocked", 2, False), ("twice", 2, True), ("unknown", 2, True), (None, 1, True)],
+        [("blocked", 1, True), ("plain", 1, False), ("late", 3, False)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+    for plain in (False, True):
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "*"))
+        found = ledger.drained(ledger.decided_cells(s, "cell", "attempt", "valid", 3), "append") if plain else ledger.drained(ledger.decisions(s, "cell", "attempt", "valid", 3), "update", "cell")
+        rows = found.collect()
+        told = {r.cell: (r.status, r.selected_attempt) for r in rows}
+        assert len(rows) == len(told)
+        assert told == {"late": ("selected", 2), "plain": ("selected", 1), "blocked": ("blocked", None), "twice": ("selected", 2), "unknown": ("selected", 2), None: ("selected", 1)}
