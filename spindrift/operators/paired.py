@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -93,14 +94,18 @@ def run_pairs(df: DataFrame, unit: str, run: str, value: str) -> DataFrame:
 
 
 def icc_3_1(df: DataFrame, unit: str, run: str, value: str, runs: list) -> DataFrame:
-    """(n, k, icc): two-way mixed, consistency, single measure, over units with a value in every run."""
+    """(n, k, icc): two-way mixed, consistency, single measure, over units with a value in every run.
+
+    A unit is one row of its runs' means, made by one aggregate; everything else is sums over these rows.
+    """
     k = len(runs)
-    cells = df.filter(F.col(run).isin(*runs) & F.col(value).isNotNull()).groupBy(unit, run).agg(F.avg(F.col(value).cast("double")).alias("v"))
-    whole = cells.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(unit))).filter(F.col("c") == k)
-    rows = whole.groupBy(unit).agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("t"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s")).alias("r"))
-    column = whole.groupBy(run).agg(F.sum("v").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("c"))
-    x = total.crossJoin(F.broadcast(column))  # one row each
+    means = [F.avg(F.when(F.col(run) == F.lit(r), F.col(value).cast("double"))).alias(f"_v{i}") for i, r in enumerate(runs)]
+    v = [F.col(f"_v{i}") for i in range(k)]
+    whole = df.filter(F.col(run).isin(*runs) & F.col(value).isNotNull()).groupBy(unit).agg(*means).filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in v]))
+    add = lambda parts: reduce(lambda a, b: a + b, parts)
+    sums = whole.select(*v, add(v).alias("s"), add([c * c for c in v]).alias("q"))
+    total = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("t"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s")).alias("r"), *[F.sum(c).alias(f"c{i}") for i, c in enumerate(v)])
+    x = total.withColumn("c", add([F.col(f"c{i}") * F.col(f"c{i}") for i in range(k)]))
     n = F.col("n")
     correction = F.col("t") * F.col("t") / (n * k)
     ss_rows, ss_cols = F.col("r") / k - correction, F.col("c") / n - correction

@@ -308,3 +308,17 @@ def test_decisions_stream(spark, tmp_path):
         told = {r.cell: (r.status, r.selected_attempt) for r in rows}
         assert len(rows) == len(told)
         assert told == {"late": ("selected", 2), "plain": ("selected", 1), "blocked": ("blocked", None), "twice": ("selected", 2), "unknown": ("selected", 2), None: ("selected", 1)}
+
+
+def test_icc_by_one_shuffle_of_cells(spark):
+    """Units without a value in every run are left out, repeated cells are averaged; rows are read and shuffled by unit once."""
+    values = {"a": [1.0, 2.0, 4.0], "b": [3.0, 3.5, 5.0], "c": [2.0, 5.0, 5.5], "d": [6.0, 7.0, 9.0]}
+    cells = [(u, r + 1, v + e) for u, vs in values.items() for r, v in enumerate(vs) for e in (-0.5, 0.5)] + [("e", 1, 9.0), ("a", 4, 99.0), ("f", 1, None), ("f", 2, 1.0), ("f", 3, 1.0)]
+    found = paired.icc_3_1(spark.createDataFrame(cells, "u string, r int, v double"), "u", "r", "v", [1, 2, 3])
+    m = np.array(list(values.values()))
+    rows, columns = m.mean(1, keepdims=True) - m.mean(), m.mean(0, keepdims=True) - m.mean()
+    msr, mse = 3 * (rows**2).sum() / 3, ((m - m.mean() - rows - columns) ** 2).sum() / 6
+    r = found.first()
+    assert (r.n, r.k) == (4, 3) and abs(r.icc - (msr - mse) / (msr + 2 * mse)) < 1e-12
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
