@@ -47,8 +47,8 @@ SHARDS = 4
 #: Bytes of segments that a bucket gets about, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 20, 128
 #: Runs that a task holds before it combines and hands them on.
-HELD = 2_000_000
-TILE = 2 << 20
+HELD = 500_000
+TILE = 1 << 20
 #: Texts whose grams are counted for the common ones, bytes of each, and in how many a common gram stands at least.
 SAMPLE, SLICE, COMMON = 1024, 8192, 6
 #: Bits of the table of common grams; a gram that shares a place with a common one counts as common, here and everywhere.

@@ -848,3 +848,24 @@ def test_rounds_are_bounded_for_one_item(spark, monkeypatch):
     assert len(sizes) == 1
     assert told(1500) == whole and sum(bool(h) for h, _ in whole.values()) >= 21
     assert len(sizes) > 5 and max(sizes[1:]) <= 3 * 1500
+
+
+def test_suffix_runs_are_handed_on_early():
+    """A task of the pipeline's suffix step holds the runs of some twenty megabytes of text, not of all it reads."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    from spindrift.llm import suffix_dedup
+
+    read = []
+
+    def batches():
+        for i in range(80):
+            read.append(i)
+            text = np.random.default_rng(i).integers(97, 123, 1 << 20, dtype=np.uint8).tobytes().decode()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([text])], ["doc", "text"])
+
+    next(suffix_dedup._runs(types.SimpleNamespace(value=None))(batches()))
+    assert len(read) < 40
