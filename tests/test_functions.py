@@ -264,3 +264,14 @@ def test_row_numbers_write_rows_once(spark):
     assert all(r.n == r.v for r in found.collect())
     assert sorted(p.rpartition("/")[2].split("-")[0] for p in made[before:]) == ["counts", "ranges"]
     assert [c for c in merkle.tree(rows, ["v"], "t")[0].columns] == ["at", "digest"]
+
+
+def test_cells_of_ranks_are_found_by_halving(spark):
+    """How many cuts lie below a value, for arrays of any length, repeated cuts, nulls and NaN; ranks interpret no lambda a row."""
+    arrays = [[], [1.0], [1.0, 1.0, 2.0], [float(i) for i in range(63)], [0.5 * i for i in range(40)] + [float("nan")], None]
+    values = [-1.0, 0.0, -0.0, 1.0, 1.5, 31.0, 62.0, 99.0, float("nan"), float("inf")]
+    df = spark.createDataFrame([(a, v) for a in arrays for v in values], "b array<double>, v double")
+    for r in ranks._below(df, {"n": ("b", "v")}).collect():
+        assert r.n == sum(b < r.v or (math.isnan(r.v) and not math.isnan(b)) for b in r.b or ()), r
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("double").alias("v"))
+    assert "lambda" not in ranks.with_ranks(rows, {"r": "v"}, ["g"])._jdf.queryExecution().optimizedPlan().toString()
