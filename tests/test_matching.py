@@ -5,10 +5,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import analysis, matching, numbering, resampling
+from spindrift.operators import analysis, matching, numbering, resampled, resampling
 
 
 def plain_greedy(rows):
@@ -133,3 +134,29 @@ def test_analysis_without_complete_rows(spark):
     df = spark.createDataFrame([(1, "s", 2.0, None, 1.0), (2, "s", None, 3.0, 1.0)], "u long, s string, z double, x double, y double")
     r = analysis.analyzed(df, "u", "s", "z", ["x"], ["y"], 3, 3, ("x", "y"), most=None).collect()
     assert [(x.n_total, x.n_complete, x.n_missing, x.raw_rho, x.partial_two_p, x.rejected, x.category) for x in r] == [(2, 0, 2, None, None, False, "technical_no_go_inconclusive_association")]
+
+
+def test_weights_of_resamples_stand_for_copies_of_rows(spark, monkeypatch):
+    """Correlations under weights equal those of rows written out, over many cells; resamples add no rows to those that are ranked."""
+    monkeypatch.setattr(resampled, "CELL", 4)
+    rng, width = np.random.default_rng(5), 4
+    rows = []
+    for g, n in (("a", 400), ("b", 3), ("c", 40)):
+        for i in range(n):
+            w = rng.poisson(1.0, width).astype(int).tolist()
+            rows.append((g, "o", float(rng.normal()), float(rng.integers(3)), 1.0 if g == "c" else float(rng.integers(30)), [1, *w[1:-1], 0 if g == "b" else w[-1]]))
+    df = spark.createDataFrame(rows, "metric string, outcome string, x double, y double, z double, w array<int>")
+    found = {(r.metric, r.k): r for r in resampled.weighted_correlations(df, ["metric", "outcome"], width).collect()}
+    copies = df.select("metric", "x", "y", "z", F.posexplode("w").alias("k", "times")).filter("times > 0").withColumn("_", F.explode(F.expr("sequence(1, times)"))).drop("_", "times")
+    want = {(r.metric, r.k): r for r in analysis.correlations(copies, ["metric", "k"]).collect()}
+    assert len(found) == 3 * width and found.keys() >= want.keys()
+    for key, r in found.items():
+        if key not in want:
+            assert (r.n, r.raw, r.partial) == (0, None, None)
+            continue
+        assert r.n == want[key].n
+        assert all(a is None and b is None or abs(a - b) < 1e-9 for a, b in ((r.raw, want[key].raw), (r.partial, want[key].partial)))
+    records = spark.range(60).select(F.lit("m").alias("metric"), F.lit("o").alias("outcome"), F.col("id").alias("unit"), (F.col("id") % 3).alias("stratum"), *[F.rand(i).alias(c) for i, c in enumerate("xyz")])
+    for drawn in (analysis.bootstrap_weights(records, 7), analysis.whole_bootstrap_weights(records, 7)):
+        assert drawn.count() == 60 and all(len(r.w) == 7 for r in drawn.collect())
+    assert [sum(r.w[k] for r in analysis.bootstrap_weights(records, 7).collect()) for k in range(7)] == [60] * 7
