@@ -79,11 +79,11 @@ def with_ranks(df: DataFrame, columns: dict[str, str], by: list[str] | None = No
     out = out.select(*base.columns, *[f"_c{i}" for i in each], *[F.get(f"_m{i}", F.col(f"_c{i}")).alias(f"_p{i}") for i in each]).withColumn("_lot", F.floor(F.rand(1) * RANGES))
     for i, (name, value) in enumerate(columns.items()):
         is_cut = F.col(f"_c{i}") % 2 == 1
-        out = out.withColumn("_l", F.when(is_cut, F.col("_lot")).otherwise(F.lit(-1)))
-        part = [*by, f"_c{i}", "_l"]
+        out = out.withColumn("_own_lot", F.when(is_cut, F.col("_lot")).otherwise(F.lit(-1)))
+        part = [*by, f"_c{i}", "_own_lot"]
         inside, equal = Window.partitionBy(*part).orderBy(value), Window.partitionBy(*part, value)
         between = F.rank().over(inside) + (F.count(F.lit(1)).over(equal) - 1) / 2.0
-        out = out.withColumn(name, F.col(f"_p{i}")["_before"] + F.when(is_cut, (F.col(f"_p{i}")["_n"] + 1) / 2.0).otherwise(between)).drop("_l", f"_c{i}", f"_p{i}")
+        out = out.withColumn(name, F.col(f"_p{i}")["_before"] + F.when(is_cut, (F.col(f"_p{i}")["_n"] + 1) / 2.0).otherwise(between)).drop("_own_lot", f"_c{i}", f"_p{i}")
     return out.drop("_lot")
 
 

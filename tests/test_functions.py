@@ -275,3 +275,9 @@ def test_cells_of_ranks_are_found_by_halving(spark):
         assert r.n == sum(b < r.v or (math.isnan(r.v) and not math.isnan(b)) for b in r.b or ()), r
     rows = spark.range(3000).select((F.col("id") % 2).alias("g"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("double").alias("v"))
     assert "lambda" not in ranks.with_ranks(rows, {"r": "v"}, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_auc_has_its_label_after_ranking(spark):
+    df = spark.createDataFrame([(1, 3.0), (1, 2.0), (0, 2.0), (0, 1.0)], "label int, v double")
+    r = ranks.auc(df, "label", "v").first()
+    assert (r.n1, r.n0, r.auc) == (2, 2, 0.875)
