@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import merkle
 from ..operators.cohort import CohortError, last_wins, require_none
+from . import digests
+
+#: Longer files are hashed by ranges.
+WHOLE_BYTES = 32 << 20
 
 # Patterns of secrets that must not be published.
 SECRET_PATTERNS = {
@@ -63,14 +67,22 @@ def _empty_files(spark: SparkSession, root: str) -> list[str]:
 def snapshot_tree(spark: SparkSession, root: str, exclude: str | None = None) -> DataFrame:
     """(path below root, bytes, sha256) of all files; contents are hashed where they are read.
 
-    Names that begin with ``_`` or ``.`` are hidden from Spark's readers and aren't files of the tree.
+    Files of up to ``WHOLE_BYTES`` are read whole by Spark, longer ones by ranges (:mod:`.digests`) when this is called; in a store
+    that Arrow's file systems don't open, they are read whole too, which Spark does up to 2 GiB. Names that begin with ``_`` or ``.``
+    are hidden from Spark's readers and aren't files of the tree.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", ""), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root.removeprefix("file://").rstrip("/")) + "/", "")
+    tree = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    tree = tree.filter(~below.rlike(exclude)) if exclude else tree
+    long = {r.path: r.length for r in tree.filter(F.col("length") > WHOLE_BYTES).select("path", "length").collect()}
+    found = digests.places(spark, list(long)) if long else None
+    rows = (tree.filter(F.col("length") <= WHOLE_BYTES) if found else tree).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    if found:
+        rows = rows.unionByName(digests.by_ranges(spark, [(path, found[path], n) for path, n in long.items()]))
     if empty := _empty_files(spark, root):
-        rows = rows.unionByName(spark.createDataFrame([(path, 0, b"") for path in empty], "path string, length long, content binary"))
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", ""), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root.removeprefix("file://").rstrip("/")) + "/", "")
-    rows = rows.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return rows.filter(~F.col("path").rlike(exclude)) if exclude else rows
+        nothing = spark.createDataFrame([(path, 0) for path in empty], "path string, length long").withColumn("sha256", F.sha2(F.lit(b""), 256))
+        rows = rows.unionByName(nothing.filter(~below.rlike(exclude)) if exclude else nothing)
+    return rows.select(below.alias("path"), F.col("length").alias("bytes"), "sha256")
 
 
 def tree_digest(snapshot: DataFrame) -> DataFrame:

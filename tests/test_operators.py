@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import aggregates, cohort, documents, matching, models, paired, resampling, selection
 from spindrift.plans import cohort_queries
-from spindrift.sources import files, report
+from spindrift.sources import digests, files, report
 from spindrift.streaming import ledger
 
 
@@ -291,6 +291,63 @@ def test_file_snapshot_query(spark, tmp_path):
     assert {(r.path, r.bytes, r.sha256) for r in rows} == {(name, len(raw), hashlib.sha256(raw).hexdigest()) for name, raw in contents.items()} and len(rows) == len(contents)
 
 
+def test_long_files_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "WHOLE_BYTES", 100)
+    monkeypatch.setattr(digests, "RANGE_BYTES", 1000)
+    sizes = {"whole": 100, "a b%20c.bin": 101, "é/x#?.bin": 999, "é/even": 1000, "over": 1001, "long": 64 * 41 + 5, "left/out": 3000, "none": 0}
+    contents = {name: bytes((i * i + n) % 251 for i in range(n)) for name, n in sizes.items()}
+    for name, raw in contents.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    want = {(name, len(raw), hashlib.sha256(raw).hexdigest()) for name, raw in contents.items()}
+    rows = [tuple(r) for r in cohort_queries.file_snapshot(spark, str(tmp_path)).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    rows = [tuple(r) for r in files.snapshot_tree(spark, str(tmp_path), exclude="^(left/|none)").collect()]
+    assert set(rows) == {w for w in want if w[0] not in ("left/out", "none")} and len(rows) == len(want) - 2
+    spark.conf.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    rows = files.snapshot_tree(spark, "viewfs://store/in").collect()
+    assert {(r.bytes, r.sha256) for r in rows} == {w[1:] for w in want} and len(rows) == len(want)
+
+
+def test_snapshot_of_a_file_beyond_2_gib(spark, tmp_path):
+    """More than Spark reads as one value."""
+    with (tmp_path / "zeros").open("wb") as f:
+        f.truncate(2**31 + 5)
+    digest, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2048):
+        digest.update(block)
+    digest.update(bytes(5))
+    assert [tuple(r) for r in files.snapshot_tree(spark, str(tmp_path)).collect()] == [("zeros", 2**31 + 5, digest.hexdigest())]
+
+
+@pytest.mark.parametrize("native", [True, False])
+def test_digest_handed_on(monkeypatch, native):
+    """A task reads its own range only, in windows; without OpenSSL's functions one task reads the file."""
+    if not native:
+        monkeypatch.setattr(digests, "_openssl", lambda: None)
+    elif digests._openssl() is None:
+        pytest.skip("hashlib has no OpenSSL here")
+    monkeypatch.setattr(digests, "WINDOW", 70)
+    raw, reads = bytes(i % 253 for i in range(1003)), []
+
+    class Source:
+        def read_at(self, n, at):
+            reads.append((at, n))
+            return raw[at : at + n]
+
+    at, state, told, tasks = 0, b"", None, 0
+    while told is None:
+        del reads[:]
+        begin, stop = at, min(len(raw), at + 150)
+        at, state, told = digests.advance(Source(), "p", len(raw), at, stop, state)
+        tasks += 1
+        assert max(n for _, n in reads) <= 70
+        assert not native or (reads[0][0] == begin and at == stop and sum(n for _, n in reads) == stop - begin)
+    assert told == hashlib.sha256(raw).hexdigest() and tasks == (7 if native else 1)
+    with pytest.raises(cohort.CohortError, match="file_changed:p"):
+        digests.advance(Source(), "p", 1100, 0, 1100, b"")
+
+
 def test_decisions_stream(spark, tmp_path):
     """Native state decides as the processor does: the first telling of a cell counts, whatever comes after."""
     schema = "cell string, attempt long, valid boolean"
